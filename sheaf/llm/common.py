@@ -52,3 +52,14 @@ def is_held_out(doc_id: Column) -> Column:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches to Python workers at 8 MB, however long the texts are, unless the session already asks for less."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(spark.conf.get(key, "64m")).lower()
+    scale = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+    digits = now.rstrip("b")
+    size = int(digits[:-1]) * scale[digits[-1]] if digits[-1:] in scale else int(digits)
+    if size > 8 << 20:
+        spark.conf.set(key, str(8 << 20))

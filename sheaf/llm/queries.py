@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import bpe, fingerprints, quality, sharding
 
 QUERIES = {
+    "op2_fingerprints": fingerprints.op2_fingerprints,
+    "op5_sharding": sharding.op5_sharding,
+    "op8_bpe": bpe.op8_bpe,
     "op10_quality": quality.op10_quality,
 }
 ORACLES: dict[str, str] = {}
