@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, quality, sharding
+from . import bpe, fingerprints, language, lines, packing, quality, sharding, toxicity, warc
 
 QUERIES = {
+    "op1_language": language.op1_language,
     "op2_fingerprints": fingerprints.op2_fingerprints,
+    "op3_lines": lines.op3_lines,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_sharding": sharding.op5_sharding,
+    "op6_warc": warc.op6_warc,
     "op8_bpe": bpe.op8_bpe,
+    "op9_packing": packing.op9_packing,
     "op10_quality": quality.op10_quality,
 }
 ORACLES: dict[str, str] = {}
