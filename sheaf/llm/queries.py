@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, language, lines, packing, quality, sharding, toxicity, warc
+import corpus_pipeline
+
+from . import bpe, fingerprints, language, lines, neardup, packing, quality, sharding, toxicity, warc
 
 QUERIES = {
     "op1_language": language.op1_language,
@@ -11,11 +13,13 @@ QUERIES = {
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_sharding": sharding.op5_sharding,
     "op6_warc": warc.op6_warc,
+    "op7_neardup": neardup.op7_neardup,
     "op8_bpe": bpe.op8_bpe,
     "op9_packing": packing.op9_packing,
     "op10_quality": quality.op10_quality,
+    "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
 
 
 def queries() -> dict:
