@@ -86,7 +86,7 @@ def sentences(c: Column, least: int = 15, most: int = 1_000_000) -> Column:
 
 def answer_sentences(c: Column) -> Column:
     """Sentences of an answer: no headings, bold lines or table rows, longer than ten."""
-    parts = F.transform(F.split(F.coalesce(c, F.lit("")), r"(?<=[.!?])\s+"), strip)
+    parts = F.transform(F.split(F.coalesce(c, F.lit("")), r"(?<=[.!?])\s+"), lambda x: strip(x))
     return F.filter(parts, lambda s: (F.length(s) > 10) & ~s.startswith("#") & ~s.startswith("**") & ~s.contains("|"))
 
 

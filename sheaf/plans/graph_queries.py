@@ -35,7 +35,7 @@ def triplet_edges(spark, d):
     return graph.edges(triplets(spark, d)).select("subject", "relationship", "object", "source_file")
 
 
-@query("node_mentions", f"WITH {USABLE} SELECT node, count(*) AS mentions, min_by(role, at) AS node_type FROM (SELECT subject AS node, 'entity' AS role, seq * 2 AS at FROM ok UNION ALL SELECT object, 'value', seq * 2 + 1 FROM ok) GROUP BY node")
+@query("node_mentions", f"WITH {USABLE} SELECT node, count(*) AS mentions, min_by(role, place) AS node_type FROM (SELECT subject AS node, 'entity' AS role, seq * 2 AS place FROM ok UNION ALL SELECT object, 'value', seq * 2 + 1 FROM ok) GROUP BY node")
 def node_mentions(spark, d):
     return graph.nodes(triplets(spark, d))
 

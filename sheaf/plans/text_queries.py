@@ -54,9 +54,16 @@ def sentence_split(spark, d):
     return chunking.sentence_rows(table(spark, d, "documents"), "doc_id")
 
 
-@query("hard_boundary", f"SELECT doc_id, idx, sentence FROM (SELECT doc_id, unnest(range(len(s))) AS idx, unnest(s) AS sentence FROM (SELECT doc_id, {Q.sentences('text')} AS s FROM documents)) WHERE {Q.hard('sentence')}")
+VARIED = "CASE idx % 4 WHEN 0 THEN 'Season ' || sentence WHEN 1 THEN '12) A' || sentence WHEN 2 THEN 'ABCDEFG (' || upper(substr(sentence, 1, 0)) || 'H)' ELSE sentence END"
+
+
+@query("hard_boundary", f"""WITH s AS (SELECT doc_id, idx, {VARIED} AS sentence FROM (SELECT doc_id, unnest(range(len(s))) AS idx, unnest(s) AS sentence FROM (SELECT doc_id, {Q.sentences('text')} AS s FROM documents)))
+SELECT doc_id, idx, {Q.hard('sentence')} AS hard FROM s""")
 def hard_boundary(spark, d):
-    return chunking.sentence_rows(table(spark, d, "documents"), "doc_id").where(T.is_hard_boundary(F.col("sentence")))
+    """Sentences made into headers, numbered lines and capitals by turns: the texts have none of their own."""
+    i = F.col("idx") % 4
+    varied = F.when(i == 0, F.concat(F.lit("Season "), "sentence")).when(i == 1, F.concat(F.lit("12) A"), "sentence")).when(i == 2, "ABCDEFG (H)").otherwise(F.col("sentence"))
+    return chunking.sentence_rows(table(spark, d, "documents"), "doc_id").select("doc_id", "idx", T.is_hard_boundary(varied).alias("hard"))
 
 
 CHUNKS = f"""

@@ -62,7 +62,7 @@ def pages_of(docs: DataFrame) -> DataFrame:
 
 
 def clean_pages(pages: DataFrame) -> DataFrame:
-    return pages.withColumn("chars_before", F.length(F.coalesce("text", F.lit("")))).withColumn("text", clean_text(F.col("text"))).withColumn("tables_text", F.transform("tables_text", clean_text)).withColumn("chars_after", F.length("text"))
+    return pages.withColumn("chars_before", F.length(F.coalesce("text", F.lit("")))).withColumn("text", clean_text(F.col("text"))).withColumn("tables_text", F.transform("tables_text", lambda x: clean_text(x))).withColumn("chars_after", F.length("text"))
 
 
 def cleaning_stats(pages: DataFrame, by: str = "filename") -> DataFrame:
@@ -102,7 +102,7 @@ def upsert_vectors(chunks: DataFrame, store: DataFrame, encode: Callable[[Column
 
 def export_vectors(store: DataFrame) -> DataFrame:
     """Chunks back from vector records: defaults, tags split on commas, trimmed, without empty ones."""
-    tags = F.filter(F.transform(F.split(F.coalesce("crop_tags", F.lit("")), ","), F.trim), lambda x: x != "")
+    tags = F.filter(F.transform(F.split(F.coalesce("crop_tags", F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
     return store.select("chunk_id", "text", F.coalesce("char_count", F.lit(0)).alias("char_count"), "source_file", F.coalesce("authority_score", F.lit(0.5)).alias("authority_score"), F.coalesce("trust_weight", F.lit(1.0)).alias("trust_weight"), tags.alias("crop_tags"))
 
 
