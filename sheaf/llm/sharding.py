@@ -99,11 +99,10 @@ def shard_by_bytes(df: DataFrame, shards: int = 24, *, id_col: str = "doc_id", t
     # Fewer than 2^BLOCK_BITS rows of two longs: each holds over that share of all bytes.
     marks = F.broadcast(large.select("group_hash", F.lit(True).alias("_large")))
     at = F.when(F.col("_large"), place).otherwise(base)
-    shard = F.lit(len(alone) - 1)
-    for s in starts:
-        shard = shard + F.when(at >= s, 1).otherwise(0)
-    for i, g in enumerate(alone):
-        shard = F.when(F.col("group_hash") == g, i).otherwise(shard)
+    # The few cuts are looked up in arrays: written out as conditions they make a method that takes the compiler over a GB.
+    longs = lambda xs: F.array(*(F.lit(x).cast("long") for x in xs)).cast("array<bigint>")
+    own = F.array_position(longs(alone), F.col("group_hash")).cast("int")
+    shard = F.when(own > 0, own - 1).otherwise(let(at, lambda a: F.size(F.filter(longs(starts), lambda s: s <= a))) + (len(alone) - 1))
     cells = max(1, -(-rows // ROWS_A_CELL))
     dealt = slim.join(marks, "group_hash", "left").select(
         id_col, "size", "text_crc32", "group_hash", "_row", shard.cast("int").alias("shard"), F.pmod(F.xxhash64("_row"), F.lit(cells)).alias("_cell"))
