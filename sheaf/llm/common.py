@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sheaf.session import ship
+
 #: One word: a run of anything but space and the ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_GROUP = r"([^\x20\x09-\x0D]+)"
@@ -55,7 +57,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches to Python workers at 8 MB, however long the texts are, unless the session already asks for less."""
+    """Ready a session for Python workers: they can import this package, and keep Arrow batches to Python workers at 8 MB, however long the texts are, unless the session already asks for less."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = str(spark.conf.get(key, "64m")).lower()
     scale = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
