@@ -35,7 +35,7 @@ LEAST_SCORE = 0.2
 
 def _blocks(text: str) -> Iterator[np.ndarray]:
     """Code points with breaks as 0; each block begins with the two last of the one before."""
-    low = text.lower()
+    low = text.lower() + " "
     for i in range(0, len(low), BLOCK):
         yield np.frombuffer(low[max(0, i - 2) : i + BLOCK].encode("utf-32-le", "surrogatepass"), "<u4")
 
