@@ -4,8 +4,8 @@ A text's set holds hashes of its distinct five-word shingles (fewer words: the s
 and stand in one global order: shingles from crowded buckets of a count sketch over all documents last. By the prefix
 principle two sets of similarity ``t`` share one of their first ``n - ceil(t n) + 1`` shingles. Shingles from ordinary
 buckets bring their sets together in bounded groups, whose pairs must pass a length bound and the bound that parity
-bitmaps put on their difference. Shingles from crowded buckets are never expanded into pairs: their sets hang on one of them.
-What hangs together is a block; nothing links across blocks. Blocks are cut into cells of bounded size (pairs of
+bitmaps put on their difference. Shingles from crowded buckets are never expanded into pairs: a forest that spans the pairs within
+those bounds stands for them. What hangs together is a block; nothing links across blocks. Blocks are cut into cells of bounded size (pairs of
 sub-blocks of neighbouring length classes), and in each cell a trie of the sets, commonest shingle first, is walked
 once for all sets of the other side: overlaps of a shared path are added once, and a subtree is left when
 the remaining lengths cannot reach the similarity for any of them. Exact on shingle hashes of 64 bits.
@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, documents, materialize
@@ -29,9 +29,11 @@ from .hashing import mix, range_hashes
 
 NGRAM = 5
 SIMILARITY = 80
-SKETCH_BITS = 18
+SKETCH_BITS = 20
+SKETCH_BLOCK = 1 << 14
 BITMAP_BITS = 1024
 GROUP = 64
+CROWD = 2048
 CELL_SHINGLES = 1 << 16
 
 
@@ -59,8 +61,20 @@ def set_key(s: np.ndarray) -> int:
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
-    """Parities of the set's hashes over ``BITMAP_BITS`` bits."""
-    return np.packbits(np.bincount((s & np.uint64(BITMAP_BITS - 1)).astype(np.int64), minlength=BITMAP_BITS) & 1).view(np.int64)
+    """Parities of the set's hashes over a power of two of bits, at least its size, by their low bits (so halves fold onto each other)."""
+    bits = max(BITMAP_BITS, 1 << (len(s) - 1).bit_length())
+    return np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).view(np.int64)
+
+
+def differing_bits(a: Column, b: Column) -> Column:
+    """Parities in which two bitmaps differ; of sizes one step apart (similar sets are at most that), the larger is folded first."""
+    xor = lambda x, y: x.bitwiseXOR(y)
+
+    def fold(x: Column, n: Column) -> Column:
+        return F.when(F.size(x) > n, F.zip_with(F.slice(x, F.lit(1), n), F.slice(x, n + 1, n), xor)).otherwise(x)
+
+    n = F.least(F.size(a), F.size(b))
+    return F.aggregate(F.zip_with(fold(a, n), fold(b, n), xor), F.lit(0), lambda s, x: s + F.bit_count(x))
 
 
 def bucket_of(s: np.ndarray) -> np.ndarray:
@@ -88,25 +102,46 @@ class Order:
 
 
 def _read_sets(df: DataFrame) -> DataFrame:
-    """``kind, id, h, n, key, bits`` of rows (kind 0), ``key`` bucket and ``n`` count of a task's sketch (kind 1)."""
+    """``kind, id, h, n, key, bits`` of rows (kind 0); a task's count sketch in blocks (kind 1: ``key`` block, ``counts`` 32-bit counts)."""
+    names = ["kind", "id", "h", "n", "key", "bits", "counts"]
 
     def run(batches):
-        sketch = np.zeros(1 << SKETCH_BITS, np.int64)
+        sketch = np.zeros(1 << SKETCH_BITS, np.int32)
         for b in batches:
             sets = [shingles(t) for t in b.column(2).to_pylist()]
             if sets:
-                sketch += np.bincount(bucket_of(np.concatenate(sets)), minlength=1 << SKETCH_BITS)
+                at, n = np.unique(bucket_of(np.concatenate(sets)), return_counts=True)
+                sketch[at] += n.astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.zeros(len(sets), np.int8)), b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.int64()),
-                 pa.array([bitmap(s) if len(s) else None for s in sets], pa.list_(pa.int64()))],
-                ["kind", "id", "h", "n", "key", "bits"])
-        at = np.flatnonzero(sketch)
+                 pa.array([bitmap(s) if len(s) else None for s in sets], pa.list_(pa.int64())), pa.nulls(len(sets), pa.binary())],
+                names)
+        blocks = sketch.reshape(-1, SKETCH_BLOCK)
+        at = np.flatnonzero(blocks.any(axis=1))
         nothing = lambda t: pa.nulls(len(at), t)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.ones(len(at), np.int8)), nothing(pa.int64()), nothing(pa.int64()), pa.array(sketch[at]), pa.array(at), nothing(pa.list_(pa.int64()))],
-            ["kind", "id", "h", "n", "key", "bits"])
+            [pa.array(np.ones(len(at), np.int8)), nothing(pa.int64()), nothing(pa.int64()), nothing(pa.int64()), pa.array(at), nothing(pa.list_(pa.int64())), pa.array([blocks[i].astype("<i4").tobytes() for i in at], pa.binary())],
+            names)
+
+    return df.mapInArrow(run, "kind tinyint, id bigint, h bigint, n bigint, key bigint, bits array<bigint>, counts binary")
 
-    return df.mapInArrow(run, "kind tinyint, id bigint, h bigint, n bigint, key bigint, bits array<bigint>")
+
+def _sketch(read: DataFrame) -> np.ndarray:
+    """The sum of all tasks' sketches: ``2^SKETCH_BITS`` numbers, whatever the input. A block's sketches are added up a bounded share at a time."""
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.zeros(SKETCH_BLOCK, np.int64)
+        for x in table["counts"]:
+            total += np.frombuffer(x.as_py(), "<i4")
+        return pa.table({"key": table["key"][:1], "counts": pa.array([np.minimum(total, 2**31 - 1).astype("<i4").tobytes()], pa.binary())})
+
+    blobs = read.where("kind = 1").select("key", "counts")
+    part = blobs.groupBy("key", F.pmod(F.xxhash64("counts"), F.lit(64)).alias("share")).applyInArrow(add, "key bigint, counts binary")
+    found = part.groupBy("key").applyInArrow(add, "key bigint, counts binary").toArrow()
+    counts = np.zeros((1 << SKETCH_BITS) // SKETCH_BLOCK * SKETCH_BLOCK, np.int64)
+    for key, blob in zip(found["key"].to_pylist(), found["counts"].to_pylist(), strict=True):
+        counts[key * SKETCH_BLOCK : (key + 1) * SKETCH_BLOCK] = np.frombuffer(blob, "<i4")
+    return counts
 
 
 def _prefixes(texts: DataFrame, order: Order, similarity: int) -> DataFrame:
@@ -135,68 +170,111 @@ def _prefixes(texts: DataFrame, order: Order, similarity: int) -> DataFrame:
     return texts.mapInArrow(run, "shingle bigint, key bigint, n int, crowded boolean")
 
 
-def group_pairs(token: np.ndarray, key: np.ndarray, n: np.ndarray, similarity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs of sets that share a token and whose lengths fit; groups above ``GROUP`` sets become stars (third array true)."""
+def group_pairs(token: np.ndarray, key: np.ndarray, n: np.ndarray, similarity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of sets that share a token and whose lengths fit; token and set of groups above ``GROUP``, which are not expanded here."""
     at = np.lexsort((key, token))
     token, key, n = token[at], key[at], n[at]
     fresh = np.concatenate(([True], (token[1:] != token[:-1]) | (key[1:] != key[:-1])))
     token, key, n = token[fresh], key[fresh], n[fresh]
     first = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
     count = np.diff(np.append(first, len(token)))
-    left, right, star = [], [], []
-    for c in np.unique(count[count > 1]):
+    large = np.repeat(count > GROUP, count)
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for c in np.unique(count[(count > 1) & (count <= GROUP)]):
         begin = first[count == c]
-        if c > GROUP:
-            i, j = np.zeros(c - 1, np.int64), np.arange(1, c)
-        else:
-            i, j = np.triu_indices(c, 1)
+        i, j = np.triu_indices(c, 1)
         step = max(1, (1 << 20) // len(i))
         for k in range(0, len(begin), step):
             a, b = (begin[k : k + step, None] + i).ravel(), (begin[k : k + step, None] + j).ravel()
-            if c <= GROUP:
-                fits = 100 * np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b])
-                a, b = a[fits], b[fits]
-            left.append(key[a])
-            right.append(key[b])
-            star.append(np.full(len(a), c > GROUP))
-    if not left:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
-    left, right, star = np.concatenate(left), np.concatenate(right), np.concatenate(star)
-    at = np.lexsort((~star, right, left))
-    left, right, star = left[at], right[at], star[at]
+            fits = 100 * np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b])
+            left.append(key[a[fits]])
+            right.append(key[b[fits]])
+    left, right = np.concatenate(left), np.concatenate(right)
+    at = np.lexsort((right, left))
+    left, right = left[at], right[at]
     fresh = np.concatenate(([True], (left[1:] != left[:-1]) | (right[1:] != right[:-1]))) if len(left) else np.zeros(0, bool)
-    return left[fresh], right[fresh], star[fresh]
+    return left[fresh], right[fresh], token[large], key[large]
 
 
-PAIR, STAR, CROWDED = range(3)
+PAIR, CROWDED = range(2)
 
 
 def _candidates(prefixes: DataFrame, similarity: int) -> DataFrame:
-    """``kind, a, b``: pairs and stars of ordinary shingles (a bucket's count bounds each group), and crowded shingles with their sets, dealt evenly."""
+    """``kind, a, b``: pairs of sets with an ordinary shingle in common, and crowded shingles with their sets, dealt evenly.
+
+    A bucket's count bounds an ordinary group; one above ``GROUP`` joins the crowded ones.
+    """
+
+    def rows(kind, a, b):
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int8)), pa.array(a), pa.array(b)], ["kind", "a", "b"])
 
     def run(batches):
         held = []
         for x in batches:
             hot = x["crowded"].to_numpy(zero_copy_only=False)
             if hot.any():
-                rows = x.filter(x["crowded"])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(rows.num_rows, CROWDED, np.int8)), rows["shingle"], rows["key"]], ["kind", "a", "b"])
+                yield rows(CROWDED, x["shingle"].to_numpy()[hot], x["key"].to_numpy()[hot])
             held.append(x.filter(pa.array(~hot)).select(["shingle", "key", "n"]))
         if held:
             t = pa.Table.from_batches(held)
-            a, b, star = group_pairs(t["shingle"].to_numpy(), t["key"].to_numpy(), t["n"].to_numpy(), similarity)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.where(star, STAR, PAIR).astype(np.int8)), pa.array(a), pa.array(b)], ["kind", "a", "b"])
+            a, b, token, key = group_pairs(t["shingle"].to_numpy(), t["key"].to_numpy(), t["n"].to_numpy(), similarity)
+            yield rows(PAIR, a, b)
+            yield rows(CROWDED, token, key)
 
     at = F.when(F.col("crowded"), F.xxhash64("shingle", "key")).otherwise(F.col("shingle"))
     return prefixes.repartition(at).mapInArrow(run, "kind tinyint, a bigint, b bigint")
 
 
-def _crowded_links(rows: DataFrame) -> DataFrame:
-    """Each set of a crowded shingle with the least one of it: aggregated before the shuffle, joined back."""
+def spanning_links(keys: np.ndarray, n: np.ndarray, bits: list[np.ndarray], similarity: int) -> tuple[list[int], list[int]]:
+    """A forest that spans the graph of pairs within the length and bitmap bounds: each set is compared with those not reached yet."""
+    size = np.array([len(x) for x in bits])
+    shelves = {}
+    for s in np.unique(size):
+        at = np.flatnonzero(size == s)
+        m = np.stack([bits[i] for i in at])
+        shelves[int(s)] = [at, m, m[:, : s // 2] ^ m[:, s // 2 :] if s > 1 else None]
+    waiting = np.ones(len(keys), bool)
+    a, b = [], []
+    for root in range(len(keys)):
+        if not waiting[root]:
+            continue
+        waiting[root] = False
+        queue = [root]
+        while queue:
+            v = queue.pop()
+            s, mine = int(size[v]), bits[v]
+            halves = mine[: s // 2] ^ mine[s // 2 :]
+            for other, me, folded in ((s, mine, False), (2 * s, mine, True), (s // 2, halves, False)):
+                shelf = shelves.get(other)
+                if shelf is None:
+                    continue
+                open_ = waiting[shelf[0]]
+                at = shelf[0][open_]
+                if not len(at):
+                    continue
+                differ = np.bitwise_count(((shelf[2] if folded else shelf[1])[open_] ^ me).view(np.uint64)).sum(axis=1, dtype=np.int64)
+                ok = (100 * np.minimum(n[at], n[v]) >= similarity * np.maximum(n[at], n[v])) & ((100 + similarity) * differ <= (100 - similarity) * (n[at] + n[v]))
+                found = at[ok]
+                waiting[found] = False
+                a += [int(keys[v])] * len(found)
+                b += keys[found].tolist()
+                queue += found.tolist()
+    return a, b
+
+
+def _crowded_links(rows: DataFrame, reps: DataFrame, similarity: int) -> DataFrame:
+    """Links that hold together what may be similar among the sets of each crowded shingle; never a shingle's pairs. Groups above ``CROWD`` sets are dealt into cells of two sub-groups."""
     rows = rows.select(F.col("a").alias("shingle"), F.col("b").alias("key")).distinct()
-    least = rows.groupBy("shingle").agg(F.min("key").alias("a"))
-    return rows.join(least, "shingle").where(F.col("a") != F.col("key")).select("a", F.col("key").alias("b")).distinct()
+    sizes = rows.groupBy("shingle").agg(F.count("*").alias("c")).where("c > 1").select("shingle", F.ceil(F.col("c") / CROWD).cast("int").alias("s"))
+    dealt = rows.join(sizes, "shingle").join(reps.select("key", "n", "bits"), "key").withColumn("sub", F.pmod(F.xxhash64("key", F.lit("crowd")), F.col("s")).cast("int"))
+    cells = F.transform(F.sequence(F.lit(0), F.col("s") - 1), lambda i: F.struct(F.least(i, "sub").alias("x"), F.greatest(i, "sub").alias("y")))
+
+    def run(table: pa.Table) -> pa.Table:
+        bits = [np.asarray(x, np.int64) for x in table["bits"].to_pylist()]
+        a, b = spanning_links(table["key"].to_numpy(), table["n"].to_numpy(), bits, similarity)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return dealt.select("shingle", "key", "n", "bits", F.explode(cells).alias("at")).groupBy("shingle", "at.x", "at.y").applyInArrow(run, "a bigint, b bigint")
 
 
 def trie_join(left: list[np.ndarray], right: list[np.ndarray] | None, similarity: int) -> list[tuple[int, int]]:
@@ -281,9 +359,9 @@ def _fetch_sets(df: DataFrame, wanted: DataFrame, order: Order) -> DataFrame:
     """Sets of the wanted documents, commonest shingle first, as bytes."""
     kinds = {f.name: f.dataType.simpleString() for f in wanted.schema if f.name not in ("h", "id")}
     names = list(kinds)
-    # the id is compared null-safely, the text's hash carries the join
+    # The id is compared null-safely, the text's hash carries the join; wanted rows are slim, so texts need no sort.
     texts = df.select(F.col("id").alias("_id"), F.col("h").alias("_h"), "text")
-    joined = texts.join(wanted, (F.col("_h") == F.col("h")) & F.col("_id").eqNullSafe(F.col("id"))).select("text", *names)
+    joined = texts.join(wanted.hint("shuffle_hash"), (F.col("_h") == F.col("h")) & F.col("_id").eqNullSafe(F.col("id"))).select("text", *names)
 
     def run(batches):
         for b in batches:
@@ -356,11 +434,8 @@ def join(df: DataFrame, similarity: int = SIMILARITY, *, id_col: str = "doc_id",
     bounded_batches(spark)
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"), F.col(text_col).alias("text"))
     read = materialize(_read_sets(texts), "sets")
-    rows = read.where("kind = 0").drop("kind")
-    counts = np.zeros(1 << SKETCH_BITS, np.int64)
-    sketch = read.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).toArrow()  # at most 2^SKETCH_BITS rows
-    counts[sketch["key"].to_numpy()] = sketch["n"].to_numpy()
-    order = Order(counts)
+    rows = read.where("kind = 0").drop("kind", "counts")
+    order = Order(_sketch(read))
     # one document stands for each set: the least id (a null one only alone), then the least text hash
     reps = materialize(
         rows.where("n > 0").groupBy("key").agg(
@@ -369,13 +444,13 @@ def join(df: DataFrame, similarity: int = SIMILARITY, *, id_col: str = "doc_id",
         "representatives")
     prefixes = _prefixes(texts.select("text"), order, similarity)
     candidates = materialize(_candidates(prefixes, similarity), "candidates")
-    pairs = candidates.where(F.col("kind") != CROWDED).groupBy("a", "b").agg((F.max("kind") == STAR).alias("star"))
+    pairs = candidates.where(F.col("kind") == PAIR).select("a", "b").distinct()
     side = lambda x: reps.select(F.col("key").alias(x), F.col("bits").alias(f"{x}_bits"), F.col("n").alias(f"{x}_n"))
-    differ = F.aggregate(F.zip_with("a_bits", "b_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     # |x - y| + |y - x| <= (|x| + |y|) (1 - t) / (1 + t), and differing parities are fewer still
-    may = (100 + similarity) * differ <= (100 - similarity) * (F.col("a_n") + F.col("b_n"))
-    likely = pairs.join(side("a"), "a").join(side("b"), "b").where(F.col("star") | may).select("a", "b")
-    blocks = connected_components(likely.unionByName(_crowded_links(candidates.where(F.col("kind") == CROWDED)))).select(F.col("node").alias("key"), F.col("component").alias("block"))
+    may = (100 + similarity) * differing_bits(F.col("a_bits"), F.col("b_bits")) <= (100 - similarity) * (F.col("a_n") + F.col("b_n"))
+    likely = pairs.join(side("a"), "a").join(side("b"), "b").where(may).select("a", "b")
+    crowded = _crowded_links(candidates.where(F.col("kind") == CROWDED), reps, similarity)
+    blocks = connected_components(likely.unionByName(crowded)).select(F.col("node").alias("key"), F.col("component").alias("block"))
     wanted = materialize(_cells(blocks, reps), "cells")
     links = materialize(_join_cells(_fetch_sets(texts, wanted, order), similarity), "similar")
     groups = connected_components(links.where("b is not null").select("a", "b")).select(F.col("node").alias("key"), "component")
