@@ -60,3 +60,17 @@ def report(matches: DataFrame, by: str = "query_id") -> DataFrame:
     """One text a query, a line a sentence."""
     line = F.concat(F.lit("["), F.format_number("confidence", 2), F.lit("] "), F.col("matched_source"), F.lit(": "), F.col("sentence"))
     return matches.groupBy(by).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", line.alias("l")))), lambda x: x["l"]), "\n").alias("report"))
+
+
+def model_match(replies: DataFrame, chunks: DataFrame, by: str = "query_id") -> DataFrame:
+    """A model's replies ``(query_id, idx, sentence, reply)`` as matches: JSON with source, confidence and reason; freshness of the first chunk of that source.
+
+    A reply that is no JSON has no match; ``overlap_match`` stands in for it.
+    """
+    r = replies.withColumn("_r", F.from_json("reply", "source string, confidence double, reason string")).withColumn("_s", F.col("_r.source"))
+    first = chunks.groupBy(by, "source_file").agg(F.min_by(F.struct("temporal_score", "freshness_label"), "chunk_rank").alias("_c"))
+    out = r.join(first.withColumnRenamed("source_file", "_s"), [by, "_s"], "left")
+    confidence, temporal = F.coalesce("_r.confidence", F.lit(0.0)), F.coalesce("_c.temporal_score", F.lit(0.0))
+    return out.select(
+        by, "idx", "sentence", F.coalesce("_r.source", F.lit("UNKNOWN")).alias("matched_source"), confidence.alias("confidence"), F.round(temporal, 4).alias("temporal_score"),
+        F.coalesce("_c.freshness_label", F.lit("UNKNOWN")).alias("freshness_label"), F.round((confidence + temporal) / 2, 4).alias("combined_score"), F.coalesce("_r.reason", F.lit("matching failed")).alias("reason"))

@@ -123,3 +123,12 @@ def mscp(answers: DataFrame) -> DataFrame:
         return pdf.head(1)[["query_id", "chunk_id"]].assign(mscp_score=share)
 
     return answers.where(F.col("embedding").isNotNull()).groupBy("query_id", "chunk_id").applyInPandas(run, f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, mscp_score double")
+
+
+def sampled_consistency(results: DataFrame, sample, embed, n: int = 5) -> DataFrame:
+    """``query_id, chunk_id, mscp_score`` of results worth the samples (``ra_score`` of at least ``LEAST_RA``).
+
+    ``sample(rows, n) -> (query_id, chunk_id, sample, answer)`` asks a model; ``embed`` is a column function. Chunks whose sampling yields nothing have no row.
+    """
+    answers = sample(results.where(F.col("ra_score") >= LEAST_RA).select("query_id", "chunk_id", "query", "text"), n)
+    return mscp(answers.where(F.col("answer").isNotNull()).select("query_id", "chunk_id", "sample", embed(F.col("answer")).alias("embedding")))

@@ -310,6 +310,46 @@ def random_sample(spark, d):
     return table(spark, d, "documents").select("doc_id", F.substring("text", 1, 80).alias("preview")).orderBy(F.rand(42)).limit(3)
 
 
+@query("index_status", f"WITH {Q.BM25} SELECT n_docs, round(avgdl, 6) AS avgdl, (SELECT count(*) FROM po) AS n_postings, (SELECT count(DISTINCT term) FROM po) AS n_terms FROM st")
+def index_status(spark, d):
+    """The index of part of the documents is stored; asked for all of them it is stale and rebuilt."""
+    from sheaf.sources import stores
+
+    path = shared(spark)
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text", "lang")
+    stores.write_index(docs.where("lang = 'de'"), path)
+    posts, stats = stores.current_index(docs, path)
+    return stats.select("n_docs", F.round("avgdl", 6).alias("avgdl"), F.lit(posts.count()).alias("n_postings"), F.lit(posts.select("term").distinct().count()).alias("n_terms"))
+
+
+@query("auto_metadata", "WITH k(source_file, title) AS (VALUES ('src1', 'One'), ('src2', NULL)) SELECT source AS source_file, coalesce(title, source) AS title, 2024 AS year, 0.9 AS authority_score, count(*) AS n FROM documents LEFT JOIN k ON source = source_file GROUP BY ALL")
+def auto_metadata(spark, d):
+    from sheaf.sources.services import with_metadata_defaults
+
+    known = spark.createDataFrame([("src1", "One"), ("src2", None)], "source_file string, title string")
+    files = table(spark, d, "documents").groupBy(F.col("source").alias("source_file")).agg(F.count("*").alias("n"))
+    return with_metadata_defaults(files, known).select("source_file", "title", "year", "authority_score", "n")
+
+
+@query("download_filter", "SELECT page_id, url FROM pages WHERE contains(lower(CASE WHEN page_id % 3 = 0 THEN 'Application/PDF' ELSE 'text/html' END), 'pdf') OR ends_with(lower(url), '.pdf')")
+def download_filter(spark, d):
+    p = table(spark, d, "pages").withColumn("kind", F.when(F.col("page_id") % 3 == 0, "Application/PDF").otherwise("text/html"))
+    return p.where(S.wanted_download(F.col("kind"), F.col("url"))).select("page_id", "url")
+
+
+@query("reply_match", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'UNKNOWN' ELSE event_type END AS matched_source, CASE WHEN event_id % 4 = 0 THEN 0.0 ELSE 0.5 END AS confidence, CASE WHEN event_id % 4 = 0 THEN 0.0 WHEN event_type = 'view' THEN 0.65 ELSE 0.25 END AS combined_score FROM events")
+def reply_match(spark, d):
+    reply = F.when(F.col("event_id") % 4 == 0, "no json").otherwise(F.to_json(F.struct(F.col("event_type").alias("source"), F.lit(0.5).alias("confidence"))))
+    replies = table(spark, d, "events").select(F.col("event_id").alias("query_id"), F.lit(0).alias("idx"), F.lit("s").alias("sentence"), reply.alias("reply"))
+    chunks = replies.select("query_id", F.lit("view").alias("source_file"), F.lit(0.8).alias("temporal_score"), F.lit("FRESH").alias("freshness_label"), F.lit(1).alias("chunk_rank"))
+    return provenance.model_match(replies, chunks).select(F.col("query_id").alias("event_id"), "matched_source", "confidence", "combined_score")
+
+
+@query("provenance_report", None)
+def provenance_report(spark, d):
+    return provenance.report(matched(spark, d)).select("query_id.*", "report")
+
+
 # --- streams --------------------------------------------------------------------------------------------------------
 
 @query("stream_threshold", f"WITH RECURSIVE {ADAPTED} SELECT tenant AS key, seq, threshold FROM th")

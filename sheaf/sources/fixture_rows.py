@@ -1,0 +1,5 @@
+"""A small callable for the ``service`` source, used offline and in tests."""
+
+
+def rows_of(part: int):
+    yield from ((part, i) for i in range(3))

@@ -76,3 +76,47 @@ def test_migration_refuses_an_existing_target(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).first().chunk_id == "c1"
     with pytest.raises(Exception, match="(?i)exist"):
         S.migrate_json(spark, str(tmp_path / "c.json"), str(tmp_path / "out"))
+
+
+
+def test_services_fall_back(spark):
+    from sheaf.sources import services
+
+    keys = spark.createDataFrame([("a",), ("b",)], "place string")
+
+    def fetch(key):
+        if key["place"] == "b":
+            raise TimeoutError
+        return {"soil_moisture": 0.2, "label": "OPTIMAL"}
+
+    got = {r.place: (r.soil_moisture, r.label) for r in services.readings(keys, "soil_moisture double, label string", services.DEFAULT_SOIL, fetch).collect()}
+    assert got["a"] == (0.2, "OPTIMAL") and got["b"][1] == "UNAVAILABLE"
+    off = services.readings(keys, "stage string, confidence double", services.DEFAULT_SATELLITE).collect()
+    assert {(r.stage, r.confidence) for r in off} == {(None, 0.0)}
+    services.register(spark)
+    assert spark.read.format("service").option("schema", "part int, i int").option("call", "sheaf.sources.fixture_rows:rows_of").option("parts", 2).load().count() == 6
+
+
+def test_index_is_rebuilt_when_stale(spark, tmp_path):
+    from sheaf.sources import stores
+
+    docs = spark.createDataFrame([(1, "red fox"), (2, "blue dog")], "chunk_id long, text string")
+    assert stores.read_index(spark, str(tmp_path / "i")) is None
+    assert stores.current_index(docs.limit(1), str(tmp_path / "i"))[1].first().n_docs == 1
+    assert stores.current_index(docs, str(tmp_path / "i"))[1].first().n_docs == 2
+    assert stores.SearchConfig.loads(stores.SearchConfig(top_k=7).dumps()).top_k == 7
+
+
+def test_graph_build_resumes(spark, tmp_path):
+    from sheaf.operators.providers import pattern_triplets
+    from sheaf.sources import stores
+
+    path = str(tmp_path / "g")
+    chunks = spark.createDataFrame([("c1", "a.pdf", "rice is crop. water is wet"), ("c2", "a.pdf", "no facts here"), ("c3", "b.pdf", "sun is hot")], "chunk_id string, source_file string, text string")
+    stores.build_graph(chunks.where("chunk_id <> 'c3'"), path, pattern_triplets)
+    stores.build_graph(chunks, path, pattern_triplets)
+    assert {(r.subject, r.object) for r in spark.read.parquet(f"{path}/edges").collect()} == {("rice", "crop"), ("water", "wet"), ("sun", "hot")}
+    assert spark.read.parquet(f"{path}/processed").count() == 3
+    stores.append_log(spark.createDataFrame([("q",)], "query string"), str(tmp_path / "log"))
+    assert stores.read_table(spark, str(tmp_path / "log"), "query string, ts timestamp").count() == 1
+    assert stores.read_table(spark, str(tmp_path / "none"), "query string").count() == 0
