@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import bpe, fingerprints, language, lines, neardup, packing, quality, sharding, toxicity, warc
+from . import bpe, fingerprints, language, lines, neardup, oracles, packing, quality, sharding, toxicity, warc
 
 QUERIES = {
     "op1_language": language.op1_language,
@@ -19,7 +19,11 @@ QUERIES = {
     "op10_quality": quality.op10_quality,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+ORACLES: dict[str, str] = {
+    "op6_warc": oracles.ARCHIVES,
+    "op7_neardup": oracles.NEAR,
+    "op10_quality": oracles.QUALITY,
+} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
 
 
 def queries() -> dict:
