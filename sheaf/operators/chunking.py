@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sheaf.functions.numbers import rounded
 from sheaf.functions.text import crop_tags, is_hard_boundary, sentences
 
 MAX_CHUNK, MIN_CHUNK, NSP_THRESHOLD = 500, 50, 0.85
@@ -70,7 +71,7 @@ def with_metadata(chunked: DataFrame, metadata: DataFrame, source: str = "source
         out = out.withColumn(name, F.coalesce(name, F.lit(value)))
     return (
         out.withColumn("title", F.coalesce("title", source))
-        .withColumn("trust_weight", F.round(F.col("authority_score") * (1 - F.col("bias_penalty")), 4))
+        .withColumn("trust_weight", rounded(F.col("authority_score") * (1 - F.col("bias_penalty")), 4))
         .withColumn("char_count", F.length("text"))
         .withColumn("crop_tags", crop_tags(F.col("text")))
     )

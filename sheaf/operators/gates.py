@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sheaf.functions import rules as R
+from sheaf.functions.numbers import rounded
 
 ENTROPY_THRESHOLD, MIN_CONFIDENCE = 1.5, 0.6
 FAST_TYPES = ("FACTUAL", "STATISTICAL")
@@ -58,7 +59,7 @@ def pest_alerts(crop: Column, season_name: Column) -> Column:
 def shannon_entropy(logprobs: Column) -> Column:
     """Mean of -p log2 p over an array of log probabilities, four places; empty or null gives 0."""
     total = F.aggregate(logprobs, F.lit(0.0), lambda s, lp: s - F.when(F.exp(lp) > 0, F.exp(lp) * F.log2(F.exp(lp))).otherwise(0.0))
-    return F.when(F.coalesce(F.size(logprobs), F.lit(0)) > 0, F.round(total / F.size(logprobs), 4)).otherwise(0.0)
+    return F.when(F.coalesce(F.size(logprobs), F.lit(0)) > 0, rounded(total / F.size(logprobs), 4)).otherwise(0.0)
 
 
 def entropy_proxy(response: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sheaf.functions.numbers import rounded
 from sheaf.functions.text import answer_sentences
 
 LEAST_OVERLAP = 0.1
@@ -29,14 +30,14 @@ def overlap_match(sentences: DataFrame, chunks: DataFrame, by: str = "query_id")
     top = pairs.withColumn("_s", share).withColumn("_k", best).where("_k = 1")
     hit = F.col("_s") > LEAST_OVERLAP
     temporal = F.coalesce("temporal_score", F.lit(0.0))
-    confidence = F.round(F.least(F.lit(1.0), F.col("_s") + 0.3), 3)
+    confidence = rounded(F.least(F.lit(1.0), F.col("_s") + 0.3), 3)
     return top.select(
         by, "idx", "sentence",
         F.when(hit, F.coalesce("source_file", F.lit("unknown"))).otherwise("UNKNOWN").alias("matched_source"),
         F.when(hit, confidence).otherwise(0.0).alias("confidence"),
-        F.when(hit, F.round(temporal, 4)).otherwise(0.0).alias("temporal_score"),
+        F.when(hit, rounded(temporal, 4)).otherwise(0.0).alias("temporal_score"),
         F.when(hit, F.coalesce("freshness_label", F.lit("UNKNOWN"))).otherwise("UNKNOWN").alias("freshness_label"),
-        F.when(hit, F.round((confidence + temporal) / 2, 4)).otherwise(0.0).alias("combined_score"),
+        F.when(hit, rounded((confidence + temporal) / 2, 4)).otherwise(0.0).alias("combined_score"),
         F.when(hit, "heuristic overlap").otherwise("matching failed").alias("reason"),
     )
 
@@ -47,9 +48,9 @@ def summary(matches: DataFrame, by: str | None = "query_id") -> DataFrame:
     group = matches.groupBy(by) if by else matches.groupBy()
     return group.agg(
         F.count("*").alias("total_sentences"),
-        F.round(F.coalesce(F.avg("confidence"), F.lit(0.0)), 3).alias("avg_confidence"),
-        F.round(F.coalesce(F.avg("temporal_score"), F.lit(0.0)), 4).alias("avg_temporal_score"),
-        F.round(F.coalesce(F.avg("combined_score"), F.lit(0.0)), 4).alias("avg_combined_score"),
+        rounded(F.coalesce(F.avg("confidence"), F.lit(0.0)), 3).alias("avg_confidence"),
+        rounded(F.coalesce(F.avg("temporal_score"), F.lit(0.0)), 4).alias("avg_temporal_score"),
+        rounded(F.coalesce(F.avg("combined_score"), F.lit(0.0)), 4).alias("avg_combined_score"),
         F.count_if(F.col("confidence") > 0.7).alias("high_confidence_count"),
         F.count_if(unknown).alias("inferred_count"),
         F.array_join(F.sort_array(F.collect_set(F.when(~unknown & F.col("matched_source").isNotNull(), F.col("matched_source")))), ",").alias("sources_used"),
@@ -72,5 +73,5 @@ def model_match(replies: DataFrame, chunks: DataFrame, by: str = "query_id") ->
     out = r.join(first.withColumnRenamed("source_file", "_s"), [by, "_s"], "left")
     confidence, temporal = F.coalesce("_r.confidence", F.lit(0.0)), F.coalesce("_c.temporal_score", F.lit(0.0))
     return out.select(
-        by, "idx", "sentence", F.coalesce("_r.source", F.lit("UNKNOWN")).alias("matched_source"), confidence.alias("confidence"), F.round(temporal, 4).alias("temporal_score"),
-        F.coalesce("_c.freshness_label", F.lit("UNKNOWN")).alias("freshness_label"), F.round((confidence + temporal) / 2, 4).alias("combined_score"), F.coalesce("_r.reason", F.lit("matching failed")).alias("reason"))
+        by, "idx", "sentence", F.coalesce("_r.source", F.lit("UNKNOWN")).alias("matched_source"), confidence.alias("confidence"), rounded(temporal, 4).alias("temporal_score"),
+        F.coalesce("_c.freshness_label", F.lit("UNKNOWN")).alias("freshness_label"), rounded((confidence + temporal) / 2, 4).alias("combined_score"), F.coalesce("_r.reason", F.lit("matching failed")).alias("reason"))

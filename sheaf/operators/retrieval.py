@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sheaf.functions.numbers import rounded
 from sheaf.functions.text import tokens
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -64,7 +65,7 @@ def sparse_topk(corpus: DataFrame, queries: DataFrame, k: int = 10, stop_words=N
     posts, stats = postings(corpus), corpus_stats(corpus)
     scored = sparse_scores(posts, term_stats(posts, stats), stats, query_terms(queries, stop_words))
     best = F.max("raw").over(Window.partitionBy("query_id"))
-    share = scored.withColumn("best", best).where(F.col("raw") > 0).select("query_id", "chunk_id", F.round(F.col("raw") / F.when(F.col("best") > 0, F.col("best")).otherwise(1.0), 4).alias("sparse_score"))
+    share = scored.withColumn("best", best).where(F.col("raw") > 0).select("query_id", "chunk_id", rounded(F.col("raw") / F.when(F.col("best") > 0, F.col("best")).otherwise(1.0), 4).alias("sparse_score"))
     return ranked(share, "sparse_score", k, "sparse_rank")
 
 
@@ -154,7 +155,7 @@ def hybrid(dense: DataFrame, sparse: DataFrame, trust: DataFrame, k: int = 5, *,
     if nonpositive_trust_as_one:
         w = F.when(w <= 0, 1.0).otherwise(w)
     out = merged(dense, sparse).join(trust, "chunk_id", "left").withColumn("trust_weight", w)
-    score = F.round((DENSE_WEIGHT * F.col("dense_score") + SPARSE_WEIGHT * F.col("sparse_score")) * F.col("trust_weight"), 4)
+    score = rounded((DENSE_WEIGHT * F.col("dense_score") + SPARSE_WEIGHT * F.col("sparse_score")) * F.col("trust_weight"), 4)
     return ranked(out.withColumn("final_score", score).withColumn("found_by", found_by()), "final_score", k)
 
 
@@ -162,7 +163,7 @@ def rrf(dense: DataFrame, sparse: DataFrame, k: int = 5) -> DataFrame:
     """Reciprocal rank fusion of candidates (3k each); a missing rank counts as 3k + 1."""
     missing = 3 * k + 1
     score = sum(1.0 / (RRF_K + F.coalesce(c, F.lit(missing))) for c in ("dense_rank", "sparse_rank"))
-    out = merged(dense, sparse).withColumn("rrf_score", F.round(score, 6)).withColumn("found_by", found_by())
+    out = merged(dense, sparse).withColumn("rrf_score", rounded(score, 6)).withColumn("found_by", found_by())
     return ranked(out, "rrf_score", k)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sheaf.functions.numbers import rounded
 from sheaf.functions.rules import DECAY, EVALUATION_YEAR, FRESHNESS, LEAST_FRESHNESS, OTHER_DECAY
 from sheaf.session import ship
 
@@ -19,7 +20,7 @@ def rerank_by_authority(results: DataFrame, by: str = "query_id") -> DataFrame:
     """``ra_score = round(final * authority (1 - bias), 4)`` and its rank; authority falls back to the trust weight, then 1."""
     authority = F.coalesce("authority_score", "trust_weight", F.lit(1.0))
     trust = authority * (1 - F.coalesce("bias_penalty", F.lit(0.0)))
-    out = results.withColumn("authority_score", authority).withColumn("ra_score", F.round(F.col("final_score") * trust, 4))
+    out = results.withColumn("authority_score", authority).withColumn("ra_score", rounded(F.col("final_score") * trust, 4))
     return out.withColumn("ra_rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("ra_score"), "chunk_id")))
 
 
@@ -41,7 +42,7 @@ def temporal_decay(results: DataFrame, source: str, query_type: Column, *, regis
     return (
         results.withColumn("temporal_source_match", key)
         .withColumn("age_years", age).withColumn("_raw", base * F.exp(-rate * F.col("age_years")))
-        .withColumn("temporal_score", F.coalesce(F.round("_raw", 4), F.lit(0.5))).withColumn("freshness_label", label).drop("_raw")
+        .withColumn("temporal_score", F.coalesce(rounded("_raw", 4), F.lit(0.5))).withColumn("freshness_label", label).drop("_raw")
         .withColumn("temporal_rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("temporal_score"), "retrieval_rank")))
     )
 
@@ -53,7 +54,7 @@ def filter_stale(results: DataFrame, least: float = LEAST_FRESHNESS) -> DataFram
 
 def final_trust(results: DataFrame, by: str = "query_id") -> DataFrame:
     """``final_trust``, whether a result is included, and why; if none of a query is, its best is the fallback."""
-    out = results.withColumn("final_trust", F.round(F.col("ra_score") * F.col("mscp_score") * F.col("authority_score"), 4))
+    out = results.withColumn("final_trust", rounded(F.col("ra_score") * F.col("mscp_score") * F.col("authority_score"), 4))
     out = out.withColumn("passes", F.col("trusted") & (F.col("final_trust") >= LEAST_TRUST))
     group = Window.partitionBy(by)
     best = F.row_number().over(group.orderBy(F.desc("final_trust"), "chunk_id"))
@@ -87,7 +88,7 @@ def trust_pipeline(results: DataFrame, consistency: DataFrame | None = None) ->
 def largest_share(labels: Column) -> Column:
     """Largest cluster's share of an array of labels, four places; fewer than two labels count as agreement."""
     most = F.array_max(F.transform(F.array_distinct(labels), lambda x: F.size(F.filter(labels, lambda y: y == x))))
-    return F.when(F.coalesce(F.size(labels), F.lit(0)) < 2, 1.0).otherwise(F.round(most / F.size(labels), 4))
+    return F.when(F.coalesce(F.size(labels), F.lit(0)) < 2, 1.0).otherwise(rounded(most / F.size(labels), 4))
 
 
 def best_partition(x: np.ndarray, k: int) -> list[int]:

@@ -82,10 +82,10 @@ def entropy_proxy(spark, d):
     return users(spark, d).select("conv_id", "turn", gates.entropy_proxy(F.col("response")).alias("entropy"))
 
 
-@query("shannon_entropy", """SELECT user_id, round(sum(p) / count(*), 3) AS entropy FROM (SELECT user_id, -exp(-value / 100) * log2(exp(-value / 100)) AS p FROM events) GROUP BY user_id""")
+@query("shannon_entropy", f"""SELECT user_id, {Q.rnd('sum(p) / count(*)', 4)} AS entropy FROM (SELECT user_id, -exp(-value / 100) * log2(exp(-value / 100)) AS p FROM events) GROUP BY user_id""")
 def shannon_entropy(spark, d):
     lp = table(spark, d, "events").groupBy("user_id").agg(F.collect_list(-F.col("value") / 100).alias("lp"))
-    return lp.select("user_id", F.round(gates.shannon_entropy(F.col("lp")), 3).alias("entropy"))
+    return lp.select("user_id", gates.shannon_entropy(F.col("lp")).alias("entropy"))
 
 
 _kind = " ".join(f"WHEN {Q.contains_any('lower(query)', words)} THEN {Q.quote(t)}" for t, words in gates.CLASSIFIER)

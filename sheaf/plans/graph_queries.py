@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from sheaf.operators import feedback, graph, provenance
 from sheaf.sources import documents as S
@@ -119,8 +118,8 @@ MATCHED = rf"""{ANSWERS}, {FRESH}, cand AS (SELECT c.conv_id, d.doc_id, d.source
 wd AS (SELECT *, regexp_extract_all(lower(sentence), '[\p{{L}}\p{{N}}_]+') AS w FROM an),
 sc AS (SELECT wd.*, source, temporal_score, freshness_label, chunk_rank, CASE WHEN len(w) > 0 THEN len(list_filter(w, lambda x: contains(low, x))) / len(w) ELSE 0.0 END AS s FROM wd JOIN cand USING (conv_id)),
 be AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, idx ORDER BY s DESC, chunk_rank) AS k FROM sc) WHERE k = 1),
-pm AS (SELECT conv_id, turn, idx, CASE WHEN s > 0.1 THEN source ELSE 'UNKNOWN' END AS matched_source, CASE WHEN s > 0.1 THEN round(least(1.0, s + 0.3), 3) ELSE 0.0 END AS confidence,
-  CASE WHEN s > 0.1 THEN round(temporal_score, 4) ELSE 0.0 END AS temporal_score, CASE WHEN s > 0.1 THEN round((round(least(1.0, s + 0.3), 3) + temporal_score) / 2, 4) ELSE 0.0 END AS combined_score FROM be)"""
+pm AS (SELECT conv_id, turn, idx, CASE WHEN s > 0.1 THEN source ELSE 'UNKNOWN' END AS matched_source, CASE WHEN s > 0.1 THEN {Q.rnd('least(1.0, s + 0.3)', 3)} ELSE 0.0 END AS confidence,
+  CASE WHEN s > 0.1 THEN {Q.rnd('temporal_score', 4)} ELSE 0.0 END AS temporal_score, CASE WHEN s > 0.1 THEN {Q.rnd('(' + Q.rnd('least(1.0, s + 0.3)', 3) + ' + temporal_score) / 2', 4)} ELSE 0.0 END AS combined_score FROM be)"""
 
 
 def answers(spark, d):
@@ -141,17 +140,17 @@ def matched(spark, d):
     return provenance.overlap_match(answers(spark, d), near.join(docs, "doc_id").drop("doc_id"))
 
 
-@query("provenance_overlap", f"WITH {MATCHED} SELECT conv_id, turn, idx, matched_source, round(confidence, 2) AS confidence, round(combined_score, 2) AS combined_score FROM pm")
+@query("provenance_overlap", f"WITH {MATCHED} SELECT conv_id, turn, idx, matched_source, confidence, combined_score FROM pm")
 def provenance_overlap(spark, d):
-    return matched(spark, d).select("query_id.*", "idx", "matched_source", F.round("confidence", 2).alias("confidence"), F.round("combined_score", 2).alias("combined_score"))
+    return matched(spark, d).select("query_id.*", "idx", "matched_source", "confidence", "combined_score")
 
 
-@query("provenance_summary", f"""WITH {MATCHED} SELECT conv_id, turn, count(*) AS total_sentences, round(avg(confidence), 2) AS avg_confidence, round(avg(combined_score), 2) AS avg_combined_score,
+@query("provenance_summary", f"""WITH {MATCHED} SELECT conv_id, turn, count(*) AS total_sentences, {Q.rnd('avg(confidence)', 3)} AS avg_confidence, {Q.rnd('avg(combined_score)', 4)} AS avg_combined_score,
   count(*) FILTER (WHERE confidence > 0.7) AS high_confidence_count, count(*) FILTER (WHERE matched_source = 'UNKNOWN') AS inferred_count,
   coalesce(string_agg(DISTINCT matched_source, ',' ORDER BY matched_source) FILTER (WHERE matched_source <> 'UNKNOWN'), '') AS sources_used FROM pm GROUP BY conv_id, turn""")
 def provenance_summary(spark, d):
     s = provenance.summary(matched(spark, d))
-    return s.select("query_id.*", "total_sentences", F.round("avg_confidence", 2).alias("avg_confidence"), F.round("avg_combined_score", 2).alias("avg_combined_score"), "high_confidence_count", "inferred_count", "sources_used")
+    return s.select("query_id.*", "total_sentences", "avg_confidence", "avg_combined_score", "high_confidence_count", "inferred_count", "sources_used")
 
 
 # --- feedback -------------------------------------------------------------------------------------------------------

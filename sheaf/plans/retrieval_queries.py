@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sheaf.functions import rules as R
-from sheaf.functions import text as T
+from sheaf.functions.numbers import rounded
 from sheaf.operators import retrieval, trust
 
 from . import sql as Q
-from .fixtures import REGISTRY, SOURCES
+from .fixtures import REGISTRY
 from .registry import query, table
 from .text_queries import META, metadata
 
@@ -31,12 +30,12 @@ def questions(spark, d):
 
 
 def trust_dim(spark, d):
-    known = metadata(spark).withColumn("trust_weight", F.round(F.col("authority_score") * (1 - F.col("bias_penalty")), 4)).withColumn("trust_weight", F.when(F.col("source_file") == "src3", 0.0).otherwise(F.col("trust_weight")))
+    known = metadata(spark).withColumn("trust_weight", rounded(F.col("authority_score") * (1 - F.col("bias_penalty")), 4)).withColumn("trust_weight", F.when(F.col("source_file") == "src3", 0.0).otherwise(F.col("trust_weight")))
     return corpus(spark, d).select("chunk_id", "source_file").join(known.select("source_file", "trust_weight"), "source_file", "left").select("chunk_id", "trust_weight")
 
 
 TRUST = f"""{META},
-tw AS (SELECT doc_id AS chunk_id, CASE WHEN source = 'src3' THEN 0.0 ELSE round(authority_score * (1 - bias_penalty), 4) END AS trust_weight FROM documents LEFT JOIN meta ON source_file = source)"""
+tw AS (SELECT doc_id AS chunk_id, CASE WHEN source = 'src3' THEN 0.0 ELSE {Q.rnd('authority_score * (1 - bias_penalty)', 4)} END AS trust_weight FROM documents LEFT JOIN meta ON source_file = source)"""
 
 
 def dense(spark, d, k):
@@ -78,7 +77,7 @@ def dense_label_agreement(spark, d):
 def _hybrid_sql(weight: str, k: int = K) -> str:
     return f"""{Q.sparse(2 * k)}, {Q.dense(2 * k)}, {Q.MERGED}, {TRUST},
 hy AS (SELECT me.*, {weight} AS trust_weight FROM me LEFT JOIN tw USING (chunk_id)),
-hs AS (SELECT *, round((0.6 * dense_score + 0.4 * sparse_score) * trust_weight, 4) AS final_score FROM hy),
+hs AS (SELECT *, {Q.rnd('(0.6 * dense_score + 0.4 * sparse_score) * trust_weight', 4)} AS final_score FROM hy),
 hybrid AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, chunk_id) AS rank FROM hs) WHERE rank <= {k})"""
 
 
@@ -97,7 +96,7 @@ def gate_hybrid_topk(spark, d):
 
 
 def _rrf_sql(k: int) -> str:
-    return f"""rf AS (SELECT *, round(1.0 / (60 + coalesce(dense_rank, {3 * k + 1})) + 1.0 / (60 + coalesce(sparse_rank, {3 * k + 1})), 6) AS rrf_score FROM me),
+    return f"""rf AS (SELECT *, {Q.rnd(f'1.0 / (60 + coalesce(dense_rank, {3 * k + 1})) + 1.0 / (60 + coalesce(sparse_rank, {3 * k + 1}))', 6)} AS rrf_score FROM me),
 rrf AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, chunk_id) AS rank FROM rf) WHERE rank <= {k})"""
 
 
@@ -110,7 +109,7 @@ def rrf_topk(spark, d):
 sparse AS (SELECT * FROM sparse9), dense AS (SELECT * FROM dense9), {Q.MERGED}, {_rrf_sql(3)}, {TRUST},
 m6 AS (SELECT coalesce(d.query_id, s.query_id) AS query_id, coalesce(d.chunk_id, s.chunk_id) AS chunk_id, coalesce(dense_score, 0.0) AS dense_score, coalesce(sparse_score, 0.0) AS sparse_score
   FROM (SELECT * FROM dense9 WHERE dense_rank <= 6) d FULL JOIN (SELECT * FROM sparse9 WHERE sparse_rank <= 6) s ON d.query_id = s.query_id AND d.chunk_id = s.chunk_id),
-hs AS (SELECT query_id, chunk_id, round((0.6 * dense_score + 0.4 * sparse_score) * {_AS_ONE}, 4) AS score FROM m6 LEFT JOIN tw USING (chunk_id)),
+hs AS (SELECT query_id, chunk_id, {Q.rnd('(0.6 * dense_score + 0.4 * sparse_score) * ' + _AS_ONE, 4)} AS score FROM m6 LEFT JOIN tw USING (chunk_id)),
 hy AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM hs)
 SELECT 'dense' AS method, query_id, dense_rank AS rank, chunk_id, dense_score AS score FROM dense WHERE dense_rank <= 3
 UNION ALL SELECT 'sparse', query_id, sparse_rank, chunk_id, sparse_score FROM sparse WHERE sparse_rank <= 3
@@ -126,18 +125,18 @@ def results(spark, d):
     """Every document as a result of the query its language names, with scores from its numbers."""
     docs = corpus(spark, d).join(table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("lang").alias("query_id"), "n_chars"), "chunk_id")
     meta = metadata(spark).select("source_file", "authority_score", "bias_penalty")
-    final = F.round((F.col("chunk_id") * 37 % 1009) / 1009, 4)
+    final = rounded((F.col("chunk_id") * 37 % 1009) / 1009, 4)
     return docs.join(meta, "source_file", "left").select("query_id", "chunk_id", "source_file", final.alias("final_score"), "authority_score", "bias_penalty", F.lit(0.9).alias("trust_weight"))
 
 
 RESULTS = f"""{META},
-re AS (SELECT lang AS query_id, doc_id AS chunk_id, source AS source_file, round((doc_id * 37 % 1009) / 1009, 4) AS final_score, authority_score AS a0, bias_penalty FROM documents LEFT JOIN meta ON source_file = source),
-ra AS (SELECT *, coalesce(a0, 0.9, 1.0) AS authority_score, round(final_score * (coalesce(a0, 0.9, 1.0) * (1 - coalesce(bias_penalty, 0.0))), 4) AS ra_score FROM re),
+re AS (SELECT lang AS query_id, doc_id AS chunk_id, source AS source_file, {Q.rnd('(doc_id * 37 % 1009) / 1009', 4)} AS final_score, authority_score AS a0, bias_penalty FROM documents LEFT JOIN meta ON source_file = source),
+ra AS (SELECT *, coalesce(a0, 0.9, 1.0) AS authority_score, {Q.rnd('final_score * (coalesce(a0, 0.9, 1.0) * (1 - coalesce(bias_penalty, 0.0)))', 4)} AS ra_score FROM re),
 rr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY ra_score DESC, chunk_id) AS ra_rank FROM ra),
 ms AS (SELECT *, CASE WHEN ra_score < 0.35 THEN 1.0 ELSE 0.2 * (1 + chunk_id % 5) END AS mscp_score, ra_score < 0.35 AS skipped FROM rr WHERE chunk_id % 7 <> 3 OR ra_score < 0.35
   UNION ALL SELECT *, 0.5, false FROM rr WHERE chunk_id % 7 = 3 AND NOT ra_score < 0.35),
 mt AS (SELECT *, skipped OR chunk_id % 7 = 3 OR mscp_score >= 0.55 AS trusted FROM ms),
-ft AS (SELECT *, round(ra_score * mscp_score * authority_score, 4) AS final_trust FROM mt),
+ft AS (SELECT *, {Q.rnd('ra_score * mscp_score * authority_score', 4)} AS final_trust FROM mt),
 fp AS (SELECT *, trusted AND final_trust >= 0.22 AS passes FROM ft),
 fb AS (SELECT *, NOT bool_or(passes) OVER (PARTITION BY query_id) AND row_number() OVER (PARTITION BY query_id ORDER BY final_trust DESC, chunk_id) = 1 AS fallback FROM fp)"""
 
@@ -162,12 +161,12 @@ def trust_report(spark, d):
     return trust.trust_report(trust.trust_pipeline(results(spark, d), consistency(spark, d)))
 
 
-@query("trust_fallback", """WITH f AS (SELECT source AS query_id, doc_id AS chunk_id, round(round((doc_id * 37 % 1009) / 5045, 4) * 0.9, 4) AS final_trust FROM documents),
+@query("trust_fallback", f"""WITH f AS (SELECT source AS query_id, doc_id AS chunk_id, {Q.rnd(Q.rnd("(doc_id * 37 % 1009) / 5045", 4) + " * 0.9", 4)} AS final_trust FROM documents),
 p AS (SELECT *, final_trust >= 0.22 AS passes FROM f), b AS (SELECT *, NOT bool_or(passes) OVER (PARTITION BY query_id) AND row_number() OVER (PARTITION BY query_id ORDER BY final_trust DESC, chunk_id) = 1 AS fallback FROM p)
 SELECT query_id, chunk_id, final_trust, CASE WHEN passes THEN 'trusted' ELSE 'fallback: best available' END AS reason FROM b WHERE passes OR fallback""")
 def trust_fallback(spark, d):
     """Scores so low that most queries fall back to their best result."""
-    r = corpus(spark, d).select(F.col("source_file").alias("query_id"), "chunk_id", F.round((F.col("chunk_id") * 37 % 1009) / 5045, 4).alias("ra_score"), F.lit(0.9).alias("authority_score"))
+    r = corpus(spark, d).select(F.col("source_file").alias("query_id"), "chunk_id", rounded((F.col("chunk_id") * 37 % 1009) / 5045, 4).alias("ra_score"), F.lit(0.9).alias("authority_score"))
     return trust.final_trust(trust.with_consistency(r)).where("included").select("query_id", "chunk_id", "final_trust", "reason")
 
 
@@ -179,7 +178,7 @@ FRESH = f"""
 kt AS (SELECT doc_id, lang, source, {Q.first_contained(_low, [k for k, _, _ in REGISTRY])} AS key, CASE lang WHEN 'en' THEN 0.10 WHEN 'fr' THEN 0.03 WHEN 'de' THEN 0.07 ELSE 0.05 END AS rate FROM documents),
 rg(key, base, pub) AS (VALUES {Q.rows(REGISTRY)}),
 rw AS (SELECT kt.*, greatest(0, 2025 - pub) AS age_years, base * exp(-rate * greatest(0, 2025 - pub)) AS raw FROM kt LEFT JOIN rg USING (key)),
-fr AS (SELECT doc_id, key AS temporal_source_match, age_years, coalesce(round(raw, 4), 0.5) AS temporal_score,
+fr AS (SELECT doc_id, key AS temporal_source_match, age_years, coalesce({Q.rnd('raw', 4)}, 0.5) AS temporal_score,
   CASE WHEN raw IS NULL THEN 'OUTDATED' WHEN raw >= 0.85 THEN 'FRESH' WHEN raw >= 0.70 THEN 'ACCEPTABLE' WHEN raw >= 0.55 THEN 'AGING' ELSE 'OUTDATED' END AS freshness_label, lang FROM rw)"""
 
 
@@ -206,7 +205,7 @@ def mscp(spark, d):
     return trust.mscp(e)
 
 
-@query("mscp_share", "WITH l AS (SELECT doc_id % 50 AS g, lang FROM documents), c AS (SELECT g, lang, count(*) AS n FROM l GROUP BY g, lang) SELECT g, CASE WHEN sum(n) < 2 THEN 1.0 ELSE round(max(n) / sum(n), 4) END AS share FROM c GROUP BY g")
+@query("mscp_share", f"WITH l AS (SELECT doc_id % 50 AS g, lang FROM documents), c AS (SELECT g, lang, count(*) AS n FROM l GROUP BY g, lang) SELECT g, CASE WHEN sum(n) < 2 THEN 1.0 ELSE {Q.rnd('max(n) / sum(n)', 4)} END AS share FROM c GROUP BY g")
 def mscp_share(spark, d):
     g = table(spark, d, "documents").groupBy((F.col("doc_id") % 50).alias("g")).agg(F.collect_list("lang").alias("labels"))
     return g.select("g", trust.largest_share(F.col("labels")).alias("share"))

@@ -5,6 +5,11 @@ from __future__ import annotations
 from sheaf.functions import text as T
 
 
+def rnd(x: str, places: int) -> str:
+    """The library's rounding."""
+    return f"(floor(CAST({x} AS DOUBLE) * {10**places} + 0.5000001) / {10**places})"
+
+
 def quote(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -76,7 +81,7 @@ def sparse(k: int, stop_words=T.STOP_WORDS) -> str:
     return f"""{BM25},
 qt AS (SELECT query_id, term, count(*) AS qf FROM (SELECT item_id AS query_id, unnest({tokens('text', stop_words)}) AS term FROM benchmark) GROUP BY query_id, term),
 sc AS (SELECT query_id, chunk_id, sum(qf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS raw FROM qt JOIN idf USING (term) JOIN po USING (term), st GROUP BY query_id, chunk_id),
-sp AS (SELECT query_id, chunk_id, round(raw / CASE WHEN best > 0 THEN best ELSE 1.0 END, 4) AS sparse_score FROM (SELECT *, max(raw) OVER (PARTITION BY query_id) AS best FROM sc) WHERE raw > 0),
+sp AS (SELECT query_id, chunk_id, {rnd('raw / CASE WHEN best > 0 THEN best ELSE 1.0 END', 4)} AS sparse_score FROM (SELECT *, max(raw) OVER (PARTITION BY query_id) AS best FROM sc) WHERE raw > 0),
 sparse AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sparse_score DESC, chunk_id) AS sparse_rank FROM sp) WHERE sparse_rank <= {k})"""
 
 

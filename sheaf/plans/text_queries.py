@@ -91,7 +91,7 @@ TAGS = ("tea", "rice", "rose", *WORDS)
 @query("chunk_ids", f"""WITH RECURSIVE {CHUNKS}, {META}
 SELECT 'chunk_' || CASE WHEN k < 1000000 THEN lpad(CAST(k AS VARCHAR), 6, '0') ELSE CAST(k AS VARCHAR) END AS chunk_id, source_file, char_count, title, source_org, year, trust_weight
 FROM (SELECT row_number() OVER (ORDER BY c.doc_id, chunk_no) AS k, d.source AS source_file, length(c.text) AS char_count, coalesce(m.title, d.source) AS title, coalesce(m.source_org, '') AS source_org,
-  coalesce(m.year, 2023) AS year, round(coalesce(m.authority_score, 0.8) * (1 - coalesce(m.bias_penalty, 0.0)), 4) AS trust_weight
+  coalesce(m.year, 2023) AS year, {Q.rnd('coalesce(m.authority_score, 0.8) * (1 - coalesce(m.bias_penalty, 0.0))', 4)} AS trust_weight
   FROM chunks c JOIN documents d USING (doc_id) LEFT JOIN meta m ON m.source_file = d.source)""")
 def chunk_ids(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("source_file"))
