@@ -27,8 +27,8 @@ from .common import bounded_batches, documents
 
 L, N, O, S, END = 1, 2, 0, 3, 4
 LONG = 192
-CACHE = 400_000
-BATCH_CHARS = 1 << 20
+CACHE = 200_000
+BATCH_CHARS = 1 << 19
 _NONE = np.int32(2**31 - 1)
 #: White_Space of Unicode.
 _SPACES = [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -130,7 +130,7 @@ class Codec:
         self.tables = []
         keys = np.fromiter((a << 17 | b for a, b in pairs), np.uint64, len(pairs))
         ranks = np.fromiter((r for r, _ in pairs.values()), np.int32, len(pairs))
-        for bits, factor in ((21, 0x9E3779B97F4A7C15), (18, 0xC2B2AE3D27D4EB4F), (14, 0x165667B19E3779F9), (12, 0xD6E8FEB86659FD93)):
+        for bits, factor in ((19, 0x9E3779B97F4A7C15), (17, 0xC2B2AE3D27D4EB4F), (15, 0x165667B19E3779F9), (13, 0xD6E8FEB86659FD93)):
             slot = keys * np.uint64(factor) >> np.uint64(64 - bits)
             held, first = np.unique(slot, return_index=True)
             table, value = np.full(1 << bits, 2**63, np.uint64), np.full(1 << bits, _NONE, np.int32)
