@@ -71,7 +71,7 @@ def clean_text(c: Column) -> Column:
 def tokens(c: Column, stop_words=STOP_WORDS) -> Column:
     """Search tokens: lower case, ``a/b`` as ``a_per_b``, ASCII letters, digits and underscores, no stop words, two chars at least."""
     c = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), f"({W}+)/({W}+)", "$1_per_$2")
-    words = F.split(F.regexp_replace(c, r"[^a-z0-9\s_]", " "), r"\s+")
+    words = F.split(F.regexp_replace(c, r"[^a-z0-9_]+", " "), " ")
     stops = F.array(*(F.lit(w) for w in stop_words))
     return F.filter(words, lambda w: (F.length(w) >= 2) & ~F.array_contains(stops, w))
 

@@ -28,14 +28,22 @@ def ranked(df: DataFrame, score: str, k: int | None = None, name: str = "rank",
 # --- sparse ---------------------------------------------------------------------------------------------------------
 
 def postings(corpus: DataFrame) -> DataFrame:
-    """``term, chunk_id, tf, doc_len`` of a corpus ``(chunk_id, text)``; a chunk without a token has none."""
-    toks = corpus.select("chunk_id", tokens(F.col("text")).alias("toks"))
-    return toks.select("chunk_id", F.size("toks").alias("doc_len"), F.explode("toks").alias("term")).groupBy("term", "chunk_id").agg(F.count("*").alias("tf"), F.first("doc_len").alias("doc_len"))
+    """``term, chunk_id, tf, doc_len`` of a corpus ``(chunk_id, text)``; a chunk without a token has none.
+
+    Tokens are sorted and counted inside their row, so nothing is shuffled.
+    """
+    toks = corpus.select("chunk_id", F.sort_array(tokens(F.col("text"))).alias("s"))
+    first = F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: ~F.get("s", i).eqNullSafe(F.get("s", i - 1)))
+    starts = F.when(F.size("s") > 0, first).otherwise(F.array().cast("array<int>"))  # a filter would tokenise once more
+    runs = F.transform("at", lambda i, k: F.struct(F.get("s", i).alias("term"), (F.coalesce(F.get("at", k + 1), F.size("s")) - i).cast("long").alias("tf")))
+    return toks.select("chunk_id", "s", starts.alias("at")).select("chunk_id", F.size("s").alias("doc_len"), F.explode(runs).alias("r")).select("r.term", "chunk_id", "r.tf", "doc_len")
 
 
-def corpus_stats(corpus: DataFrame) -> DataFrame:
+def corpus_stats(corpus: DataFrame, posts: DataFrame | None = None) -> DataFrame:
     """One row: number of chunks and their average length in tokens."""
-    return corpus.select(F.size(tokens(F.col("text"))).alias("n")).agg(F.count("*").alias("n_docs"), F.avg("n").alias("avgdl"))
+    posts = postings(corpus) if posts is None else posts
+    n = corpus.select(F.count("*").alias("n_docs"))
+    return posts.agg(F.sum("tf").alias("total")).select(n.scalar().alias("n_docs"), (F.coalesce("total", F.lit(0)) / F.nullif(n.scalar(), F.lit(0))).alias("avgdl"))
 
 
 def term_stats(posts: DataFrame, stats: DataFrame) -> DataFrame:
@@ -62,7 +70,8 @@ def sparse_scores(posts: DataFrame, terms: DataFrame, stats: DataFrame, wanted:
 
 def sparse_topk(corpus: DataFrame, queries: DataFrame, k: int = 10, stop_words=None) -> DataFrame:
     """``query_id, chunk_id, sparse_score, sparse_rank``: positive scores over the query's best, four places."""
-    posts, stats = postings(corpus), corpus_stats(corpus)
+    posts = postings(corpus)
+    stats = corpus_stats(corpus, posts)
     scored = sparse_scores(posts, term_stats(posts, stats), stats, query_terms(queries, stop_words))
     best = F.max("raw").over(Window.partitionBy("query_id"))
     share = scored.withColumn("best", best).where(F.col("raw") > 0).select("query_id", "chunk_id", rounded(F.col("raw") / F.when(F.col("best") > 0, F.col("best")).otherwise(1.0), 4).alias("sparse_score"))
