@@ -32,7 +32,7 @@ SIMILARITY = 80
 SKETCH_BITS = 20
 SKETCH_BLOCK = 1 << 14
 BITMAP_BITS = 1024
-GROUP = 64
+GROUP = 4
 CROWD = 2048
 CELL_SHINGLES = 1 << 16
 
@@ -171,7 +171,10 @@ def _prefixes(texts: DataFrame, order: Order, similarity: int) -> DataFrame:
 
 
 def group_pairs(token: np.ndarray, key: np.ndarray, n: np.ndarray, similarity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs of sets that share a token and whose lengths fit; token and set of groups above ``GROUP``, which are not expanded here."""
+    """Distinct pairs of sets that share a token and whose lengths fit; name and sets of groups above ``GROUP``, which are not expanded here.
+
+    A larger group is named by its members, so that tokens with the same sets make one group.
+    """
     at = np.lexsort((key, token))
     token, key, n = token[at], key[at], n[at]
     fresh = np.concatenate(([True], (token[1:] != token[:-1]) | (key[1:] != key[:-1])))
@@ -179,6 +182,12 @@ def group_pairs(token: np.ndarray, key: np.ndarray, n: np.ndarray, similarity: i
     first = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
     count = np.diff(np.append(first, len(token)))
     large = np.repeat(count > GROUP, count)
+    names = np.repeat(np.add.reduceat(mix(key.view(np.uint64)), first), count)[large].view(np.int64) if len(key) else np.zeros(0, np.int64)
+    members = key[large]
+    at = np.lexsort((members, names))
+    names, members = names[at], members[at]
+    fresh = np.concatenate(([True], (names[1:] != names[:-1]) | (members[1:] != members[:-1]))) if len(at) else np.zeros(0, bool)
+    names, members = names[fresh], members[fresh]
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for c in np.unique(count[(count > 1) & (count <= GROUP)]):
         begin = first[count == c]
@@ -193,7 +202,7 @@ def group_pairs(token: np.ndarray, key: np.ndarray, n: np.ndarray, similarity: i
     at = np.lexsort((right, left))
     left, right = left[at], right[at]
     fresh = np.concatenate(([True], (left[1:] != left[:-1]) | (right[1:] != right[:-1]))) if len(left) else np.zeros(0, bool)
-    return left[fresh], right[fresh], token[large], key[large]
+    return left[fresh], right[fresh], names, members
 
 
 PAIR, CROWDED = range(2)
@@ -217,9 +226,9 @@ def _candidates(prefixes: DataFrame, similarity: int) -> DataFrame:
             held.append(x.filter(pa.array(~hot)).select(["shingle", "key", "n"]))
         if held:
             t = pa.Table.from_batches(held)
-            a, b, token, key = group_pairs(t["shingle"].to_numpy(), t["key"].to_numpy(), t["n"].to_numpy(), similarity)
+            a, b, name, key = group_pairs(t["shingle"].to_numpy(), t["key"].to_numpy(), t["n"].to_numpy(), similarity)
             yield rows(PAIR, a, b)
-            yield rows(CROWDED, token, key)
+            yield rows(CROWDED, name, key)
 
     at = F.when(F.col("crowded"), F.xxhash64("shingle", "key")).otherwise(F.col("shingle"))
     return prefixes.repartition(at).mapInArrow(run, "kind tinyint, a bigint, b bigint")
@@ -269,12 +278,35 @@ def _crowded_links(rows: DataFrame, reps: DataFrame, similarity: int) -> DataFra
     dealt = rows.join(sizes, "shingle").join(reps.select("key", "n", "bits"), "key").withColumn("sub", F.pmod(F.xxhash64("key", F.lit("crowd")), F.col("s")).cast("int"))
     cells = F.transform(F.sequence(F.lit(0), F.col("s") - 1), lambda i: F.struct(F.least(i, "sub").alias("x"), F.greatest(i, "sub").alias("y")))
 
-    def run(table: pa.Table) -> pa.Table:
-        bits = [np.asarray(x, np.int64) for x in table["bits"].to_pylist()]
-        a, b = spanning_links(table["key"].to_numpy(), table["n"].to_numpy(), bits, similarity)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    dealt = dealt.select("shingle", "key", "n", "bits", F.explode(cells).alias("at")).select("shingle", "at.x", "at.y", "key", "n", "bits").repartition("shingle", "x", "y").sortWithinPartitions("shingle", "x", "y")
 
-    return dealt.select("shingle", "key", "n", "bits", F.explode(cells).alias("at")).groupBy("shingle", "at.x", "at.y").applyInArrow(run, "a bigint, b bigint")
+    def links(t: pa.Table, cuts: list[int]) -> pa.RecordBatch:
+        keys, n = t["key"].to_numpy(), t["n"].to_numpy()
+        held = t["bits"].combine_chunks()
+        values, at = held.values.to_numpy(), held.offsets.to_numpy()
+        a, b = [], []
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            if j - i > 1:
+                x, y = spanning_links(keys[i:j], n[i:j], [values[at[k] : at[k + 1]] for k in range(i, j)], similarity)
+                a += x
+                b += y
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    def run(batches):
+        held = None
+        for x in batches:
+            t = pa.Table.from_batches([x])
+            t = pa.concat_tables([held, t]) if held is not None else t
+            ids = np.stack([t["shingle"].to_numpy(), t["x"].to_numpy().astype(np.int64), t["y"].to_numpy().astype(np.int64)])
+            cuts = (np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(axis=0)) + 1).tolist()
+            if cuts:  # the last group may go on in the next batch
+                yield links(t.slice(0, cuts[-1]), [0, *cuts])
+                t = t.slice(cuts[-1])
+            held = t
+        if held is not None and held.num_rows:
+            yield links(held, [0, held.num_rows])
+
+    return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
 def trie_join(left: list[np.ndarray], right: list[np.ndarray] | None, similarity: int) -> list[tuple[int, int]]:
