@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .casts import typed
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -16,7 +18,7 @@ def query(name: str, sql: str | None = None):
     def put(f):
         QUERIES[name] = f
         if sql is not None:
-            ORACLES[name] = sql
+            ORACLES[name] = typed(name, sql)
         return f
 
     return put
