@@ -27,7 +27,7 @@ c AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_i
 cov AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM c) GROUP BY doc_id),
 m AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, {_count('[#*$%&|<>]+')} AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines,
     coalesce(cov.n, 0) AS n_repeat_words, {_count(r'\p{Lu}+')} AS n_upper, {_count(r'\p{L}+')} AS n_letters, len(l) AS n_lines FROM w LEFT JOIN cov USING (doc_id)),
-b AS (SELECT *, {_bits} AS fail_bits FROM m)
+b AS (SELECT *, CAST({_bits} AS BIGINT) AS fail_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & {mask_of('base')} <> 0 AS base_failed, fail_bits & {mask_of(CURRENT)} = 0 AS kept, fail_bits FROM b"""
 
 ARCHIVES = """
