@@ -192,6 +192,43 @@ def test_lines(spark):
     assert twins[0].text == twins[1].text == passage != twins[2].text
 
 
+def whole_line_dedup(texts, long=50):
+    """Texts without repeated passages: runs of lines with a word that stand earlier as neighbours, and long lines; walks pairs of lines, without lines.chunks."""
+    seen, out = set(), []
+    for t in texts:
+        all_lines, gone, before = t.split("\n"), set(), None
+        for k, x in enumerate(all_lines):
+            n = len(re.findall(r"[^\x20\x09-\x0D]+", x))
+            if not n:
+                continue
+            found = [(k, k)] * (n >= long) + ([(before[0], k)] if before and not (n >= long and before[1]) else [])
+            for a, b in found:
+                key = tuple(all_lines[a : b + 1])
+                if key in seen:
+                    gone |= set(range(a, b + 1))
+                seen.add(key)
+            before = (k, n >= long)
+        left = [x for k, x in enumerate(all_lines) if k not in gone]
+        out.append("" if gone and not "".join(left).strip() else "\n".join(left))
+    return out
+
+
+def test_lines_remove_passages_and_copies_in_full(spark):
+    rng = random.Random(9)
+    line = lambda: " ".join(f"w{rng.randint(0, 9999)}" for _ in range(rng.choice((1, 4, 12, 60))))
+    passages = [[line() for _ in range(n)] for n in (2, 2, 2, 3, 3, 4, 5, 8, 13, 40)]
+    texts = ["\n".join([f"own head {i}", *passages[i % 10], f"own tail {i}"]) for i in range(40)]
+    originals = ["\n".join(rng.choice((line(), line(), "", " ")) for _ in range(n)) + "\nan end\n" + line() + "\n\n" for n in (1, 2, 5, 9, 30)]
+    texts += originals * 2 + ["a\n\nb", "a\nb\n\nc", "x\na\n\nb\ny", "one line", "one line"]
+    df = rows(spark, texts)
+    got = {r.doc_id: r.text for r in lines.dedup_documents(df).collect()}
+    assert [got[i] for i in range(len(texts))] == whole_line_dedup(texts)
+    assert all(got[i] == f"own head {i}\nown tail {i}" for i in range(10, 40))
+    assert [got[i] for i in range(40, 50)] == originals + [""] * 5
+    found = {r.row.doc_id: r for r in lines.dedup(df).select("*", lines.merged("removed").alias("whole")).collect()}
+    assert all(found[i].whole == [[1, len(passages[i % 10])]] and found[i].n_removed == len(passages[i % 10]) for i in range(10, 40))
+
+
 # --- toxicity -------------------------------------------------------------------------------------------------------
 
 def test_grammar_factors():
