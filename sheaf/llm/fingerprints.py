@@ -1,11 +1,16 @@
 """Order MinHash fingerprints (native: DataFrame expressions only).
 
-A text's symbols are its words, cut after eight characters; its k-mers are three symbols (a shorter text: all of
-them), each numbered by its occurrence. One hash of (k-mer, occurrence) both deals the k-mers out over 64
+A text's symbols are its words of up to 16 characters; a longer run without white space is taken character by character, so
+that an inserted character moves nothing but the k-mers it stands in. Its k-mers are three symbols (a shorter text: all
+of them), each numbered by its occurrence. One hash of (k-mer, occurrence) both deals the k-mers out over 64
 bins (one permutation in place of 64) and orders them inside; the two least of a bin, put back in text order,
 are hashed into the bin's entry. Entries depend on which k-mers a text has, how often, and in which order, so
 likeness falls with edit distance. A fingerprint is the hex of its entries, bin by bin; bins without a k-mer have none.
 
+Short texts have few words that an edit could leave whole: bin ``b`` takes k-mers over characters (white space left out) instead
+if the text has fewer symbols than the bin's bound. The bounds grow from 8 to 64, so texts of under 8 symbols use characters alone, those of 64
+or more none, and a text that grows by a word changes the kind of a few bins only.
+
 Defined results: a null text counts as the empty text, whose fingerprint is the empty string; two empty
 fingerprints have likeness 1; repeated rows and ties get equal fingerprints; texts of any length are taken whole
 (sorts of plain longs, no quadratic step); other columns of the input are not read. In ``with_next`` a row
@@ -27,15 +32,42 @@ _SHIFT = 30
 _POSITION = (1 << _SHIFT) - 1
 
 
-def _kmers(text: Column) -> Column:
+#: Words of up to 16 characters, every character of longer runs.
+_WORDS = r"((?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]{1,16}(?![^\x20\x09-\x0D])|[^\x20\x09-\x0D])"
+_CHARS = r"([^\x20\x09-\x0D])"
+#: A bin takes k-mers over characters for texts of fewer symbols than this.
+_BOUNDS = [round(8 * 8 ** (b / ((1 << BIN_BITS) - 1))) for b in range(1 << BIN_BITS)]
+
+
+def _symbols(text: Column, pattern: str) -> Column:
+    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda w: F.xxhash64(w))
+
+
+def _kmers(symbols: Column) -> Column:
     """Hashes of the k-mers in text order."""
-    symbols = F.regexp_extract_all(text, F.lit(r"([^\x20\x09-\x0D]{1,8})"), F.lit(1))
 
     def joined(h: Column) -> Column:
         n = F.size(h)
         return F.transform(F.slice(h, F.lit(1), F.greatest(n - (K - 1), F.least(n, F.lit(1)))), lambda x, i: F.xxhash64(x, *(F.get(h, i + j) for j in range(1, K))))
 
-    return let(F.transform(symbols, lambda w: F.xxhash64(w)), joined)
+    return let(symbols, joined)
+
+
+def _of_bin(x: Column) -> Column:
+    return F.shiftright(x, 64 - BIN_BITS)
+
+
+def _chosen(text: Column) -> Column:
+    """The numbered k-mers of a text, each bin of the kind that the text's number of symbols asks for."""
+    bounds = F.array(*map(F.lit, _BOUNDS))
+
+    def mixed(h: Column) -> Column:
+        short = lambda x: F.get(bounds, (_of_bin(x) + (1 << (BIN_BITS - 1))).cast("int")) > F.size(h)
+        words = F.filter(_numbered(_kmers(h)), lambda x: ~short(x))
+        chars = F.filter(_numbered(_kmers(_symbols(text, _CHARS))), short)
+        return F.when(F.size(h) >= max(_BOUNDS), _numbered(_kmers(h))).otherwise(F.sort_array(F.concat(words, chars)))
+
+    return let(_symbols(text, _WORDS), mixed)
 
 
 def _numbered(kmers: Column) -> Column:
@@ -59,20 +91,18 @@ def _numbered(kmers: Column) -> Column:
 
 def fingerprint(text: Column) -> Column:
     """Entries of a text: ints with the bin in the upper and the tuple's hash in the lower 16 bits."""
-    of_bin = lambda x: F.shiftright(x, 64 - BIN_BITS)
-
     def entry(x: Column, y: Column) -> Column:
         ident = lambda v: F.shiftright(v, _SHIFT)
-        other = F.when(of_bin(x) == of_bin(y), y)
+        other = F.when(_of_bin(x) == _of_bin(y), y)
         ordered = F.when(other.isNull(), F.xxhash64(ident(x))).when(
             x.bitwiseAND(_POSITION) < y.bitwiseAND(_POSITION), F.xxhash64(ident(x), ident(y))).otherwise(F.xxhash64(ident(y), ident(x)))
-        return (F.shiftleft(of_bin(x) + (1 << (BIN_BITS - 1)), 16) + ordered.bitwiseAND(0xFFFF)).cast("int")
+        return (F.shiftleft(_of_bin(x) + (1 << (BIN_BITS - 1)), 16) + ordered.bitwiseAND(0xFFFF)).cast("int")
 
     def entries(least: Column) -> Column:
-        made = F.transform(least, lambda x, i: F.when(~of_bin(x).eqNullSafe(of_bin(F.get(least, i - 1))), entry(x, F.get(least, i + 1))))
+        made = F.transform(least, lambda x, i: F.when(~_of_bin(x).eqNullSafe(_of_bin(F.get(least, i - 1))), entry(x, F.get(least, i + 1))))
         return F.filter(made, lambda x: x.isNotNull())
 
-    least = let(_numbered(_kmers(text)), lambda s: F.filter(s, lambda x, i: ~of_bin(x).eqNullSafe(of_bin(F.get(s, i - TUPLE)))))
+    least = let(_chosen(text), lambda s: F.filter(s, lambda x, i: ~_of_bin(x).eqNullSafe(_of_bin(F.get(s, i - TUPLE)))))
     return let(least, entries)
 
 
