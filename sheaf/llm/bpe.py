@@ -16,6 +16,7 @@ import base64
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -123,6 +124,7 @@ class Codec:
         self.byte_ids = np.array([ids[bytes([b])] for b in range(256)], np.int64)
         self.decimals = {i: str(i) for i in tokens}
         self.cache: dict[str, bytes] = {}
+        self.added: dict[str, bytes] = {}
         ranked = sorted((r, i) for r, i in pairs.values())
         self.id_of_rank = np.zeros(ranked[-1][0] + 1 if ranked else 1, np.int64)
         for r, i in ranked:
@@ -154,9 +156,14 @@ class Codec:
         return cls({i: b for b, i in ranks.items()}, pairs, ranks)
 
     @classmethod
-    def from_json(cls, data: bytes) -> Codec:
-        """Of a file with ``model.vocab`` and ``model.merges`` in printable stand-ins for bytes; merges rank by their place."""
-        model = json.loads(data)["model"]
+    def from_json(cls, data: bytes, added: bool = False) -> Codec:
+        """Of a file with ``model.vocab`` and ``model.merges`` in printable stand-ins for bytes; merges rank by their place.
+
+        With ``added`` the file's ``added_tokens`` are cut out of a text first and are one id each, as in the public library's
+        default; without, they are text like any other. Tokens that take in white space or stand as single words only raise an error.
+        """
+        read = json.loads(data)
+        model = read["model"]
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in set(shown)]
         byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
@@ -166,7 +173,14 @@ class Codec:
         for rank, merge in enumerate(model["merges"]):
             a, b = merge.split(" ") if isinstance(merge, str) else merge
             pairs.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
-        return cls(tokens, pairs, {})
+        made = cls(tokens, pairs, {})
+        for t in read.get("added_tokens", []) if added else []:
+            if t.get("single_word") or t.get("lstrip") or t.get("rstrip") or t.get("normalized") and read.get("normalizer"):
+                raise ValueError(f"added token {t['content']!r} has options that are not supported")
+            made.added[t["content"]] = t["id"].to_bytes(4, "little")
+            made.tokens[t["id"]] = t["content"].encode()
+            made.decimals[t["id"]] = str(t["id"])
+        return made
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = (a << 17 | b).astype(np.uint64)
@@ -266,6 +280,16 @@ class Codec:
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
+        if not self.added or not any(a in t for t in texts for a in self.added):
+            yield from self._encode(texts)
+            return
+        cut = re.compile("(" + "|".join(re.escape(a) for a in sorted(self.added, key=len, reverse=True)) + ")")
+        parts = [cut.split(t) for t in texts]  # every second part is an added token
+        found = self._encode([p for x in parts for p in x[::2]])
+        for x in parts:
+            yield b"".join(self.added[p] if i % 2 else next(found) for i, p in enumerate(x))
+
+    def _encode(self, texts: list[str]) -> Iterator[bytes]:
         for group in groups_of(texts):
             pieces = list(self.slices(group))
             missing = {p for x in pieces for p in x}.difference(self.cache)
@@ -299,14 +323,14 @@ def groups_of(texts: list[str]) -> Iterator[list[str]]:
         yield held
 
 
-_codecs: dict[tuple[int, str], Codec] = {}
+_codecs: dict[tuple[int, str, bool], Codec] = {}
 
 
-def codec(data: bytes, name: str) -> Codec:
+def codec(data: bytes, name: str, added: bool = False) -> Codec:
     """A worker keeps the tables of the vocabularies it has used."""
-    key = (hash(data), name)
+    key = (hash(data), name, added)
     if key not in _codecs:
-        _codecs[key] = Codec.from_json(data) if name.endswith(".json") else Codec.from_ranks(data)
+        _codecs[key] = Codec.from_json(data, added) if name.endswith(".json") else Codec.from_ranks(data)
     return _codecs[key]
 
 

@@ -73,8 +73,8 @@ def best_fit(counts: dict[int, int], limit: int) -> list[tuple[int, int, int, in
     return plan
 
 
-def pieces(df: DataFrame, vocabulary: str, *, limit: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """``id, piece, start, length, ids_crc32`` (and ``ids``) of every piece of every text."""
+def pieces(df: DataFrame, vocabulary: str, *, limit: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, added: bool = False) -> DataFrame:
+    """``id, piece, start, length, ids_crc32`` (and ``ids``) of every piece of every text; ``added``: the vocabulary's added tokens are one id each."""
     bounded_batches(df.sparkSession)
     data = read_vocabulary(vocabulary)
     rows = df.select(id_col, text_col)
@@ -82,7 +82,7 @@ def pieces(df: DataFrame, vocabulary: str, *, limit: int = 1024, end_id: int = 2
     end = end_id.to_bytes(4, "little")
 
     def run(batches):
-        c = codec(data, vocabulary)
+        c = codec(data, vocabulary, added)
         for b in batches:
             source, piece, start, length, crc, ids = [], [], [], [], [], []
             for i, x in enumerate(c.encode([t or "" for t in b.column(1).to_pylist()])):
@@ -134,13 +134,13 @@ def pack(cut: DataFrame, *, limit: int = 1024) -> DataFrame:
     )
 
 
-def pack_documents(df: DataFrame, vocabulary: str | None = None, limit: int = 1024) -> DataFrame:
+def pack_documents(df: DataFrame, vocabulary: str | None = None, limit: int = 1024, added: bool = False) -> DataFrame:
     if vocabulary is None:
         import public_tokenizers
 
         vocabulary = public_tokenizers.path("byte_bpe_50k.json")
-    return pack(pieces(df, vocabulary, limit=limit), limit=limit)
+    return pack(pieces(df, vocabulary, limit=limit, added=added), limit=limit)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(documents(spark, sf_dir))
+    return pack_documents(documents(spark, sf_dir), added=True)
