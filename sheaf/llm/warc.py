@@ -4,6 +4,7 @@ Writing renders records with expressions and lets Spark's text sink lay them dow
 the sink's line separator), at most ``RECORDS_A_FILE`` in a file. Reading finds every version magic in an archive; tasks
 emit each well-formed candidate as an edge from its offset to its successor's. Pointer jumping from offset 0 doubles
 the reach each round and keeps the records on the chain; magic inside payloads starts no record on it and is rejected.
+Headers may have any length. A file whose chain does not end at the file's length raises an error.
 
 Defined results: a null page body is the empty payload; a null url leaves the target out, control characters and
 blanks of a url are written as %20; a null page id is written as ``none``, reads back as null and is never the response that
@@ -28,7 +29,6 @@ LEAST_REVISIT = 100
 RECORDS_A_FILE = 5000
 DATE = "2024-01-01T00:00:00Z"
 _MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
-_HEADER_LIMIT = 1 << 16
 SCHEMA = "file string, offset bigint, successor bigint, record_type string, record_id string, refers_to string, payload_bytes bigint, payload_digest string"
 
 
@@ -72,50 +72,71 @@ def write_archives(pages: DataFrame, path: str, **columns: str) -> None:
 
 def candidates(data: bytes) -> list[tuple]:
     """Offset, successor, type, id, refers to, payload bytes and digest of what may be a record."""
-    out = []
+    out, group, end = [], [], -1
+
+    def close() -> None:
+        """Candidates whose headers have the same end; a header takes in those that begin after it, so each line is parsed once."""
+        fields, made, upto = {}, [], end
+        for at, begin in reversed(group):
+            for row in reversed(data[begin : max(begin, upto)].split(b"\r\n")):
+                key, colon, value = row.partition(b":")
+                if colon:
+                    fields.setdefault(key.strip().lower(), value.strip())
+            upto = begin
+            made.append((at, fields.copy()))
+        payload = None
+        for at, found in reversed(made):
+            length = found.get(b"content-length", b"").decode("utf-8", "replace")
+            if not (length.isascii() and length.isdigit()):
+                continue
+            begin, stop = end + 4, end + 4 + int(length)
+            following = stop + 4
+            if data[stop:following] != b"\r\n\r\n" or following < len(data) and not data.startswith(b"WARC/1.", following):
+                continue
+            text = lambda k: None if (v := found.get(k)) is None else v.decode("utf-8", "replace")  # noqa: E731, B023
+            kind = text(b"warc-type") or ""
+            if kind == "revisit":
+                n, digest = None, (text(b"warc-payload-digest") or "").removeprefix("sha256:")
+            else:
+                if payload is None or payload[0] != stop:
+                    if data.startswith(b"HTTP/", begin):
+                        split = data.find(b"\r\n\r\n", begin, stop)
+                        begin = split + 4 if split >= 0 else begin
+                    payload = (stop, stop - begin, hashlib.sha256(memoryview(data)[begin:stop]).hexdigest())
+                _, n, digest = payload
+            out.append((at, following, kind, text(b"warc-record-id"), text(b"warc-refers-to"), n, digest))
+
     for m in _MAGIC.finditer(data):
-        at = m.start()
-        end = data.find(b"\r\n\r\n", at, at + _HEADER_LIMIT)
-        if end < 0:
-            continue
-        fields = {}
-        for row in data[m.end() : end].split(b"\r\n"):
-            key, colon, value = row.partition(b":")
-            if colon:
-                fields[key.strip().lower()] = value.strip().decode("utf-8", "replace")
-        length = fields.get(b"content-length", "")
-        if not (length.isascii() and length.isdigit()):
-            continue
-        begin, stop = end + 4, end + 4 + int(length)
-        following = stop + 4
-        if data[stop:following] != b"\r\n\r\n" or following < len(data) and not data.startswith(b"WARC/1.", following):
-            continue
-        kind = fields.get(b"warc-type", "")
-        if kind == "revisit":
-            n, digest = None, fields.get(b"warc-payload-digest", "").removeprefix("sha256:")
-        else:
-            if data.startswith(b"HTTP/", begin):
-                split = data.find(b"\r\n\r\n", begin, stop)
-                begin = split + 4 if split >= 0 else begin
-            n, digest = stop - begin, hashlib.sha256(memoryview(data)[begin:stop]).hexdigest()
-        out.append((at, following, kind, fields.get(b"warc-record-id"), fields.get(b"warc-refers-to"), n, digest))
+        if m.start() > end:
+            if group:
+                close()
+            group = []
+            end = data.find(b"\r\n\r\n", m.start())
+            if end < 0:
+                break
+        group.append((m.start(), m.end()))
+    if group:
+        close()
     return out
 
 
 def emit_edges(files: DataFrame) -> DataFrame:
-    """Candidates of archives (``path, content``)."""
+    """Candidates of archives (``path, content``), with the archive's ``size``."""
 
     def run(batches):
         for b in batches:
             for path, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                found = candidates(data.as_py())
+                content = data.as_py()
+                found = candidates(content)
+                if content and not found:
+                    raise ValueError(f"{path}: no record in {len(content)} bytes")
                 columns = list(zip(*found, strict=True)) if found else [()] * 7
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string()]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([path] * len(found), pa.string()), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))],
-                    ["file", "offset", "successor", "record_type", "record_id", "refers_to", "payload_bytes", "payload_digest"])
+                    [pa.array([path] * len(found), pa.string()), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), pa.array([len(content)] * len(found), pa.int64())],
+                    ["file", "offset", "successor", "record_type", "record_id", "refers_to", "payload_bytes", "payload_digest", "size"])
 
-    return files.mapInArrow(run, SCHEMA)
+    return files.mapInArrow(run, SCHEMA + ", size bigint")
 
 
 def reachable(offsets: np.ndarray, successors: np.ndarray) -> np.ndarray:
@@ -133,11 +154,15 @@ def reachable(offsets: np.ndarray, successors: np.ndarray) -> np.ndarray:
 
 
 def verified(edges: DataFrame) -> DataFrame:
-    """The candidates on each file's chain. A file's candidates are bounded by the size of an archive."""
+    """The candidates on each file's chain, which must end at the file's length. A file's candidates are bounded by the size of an archive."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("offset")
-        return table.filter(pa.array(reachable(table["offset"].to_numpy(), table["successor"].to_numpy())))
+        kept = table.filter(pa.array(reachable(table["offset"].to_numpy(), table["successor"].to_numpy())))
+        ends, size = kept["successor"].to_pylist()[-1:], table["size"][0].as_py()
+        if ends != [size]:
+            raise ValueError(f"{table['file'][0]}: the chain of records ends at {ends}, the file at {size}")
+        return kept.drop_columns("size")
 
     return edges.groupBy("file").applyInArrow(run, SCHEMA)
 
