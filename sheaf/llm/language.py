@@ -5,8 +5,9 @@ their ends) are ranked by frequency. A language's profile is the same ranking ov
 out-of-place distance adds up how far the text's ``PROFILE`` most frequent n-grams lie from their ranks in a
 profile, with the profile's length for a missing one; the language with the least distance wins.
 
-Profiles are fitted on about ``SAMPLE`` texts of each language, chosen by hash; that bound is a parameter. Every text is
-scored whole. Defined results: a null text or one without a letter is ``und`` with score 0, as is everything when
+Profiles are fitted on about ``SAMPLE`` texts of each language, chosen by hash; that bound is a parameter. Every label is
+learned, however rare; profiles of more than ``PROFILE_BYTES`` in all raise an error, none is dropped. Every text is scored
+whole, against all languages at once through one index from n-grams to their places in the profiles. Defined results: a null text or one without a letter is ``und`` with score 0, as is everything when
 nothing can be learned; ties go to the language first by name; repeated rows score alike; a null language teaches
 nothing; columns whose names clash with the results are not read by ``identify`` and are kept by ``filter_documents``.
 """
@@ -26,7 +27,7 @@ from .common import bounded_batches, documents, is_held_out
 
 PROFILE = 300
 SAMPLE = 1500
-LANGUAGES = 512
+PROFILE_BYTES = 256 << 20
 UND = "und"
 BLOCK = 1 << 20
 #: Below this likeness to the best profile a text is in none of the learned languages.
@@ -76,42 +77,54 @@ def top(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 class Profiles:
+    """Profiles as one index: n-grams ascending, and of each the languages that rank it and where."""
+
     def __init__(self, ranked: dict[str, list[int]]):
         self.names = sorted(ranked)
-        self.codes, self.ranks = [], []
-        for name in self.names:
-            c = np.array(ranked[name], np.uint64)
-            order = np.argsort(c)
-            self.codes.append(c[order])
-            self.ranks.append(order)
+        codes = [np.array(ranked[n], np.uint64) for n in self.names]
+        flat = np.concatenate([np.zeros(0, np.uint64), *codes])
+        order = np.argsort(flat, kind="stable")
+        self.codes, first = np.unique(flat[order], return_index=True)
+        self.first = np.append(first, len(flat)).astype(np.int64)
+        self.language = np.repeat(np.arange(len(codes)), [len(c) for c in codes])[order]
+        self.rank = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(c)) for c in codes)])[order]
+
+    def distances(self, mine: np.ndarray) -> np.ndarray:
+        """Out-of-place distances of n-grams in order of frequency to every language."""
+        at = np.minimum(np.searchsorted(self.codes, mine), len(self.codes) - 1)
+        hit = np.flatnonzero(self.codes[at] == mine)
+        begin = self.first[at[hit]]
+        n = self.first[at[hit] + 1] - begin
+        ends = np.cumsum(n)
+        place = np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - ends + n, n)
+        saved = PROFILE - np.abs(self.rank[place] - np.repeat(hit, n))
+        return PROFILE * len(mine) - np.bincount(self.language[place], saved, len(self.names))
 
     def predict(self, text: str | None) -> tuple[str, float]:
         codes, counts = grams(text or "")
-        if not len(codes) or not self.names:
+        if not len(codes) or not len(self.codes):
             return UND, 0.0
         mine = top(codes, counts)
-        rank = np.arange(len(mine))
-        best, name = None, UND
-        for n, c, r in zip(self.names, self.codes, self.ranks, strict=True):
-            at = np.minimum(np.searchsorted(c, mine), len(c) - 1)
-            out = np.where(c[at] == mine, np.abs(r[at] - rank), PROFILE).sum()
-            if best is None or out < best:
-                best, name = out, n
-        return name, float(1 - best / (PROFILE * len(mine)))
+        out = self.distances(mine)
+        best = int(out.argmin())
+        return self.names[best], float(1 - out[best] / (PROFILE * len(mine)))
 
 
 def fit(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Profiles:
-    """Profiles of the languages of ``df`` (its commonest ``LANGUAGES`` labels), each from about ``sample`` texts taken by hash."""
+    """Profiles of the languages of ``df``, each from about ``sample`` texts taken by hash."""
     spark = df.sparkSession
     bounded_batches(spark)
     rows = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(LANGUAGES).collect()
+    counts = rows.groupBy(F.col(lang_col).alias("lang")).count().limit(PROFILE_BYTES // (8 * PROFILE) + 1).collect()
     if not counts:
         return Profiles({})
+    if len(counts) * 8 * PROFILE > PROFILE_BYTES:
+        raise ValueError(f"profiles of more than {PROFILE_BYTES // (8 * PROFILE)} languages")
     scale = 1 << 30
-    limits = F.create_map(*(F.lit(v) for r in counts for v in (r[0], min(scale, scale * sample // r[1]))))
+    # One row a language, fewer than PROFILE_BYTES allows.
+    limits = F.broadcast(spark.createDataFrame([(r["lang"], min(scale, scale * sample // r["count"])) for r in counts], "lang string, _limit long"))
     chosen = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(id_col, F.lit("profile")), F.lit(scale)).alias("h"))
-    chosen = chosen.where(F.col("h") < F.coalesce(limits[F.col("lang")], F.lit(0))).select("lang", "text")
+    chosen = chosen.join(limits, "lang").where(F.col("h") < F.col("_limit")).select("lang", "text")
 
     def count(batches):
         for b in batches:
@@ -124,17 +137,17 @@ def fit(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_c
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes.view(np.int64)), pa.array(n)], ["lang", "code", "n"])
 
     counted = chosen.mapInArrow(count, "lang string, code bigint, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), F.col("code") < 0, "code"))  # codes are unsigned
     ranked: dict[str, list[int]] = {}
-    for r in counted.withColumn("r", place).where(F.col("r") <= PROFILE).orderBy("lang", "r").collect():  # LANGUAGES x PROFILE rows at most
+    for r in counted.withColumn("r", place).where(F.col("r") <= PROFILE).orderBy("lang", "r").collect():  # within PROFILE_BYTES
         ranked.setdefault(r["lang"], []).append(r["code"] % (1 << 64))
     return Profiles(ranked)
 
 
 def identify(df: DataFrame, profiles: Profiles, *, text_col: str = "text") -> DataFrame:
-    """``df``'s columns but the text, with ``lang_pred`` and ``score``."""
+    """``df``'s columns but the text and those of the results' names, with ``lang_pred`` and ``score``."""
     bounded_batches(df.sparkSession)
-    rest = [c for c in df.columns if c != text_col]
+    rest = [c for c in df.columns if c not in (text_col, "lang_pred", "score")]
     rows = df.select(text_col, *rest)
     kinds = dict(rows.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in rest) + ", lang_pred string, score double"
