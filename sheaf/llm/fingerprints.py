@@ -13,22 +13,26 @@ or more none, and a text that grows by a word changes the kind of a few bins onl
 
 Defined results: a null text counts as the empty text, whose fingerprint is the empty string; two empty
 fingerprints have likeness 1; repeated rows and ties get equal fingerprints; texts of any length are taken whole
-(sorts of plain longs, no quadratic step); other columns of the input are not read. In ``with_next`` a row
+(sorts of plain longs, no quadratic step); other columns of the input are not read; ids may be any longs. In ``with_next`` a row
 with a null id has no place in the order and the empty text as its next one.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import documents, let, text_of
+from .common import documents, let, materialize, text_of
 
 K = 3
 TUPLE = 2
 BIN_BITS = 6
 _SHIFT = 30
+RANGE_BYTES = 64 << 20
+MOST_RANGES = 1 << 17
 _POSITION = (1 << _SHIFT) - 1
 
 
@@ -117,26 +121,49 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(either == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / either)
 
 
+def range_borders(df: DataFrame, id_col: str, text_col: str) -> tuple[Column, Column, Column, int]:
+    """Borders that cut ids into ranges of about ``RANGE_BYTES`` of text, descending.
+
+    Returns expressions of an id ``_id``'s row ``_row`` in the square of borders, of its range ``_range`` in that row, of the range's border, and
+    the number of ranges. Borders are ids of the table, picked evenly from a sample by size, and the greatest id; they stay
+    longs throughout. There are at most ``MOST_RANGES``; held as a square they are looked up in two short scans.
+    """
+    slim = materialize(df.select(F.col(id_col).cast("long").alias("id"), (F.octet_length(text_of(text_col)) + 8).cast("long").alias("size")).where(F.col("id").isNotNull()), "range-sizes")
+    top, total = slim.agg(F.max("id"), F.sum("size")).first()
+    if top is None:
+        return F.lit(0), F.lit(0), F.lit(0), 1
+    parts = min(MOST_RANGES, max(-(-total // RANGE_BYTES), 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    scale, step = 1 << 30, max(1, total // (8 * parts))
+    # a row is taken with a chance in proportion to its size: at most about 8 * parts rows
+    sample = slim.where(F.pmod(F.xxhash64("id", F.lit("cut")), F.lit(scale)).cast("double") * step < F.col("size").cast("double") * scale)
+    held = sample.agg(F.sort_array(F.collect_list("id")).alias("s"))
+    picks = F.transform(F.sequence(F.lit(1), F.lit(parts)), lambda i: F.get("s", F.floor(i.cast("long") * F.size("s") / (parts + 1)).cast("int")))
+    found = held.select(F.sort_array(F.array_distinct(F.filter(F.concat(picks, F.array(F.lit(top).cast("long"))), lambda x: x.isNotNull())), asc=False)).first()[0]
+    width = math.isqrt(len(found)) + 1
+    # a cast of constant text is folded into one constant; a long list of literals would be an expression each
+    longs = lambda xs: F.split(F.lit(",".join(map(str, xs))), ",").cast("array<bigint>")
+    at_least = lambda xs, key: F.size(F.filter(xs, lambda b: b >= key))
+    key, row = F.col("_id"), F.col("_row")
+    number = row * width + at_least(F.slice(longs(found), row * width + 1, F.lit(width)), key) - 1
+    return at_least(longs(found[::width]), key) - 1, number, F.get(longs(found), F.col("_range")), len(found)
+
+
 def with_next(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Window, Column]:
     """Rows dealt into ranges of descending ids, the window over a range, and the mark of rows that only end a range.
 
-    The first row of each range (a quantile of the ids, at most 1024) stands once more at the end of the range
-    before, and the very first at the end of the last, so that a lead inside a range crosses its border.
+    The first row of each range stands once more at the end of the range before, and the very first at the end of the
+    last, so that a lead inside a range crosses its border.
     """
-    ids = df.select(id_col).where(F.col(id_col).isNotNull())
-    parts = min(1024, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    top = ids.agg(F.max(id_col)).first()[0]
-    cuts = ids.approxQuantile(id_col, [i / parts for i in range(1, parts)], 0.2 / parts) if top is not None else []
-    firsts = sorted({int(x) for x in cuts} | ({top} if top is not None else set()), reverse=True) or [0]
-    borders = F.array(*(F.lit(x).cast("long") for x in firsts))
+    spread = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    row, number, border, n = range_borders(df, id_col, text_col)
     key = F.col("_id")
-    bucket = F.when(key.isNull(), -1 - F.pmod(F.xxhash64("_text"), F.lit(parts))).otherwise(F.size(F.filter(borders, lambda b: b >= key)) - 1)
+    bucket = F.when(key.isNull(), -1 - F.pmod(F.xxhash64("_text"), F.lit(spread))).otherwise(F.col("_range"))
     own = F.struct(F.col("_bucket").alias("b"), F.lit(False).alias("end"))
-    again = F.struct(F.pmod(F.col("_bucket") - 1, F.lit(len(firsts))).alias("b"), F.lit(True).alias("end"))
+    again = F.struct(F.pmod(F.col("_bucket") - 1, F.lit(n)).alias("b"), F.lit(True).alias("end"))
     rows = (
-        df.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
-        .withColumn("_bucket", bucket.cast("int"))
-        .withColumn("_at", F.explode(F.when(F.get(borders, F.col("_bucket")) == key, F.array(own, again)).otherwise(F.array(own))))
+        df.select(F.col(id_col).cast("long").alias("_id"), text_of(text_col).alias("_text"))
+        .withColumn("_row", row).withColumn("_range", number).withColumn("_bucket", bucket.cast("int"))
+        .withColumn("_at", F.explode(F.when(key == border, F.array(own, again)).otherwise(F.array(own))))
         .select("_id", "_text", F.col("_at.b").alias("_bucket"), F.col("_at.end").alias("_end"), F.xxhash64("_text").alias("_tie"))
     )
     return rows, Window.partitionBy("_bucket").orderBy(F.col("_end"), F.desc("_id"), F.col("_tie")), F.col("_end")
