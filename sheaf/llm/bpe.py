@@ -3,7 +3,7 @@
 Pre-tokenisation has no regular expression: code points are looked up in a class array (letter, number, other,
 space), a four-state machine that follows contractions is run by an associative scan over its transition functions
 (each packed into one byte, composed by a table), and token starts are read off classes and states. The slices
-feed pair merging, with a bounded cache in front; cache misses of a batch are merged together, one numpy
+feed pair merging, with a cache of bounded bytes in front; cache misses of a batch are merged together, one numpy
 round for the least-ranked pair of every word. Slices tile the text, so their byte offsets come along.
 
 Defined results: a null text counts as the empty text and has no ids; texts of any length are taken whole (a piece
@@ -28,7 +28,7 @@ from .common import bounded_batches, documents
 
 L, N, O, S, END = 1, 2, 0, 3, 4
 LONG = 192
-CACHE = 200_000
+CACHE_BYTES = 64 << 20
 BATCH_CHARS = 1 << 19
 _NONE = np.int32(2**31 - 1)
 #: White_Space of Unicode.
@@ -124,6 +124,7 @@ class Codec:
         self.byte_ids = np.array([ids[bytes([b])] for b in range(256)], np.int64)
         self.decimals = {i: str(i) for i in tokens}
         self.cache: dict[str, bytes] = {}
+        self.held = 0
         self.added: dict[str, bytes] = {}
         ranked = sorted((r, i) for r, i in pairs.values())
         self.id_of_rank = np.zeros(ranked[-1][0] + 1 if ranked else 1, np.int64)
@@ -156,11 +157,11 @@ class Codec:
         return cls({i: b for b, i in ranks.items()}, pairs, ranks)
 
     @classmethod
-    def from_json(cls, data: bytes, added: bool = False) -> Codec:
+    def from_json(cls, data: bytes, added: bool = True) -> Codec:
         """Of a file with ``model.vocab`` and ``model.merges`` in printable stand-ins for bytes; merges rank by their place.
 
-        With ``added`` the file's ``added_tokens`` are cut out of a text first and are one id each, as in the public library's
-        default; without, they are text like any other. Tokens that take in white space or stand as single words only raise an error.
+        The file's ``added_tokens`` are cut out of a text first and are one id each, as in the public library's default;
+        without ``added`` they are text like any other. Tokens that take in white space or stand as single words only raise an error.
         """
         read = json.loads(data)
         model = read["model"]
@@ -298,8 +299,11 @@ class Codec:
             get = self.cache.__getitem__
             for x in pieces:
                 yield b"".join(map(get, x))
-            if len(self.cache) > CACHE:
+            # about what an entry takes: its text, its ids, and the objects around them
+            self.held += sum(2 * len(p) + len(get(p)) + 250 for p in missing)
+            if self.held > CACHE_BYTES:
                 self.cache.clear()
+                self.held = 0
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -326,7 +330,7 @@ def groups_of(texts: list[str]) -> Iterator[list[str]]:
 _codecs: dict[tuple[int, str, bool], Codec] = {}
 
 
-def codec(data: bytes, name: str, added: bool = False) -> Codec:
+def codec(data: bytes, name: str, added: bool = True) -> Codec:
     """A worker keeps the tables of the vocabularies it has used."""
     key = (hash(data), name, added)
     if key not in _codecs:

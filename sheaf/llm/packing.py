@@ -73,7 +73,7 @@ def best_fit(counts: dict[int, int], limit: int) -> list[tuple[int, int, int, in
     return plan
 
 
-def pieces(df: DataFrame, vocabulary: str, *, limit: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, added: bool = False) -> DataFrame:
+def pieces(df: DataFrame, vocabulary: str, *, limit: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, added: bool = True) -> DataFrame:
     """``id, piece, start, length, ids_crc32`` (and ``ids``) of every piece of every text; ``added``: the vocabulary's added tokens are one id each."""
     bounded_batches(df.sparkSession)
     data = read_vocabulary(vocabulary)
@@ -134,7 +134,7 @@ def pack(cut: DataFrame, *, limit: int = 1024) -> DataFrame:
     )
 
 
-def pack_documents(df: DataFrame, vocabulary: str | None = None, limit: int = 1024, added: bool = False) -> DataFrame:
+def pack_documents(df: DataFrame, vocabulary: str | None = None, limit: int = 1024, added: bool = True) -> DataFrame:
     if vocabulary is None:
         import public_tokenizers
 
@@ -143,4 +143,4 @@ def pack_documents(df: DataFrame, vocabulary: str | None = None, limit: int = 10
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(documents(spark, sf_dir), added=True)
+    return pack_documents(documents(spark, sf_dir))
