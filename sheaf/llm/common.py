@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,21 +21,44 @@ WORD_GROUP = r"([^\x20\x09-\x0D]+)"
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where neither that setting nor a checkpoint folder of the context exists (as in tests on one
-    machine) a temporary folder takes its place, and is kept as the context's checkpoint folder.
+    Only where neither that setting nor a checkpoint folder of the context exists and all tasks run on this machine (as in tests)
+    a temporary folder takes its place, and is kept as the context's checkpoint folder.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if context.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="sheaf-"))
     return context.getCheckpointDir().rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame as Parquet into the shared folder and read it again: a cut in the lineage that survives lost executors."""
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``materialize`` writes inside go at the end, but for those to keep; so do the shuffles that nothing refers to any more."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        jvm = spark.sparkContext._jvm
+        for path in _scratch.pop():
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        gc.collect()
+        jvm.System.gc()
+
+
+def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write a frame as Parquet into the shared folder and read it again: a cut in the lineage that survives lost executors. ``keep``: past the end of the ``scratch`` at hand."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    owners = _scratch[:-1] if keep else _scratch
+    if owners:
+        owners[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

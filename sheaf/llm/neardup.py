@@ -8,11 +8,12 @@ bitmaps put on their difference. Shingles from crowded buckets are never expande
 those bounds stands for them. What hangs together is a block; nothing links across blocks. Blocks are cut into cells of bounded size (pairs of
 sub-blocks of neighbouring length classes), and in each cell a trie of the sets, commonest shingle first, is walked
 once for all sets of the other side: overlaps of a shared path are added once, and a subtree is left when
-the remaining lengths cannot reach the similarity for any of them. Exact on shingle hashes of 64 bits.
+the remaining lengths cannot reach the similarity for any of them. Exact on shingle hashes of 64 bits; sets are told apart by 128 bits:
+candidates are named by 64 of them, and where unequal sets share a name each is compared as a set of its own.
 
 Defined results: a null, empty or wordless text has the empty set and is linked with nothing; equal sets are linked with
 each other; a component is named by its least non-null document id, or has none if all are null; rows that repeat id
-and text share their result; texts of any length are taken whole; other columns are not read by ``join`` and are
+and text share their result; of a group, ``deduplicate`` keeps one row (its least id, nulls last, then the least text hash); texts of any length are taken whole; other columns are not read by ``join`` and are
 carried untouched by ``deduplicate``.
 """
 
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, documents, materialize
+from .common import bounded_batches, documents, materialize, scratch
 from .components import connected_components
 from .hashing import mix, range_hashes
 
@@ -51,13 +52,14 @@ def shingles(text: str | None) -> np.ndarray:
     return found[np.concatenate(([True], found[1:] != found[:-1]))]
 
 
-def set_key(s: np.ndarray) -> int:
-    """One 64-bit name of a set; 0 is the empty set's."""
+def set_key(s: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set as two longs; the first is 0 for the empty set only."""
     if not len(s):
-        return 0
+        return 0, 0
     with np.errstate(over="ignore"):
         x = mix((s * np.uint64(0x9E3779B97F4A7C15)).sum(keepdims=True) + mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum() + np.uint64(len(s)))
-    return int(x.view(np.int64)[0]) or 1
+        y = mix(mix(s * np.uint64(0xD1342543DE82EF95) + np.uint64(0x2545F4914F6CDD1D)).sum(keepdims=True) ^ np.uint64(len(s)))
+    return int(x.view(np.int64)[0]) or 1, int(y.view(np.int64)[0])
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
@@ -102,8 +104,8 @@ class Order:
 
 
 def _read_sets(df: DataFrame) -> DataFrame:
-    """``kind, id, h, n, key, bits`` of rows (kind 0); a task's count sketch in blocks (kind 1: ``key`` block, ``counts`` 32-bit counts)."""
-    names = ["kind", "id", "h", "n", "key", "bits", "counts"]
+    """``kind, id, h, n, key, key2, bits`` of rows (kind 0); a task's count sketch in blocks (kind 1: ``key`` block, ``counts`` 32-bit counts)."""
+    names = ["kind", "id", "h", "n", "key", "key2", "bits", "counts"]
 
     def run(batches):
         sketch = np.zeros(1 << SKETCH_BITS, np.int32)
@@ -112,18 +114,19 @@ def _read_sets(df: DataFrame) -> DataFrame:
             if sets:
                 at, n = np.unique(bucket_of(np.concatenate(sets)), return_counts=True)
                 sketch[at] += n.astype(np.int32)
+            keys = [set_key(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.zeros(len(sets), np.int8)), b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.int64()),
+                [pa.array(np.zeros(len(sets), np.int8)), b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([k for k, _ in keys], pa.int64()), pa.array([k for _, k in keys], pa.int64()),
                  pa.array([bitmap(s) if len(s) else None for s in sets], pa.list_(pa.int64())), pa.nulls(len(sets), pa.binary())],
                 names)
         blocks = sketch.reshape(-1, SKETCH_BLOCK)
         at = np.flatnonzero(blocks.any(axis=1))
         nothing = lambda t: pa.nulls(len(at), t)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.ones(len(at), np.int8)), nothing(pa.int64()), nothing(pa.int64()), nothing(pa.int64()), pa.array(at), nothing(pa.list_(pa.int64())), pa.array([blocks[i].astype("<i4").tobytes() for i in at], pa.binary())],
+            [pa.array(np.ones(len(at), np.int8)), nothing(pa.int64()), nothing(pa.int64()), nothing(pa.int64()), pa.array(at), nothing(pa.int64()), nothing(pa.list_(pa.int64())), pa.array([blocks[i].astype("<i4").tobytes() for i in at], pa.binary())],
             names)
 
-    return df.mapInArrow(run, "kind tinyint, id bigint, h bigint, n bigint, key bigint, bits array<bigint>, counts binary")
+    return df.mapInArrow(run, "kind tinyint, id bigint, h bigint, n bigint, key bigint, key2 bigint, bits array<bigint>, counts binary")
 
 
 def _sketch(read: DataFrame) -> np.ndarray:
@@ -152,10 +155,10 @@ def _prefixes(texts: DataFrame, order: Order, similarity: int) -> DataFrame:
             tokens, keys, sizes, hot, seen = [], [], [], [], set()
             for t in b.column(0).to_pylist():
                 s = shingles(t)
-                if not len(s) or (key := set_key(s)) in seen:
+                if not len(s) or (both := set_key(s)) in seen:
                     continue
-                seen.add(key)
-                n = len(s)
+                seen.add(both)
+                key, n = both[0], len(s)
                 p = n - needed(n, similarity) + 1
                 s, c = order(s)
                 tokens.append(s[:p])
@@ -375,7 +378,7 @@ def trie_join(left: list[np.ndarray], right: list[np.ndarray] | None, similarity
 
 def _cells(blocks: DataFrame, reps: DataFrame) -> DataFrame:
     """Every set of a block with the cells it goes to: ``key, n, m, cell`` fields. Cells join a sub-block with itself, with one of its length class, or of the next."""
-    rows = blocks.join(reps.select("key", "n", "m", "h", "id"), "key").withColumn("c", F.floor(F.log2("n")).cast("int"))
+    rows = blocks.join(reps.select("key", "name", "n", "m", "h", "id"), "key").drop("key").withColumnRenamed("name", "key").withColumn("c", F.floor(F.log2("n")).cast("int"))
     per = rows.groupBy("block", "c").agg(F.count("*").alias("k"), F.sum("n").alias("total"))
     per = per.withColumn("s", F.greatest(F.ceil(F.col("total") / CELL_SHINGLES), F.ceil(F.col("k") / 256)).cast("int"))
     shift = lambda by, name: per.select("block", (F.col("c") + by).alias("c"), F.col("s").alias(name))
@@ -460,20 +463,33 @@ def _join_cells(sets: DataFrame, similarity: int) -> DataFrame:
     return dealt.groupBy("block", "c1", "s1", "c2", "s2").applyInArrow(run, "a bigint, b bigint, n bigint")
 
 
+def representatives(rows: DataFrame) -> DataFrame:
+    """One document for each set: the least id (a null one only alone), then the least text hash. ``name`` is the set's key, or, where unequal sets share it, a name of its own for all but one."""
+    reps = materialize(
+        rows.where("n > 0").groupBy("key", "key2").agg(
+            F.min(F.struct(F.col("id").isNull().alias("null"), "id", "h")).alias("r"), F.count("*").alias("m"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+        .select("key", "key2", "m", "n", "bits", F.col("r.id").alias("id"), F.col("r.h").alias("h")),
+        "representatives")
+    shared = materialize(reps.groupBy("key").agg(F.count("*").alias("c"), F.min("key2").alias("_first")).where("c > 1").select("key", "_first"), "shared-names")
+    if shared.isEmpty():
+        return reps.withColumn("name", F.col("key"))
+    other = F.col("_first").isNotNull() & (F.col("key2") != F.col("_first"))
+    return reps.join(shared, "key", "left").withColumn("name", F.when(other, F.xxhash64("key", "key2")).otherwise(F.col("key"))).drop("_first")
+
+
 def join(df: DataFrame, similarity: int = SIMILARITY, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, h, n_shingles, component_id, n_links`` of every row; ``h`` is the text's hash, links count other documents."""
+    """``id, h, n_shingles, component_id, n_links, group, first`` of every row.
+
+    ``h`` is the text's hash, links count other documents, ``group`` names the component (null for an empty set, which is alone) and
+    ``first`` marks the rows of the one document that stands for it.
+    """
     spark = df.sparkSession
     bounded_batches(spark)
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"), F.col(text_col).alias("text"))
     read = materialize(_read_sets(texts), "sets")
     rows = read.where("kind = 0").drop("kind", "counts")
     order = Order(_sketch(read))
-    # one document stands for each set: the least id (a null one only alone), then the least text hash
-    reps = materialize(
-        rows.where("n > 0").groupBy("key").agg(
-            F.min(F.struct(F.col("id").isNull().alias("null"), "id", "h")).alias("r"), F.count("*").alias("m"), F.first("n").alias("n"), F.first("bits").alias("bits"))
-        .select("key", "m", "n", "bits", F.col("r.id").alias("id"), F.col("r.h").alias("h")),
-        "representatives")
+    reps = representatives(rows)
     prefixes = _prefixes(texts.select("text"), order, similarity)
     candidates = materialize(_candidates(prefixes, similarity), "candidates")
     pairs = candidates.where(F.col("kind") == PAIR).select("a", "b").distinct()
@@ -482,25 +498,42 @@ def join(df: DataFrame, similarity: int = SIMILARITY, *, id_col: str = "doc_id",
     may = (100 + similarity) * differing_bits(F.col("a_bits"), F.col("b_bits")) <= (100 - similarity) * (F.col("a_n") + F.col("b_n"))
     likely = pairs.join(side("a"), "a").join(side("b"), "b").where(may).select("a", "b")
     crowded = _crowded_links(candidates.where(F.col("kind") == CROWDED), reps, similarity)
-    blocks = connected_components(likely.unionByName(crowded)).select(F.col("node").alias("key"), F.col("component").alias("block"))
+    # unequal sets of one name are candidates for each other, too
+    shared = reps.where("name != key").select(F.col("key").alias("a"), F.col("name").alias("b"))
+    blocks = connected_components(likely.unionByName(crowded).unionByName(shared)).select(F.col("node").alias("key"), F.col("component").alias("block"))
     wanted = materialize(_cells(blocks, reps), "cells")
     links = materialize(_join_cells(_fetch_sets(texts, wanted, order), similarity), "similar")
-    groups = connected_components(links.where("b is not null").select("a", "b")).select(F.col("node").alias("key"), "component")
-    degree = links.where("b is null").groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("linked"))
-    named = reps.join(groups, "key", "left").withColumn("component", F.coalesce("component", "key"))
-    least = named.groupBy("component").agg(F.min("id").alias("component_id"))
-    of_set = named.join(least, "component").join(degree, "key", "left").select("key", "component_id", (F.col("m") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
-    full = rows.where("n > 0").select("id", "h", "n", "key").join(of_set, "key").select("id", "h", "n", "component_id", "n_links")
-    lone = rows.where("n = 0").select("id", "h", "n", F.col("id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    return full.unionByName(lone).select(F.col("id").alias(id_col), "h", F.col("n").alias("n_shingles"), "component_id", "n_links")
+    groups = connected_components(links.where("b is not null").select("a", "b")).select(F.col("node").alias("name"), "component")
+    degree = links.where("b is null").groupBy(F.col("a").alias("name")).agg(F.sum("n").alias("linked"))
+    named = reps.join(groups, "name", "left").withColumn("component", F.coalesce("component", "name"))
+    least = named.groupBy("component").agg(F.min("id").alias("component_id"), F.min(F.struct(F.col("id").isNull().alias("null"), "id", "h")).alias("keeper"))
+    of_set = named.join(least, "component").join(degree, "name", "left").select(
+        "key", "key2", "component_id", "component", F.col("keeper.id").alias("keeper_id"), F.col("keeper.h").alias("keeper_h"), (F.col("m") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
+    first = F.col("id").eqNullSafe(F.col("keeper_id")) & (F.col("h") == F.col("keeper_h"))
+    full = rows.where("n > 0").select("id", "h", "n", "key", "key2").join(of_set, ["key", "key2"]).select("id", "h", "n", "component_id", "n_links", F.col("component").alias("group"), first.alias("first"))
+    lone = rows.where("n = 0").select("id", "h", "n", F.col("id").alias("component_id"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("group"), F.lit(True).alias("first"))
+    return full.unionByName(lone).select(F.col("id").alias(id_col), "h", F.col("n").alias("n_shingles"), "component_id", "n_links", "group", "first")
+
+
+def groups(df: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
+    """``id, h, group`` of every document that has a set, once each; what it took to find them is removed."""
+    with scratch(df.sparkSession):
+        found = join(df, similarity).where(F.col("group").isNotNull())
+        return materialize(found.select(F.col("doc_id").alias("id"), "h", "group").distinct(), "groups", keep=True)
 
 
 def deduplicate(df: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
-    """Documents, one of each group (its least id), with the input's columns."""
-    found = join(df, similarity)
-    gone = materialize(found.where(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone_id"), F.col("h").alias("_gone_h")), "removed")
-    same = (F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col("_gone_h")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_gone_id"))
-    return df.join(gone, same, "left_anti")
+    """Documents, one row of each group, with the input's columns. Documents without a word all stay."""
+    with scratch(df.sparkSession):
+        found = join(df, similarity).where("n_shingles > 0").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "first")
+        counted = materialize(found.groupBy("_id", "_h", "first").agg(F.count("*").alias("_n")).where("NOT first OR _n > 1"), "removed", keep=True)
+    same = (F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col("_h")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
+    left = df.join(counted.select("_id", "_h"), same, "left_anti")
+    again = counted.where("first").select("_id", "_h")
+    if again.isEmpty():
+        return left
+    one = df.select(F.struct("*").alias("row"), "doc_id", "text").join(again, same).groupBy("_id", "_h").agg(F.first("row").alias("row"))
+    return left.unionByName(one.select("row.*"))
 
 
 def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
