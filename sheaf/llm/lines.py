@@ -5,6 +5,8 @@ is a chunk, so chunks move with the content and not with line numbers, and a rep
 to its last, wherever it begins. A line of at least ``LONG_LINE`` words is a chunk of its own (a passage by itself); two
 such lines need no window. Chunks are looked up by a 128-bit hash; those found more than once anywhere are fetched and
 compared byte by byte, and the lines of all but the first (least document id, then place) go. Of each line that goes an equal line stays.
+Where documents come in groups (near copies, of which one will stay), a group counts as one document: each of its documents keeps the
+chunks whose first place is in the group.
 
 Defined results: a null text stays null and an empty one empty; a line that repeats without a neighbour stays unless it is
 long; rows that repeat id and text count as one document and share its result; a null id comes first; a text whose every
@@ -47,16 +49,19 @@ def chunks(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return first, last - first + 1, range_hashes(raw, a, b), range_hashes(raw, a, b, 1)
 
 
-def dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``row`` (the input's row), ``text`` (without repeated chunks), ``n_lines``, ``n_removed`` (lines), ``removed`` (repeated chunks: first line, lines; they may overlap)."""
+def dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", groups: DataFrame | None = None) -> DataFrame:
+    """``row`` (the input's row), ``text`` (without repeated chunks), ``n_lines``, ``n_removed`` (lines), ``removed`` (repeated chunks: first line, lines; they may overlap).
+
+    ``groups (id, h, group)``: groups of documents by id and text hash, each document at most once.
+    """
     bounded_batches(df.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = df.select(F.xxhash64(id_col, text).alias("k1"), F.xxhash64(text, F.lit("line"), id_col).alias("k2"), F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.struct("*").alias("row"))
+    keyed = df.select(F.xxhash64(id_col, text).alias("k1"), F.xxhash64(text, F.lit("line"), id_col).alias("k2"), F.xxhash64(text).alias("h"), F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.struct("*").alias("row"))
 
     def run(batches):
         for b in batches:
             source, parts = [], []
-            for i, t in enumerate(b.column(3).to_pylist()):
+            for i, t in enumerate(b.column(4).to_pylist()):
                 if t:
                     found = chunks(t)
                     parts.append(found)
@@ -66,30 +71,35 @@ def dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> D
             at = pa.array(np.concatenate(source))
             first, n, h1, h2 = (np.concatenate(x) for x in zip(*parts, strict=True))
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(j).take(at) for j in range(3)), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))],
-                ["k1", "k2", "id", "first", "n", "h1", "h2"])
+                [*(b.column(j).take(at) for j in range(4)), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))],
+                ["k1", "k2", "h", "id", "first", "n", "h1", "h2"])
 
     kind = dict(df.dtypes)[id_col]
-    found = materialize(keyed.select("k1", "k2", "id", "t").mapInArrow(run, f"k1 bigint, k2 bigint, id {kind}, first int, n int, h1 bigint, h2 bigint"), "chunks")
+    found = materialize(keyed.select("k1", "k2", "h", "id", "t").mapInArrow(run, f"k1 bigint, k2 bigint, h bigint, id {kind}, first int, n int, h1 bigint, h2 bigint"), "chunks")
     twice = found.groupBy("h1", "h2").agg(F.count("*").alias("c"), F.min("k1").alias("ka"), F.max("k1").alias("kb"), F.min("first").alias("fa"), F.max("first").alias("fb"))
     twice = twice.where((F.col("c") > 1) & ((F.col("ka") != F.col("kb")) | (F.col("fa") != F.col("fb")))).select("h1", "h2")
-    places = materialize(found.join(twice, ["h1", "h2"]).dropDuplicates(["k1", "k2", "first", "n"]), "places")
+    places = found.join(twice, ["h1", "h2"]).dropDuplicates(["k1", "k2", "first", "n"])
+    own = F.struct("k1", "k2")
+    if groups is not None:
+        named = groups.select(F.col("id").alias("_id"), F.col("h").alias("_h"), "group")
+        places = places.join(named, (F.col("h") == F.col("_h")) & F.col("id").eqNullSafe(F.col("_id")), "left")
+        # names of groups and of documents without one are kept apart by the second field
+        own = F.when(F.col("group").isNotNull(), F.struct(F.col("group").alias("k1"), F.lit(None).cast("long").alias("k2"))).otherwise(own)
+    places = materialize(places.select("k1", "k2", "id", "first", "n", "h1", "h2", own.alias("g")), "places")
     rows = keyed.select("k1", "k2", "row").repartition("k1", "k2")
     lines = F.split(F.coalesce(F.col(f"row.{text_col}"), F.lit("")), "\n", -1)
 
-    wanted = places.groupBy("k1", "k2").agg(F.collect_list(F.struct("id", "first", "n", "h1", "h2")).alias("wanted"))
+    wanted = places.groupBy("k1", "k2").agg(F.collect_list(F.struct("id", "first", "n", "h1", "h2", "g")).alias("wanted"))
     fetched = (
         rows.join(wanted, ["k1", "k2"])
         # The condition always holds; as it reads the whole row, the exchange of the texts below is the result's own, not a second one.
         .select("k1", "k2", F.when(F.shiftrightunsigned(F.xxhash64("row"), 1) >= 0, lines).alias("lines"), F.explode("wanted").alias("c"))
-        .select("c.h1", "c.h2", F.struct("c.id", "k1", "k2", "c.first").alias("place"), F.array_join(F.slice("lines", F.col("c.first") + 1, F.col("c.n")), "\n").alias("bytes"))
-    )
-    same = fetched.groupBy("h1", "h2").agg(F.min("bytes").alias("a"), F.max("bytes").alias("b"), F.min("place").alias("keeper")).where(F.col("a") == F.col("b")).select("h1", "h2", "keeper")
-    gone = (
-        places.join(same, ["h1", "h2"])
-        .where(~((F.col("k1") == F.col("keeper.k1")) & (F.col("k2") == F.col("keeper.k2")) & (F.col("first") == F.col("keeper.first"))))
-        .groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("first", "n"))).alias("removed"))
+        .select("c.h1", "c.h2", F.struct("c.id", "k1", "k2", "c.first", "c.g").alias("place"), F.array_join(F.slice("lines", F.col("c.first") + 1, F.col("c.n")), "\n").alias("bytes"))
     )
+    same = fetched.groupBy("h1", "h2").agg(F.min("bytes").alias("a"), F.max("bytes").alias("b"), F.min("place").alias("keeper")).where(F.col("a") == F.col("b")).select("h1", "h2", F.col("keeper.g").alias("keeper"))
+    # a document of the keeper's group keeps its own first place, every other place goes
+    at = places.join(same, ["h1", "h2"]).groupBy("h1", "h2", "k1", "k2").agg(F.sort_array(F.collect_list(F.struct("first", "n"))).alias("at"), F.bool_or(F.col("g").eqNullSafe(F.col("keeper"))).alias("kept"))
+    gone = at.select("k1", "k2", F.explode(F.when(F.col("kept"), F.slice("at", F.lit(2), F.size("at"))).otherwise(F.col("at"))).alias("x")).groupBy("k1", "k2").agg(F.sort_array(F.collect_list("x")).alias("removed"))
     ranges = F.coalesce(F.col("removed"), F.array().cast("array<struct<first:int,n:int>>"))
     left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), covered("removed")), lambda i: F.get("lines", i))
     kept = F.when(F.size("removed") == 0, F.col("lines")).otherwise(let(left, lambda x: F.when(F.exists(x, lambda line: line.rlike(WORD)), x).otherwise(F.array().cast("array<string>"))))
@@ -123,10 +133,12 @@ def merged(ranges: str) -> Column:
     return let(covered(ranges), joined)
 
 
-def dedup_documents(df: DataFrame) -> DataFrame:
-    """Documents with their texts shortened and ``n_chars`` to match, the input's columns and rows otherwise."""
-    out = dedup(df)
+def dedup_documents(df: DataFrame, groups: DataFrame | None = None, drop_emptied: bool = False) -> DataFrame:
+    """Documents with their texts shortened and ``n_chars`` to match, the input's columns and rows otherwise; ``drop_emptied``: without those of which no word is left."""
+    out = dedup(df, groups=groups)
     changed = F.size("removed") > 0
+    if drop_emptied:
+        out = out.where(~changed | (F.col("text") != ""))
     return out.select(*(
         F.col("text") if c == "text"
         else F.when(changed, F.length("text").cast(t)).otherwise(F.col("row.n_chars")).alias(c) if c == "n_chars"

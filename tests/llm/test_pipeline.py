@@ -7,7 +7,7 @@ import public_tokenizers
 import tokenizers
 from pyspark.sql import functions as F
 
-from llm_plain import measured, naive_join, naive_lines
+from llm_plain import cut, measured, naive_join, naive_lines
 from sheaf.llm import language, queries
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -25,13 +25,14 @@ def test_run_equals_plain_stages(spark, data):
     first = spark.createDataFrame([kept[i] for i in sorted(kept)], df.schema)
     profiles = language.fit(language.training_rows(first))
     kept = {i: r for i, r in kept.items() if (p := profiles.predict(r.text))[0] != "und" and p[1] >= language.LEAST_SCORE}
-    gone = naive_lines([(i, kept[i].text) for i in sorted(kept)])
-    texts = {i: "\n".join(x for k, x in enumerate(kept[i].text.split("\n")) if not any(a <= k < a + n for a, n in gone[i])) if gone[i] else kept[i].text for i in sorted(kept)}
-    ids = list(texts)
+    ids = sorted(kept)
+    near = dict(zip(ids, naive_join([kept[i].text for i in ids]), strict=True))
+    gone = naive_lines([(i, kept[i].text) for i in ids], {i: near[i][1] for i in ids})
+    texts = {i: cut(kept[i].text, gone[i]) for i in ids}
+    ids = [i for i in ids if texts[i] or not gone[i]]
     near = naive_join([texts[i] for i in ids])
     left = [i for k, i in enumerate(ids) if near[k][1] == k]
     model = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    model.encode_special_tokens = True
     want = {i: len(model.encode(texts[i], add_special_tokens=False).ids) + 1 for i in left}
     got = collections.Counter()
     for r in corpus_pipeline.run(spark, data).collect():
