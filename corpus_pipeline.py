@@ -23,8 +23,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without line chunks that stand earlier."""
-    return lines.dedup_documents(docs)
+    """Documents without line chunks that stand earlier, but for those that are left without a word.
+
+    A group of near copies counts as one document here: its documents lose the same passages and are left whole otherwise, so that the
+    next stage still knows them for copies and removes them whole.
+    """
+    return lines.dedup_documents(docs, groups=neardup.groups(docs), drop_emptied=True)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +38,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 1024 tokens."""
-    return packing.pack_documents(docs, added=True)
+    return packing.pack_documents(docs)
 
 
 STAGES = [
