@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -11,30 +10,13 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.session import ship
+from sheaf.session import shared_folder, ship
 
 #: One word: a run of anything but space and the ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_GROUP = r"([^\x20\x09-\x0D]+)"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only where neither that setting nor a checkpoint folder of the context exists and all tasks run on this machine (as in tests)
-    a temporary folder takes its place, and is kept as the context's checkpoint folder.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        if context.master.split("[")[0] != "local":
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="sheaf-"))
-    return context.getCheckpointDir().rstrip("/")
-
-
 _scratch: list[list[str]] = []
 
 
