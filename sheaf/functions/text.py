@@ -49,9 +49,13 @@ PY_MULTILINE = "(?imdU)"
 PY = "(?dU)"
 
 
+#: Characters that are white space to every engine here.
+SPACES = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def strip(c: Column) -> Column:
-    """All white space off both ends (``trim`` takes spaces only)."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """All white space off both ends."""
+    return F.trim(c, F.lit(SPACES))
 
 
 def clean_text(c: Column) -> Column:
@@ -60,8 +64,8 @@ def clean_text(c: Column) -> Column:
     for pattern in NOISE:
         c = F.regexp_replace(c, PY_MULTILINE + pattern, " ")
     c = F.regexp_replace(c, PY + r"-\s*\n\s*", "")
-    c = F.regexp_replace(c, PY + rf"({W}+)\s*/\s*({W}+)", "$1/$2")
-    c = F.regexp_replace(c, r"[ \t]+", " ")
+    c = F.regexp_replace(c, PY + rf"(?<!{W})({W}++)\s*+/\s*+({W}++)", "$1/$2")
+    c = F.regexp_replace(c, r"[ \t]{2,}|\t", " ")
     c = F.regexp_replace(c, r"\n{3,}", "\n\n")
     for wrong, right in LITERALS:
         c = F.replace(c, F.lit(wrong), F.lit(right))
@@ -70,18 +74,18 @@ def clean_text(c: Column) -> Column:
 
 def tokens(c: Column, stop_words=STOP_WORDS) -> Column:
     """Search tokens: lower case, ``a/b`` as ``a_per_b``, ASCII letters, digits and underscores, no stop words, two chars at least."""
-    c = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), f"({W}+)/({W}+)", "$1_per_$2")
-    words = F.split(F.regexp_replace(c, r"[^a-z0-9_]+", " "), " ")
-    stops = F.array(*(F.lit(w) for w in stop_words))
-    return F.filter(words, lambda w: (F.length(w) >= 2) & ~F.array_contains(stops, w))
+    low = F.lower(F.coalesce(c, F.lit("")))
+    joined = F.when(F.contains(low, F.lit("/")), F.regexp_replace(low, f"(?<!{W})({W}++)/({W}++)", "$1_per_$2")).otherwise(low)
+    words = F.regexp_extract_all(joined, F.lit("[a-z0-9_]{2,}"), F.lit(0))
+    return F.filter(words, lambda w: ~w.isin(*stop_words))  # a hash set: the list is one of literals
 
 
-def sentences(c: Column, least: int = 15, most: int = 1_000_000) -> Column:
-    """Default splitter: after ``. ! ?`` and white space, or at line ends; stripped, longer than ``least``. ``most`` is the pluggable splitter's window, null reads all."""
+def sentences(c: Column, least: int = 15, most: int | None = None) -> Column:
+    """Default splitter: after ``. ! ?`` and white space, or at line ends; stripped, longer than ``least``. ``most`` cuts the text as a splitter with a window would, by default all of it is read."""
     c = F.coalesce(c, F.lit(""))
     c = F.substring(c, 1, most) if most else c
     parts = F.split(F.regexp_replace(c, r"([.!?])[ \t\r\n]+", "$1\n"), r"\n+")
-    return F.filter(F.transform(parts, lambda s: F.regexp_replace(s, r"^[ \t\r]+|[ \t\r]+$", "")), lambda s: F.length(s) > least)
+    return F.filter(F.transform(parts, lambda s: F.trim(s, F.lit(" \t\r"))), lambda s: F.length(s) > least)
 
 
 def answer_sentences(c: Column) -> Column:
@@ -92,8 +96,7 @@ def answer_sentences(c: Column) -> Column:
 
 def is_hard_boundary(c: Column) -> Column:
     """Sentences that always begin a chunk."""
-    s = strip(c)
-    return s.rlike(f"(?i)^({SECTION_HEADERS})") | s.rlike(CAPITALS) | s.rlike(NUMBERED)
+    return strip(c).rlike(f"(?i:^({SECTION_HEADERS}))|{CAPITALS}|{NUMBERED}")
 
 
 def crop_tags(c: Column, names=CROPS) -> Column:

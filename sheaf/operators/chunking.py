@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-
 from sheaf.functions.numbers import rounded
 from sheaf.functions.text import crop_tags, is_hard_boundary, sentences
+from sheaf.session import written
+
+from .numbering import numbered
 
 MAX_CHUNK, MIN_CHUNK, NSP_THRESHOLD = 500, 50, 0.85
 DEFAULTS = {"source_org": "", "region": "India", "domain": "agriculture", "year": 2023, "authority_score": 0.8, "bias_penalty": 0.0}
@@ -41,27 +42,20 @@ def chunks(docs: DataFrame, id_col: str, text_col: str = "text", *, split=senten
     """``id, chunk_no, text``: sentences in order, split at hard boundaries, low next-sentence scores and above ``MAX_CHUNK`` chars.
 
     Hard and low-score splits do not depend on the fold, so they are marked beside each sentence; the fold itself
-    keeps only (chunk number, length) and runs inside the row, without a shuffle. Chunks below ``MIN_CHUNK`` go.
+    keeps (length, where chunks start) and runs inside the row, without a shuffle; chunks are slices of the sentences. Chunks below ``MIN_CHUNK`` go.
     """
     held = docs.select(id_col, split(F.col(text_col)).alias("s")).where(F.size("s") > 0)
     static = F.transform("s", lambda x, i: F.struct(
         F.length(x).alias("n"), (is_hard_boundary(x) | ((i > 0) & (next_score(F.get("s", i - 1), x) < NSP_THRESHOLD))).alias("cut")))
 
     def step(acc: Column, x: Column) -> Column:
-        fresh = x["cut"] | (acc["len"] + x["n"] > MAX_CHUNK)
-        no = F.when(acc["no"] < 0, 0).otherwise(F.when(fresh, acc["no"] + 1).otherwise(acc["no"]))
-        size = F.when((acc["no"] < 0) | fresh, x["n"]).otherwise(acc["len"] + x["n"])
-        return F.struct(no.alias("no"), size.alias("len"), F.concat(acc["nos"], F.array(no)).alias("nos"))
-
-    start = F.struct(F.lit(-1).alias("no"), F.lit(0).alias("len"), F.array().cast("array<int>").alias("nos"))
-    numbered = held.select(id_col, "s", static.alias("m")).select(id_col, "s", F.aggregate("m", start, step)["nos"].alias("nos"))
-    groups = numbered.select(id_col, "s", "nos", F.explode(F.array_distinct("nos")).alias("no"))
-    joined = F.array_join(F.filter("s", lambda x, i: F.get("nos", i) == F.col("no")), " ")
-    return (
-        groups.select(id_col, "no", F.trim(joined).alias("text")).where(F.length("text") >= MIN_CHUNK)
-        .withColumn("chunk_no", (F.row_number().over(Window.partitionBy(id_col).orderBy("no")) - 1).cast("int"))
-        .select(id_col, "chunk_no", "text")
-    )
+        fresh = (acc["i"] == 0) | x["cut"] | (acc["len"] + x["n"] > MAX_CHUNK)
+        return F.struct((acc["i"] + 1).alias("i"), F.when(fresh, x["n"]).otherwise(acc["len"] + x["n"]).alias("len"), F.when(fresh, F.concat(acc["starts"], F.array(acc["i"]))).otherwise(acc["starts"]).alias("starts"))
+
+    first = F.struct(F.lit(0).alias("i"), F.lit(0).alias("len"), F.array().cast("array<int>").alias("starts"))
+    cut = held.select(id_col, "s", static.alias("m")).select(id_col, "s", F.aggregate("m", first, step)["starts"].alias("at"))
+    texts = F.transform("at", lambda a, k: F.trim(F.array_join(F.slice("s", a + 1, F.coalesce(F.get("at", k + 1), F.size("s")) - a), " ")))
+    return cut.select(id_col, F.posexplode(F.filter(texts, lambda t: F.length(t) >= MIN_CHUNK)).alias("chunk_no", "text"))
 
 
 def with_metadata(chunked: DataFrame, metadata: DataFrame, source: str = "source_file") -> DataFrame:
@@ -78,16 +72,10 @@ def with_metadata(chunked: DataFrame, metadata: DataFrame, source: str = "source
 
 
 def with_ids(chunked: DataFrame, order: list[str], start: int = 0) -> DataFrame:
-    """``chunk_id`` as ``chunk_000123``, contiguous from ``start`` in the given order.
-
-    Numbers come from counts by the first order column (small) and a row number inside each of its values, so no single task sees all rows.
-    """
-    first, *rest = order
-    counts = chunked.groupBy(first).agg(F.count("*").alias("_n"))
-    offsets = counts.select(first, (F.sum("_n").over(Window.orderBy(first).rowsBetween(Window.unboundedPreceding, -1))).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy(first).orderBy(*rest))
-    number = F.coalesce("_before", F.lit(0)) + F.col("_k") - 1 + start
-    return chunked.withColumn("_k", inside).join(offsets, first).withColumn("chunk_id", F.concat(F.lit("chunk_"), F.when(number < 1_000_000, F.lpad(number.cast("string"), 6, "0")).otherwise(number.cast("string")))).drop("_k", "_before")
+    """``chunk_id`` as ``chunk_000123``, contiguous from ``start`` in the given order; no single task sees all rows. Chunks are written once, as they are counted before they are numbered."""
+    number = F.col("_k") + start
+    shown = F.when(number < 1_000_000, F.lpad(number.cast("string"), 6, "0")).otherwise(number.cast("string"))
+    return numbered(written(chunked, "chunks"), order).withColumn("chunk_id", F.concat(F.lit("chunk_"), shown)).drop("_k")
 
 
 def table_to_text(rows: Column) -> Column:

@@ -27,28 +27,57 @@ def deltas(log: DataFrame, keys: tuple[str, ...] = (), order: str = "seq") -> Da
     return out.withColumn("delta", step).withColumn("reason", why)
 
 
-def clamp(x: Column) -> Column:
-    return F.round(F.greatest(F.lit(LOWEST), F.least(F.lit(HIGHEST), x)), 3)
+#: Steps folded together; a key's log is cut into blocks of this many.
+BLOCK = 512
+
+
+def _milli(x: float) -> int:
+    return round(1000 * x)
 
 
 def thresholds(log: DataFrame, keys: tuple[str, ...] = (), order: str = "seq") -> DataFrame:
     """``keys, seq, threshold`` after each feedback.
 
-    The steps depend on the log only, so they come from windows; the clamped sum is one ordered fold a key over the steps
-    that are not 0 (rounded and clamped each time).
+    The steps depend on the log only, so they come from windows. What a run of steps does to a threshold is again one step between two
+    bounds, so each block of steps that are not 0 is folded to such a triple, the blocks of a key are folded in order, and each block then unrolls its
+    own steps. All in thousandths: whole numbers, rounded as the threshold is.
     """
     stepped = deltas(log, keys, order)
-    moves = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), "delta")))
-    first = F.array(F.struct(F.lit(None).cast(dict(log.dtypes)[order]).alias("at"), F.lit(INITIAL).alias("t")))
-    fold = F.aggregate("moves", first, lambda acc, m: F.concat(acc, F.array(F.struct(m["at"].alias("at"), clamp(F.element_at(acc, -1)["t"] + m["delta"]).alias("t")))))
-    moved = stepped.where("delta != 0").groupBy(*keys).agg(moves.alias("moves")).select(*keys, F.explode(F.slice(fold, F.lit(2), F.size("moves"))).alias("x")).select(*keys, F.col("x.at").alias(order), F.col("x.t").alias("_t"))
+    per_key = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    moves = stepped.where("delta != 0").select(*keys, F.col(order).alias("_at"), F.round(F.col("delta") * 1000).cast("int").alias("_d"))
+    moves = moves.withColumn("_b", F.floor((F.row_number().over(per_key.orderBy("_at")) - 1) / BLOCK))
+    blocks = moves.groupBy(*keys, "_b").agg(F.array_sort(F.collect_list(F.struct("_at", "_d"))).alias("m"))
+    low, high = F.lit(_milli(LOWEST)), F.lit(_milli(HIGHEST))
+    held = lambda x, a, b: F.greatest(a, F.least(b, x))
+    whole = F.aggregate("m", F.struct(F.lit(0).alias("d"), F.lit(-(1 << 30)).alias("a"), F.lit(1 << 30).alias("b")), lambda s, m: F.struct(
+        (s["d"] + m["_d"]).alias("d"), held(s["a"] + m["_d"], low, high).alias("a"), held(s["b"] + m["_d"], low, high).alias("b")))
+    rows = blocks.select(*keys, "_b", "m", whole.alias("w"))
+    before = F.array_sort(F.collect_list(F.struct("_b", "w")).over(per_key.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)))
+    begin = F.aggregate(before, F.lit(_milli(INITIAL)), lambda t, x: held(t + x["w"]["d"], x["w"]["a"], x["w"]["b"]))
+    unrolled = F.aggregate("m", F.struct(F.col("_t").alias("t"), F.array().cast("array<int>").alias("all")), lambda s, m: F.element_at(F.transform(
+        F.array(held(s["t"] + m["_d"], low, high)), lambda t: F.struct(t.alias("t"), F.concat(s["all"], F.array(t)).alias("all"))), 1))["all"]
+    moved = rows.withColumn("_t", begin).select(*keys, F.explode(F.arrays_zip(F.col("m"), unrolled.alias("t"))).alias("x")).select(*keys, F.col("x.m._at").alias(order), (F.col("x.t") / 1000).alias("_t"))
     joined = stepped.join(moved, [*keys, order], "left")
-    w = Window.partitionBy(*keys).orderBy(order) if keys else Window.orderBy(order)
-    return joined.withColumn("threshold", F.coalesce(F.last("_t", ignorenulls=True).over(w), F.lit(INITIAL))).drop("_t")
+    return joined.withColumn("threshold", F.coalesce(F.last("_t", ignorenulls=True).over(per_key.orderBy(order)), F.lit(INITIAL))).drop("_t")
+
+
+def current_threshold(log: DataFrame, order: str = "seq") -> DataFrame:
+    """One row ``threshold``: that after the whole log, the initial one for an empty log."""
+    return thresholds(log, (), order).agg(F.coalesce(F.max_by("threshold", order), F.lit(INITIAL)).alias("threshold"))
 
 
-def report(log: DataFrame) -> DataFrame:
-    """One row: counts and accuracies of both paths."""
+def report(log: DataFrame, order: str = "seq") -> DataFrame:
+    """One row: the threshold, counts, accuracies in percent (0 for a path without feedback), steps taken so far (each feedback from the third on), and the report's text."""
     fast, slow = F.col("path") == "fast", F.col("path") == "slow"
-    share = lambda p: F.round(100.0 * F.count_if(p & F.col("was_accurate")) / F.nullif(F.count_if(p), F.lit(0)), 1)
-    return log.agg(F.count("*").alias("total_feedbacks"), F.count_if(fast).alias("fast_n"), F.count_if(slow).alias("slow_n"), share(fast).alias("fast_pct"), share(slow).alias("slow_pct"))
+    share = lambda p: F.coalesce(100.0 * F.count_if(p & F.col("was_accurate")) / F.nullif(F.count_if(p), F.lit(0)), F.lit(0.0))
+    counts = log.agg(F.count("*").alias("total_feedbacks"), F.count_if(fast).alias("fast_n"), F.count_if(slow).alias("slow_n"), share(fast).alias("_f"), share(slow).alias("_s"))
+    counts = counts.withColumn("threshold_history", F.greatest(F.lit(0).cast("long"), F.col("total_feedbacks") - (LEAST_FEEDBACKS - 1)))
+    row = counts.crossJoin(current_threshold(log, order)).withColumnRenamed("threshold", "current_threshold")  # one row each
+    two = lambda c: F.format_string("%.2f", F.col(c))
+    # The lines of the report.
+    text = F.concat_ws(
+        "\n", F.concat(F.lit("Current Threshold : "), F.col("current_threshold").cast("string")), F.concat(F.lit("Total Feedbacks   : "), F.col("total_feedbacks").cast("string")),
+        F.concat(F.lit("Fast Path Entries : "), F.col("fast_n").cast("string")), F.concat(F.lit("Slow Path Entries : "), F.col("slow_n").cast("string")),
+        F.concat(F.lit("Fast Accuracy     : "), two("_f"), F.lit("%")), F.concat(F.lit("Slow Accuracy     : "), two("_s"), F.lit("%")),
+        F.concat(F.lit("Threshold History : "), F.col("threshold_history").cast("string"), F.lit(" changes")))
+    return row.select("current_threshold", "total_feedbacks", "fast_n", "slow_n", F.round("_f", 2).alias("fast_pct"), F.round("_s", 2).alias("slow_pct"), "threshold_history", text.alias("report"))

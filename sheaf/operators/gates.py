@@ -82,6 +82,19 @@ def classify(q: Column) -> Column:
     )
 
 
+def parsed_classification(reply: Column) -> Column:
+    """A model's JSON reply as ``struct(query_type, confidence, complexity, reasoning, key_topics)``: defaults for missing keys, FACTUAL at 0.5 where it is no JSON."""
+    read = F.from_json(reply, "query_type string, confidence double, complexity string, reasoning string, key_topics array<string>, _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    ok = reply.isNotNull() & read["_bad"].isNull()
+    return F.struct(
+        F.when(ok, F.coalesce(read["query_type"], F.lit("FACTUAL"))).otherwise("FACTUAL").alias("query_type"),
+        F.when(ok, F.coalesce(read["confidence"], F.lit(0.7))).otherwise(0.5).alias("confidence"),
+        F.when(ok, F.coalesce(read["complexity"], F.lit("simple"))).otherwise("simple").alias("complexity"),
+        F.when(ok, F.coalesce(read["reasoning"], F.lit(""))).otherwise("error: no JSON").alias("reasoning"),
+        F.when(ok, F.coalesce(read["key_topics"], F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>")).alias("key_topics"),
+    )
+
+
 def route(df: DataFrame, threshold: Column | float = ENTROPY_THRESHOLD) -> DataFrame:
     """``path`` and ``reason`` from entropy, query_type, complexity, confidence."""
     t = threshold if isinstance(threshold, Column) else F.lit(threshold)
@@ -120,11 +133,12 @@ def stage_gate(df: DataFrame, text: str = "text", stage: str = "stage", stages=R
     permissive = F.col("_stage_key").isin(*(k for k, (allowed, _) in stages.items() if not allowed))
     out = df.withColumn("_stage_key", stage_key(F.col(stage), stages))
     out = out.withColumn("matched_blocked", F.when(~permissive, first(1))).withColumn("matched_allowed", F.when(~permissive & F.col("matched_blocked").isNull(), first(0)))
+    # The reasons.
     reason = (
         F.when(permissive, "Default stage — permissive")
         .when(F.col("matched_blocked").isNotNull(), F.concat(F.lit("Contains blocked topic: "), F.col("matched_blocked")))
-        .when(F.col("matched_allowed").isNotNull(), F.concat(F.lit("Contains allowed topic: "), F.col("matched_allowed")))
-        .otherwise("Neutral content")
+        .when(F.col("matched_allowed").isNotNull(), F.concat(F.lit("Matches allowed topic: "), F.col("matched_allowed")))
+        .otherwise("Neutral content — allowed by default")
     )
     return out.withColumn("compatible", F.col("matched_blocked").isNull()).withColumn("gate_reason", reason).drop("_stage_key")
 
@@ -135,17 +149,12 @@ def apply_gate(gated: DataFrame, by: str = "query_id") -> DataFrame:
     return gated.withColumn("fell_back", ~some).where(F.col("compatible") | F.col("fell_back"))
 
 
-def top_value(log: DataFrame, column: str) -> DataFrame:
-    """The commonest non-null value, the one seen first on ties: ``item, value, n``. ``log`` has an order column ``seq``."""
-    counts = log.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("value")).agg(F.count("*").alias("n"), F.min("seq").alias("_first"))
-    return counts.orderBy(F.desc("n"), "_first").limit(1).select(F.lit(column).alias("item"), "value", "n")
-
-
 def gate_statistics(log: DataFrame, columns=("stage", "matched_blocked_keyword", "blocked_source")) -> DataFrame:
-    out = log.agg(F.lit("total").alias("item"), F.lit(None).cast("string").alias("value"), F.count("*").alias("n")).select("item", "value", "n")
-    for c in columns:
-        out = out.unionByName(top_value(log, c))
-    return out
+    """``item, value, n``: the number of rows and the commonest non-null value of each column, the one seen first on ties (``seq`` orders the log). All columns are counted in one scan."""
+    values = F.array(*(F.struct(F.lit(c).alias("item"), F.col(c).cast("string").alias("value")) for c in columns))
+    counts = log.select("seq", F.explode(values).alias("x")).select("seq", "x.*").where(F.col("value").isNotNull()).groupBy("item", "value").agg(F.count("*").alias("n"), F.min("seq").alias("_first"))
+    best = counts.groupBy("item").agg(F.max_by(F.struct("value", "n"), F.struct(F.col("n"), -F.col("_first"))).alias("b")).select("item", "b.*")
+    return log.agg(F.lit("total").alias("item"), F.lit(None).cast("string").alias("value"), F.count("*").alias("n")).select("item", "value", "n").unionByName(best)
 
 
 def phenology_applies(query_type: Column) -> Column:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .numbering import numbered
 
 LEAST_CONFIDENCE = 0.7
 
@@ -44,11 +45,13 @@ def relationship_histogram(edge_rows: DataFrame) -> DataFrame:
 
 
 def resolve(node_rows: DataFrame, entities: DataFrame) -> DataFrame:
-    """``entity, node``: the exact node, else the first (by ``node``) that contains the entity. Entities are the questions, a small side."""
-    e = entities.select("entity", F.lower(F.regexp_replace("entity", r"^\s+|\s+$", "")).alias("_q"))
-    near = node_rows.select("node").join(F.broadcast(e), F.contains("node", "_q"))
-    best = F.row_number().over(Window.partitionBy("entity").orderBy((F.col("node") != F.col("_q")).cast("int"), "node"))
-    return near.withColumn("_k", best).where("_k = 1").select("entity", "node")
+    """``entity, node``: the exact node, else the first (by ``node``) that contains the entity. Only entities without an exact node are looked for inside nodes; the planner chooses the sides."""
+    e = entities.select("entity", F.lower(F.regexp_replace("entity", r"^\s+|\s+$", "")).alias("_q")).distinct()
+    names = node_rows.select("node").distinct()
+    exact = e.join(names, F.col("node") == F.col("_q")).select("entity", "node")
+    rest = e.join(exact.select("entity"), "entity", "left_anti")
+    near = names.join(rest, F.contains("node", "_q")).groupBy("entity").agg(F.min("node").alias("node"))
+    return exact.unionByName(near)
 
 
 def khop(edge_rows: DataFrame, starts: DataFrame, hops: int = 2) -> DataFrame:
@@ -67,11 +70,12 @@ def triplet_line(subject: Column, relationship: Column, obj: Column, source: Col
     return F.concat(subject, F.lit(" → "), relationship, F.lit(" → "), obj, F.when(F.coalesce(source, F.lit("")) != "", F.concat(F.lit("  [Source: "), source, F.lit("]"))).otherwise(""))
 
 
-def even_sample(chunks: DataFrame, by: str, order: str, per: int = 150) -> DataFrame:
-    """Evenly spaced rows of each source: every ``max(1, n div per)``-th, at most ``per`` (the sample is the operator's point)."""
-    w = Window.partitionBy(by)
-    step = F.greatest(F.lit(1), F.floor(F.count("*").over(w) / per))
-    return chunks.withColumn("_k", F.row_number().over(w.orderBy(order)) - 1).withColumn("_s", step).where((F.col("_k") % F.col("_s") == 0) & (F.col("_k") / F.col("_s") < per)).drop("_k", "_s")
+def even_sample(chunks: DataFrame, by: str, order: str, per: int = 150, most: int | None = None) -> DataFrame:
+    """Evenly spaced rows of each source: every ``max(1, n div per)``-th, at most ``per``, and ``most`` over all, sources in order of their first row (the sample is the operator's point)."""
+    counts = chunks.groupBy(by).agg(F.greatest(F.lit(1), F.floor(F.count("*") / per)).alias("_s"), F.min(order).alias("_first")).withColumnRenamed(by, "_by")
+    ranked = numbered(chunks, [order], (by,)).join(counts, F.col(by).eqNullSafe(F.col("_by")))
+    out = ranked.where((F.col("_k") % F.col("_s") == 0) & (F.col("_k") / F.col("_s") < per))
+    return (out.orderBy("_first", "_k").limit(most) if most is not None else out).drop("_k", "_s", "_by", "_first")
 
 
 def unprocessed(chunks: DataFrame, triplets: DataFrame, processed: DataFrame | None = None) -> DataFrame:

@@ -23,9 +23,9 @@ def overlap_match(sentences: DataFrame, chunks: DataFrame, by: str = "query_id")
     ``chunks``: ``query_id, chunk_rank, source_file, text, temporal_score, freshness_label``; a query has only its few retrieved chunks.
     """
     words = F.regexp_extract_all(F.lower("sentence"), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
-    pairs = sentences.withColumn("_w", words).join(chunks, by, "left")
-    low = F.lower(F.coalesce("text", F.lit("")))
-    share = F.when(F.size("_w") > 0, F.size(F.filter("_w", lambda w: F.contains(low, w))) / F.size("_w")).otherwise(0.0)
+    # lower-cased before the join: inside the filter it would be done for every word
+    pairs = sentences.withColumn("_w", words).join(chunks.withColumn("_low", F.lower(F.coalesce("text", F.lit("")))).drop("text"), by, "left")
+    share = F.when(F.size("_w") > 0, F.size(F.filter("_w", lambda w: F.contains(F.col("_low"), w))) / F.size("_w")).otherwise(0.0)
     best = F.row_number().over(Window.partitionBy(by, "idx").orderBy(F.desc("_s"), "chunk_rank"))
     top = pairs.withColumn("_s", share).withColumn("_k", best).where("_k = 1")
     hit = F.col("_s") > LEAST_OVERLAP
@@ -58,20 +58,37 @@ def summary(matches: DataFrame, by: str | None = "query_id") -> DataFrame:
 
 
 def report(matches: DataFrame, by: str = "query_id") -> DataFrame:
-    """One text a query, a line a sentence."""
-    line = F.concat(F.lit("["), F.format_number("confidence", 2), F.lit("] "), F.col("matched_source"), F.lit(": "), F.col("sentence"))
-    return matches.groupBy(by).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", line.alias("l")))), lambda x: x["l"]), "\n").alias("report"))
+    """``query_id, report``: a block a sentence (the first 80 characters of it), then the summary."""
+    four = lambda c: F.format_string("%.4f", F.col(c))
+    two = lambda c: F.format_string("%.2f", F.col(c))
+    shown = F.concat(F.substring("sentence", 1, 80), F.when(F.length("sentence") > 80, "...").otherwise(""))
+    # The lines of the report.
+    block = F.concat_ws(
+        "\n", F.concat(F.lit('📝 "'), shown, F.lit('"')), F.concat(F.lit("   └─ Source     : "), F.col("matched_source")), F.concat(F.lit("   └─ Confidence : "), two("confidence")),
+        F.concat(F.lit("   └─ Freshness  : "), F.col("freshness_label"), F.lit(" (temporal score: "), four("temporal_score"), F.lit(")")),
+        F.concat(F.lit("   └─ Combined   : "), four("combined_score")), F.concat(F.lit("   └─ Reason     : "), F.col("reason")))
+    blocks = matches.groupBy(by).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", block.alias("b")))), lambda x: x["b"]), "\n\n").alias("_blocks"))
+    count = lambda c: F.col(c).cast("string")
+    tail = F.concat_ws(
+        "\n", F.lit("📊 PROVENANCE SUMMARY"), F.concat(F.lit("   Total sentences analysed : "), count("total_sentences")), F.concat(F.lit("   Avg confidence           : "), two("avg_confidence")),
+        F.concat(F.lit("   Avg temporal score       : "), four("avg_temporal_score")), F.concat(F.lit("   Avg combined score       : "), four("avg_combined_score")),
+        F.concat(F.lit("   High confidence (>0.7)   : "), count("high_confidence_count"), F.lit(" sentences")), F.concat(F.lit("   Inferred (no source)     : "), count("inferred_count"), F.lit(" sentences")))
+    return blocks.join(summary(matches, by), by).select(by, F.concat(F.col("_blocks"), F.lit("\n\n"), tail).alias("report"))
 
 
 def model_match(replies: DataFrame, chunks: DataFrame, by: str = "query_id") -> DataFrame:
-    """A model's replies ``(query_id, idx, sentence, reply)`` as matches: JSON with source, confidence and reason; freshness of the first chunk of that source.
+    """A model's replies ``(query_id, idx, sentence, reply)`` as matches: JSON with matched_source (INFERRED if missing), confidence (0.3) and reason; freshness of the first chunk of that source.
 
-    A reply that is no JSON has no match; ``overlap_match`` stands in for it.
+    A sentence whose reply is no JSON is matched by ``overlap_match``.
     """
-    r = replies.withColumn("_r", F.from_json("reply", "source string, confidence double, reason string")).withColumn("_s", F.col("_r.source"))
-    first = chunks.groupBy(by, "source_file").agg(F.min_by(F.struct("temporal_score", "freshness_label"), "chunk_rank").alias("_c"))
-    out = r.join(first.withColumnRenamed("source_file", "_s"), [by, "_s"], "left")
-    confidence, temporal = F.coalesce("_r.confidence", F.lit(0.0)), F.coalesce("_c.temporal_score", F.lit(0.0))
-    return out.select(
-        by, "idx", "sentence", F.coalesce("_r.source", F.lit("UNKNOWN")).alias("matched_source"), confidence.alias("confidence"), rounded(temporal, 4).alias("temporal_score"),
-        F.coalesce("_c.freshness_label", F.lit("UNKNOWN")).alias("freshness_label"), rounded((confidence + temporal) / 2, 4).alias("combined_score"), F.coalesce("_r.reason", F.lit("matching failed")).alias("reason"))
+    read = F.from_json("reply", "matched_source string, confidence double, reason string, _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    r = replies.withColumn("_r", read).withColumn("_ok", F.col("reply").isNotNull() & F.col("_r._bad").isNull())
+    good = r.where("_ok").withColumn("_s", F.coalesce("_r.matched_source", F.lit("INFERRED")))
+    first = chunks.groupBy(by, F.col("source_file").alias("_s")).agg(F.min_by(F.struct("temporal_score", "freshness_label"), "chunk_rank").alias("_c"))
+    out = good.join(first, [by, "_s"], "left")
+    confidence, temporal = F.coalesce("_r.confidence", F.lit(0.3)), F.coalesce("_c.temporal_score", F.lit(0.0))
+    label = F.when(F.col("_c").isNotNull(), F.coalesce("_c.freshness_label", F.lit("UNKNOWN"))).when(F.col("_s") == "INFERRED", "INFERRED").otherwise("UNKNOWN")
+    said = out.select(
+        by, "idx", "sentence", F.col("_s").alias("matched_source"), confidence.alias("confidence"), rounded(temporal, 4).alias("temporal_score"),
+        label.alias("freshness_label"), rounded((confidence + temporal) / 2, 4).alias("combined_score"), F.coalesce("_r.reason", F.lit("")).alias("reason"))
+    return said.unionByName(overlap_match(r.where("NOT _ok").select(by, "idx", "sentence"), chunks, by))

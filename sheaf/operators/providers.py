@@ -67,9 +67,46 @@ def context(chunks: DataFrame, most: int, with_sources: bool, by: str = "query_i
     return grouped.select(by, F.array_join(F.transform("c", lambda x: x["t"]), "\n\n---\n\n" if with_sources else "\n\n").alias("context"), F.array_join(F.array_distinct(F.transform("c", lambda x: x["s"])), ", ").alias("sources"))
 
 
+#: Limits of answers in tokens.
+FAST_TOKENS, SLOW_TOKENS = 250, 700
+
+
+# The classes of question that have instructions of their own.
+PROMPTED = ("DIAGNOSTIC", "RECOMMENDATION", "PROCEDURAL", "CURRENT", "STATISTICAL")
+INSTRUCTIONS = {
+    "DIAGNOSTIC": "Name the most likely problem with a confidence, the signs that confirm it, the treatment with doses, and how to prevent it.",
+    "RECOMMENDATION": "Give the best option and why, how to apply it step by step with quantities and timing, the results to expect, and precautions.",
+    "PROCEDURAL": "Give numbered steps with exact quantities and timing, common mistakes, and safety precautions.",
+    "CURRENT": "Answer from what is known and say what needs to be verified with official sources.",
+    "STATISTICAL": "List the numbers, name the document each comes from, and give their context.",
+}
+GENERAL = "Answer thoroughly, with specific details and quantities."
+REFUSAL = "knowledge base doesn't have"
+
+
+def prompt(query: Column, query_type: Column, context_text: Column, slow: bool) -> Column:
+    """The text that an answering model is given: instructions of the question's type on the slow path, brevity on the fast one."""
+    lead = F.coalesce(*(F.when(query_type == t, F.lit(INSTRUCTIONS[t])) for t in PROMPTED), F.lit(GENERAL)) if slow else F.lit("Answer from the context only, in two to four sentences, with numbers where there are any.")
+    return F.concat(lead, F.lit("\n\nContext:\n"), context_text, F.lit("\n\nQuestion: "), query)
+
+
+def answer_by_path(chunks: DataFrame, answer: Callable[[DataFrame, int], DataFrame], fallback: Callable[[DataFrame, int], DataFrame] | None = None, by: str = "query_id") -> DataFrame:
+    """``query_id, answer, answered_by`` of chunks with their question's ``path``: three chunks on the fast path, five on the slow one; where the slow path has no answer, the fast way stands in.
+
+    A provider that fails on a question leaves it out or answers null.
+    """
+    fast, slow = chunks.where("path = 'fast'"), chunks.where("path = 'slow'")
+    quick = fallback or answer
+    deep = answer(slow, 5).where(F.col("answer").isNotNull())
+    missing = slow.join(deep.select(by), by, "left_anti")
+    said = lambda df, how: df.select(by, "answer", F.lit(how).alias("answered_by"))
+    return said(quick(fast, 3), "fast").unionByName(said(deep, "slow")).unionByName(said(quick(missing, 3), "fast_fallback"))
+
+
 def prepend_weather(chunks: DataFrame, weather: DataFrame) -> DataFrame:
     """Weather text ``(query_id, text)`` as a chunk of rank 0 and score 1 in front of the query's chunks."""
-    extra = weather.select("query_id", F.lit("weather").alias("chunk_id"), "text", F.lit("Live weather").alias("source_file"), F.lit(1.0).alias("final_score"), F.lit(0).alias("chunk_rank"))
+    # Fixed value: the name of the source.
+    extra = weather.select("query_id", F.lit("weather").alias("chunk_id"), "text", F.lit("REAL-TIME WEATHER DATA").alias("source_file"), F.lit(1.0).alias("final_score"), F.lit(0).alias("chunk_rank"))
     return chunks.select("query_id", F.col("chunk_id").cast("string").alias("chunk_id"), "text", "source_file", "final_score", "chunk_rank").unionByName(extra)
 
 

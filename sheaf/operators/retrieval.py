@@ -6,6 +6,8 @@ rounded score, so results are total orders.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -14,6 +16,7 @@ from pyspark.sql.window import Window
 
 from sheaf.functions.numbers import rounded
 from sheaf.functions.text import tokens
+from sheaf.session import written
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 DENSE_WEIGHT, SPARSE_WEIGHT, RRF_K = 0.6, 0.4, 60
@@ -39,9 +42,8 @@ def postings(corpus: DataFrame) -> DataFrame:
     return toks.select("chunk_id", "s", starts.alias("at")).select("chunk_id", F.size("s").alias("doc_len"), F.explode(runs).alias("r")).select("r.term", "chunk_id", "r.tf", "doc_len")
 
 
-def corpus_stats(corpus: DataFrame, posts: DataFrame | None = None) -> DataFrame:
+def corpus_stats(corpus: DataFrame, posts: DataFrame) -> DataFrame:
     """One row: number of chunks and their average length in tokens."""
-    posts = postings(corpus) if posts is None else posts
     n = corpus.select(F.count("*").alias("n_docs"))
     return posts.agg(F.sum("tf").alias("total")).select(n.scalar().alias("n_docs"), (F.coalesce("total", F.lit(0)) / F.nullif(n.scalar(), F.lit(0))).alias("avgdl"))
 
@@ -54,95 +56,91 @@ def term_stats(posts: DataFrame, stats: DataFrame) -> DataFrame:
     return raw.select("term", "df", F.when(F.col("raw") < 0, EPSILON * mean).otherwise(F.col("raw")).alias("idf"))
 
 
+@dataclass(frozen=True)
+class Index:
+    """``postings (term, chunk_id, tf, doc_len)``, ``terms (term, df, idf)`` and ``stats (n_docs, avgdl)``: stored tables as a rule (``sources.stores``), so that a search reads no text."""
+
+    postings: DataFrame
+    terms: DataFrame
+    stats: DataFrame
+
+
+def index_of(corpus: DataFrame) -> Index:
+    """An index that is not stored: whatever uses it reads the texts again."""
+    posts = postings(corpus)
+    stats = corpus_stats(corpus, posts)
+    return Index(posts, term_stats(posts, stats), stats)
+
+
 def query_terms(queries: DataFrame, stop_words=None) -> DataFrame:
     """``query_id, term, qf`` of ``(query_id, query)``: terms with their multiplicity."""
     toks = tokens(F.col("query"), stop_words) if stop_words is not None else tokens(F.col("query"))
     return queries.select("query_id", F.explode(toks).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
 
 
-def sparse_scores(posts: DataFrame, terms: DataFrame, stats: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``query_id, chunk_id, raw``: BM25 of chunks that share a term with the query. Postings are cut to the queries' terms before they meet statistics."""
-    length = stats.select("avgdl").scalar()
+def sparse_scores(index: Index, wanted: DataFrame) -> DataFrame:
+    """``query_id, chunk_id, raw``: BM25 of chunks that share a term with the query ``(query_id, term, qf)``. Postings are cut to the queries' terms before anything is shuffled."""
+    length = index.stats.select("avgdl").scalar()
     f, dl = F.col("tf"), F.col("doc_len")
     gain = F.col("qf") * F.col("idf") * f * (K1 + 1) / (f + K1 * (1 - B + B * dl / length))
-    return posts.join(wanted.join(terms, "term"), "term").groupBy("query_id", "chunk_id").agg(F.sum(gain).alias("raw"))
+    return index.postings.join(wanted.join(index.terms, "term"), "term").groupBy("query_id", "chunk_id").agg(F.sum(gain).alias("raw"))
 
 
-def sparse_topk(corpus: DataFrame, queries: DataFrame, k: int = 10, stop_words=None) -> DataFrame:
-    """``query_id, chunk_id, sparse_score, sparse_rank``: positive scores over the query's best, four places."""
-    posts = postings(corpus)
-    stats = corpus_stats(corpus, posts)
-    scored = sparse_scores(posts, term_stats(posts, stats), stats, query_terms(queries, stop_words))
+def sparse_topk(corpus: DataFrame | Index, queries: DataFrame, k: int = 10, stop_words=None) -> DataFrame:
+    """``query_id, chunk_id, sparse_score, sparse_rank``: positive scores over the query's best, four places. Of a stored index, or of a corpus that is indexed on the way."""
+    index = corpus if isinstance(corpus, Index) else index_of(corpus)
+    scored = sparse_scores(index, query_terms(queries, stop_words))
     best = F.max("raw").over(Window.partitionBy("query_id"))
     share = scored.withColumn("best", best).where(F.col("raw") > 0).select("query_id", "chunk_id", rounded(F.col("raw") / F.when(F.col("best") > 0, F.col("best")).otherwise(1.0), 4).alias("sparse_score"))
     return ranked(share, "sparse_score", k, "sparse_rank")
 
 
-def is_stale(posts: DataFrame, corpus: DataFrame) -> bool:
-    """Whether an index misses chunks or knows removed ones (its chunk count differs): then it is rebuilt as a whole."""
-    return posts.select("chunk_id").distinct().count() != corpus.where(F.size(tokens(F.col("text"))) > 0).count()
-
-
 # --- dense ----------------------------------------------------------------------------------------------------------
 
 QUERY_BLOCK = 4096
+VECTOR_BLOCK = 16_384
+
+
+def vector_blocks(vectors: DataFrame, id_col: str, vec_col: str, size: int) -> DataFrame:
+    """``ids, matrix``: unit vectors in blocks of at most ``size``, doubles row by row; blocks are cut where the rows are, nothing is shuffled."""
+    kind = dict(vectors.dtypes)[id_col]
+
+    def run(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, size):
+                part = b.slice(i, size)
+                flat = part.column(1).flatten()
+                m = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
+                m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()], pa.list_(part.column(0).type)), pa.array([m.tobytes()], pa.binary())], ["ids", "matrix"])
+
+    return vectors.where(F.col(vec_col).isNotNull()).select(id_col, vec_col).mapInArrow(run, f"ids array<{kind}>, matrix binary")
 
 
 def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """``query_id, chunk_id, dense_score, dense_rank``: exact cosine, four places.
 
-    ``vectors (chunk_id, embedding)`` stay where they are; blocks of ``QUERY_BLOCK`` query vectors (a bounded matrix) visit
-    every partition, which keeps its own best ``k`` a query before anything is shuffled.
+    Blocks of ``vectors (chunk_id, embedding)`` meet blocks of queries ``(query_id, query_vec)``: every query is asked of every vector, as exact search must; the
+    planner broadcasts the queries' blocks while they are small and deals pairs of partitions otherwise. A pair of blocks keeps its
+    best ``k`` a query before anything is shuffled. Vectors must have the same number of dimensions.
     """
-    spark = vectors.sparkSession
     kind = {"chunk_id": dict(vectors.dtypes)["chunk_id"], "query_id": dict(queries.dtypes)["query_id"]}
     schema = f"query_id {kind['query_id']}, chunk_id {kind['chunk_id']}, dense_score double"
-    held, out = [], None
-
-    def visit(names, matrix):
-        def run(batches):
-            best: dict = {}
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                ids = b.column(0).to_pylist()
-                m = np.stack([np.asarray(v, np.float64) for v in b.column(1).to_pylist()])
-                m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-                scores = np.round(matrix @ m.T, 9)
+    asked = vector_blocks(queries, "query_id", "query_vec", QUERY_BLOCK).select(F.col("ids").alias("query_ids"), F.col("matrix").alias("query_matrix"))
+
+    def run(batches):
+        for b in batches:
+            for ids, data, names, other in zip(b.column(0), b.column(1), b.column(2), b.column(3), strict=True):
+                ids, names = ids.values, names.values
+                m = np.frombuffer(data.as_py(), np.float64).reshape(len(ids), -1)
+                scores = np.round(np.frombuffer(other.as_py(), np.float64).reshape(len(names), -1) @ m.T, 9)
                 shown = np.floor(np.abs(scores) * 1e4 + 0.5) / 1e4 * np.sign(scores)
-                for q, row in enumerate(shown):
-                    top = np.argpartition(-row, min(k, len(row)) - 1) if len(row) > k else np.arange(len(row))
-                    edge = row[top[min(k, len(row)) - 1]] if len(row) > k else -9.0
-                    mine = best.setdefault(q, [])
-                    mine += [(-float(row[i]), ids[i]) for i in np.flatnonzero(row >= edge)]
-                    if len(mine) > 4 * k:
-                        mine.sort()
-                        del mine[k:]
-            for q, mine in best.items():
-                mine.sort()
-                del mine[k:]
-                yield pa.RecordBatch.from_pydict({"query_id": [names[q]] * len(mine), "chunk_id": [i for _, i in mine], "dense_score": [-s for s, _ in mine]})
-        return run
-
-    def flush(names, rows):
-        m = np.stack([np.asarray(v, np.float64) for v in rows])
-        m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-        return vectors.where(F.col("embedding").isNotNull()).select("chunk_id", "embedding").mapInArrow(visit(names, m), schema)
-
-    names, rows = [], []
-    for r in queries.where(F.col("query_vec").isNotNull()).select("query_id", "query_vec").toLocalIterator():
-        names.append(r["query_id"])
-        rows.append(r["query_vec"])
-        if len(rows) == QUERY_BLOCK:
-            held.append(flush(names, rows))
-            names, rows = [], []
-    if rows:
-        held.append(flush(names, rows))
-    for part in held:
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = spark.createDataFrame([], schema)
-    return ranked(out, "dense_score", k, "dense_rank")
+                edge = -np.partition(-shown, k - 1, axis=1)[:, k - 1 : k] if shown.shape[1] > k else np.full((len(shown), 1), -9.0)
+                q, at = np.nonzero(shown >= edge)  # ties at the edge come along, the rank settles them
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), ids.take(pa.array(at)), pa.array(shown[q, at])], ["query_id", "chunk_id", "dense_score"])
+
+    pairs = vector_blocks(vectors, "chunk_id", "embedding", VECTOR_BLOCK).crossJoin(asked)
+    return ranked(pairs.mapInArrow(run, schema), "dense_score", k, "dense_rank")
 
 
 # --- fusion ---------------------------------------------------------------------------------------------------------
@@ -177,7 +175,8 @@ def rrf(dense: DataFrame, sparse: DataFrame, k: int = 5) -> DataFrame:
 
 
 def compare(dense: DataFrame, sparse: DataFrame, trust: DataFrame, k: int = 3) -> DataFrame:
-    """The top k of all four methods over the same queries: ``method, query_id, rank, chunk_id, score``. Inputs hold 3k candidates."""
+    """The top k of all four methods over the same queries: ``method, query_id, rank, chunk_id, score``. Inputs hold 3k candidates; they are written once, four methods read them."""
+    dense, sparse = written(dense, "dense"), written(sparse, "sparse")
     pick = lambda df, method, score, rank="rank": df.select(F.lit(method).alias("method"), "query_id", F.col(rank).alias("rank"), "chunk_id", F.col(score).alias("score"))
     d, s = dense.where(F.col("dense_rank") <= 2 * k), sparse.where(F.col("sparse_rank") <= 2 * k)
     return (

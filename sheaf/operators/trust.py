@@ -60,19 +60,21 @@ def final_trust(results: DataFrame, by: str = "query_id") -> DataFrame:
     best = F.row_number().over(group.orderBy(F.desc("final_trust"), "chunk_id"))
     out = out.withColumn("_any", F.max(F.col("passes").cast("int")).over(group)).withColumn("_best", best)
     fallback = (F.col("_any") == 0) & (F.col("_best") == 1)
-    reason = F.when(F.col("passes"), "trusted").when(fallback, "fallback: best available").when(~F.col("trusted"), "low consistency").otherwise("low trust")
+    # How consistency went; the fallback has a reason of its own.
+    reason = F.when(fallback, "fallback_best_available").otherwise(F.col("lcr_reason"))
     return out.withColumn("included", F.col("passes") | fallback).withColumn("reason", reason).drop("_any", "_best")
 
 
 def with_consistency(results: DataFrame, scores: DataFrame | None = None) -> DataFrame:
-    """``mscp_score, trusted, skipped``: 1 and skipped below ``LEAST_RA`` or without sampled answers to compare (fast path); else from ``scores (query_id, chunk_id, mscp_score)``, 0.5 and trusted where sampling failed."""
+    """``mscp_score, trusted, skipped, lcr_reason``: 1 and skipped below ``LEAST_RA`` or without sampled answers to compare (fast path); else from ``scores (query_id, chunk_id, mscp_score)``, 0.5 and trusted where sampling failed."""
     if scores is None:
-        return results.withColumns({"mscp_score": F.lit(1.0), "trusted": F.lit(True), "skipped": F.lit(True)})
+        return results.withColumns({"mscp_score": F.lit(1.0), "trusted": F.lit(True), "skipped": F.lit(True), "lcr_reason": F.lit("lcr_skipped_fast_path")})
     joined = results.join(scores, ["query_id", "chunk_id"], "left")
-    skipped = F.col("ra_score") < LEAST_RA
+    skipped, none = F.col("ra_score") < LEAST_RA, F.col("mscp_score").isNull()
     score = F.when(skipped, 1.0).otherwise(F.coalesce("mscp_score", F.lit(0.5)))
-    trusted = skipped | F.col("mscp_score").isNull() | (F.col("mscp_score") >= MIN_MSCP)
-    return joined.withColumns({"skipped": skipped, "trusted": trusted, "mscp_score": score})
+    trusted = skipped | none | (F.col("mscp_score") >= MIN_MSCP)
+    why = F.when(skipped, "below_min_score_skipped").when(none, "no_samples_returned").when(trusted, "consistent").otherwise("inconsistent_answers")
+    return joined.withColumns({"skipped": skipped, "trusted": trusted, "lcr_reason": why, "mscp_score": score})
 
 
 def trust_report(scored: DataFrame, by: str = "query_id") -> DataFrame:
@@ -109,17 +111,42 @@ def best_partition(x: np.ndarray, k: int) -> list[int]:
     return found
 
 
+#: Up to this many points are split by enumeration, which grows as 3^n.
+MOST_ENUMERATED = 12
+
+
+def lloyd(x: np.ndarray, k: int) -> list[int]:
+    """Labels by k-means from the farthest points on, for more points than can be enumerated; repeatable, and coincident points share a cluster."""
+    centres = [x.mean(axis=0)]
+    centres[0] = x[((x - centres[0]) ** 2).sum(axis=1).argmax()]
+    while len(centres) < k:
+        centres.append(x[np.min([((x - c) ** 2).sum(axis=1) for c in centres], axis=0).argmax()])
+    c, labels = np.stack(centres), None
+    for _ in range(100):
+        now = ((x[:, None] - c[None]) ** 2).sum(axis=2).argmin(axis=1)
+        if labels is not None and (now == labels).all():
+            break
+        labels = now
+        c = np.stack([x[labels == i].mean(axis=0) if (labels == i).any() else c[i] for i in range(k)])
+    return labels.tolist()
+
+
+def clusters(x: np.ndarray) -> list[int]:
+    """Labels of at most three clusters of all points."""
+    k = min(3, len(x))
+    return best_partition(x, k) if len(x) <= MOST_ENUMERATED else lloyd(x, k)
+
+
 def mscp(answers: DataFrame) -> DataFrame:
     """``query_id, chunk_id, mscp_score`` of sampled answers ``(query_id, chunk_id, sample, embedding)``: the largest of min(3, n) clusters over n.
 
-    A group holds the samples of one chunk, five by design; above twelve (enumeration grows as 3^n) the sample is cut by its order.
+    A group holds the samples of one chunk, five by design; they are split exactly, more than twelve by k-means.
     """
     kinds = dict(answers.dtypes)
     ship(answers.sparkSession)
 
     def run(pdf):
-        x = np.stack([np.asarray(v, float) for v in pdf.sort_values("sample")["embedding"]])[:12]
-        labels = best_partition(x, min(3, len(x)))
+        labels = clusters(np.stack([np.asarray(v, float) for v in pdf.sort_values("sample")["embedding"]]))
         share = 1.0 if len(labels) < 2 else round(max(labels.count(c) for c in set(labels)) / len(labels), 4)
         return pdf.head(1)[["query_id", "chunk_id"]].assign(mscp_score=share)
 

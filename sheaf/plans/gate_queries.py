@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sheaf.functions import rules as R
 from sheaf.operators import gates, weather
@@ -124,7 +125,7 @@ ky(ord, key) AS (VALUES {Q.rows(_keys)}), wd(key, kind, ord, word) AS (VALUES {Q
 sg AS (SELECT sk.*, coalesce((SELECT min_by(key, ord) FROM ky WHERE key = s), (SELECT min_by(key, ord) FROM ky WHERE contains(key, s) OR contains(s, key)), 'default') AS key FROM sk),
 hit AS (SELECT doc_id, min_by(word, ord) FILTER (WHERE kind = 'blocked') AS b, min_by(word, ord) FILTER (WHERE kind = 'allowed') AS a FROM sg JOIN wd ON wd.key = sg.key AND contains(low, word) GROUP BY doc_id),
 ga AS (SELECT sg.doc_id, lang, source, b IS NULL AS compatible, b AS matched_blocked, CASE WHEN b IS NULL THEN a END AS matched_allowed,
-  CASE WHEN key = 'default' THEN 'Default stage — permissive' WHEN b IS NOT NULL THEN 'Contains blocked topic: ' || b WHEN a IS NOT NULL THEN 'Contains allowed topic: ' || a ELSE 'Neutral content' END AS gate_reason FROM sg LEFT JOIN hit USING (doc_id))"""
+  CASE WHEN key = 'default' THEN 'Default stage — permissive' WHEN b IS NOT NULL THEN 'Contains blocked topic: ' || b WHEN a IS NOT NULL THEN 'Matches allowed topic: ' || a ELSE 'Neutral content — allowed by default' END AS gate_reason FROM sg LEFT JOIN hit USING (doc_id))"""
 
 
 def gated(spark, d):
@@ -160,35 +161,64 @@ def gate_applicability(spark, d):
 # --- readings -------------------------------------------------------------------------------------------------------
 
 def _weather_rows(spark, d):
-    """Seven readings of each user as a week of weather: value as rain, temperatures and probabilities from the ids."""
-    e = table(spark, d, "events")
-    days = F.array_sort(F.collect_list(F.struct("event_id", "value")))
-    week = e.groupBy("user_id").agg(F.slice(days, 1, 9).alias("x"))
+    """The first nine readings of each user as days of weather: value as rain, temperatures and probabilities from the ids; some arrays are shorter."""
+    e = table(spark, d, "events").withColumn("k", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))).where("k <= 9")
+    week = e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "value"))).alias("x"))
     col = lambda f: F.transform("x", f)
     daily = F.struct(
         col(lambda x: F.concat(F.lit("day "), x["event_id"].cast("string"))).alias("date"), col(lambda x: (20 + x["event_id"] % 20).cast("double")).alias("tmax"), col(lambda x: (5 + x["event_id"] % 15).cast("double")).alias("tmin"),
-        col(lambda x: F.when(x["event_id"] % 4 > 0, F.round(x["value"] / 10, 1))).alias("rain"), F.slice(col(lambda x: (x["event_id"] % 100).cast("double")), 1, 8).alias("rain_prob"))
-    return week.select("user_id", weather.forecast(daily).alias("days"), (F.col("user_id") % 45).cast("double").alias("temperature"), (F.col("user_id") % 100).cast("double").alias("humidity"))
+        col(lambda x: F.when(x["event_id"] % 4 > 0, F.round(x["value"] / 10, 1))).alias("rain"), F.slice(col(lambda x: (x["event_id"] % 100).cast("double")), 1, 5).alias("rain_prob"),
+        col(lambda x: F.when(x["event_id"] % 3 > 0, (x["event_id"] % 9) / 2)).alias("et0"), F.slice(col(lambda x: (x["event_id"] % 11).cast("double")), 1, 6).alias("uv"))
+    u = F.col("user_id")
+    current = F.struct(F.when(u % 9 > 0, (u % 45).cast("double")).alias("temperature"), (u % 100).cast("double").alias("humidity"), F.when(u % 2 > 0, (u % 7) / 4).alias("rain"), F.when(u % 5 > 0, (u % 30).cast("double")).alias("wind"), (u % 60).cast("int").alias("code"))
+    raw = F.struct(current.alias("current"), daily.alias("daily"))
+    return week.select("user_id", weather.weather_report(F.when(u % 13 > 0, raw), F.concat(F.lit("Place "), u.cast("string")), F.lit("2025-06-01 08:00")).alias("report"), weather.forecast(daily).alias("days"))
 
 
 WEEK = """
 o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
 dy AS (SELECT user_id, k, 'day ' || CAST(event_id AS VARCHAR) AS date, CAST(20 + event_id % 20 AS DOUBLE) AS tmax, CAST(5 + event_id % 15 AS DOUBLE) AS tmin,
-  CASE WHEN event_id % 4 > 0 THEN round(value / 10, 1) ELSE 0.0 END AS rain_mm, CAST(event_id % 100 AS DOUBLE) AS rain_prob FROM o WHERE k <= 8),
-wk AS (SELECT user_id, sum(rain_mm) FILTER (WHERE k <= 7) AS rain, bool_or(rain_prob > 70) FILTER (WHERE k <= 3) AS likely, CAST(user_id % 45 AS DOUBLE) AS t, CAST(user_id % 100 AS DOUBLE) AS h FROM dy GROUP BY user_id)"""
+  CASE WHEN event_id % 4 > 0 THEN round(value / 10, 1) ELSE 0.0 END AS rain_mm, CASE WHEN k <= 5 THEN CAST(event_id % 100 AS DOUBLE) ELSE 0.0 END AS rain_prob,
+  CASE WHEN event_id % 3 > 0 THEN (event_id % 9) / 2 END AS et0, CASE WHEN k <= 6 THEN CAST(event_id % 11 AS DOUBLE) END AS uv FROM o WHERE k <= 7),
+wk AS (SELECT user_id, sum(rain_mm) AS rain, bool_or(rain_prob > 70) FILTER (WHERE k <= 3) AS likely, CASE WHEN user_id % 9 > 0 THEN CAST(user_id % 45 AS DOUBLE) END AS t, CAST(user_id % 100 AS DOUBLE) AS h FROM dy GROUP BY user_id),
+al AS (SELECT *, list_filter([CASE WHEN rain > 100 THEN 'Heavy rainfall expected — avoid pesticide spraying' END, CASE WHEN rain < 5 THEN 'Dry week ahead — irrigation required' END,
+  CASE WHEN t > 38 THEN 'High heat stress risk — water crops in early morning' END, CASE WHEN t <> 0 AND t < 15 THEN 'Cold temperature — protect sensitive seedlings' END,
+  CASE WHEN h > 85 THEN 'High humidity — fungal disease risk is elevated' END, CASE WHEN likely THEN 'Rain likely in next 3 days — delay fertilizer application' END], lambda a: a IS NOT NULL) AS alerts FROM wk)"""
 
 
-@query("weather_forecast_zip", f"WITH {WEEK} SELECT user_id, CAST(k - 1 AS INTEGER) AS day, date, tmax, tmin, rain_mm, rain_prob FROM dy")
+@query("weather_forecast_zip", f"WITH {WEEK} SELECT user_id, CAST(k - 1 AS INTEGER) AS day, date, tmax, tmin, rain_mm, rain_prob, et0, uv FROM dy")
 def weather_forecast_zip(spark, d):
     return _weather_rows(spark, d).select("user_id", F.posexplode("days").alias("day", "x")).select("user_id", "day", "x.*")
 
 
-@query("weather_alerts", f"""WITH {WEEK} SELECT user_id, round(rain, 1) AS total_rain_7d, concat_ws('; ', CASE WHEN rain > 100 THEN 'Heavy rainfall expected — avoid pesticide spraying' END, CASE WHEN rain < 5 THEN 'Dry week ahead — irrigation required' END,
-  CASE WHEN t > 38 THEN 'High heat stress risk — water crops in early morning' END, CASE WHEN t <> 0 AND t < 15 THEN 'Cold temperature — protect sensitive seedlings' END,
-  CASE WHEN h > 85 THEN 'High humidity — fungal disease risk is elevated' END, CASE WHEN likely THEN 'Rain likely in next 3 days — delay fertilizer application' END) AS alerts FROM wk""")
+@query("weather_alerts", f"WITH {WEEK} SELECT user_id, round(rain, 1) AS total_rain_7d, array_to_string(alerts, '; ') AS alerts FROM al WHERE user_id % 13 > 0")
 def weather_alerts(spark, d):
-    w = _weather_rows(spark, d)
-    return w.select("user_id", F.round(weather.total_rain(F.col("days")), 1).alias("total_rain_7d"), F.array_join(weather.alerts(F.col("days"), F.col("temperature"), F.col("humidity")), "; ").alias("alerts"))
+    w = _weather_rows(spark, d).where(F.col("report").isNotNull())
+    return w.select("user_id", "report.total_rain_7d", F.array_join("report.alerts", "; ").alias("alerts"))
+
+
+CONTEXT = f"""{WEEK}, w(code, name) AS (VALUES {Q.rows(R.WEATHER_CODES.items())}),
+ln AS (SELECT user_id, string_agg('  ' || date || ': ' || CAST(tmin AS VARCHAR) || '–' || CAST(tmax AS VARCHAR) || '°C, ' || CASE WHEN rain_mm <> 0 THEN CAST(rain_mm AS VARCHAR) || 'mm rain (' ELSE 'No rain (' END
+  || CAST(rain_prob AS VARCHAR) || '% chance)' || CASE WHEN et0 <> 0 THEN ', ET0: ' || CAST(et0 AS VARCHAR) || 'mm' ELSE '' END, chr(10) ORDER BY k) AS days FROM dy GROUP BY user_id),
+cx AS (SELECT al.user_id, CASE WHEN user_id % 13 = 0 THEN 'Weather data unavailable.' ELSE '=== REAL-TIME WEATHER: Place ' || CAST(al.user_id AS VARCHAR) || ' ===' || chr(10) || 'As of 2025-06-01 08:00:' || chr(10)
+  || 'Current: ' || coalesce(name, 'Unknown') || ', ' || coalesce(CAST(t AS VARCHAR), 'N/A') || '°C, Humidity ' || CAST(h AS VARCHAR) || '%, Wind ' || CASE WHEN user_id % 5 > 0 THEN CAST(CAST(user_id % 30 AS DOUBLE) AS VARCHAR) ELSE 'N/A' END || ' km/h' || chr(10)
+  || 'Rainfall today: ' || CASE WHEN user_id % 2 > 0 THEN CAST((user_id % 7) / 4 AS VARCHAR) ELSE '0.0' END || ' mm' || chr(10) || chr(10) || '7-Day Forecast:' || chr(10) || days || chr(10)
+  || CASE WHEN len(alerts) > 0 THEN chr(10) || '⚠️  Agricultural Alerts:' || chr(10) || array_to_string(list_transform(alerts, lambda a: '  • ' || a), chr(10)) || chr(10) ELSE '' END || '{"=" * 40}' END AS context
+  FROM al JOIN ln USING (user_id) LEFT JOIN w ON code = al.user_id % 60)"""
+
+
+@query("weather_context", f"WITH {CONTEXT} SELECT user_id, context FROM cx")
+def weather_context(spark, d):
+    return _weather_rows(spark, d).select("user_id", weather.weather_context(F.col("report")).alias("context"))
+
+
+_question = "CASE WHEN user_id % 3 = 0 THEN 'Will it rain tomorrow in Salem?' ELSE 'What is compost?' END"
+
+
+@query("enrich_weather", f"WITH {CONTEXT} SELECT user_id, CASE WHEN user_id % 3 = 0 AND user_id % 13 > 0 THEN context || chr(10) || chr(10) ELSE '' END || 'base text' AS context FROM cx")
+def enrich_weather(spark, d):
+    """A third of the users ask about the weather."""
+    return _weather_rows(spark, d).select("user_id", weather.enrich(F.expr(_question), F.lit("base text"), F.col("report")).alias("context"))
 
 
 @query("weather_codes", f"WITH w(code, name) AS (VALUES {Q.rows(R.WEATHER_CODES.items())}) SELECT event_id, coalesce(name, 'Unknown') AS condition FROM events LEFT JOIN w ON code = event_id % 100")
@@ -196,14 +226,14 @@ def weather_codes(spark, d):
     return table(spark, d, "events").select("event_id", weather.decode((F.col("event_id") % 100).cast("int")).alias("condition"))
 
 
-@query("soil_label", "SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'UNAVAILABLE' WHEN value / 200 > 0.3 THEN 'WET' WHEN value / 200 > 0.15 THEN 'OPTIMAL' ELSE 'DRY' END AS label FROM events")
+@query("soil_label", "SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'UNAVAILABLE' WHEN value / 200 > 0.3 THEN 'WET — delay fertilizer application' WHEN value / 200 > 0.15 THEN 'OPTIMAL — good time for fertilizer' ELSE 'DRY — irrigate before fertilizing' END AS label FROM events")
 def soil_label(spark, d):
     return table(spark, d, "events").select("event_id", weather.soil_label(F.when(F.col("event_id") % 11 != 0, F.col("value") / 200)).alias("label"))
 
 
-SATELLITE = """s AS (SELECT user_id, avg(CASE WHEN event_id % 6 > 0 THEN 10 + (user_id * 7) % 30 + event_id % 3 END) AS t, coalesce(sum(CASE WHEN event_id % 5 > 0 THEN round(value, 2) END), 0.0) AS r FROM events GROUP BY user_id),
-b AS (SELECT *, CASE WHEN r > 100 AND t BETWEEN 25 AND 35 THEN 'active growth / monsoon stage' WHEN r < 20 AND t > 35 THEN 'dry season / harvest stage' WHEN t < 15 THEN 'winter dormancy' END AS stage,
-  CASE WHEN r > 100 AND t BETWEEN 25 AND 35 THEN 0.7 WHEN r < 20 AND t > 35 THEN 0.6 WHEN t < 15 THEN 0.6 ELSE 0.0 END AS confidence FROM s)"""
+SATELLITE = """s AS (SELECT user_id, avg(CASE WHEN event_id % 6 > 0 THEN 10 + (user_id * 7) % 30 + event_id % 3 END) AS t, sum(CASE WHEN event_id % 5 > 0 THEN round(value, 2) END) AS r FROM events GROUP BY user_id),
+b AS (SELECT *, CASE WHEN r > 100 AND t BETWEEN 25 AND 35 THEN 'active growth / monsoon stage' WHEN r < 20 AND t > 35 THEN 'dry season management' WHEN r IS NOT NULL AND t < 15 THEN 'dormancy or winter stage' END AS stage,
+  CASE WHEN r > 100 AND t BETWEEN 25 AND 35 THEN 0.7 WHEN r < 20 AND t > 35 THEN 0.6 WHEN r IS NOT NULL AND t < 15 THEN 0.6 ELSE 0.0 END AS confidence FROM s)"""
 
 
 def _satellite(spark, d):
@@ -222,9 +252,44 @@ def stage_selection(spark, d):
     return _satellite(spark, d).select("user_id", weather.stage_choice(F.col("s"), F.lit("from calendar")).alias("stage"))
 
 
-@query("seasonal_context", f"""WITH p(crop, season, alerts) AS (VALUES {Q.rows([(c, s, "".join(f"  - {a}" + chr(10) for a in al)) for (c, s), al in R.PESTS.items()])}), e AS (SELECT event_id, {CROP} AS crop, {SEASON} AS season, {MONTH} AS month FROM events)
-SELECT event_id, 'Crop: ' || e.crop || chr(10) || 'Stage: any (month ' || CAST(month AS VARCHAR) || ')' || chr(10) || 'Soil: DRY -' || chr(10) || 'Season: ' || e.season || chr(10) || 'Pest alerts:' || chr(10) || coalesce(a.alerts, b.alerts) AS context
-FROM e LEFT JOIN p a ON a.crop = e.crop AND a.season = e.season LEFT JOIN p b ON b.crop = 'default' AND b.season = e.season""")
+@query("seasonal_context", f"""WITH p(crop, season, alerts) AS (VALUES {Q.rows([(c, s, "".join(f"  ⚠️  {a}" + chr(10) for a in al)) for (c, s), al in R.PESTS.items()])}), cal(crop, month, stage) AS (VALUES {Q.rows(_calendar)}),
+e AS (SELECT event_id, {CROP} AS crop, {SEASON} AS season, {MONTH} AS month, CASE WHEN event_id % 11 > 0 THEN (event_id % 40) / 100 END AS m FROM events)
+SELECT event_id, chr(10) || '=== SEASONAL AGRICULTURAL CONTEXT ===' || chr(10) || 'Crop          : ' || e.crop || chr(10) || 'Growth Stage  : ' || coalesce(ca.stage, cb.stage) || ' (Month ' || CAST(e.month AS VARCHAR) || ')' || chr(10)
+  || 'Soil Moisture : ' || CASE WHEN m IS NULL THEN 'UNAVAILABLE' WHEN m > 0.3 THEN 'WET — delay fertilizer application' WHEN m > 0.15 THEN 'OPTIMAL — good time for fertilizer' ELSE 'DRY — irrigate before fertilizing' END || chr(10)
+  || 'Soil M³/M³    : ' || coalesce(CAST(m AS VARCHAR), 'None') || chr(10) || 'Season        : ' || e.season || chr(10) || 'Pest Alerts   :' || chr(10) || coalesce(a.alerts, b.alerts) || '======================================' AS context
+FROM e LEFT JOIN p a ON a.crop = e.crop AND a.season = e.season LEFT JOIN p b ON b.crop = 'default' AND b.season = e.season LEFT JOIN cal ca ON ca.crop = e.crop AND ca.month = e.month LEFT JOIN cal cb ON cb.crop = 'default' AND cb.month = e.month""")
 def seasonal_context(spark, d):
-    r = _season_rows(spark, d)
-    return r.select("event_id", weather.seasonal_context(F.col("crop"), F.lit("any"), F.col("month"), F.lit("DRY"), F.lit(None).cast("double"), F.col("season"), gates.pest_alerts(F.col("crop"), F.col("season"))).alias("context"))
+    m = table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 11 > 0, (F.col("event_id") % 40) / 100).alias("m"))
+    r = _season_rows(spark, d).join(m, "event_id")
+    crop, month = F.col("crop"), F.col("month")
+    return r.select("event_id", weather.seasonal_context(crop, gates.calendar_stage(crop, month), month, weather.soil_label(F.col("m")), F.col("m"), F.col("season"), gates.pest_alerts(crop, F.col("season"))).alias("context"))
+
+
+_reply = """CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'no json' WHEN 2 THEN '{}' WHEN 3 THEN '{"query_type": "' || upper(event_type) || '", "complexity": "complex"}'
+  ELSE '{"query_type": "DIAGNOSTIC", "confidence": 0.25, "reasoning": "why", "key_topics": ["a", "b"]}' END"""
+
+
+@query("classify_reply", """SELECT event_id, CASE event_id % 5 WHEN 3 THEN upper(event_type) WHEN 4 THEN 'DIAGNOSTIC' ELSE 'FACTUAL' END AS query_type, CAST(CASE event_id % 5 WHEN 0 THEN 0.5 WHEN 1 THEN 0.5 WHEN 4 THEN 0.25 ELSE 0.7 END AS DOUBLE) AS confidence,
+  CASE event_id % 5 WHEN 3 THEN 'complex' ELSE 'simple' END AS complexity, CASE event_id % 5 WHEN 4 THEN 'a,b' ELSE '' END AS topics FROM events""")
+def classify_reply(spark, d):
+    """Replies of a classifying model: none, no JSON, without keys, with some, with all."""
+    c = table(spark, d, "events").select("event_id", gates.parsed_classification(F.expr(_reply)).alias("c"))
+    return c.select("event_id", "c.query_type", "c.confidence", "c.complexity", F.array_join("c.key_topics", ",").alias("topics"))
+
+
+@query("service_replies", """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 13.0827 ELSE round(10 + event_id / 12345.0, 4) END AS latitude, CASE WHEN event_id % 3 = 0 THEN 'Chennai, Tamil Nadu' ELSE 'Place' END AS place, event_id % 3 > 0 AS found,
+  CASE WHEN event_id % 4 > 0 THEN CAST(event_id % 50 AS DOUBLE) END AS temperature, CASE WHEN event_id % 4 > 0 THEN 1.5 END AS et0, CASE WHEN event_id % 5 > 0 THEN event_id % 40 / 100 END AS soil_moisture,
+  CASE WHEN event_id % 5 > 0 THEN 'reading' ELSE 'Soil moisture data unavailable' END AS advisory, CASE WHEN event_id % 6 > 0 THEN event_id % 45 + 0.5 END AS avg_temp FROM events""")
+def service_replies(spark, d):
+    """Replies of the four services, some of them broken."""
+    from sheaf.sources import services as V
+
+    e, i = table(spark, d, "events"), F.col("event_id")
+    text = lambda n, fmt, *c: F.when(i % n == 0, "oops").otherwise(F.format_string(fmt, *c))
+    rows = e.select(
+        "event_id", V.place_of(text(3, '[{"lat": "%s", "lon": "77.1", "display_name": "Place"}]', (10 + i / 12345.0).cast("string"))).alias("g"),
+        V.weather_of(text(4, '{"current": {"temperature_2m": %d.0, "weather_code": 3}, "daily": {"time": ["x"], "et0_fao_evapotranspiration": [1.5]}}', i % 50)).alias("w"),
+        V.soil_of(text(5, '{"hourly": {"soil_moisture_0_to_1cm": [%s]}}', ((i % 40) / 100).cast("string"))).alias("s"),
+        V.satellite_of(text(6, '{"properties": {"parameter": {"T2M": {"a": %d, "b": null, "c": %d}, "PRECTOTCORR": {"a": 1.0}}}}', i % 45, i % 45 + 1)).alias("n"))
+    return rows.select("event_id", "g.latitude", "g.place", "g.found", F.col("w.current.temperature").alias("temperature"), F.get("w.daily.et0", 0).alias("et0"), "s.soil_moisture",
+                       F.when(F.col("s.advisory").startswith("Soil"), F.col("s.advisory")).otherwise("reading").alias("advisory"), "n.avg_temp")

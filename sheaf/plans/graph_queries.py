@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from sheaf.operators import feedback, graph, provenance
@@ -11,8 +9,9 @@ from sheaf.sources import documents as S
 from sheaf.sources import registry as reg
 
 from . import sql as Q
-from .registry import query, table
+from .registry import query, scratch_folder, table, texts
 from .retrieval_queries import FRESH, fresh
+from .text_queries import CHUNKS
 
 
 def triplets(spark, d):
@@ -96,9 +95,9 @@ def triplet_context(spark, d):
     return e.groupBy("object").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("subject", "l"))), lambda x: x["l"]), "\n").alias("context"))
 
 
-@query("even_sample", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS k, greatest(1, count(*) OVER (PARTITION BY source) // 15) AS s FROM documents) WHERE k % s = 0 AND k // s < 15")
+@query("even_sample", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS k, greatest(1, count(*) OVER (PARTITION BY source) // 150) AS s FROM documents) WHERE k % s = 0 AND k // s < 150")
 def even_sample(spark, d):
-    return graph.even_sample(table(spark, d, "documents").select("doc_id", "source"), "source", "doc_id", 15).select("doc_id")
+    return graph.even_sample(table(spark, d, "documents").select("doc_id", "source"), "source", "doc_id", 150).select("doc_id")
 
 
 @query("unprocessed_chunks", "SELECT doc_id AS chunk_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) AND doc_id NOT IN (SELECT vec_id FROM embeddings WHERE label = 3)")
@@ -123,7 +122,7 @@ pm AS (SELECT conv_id, turn, idx, CASE WHEN s > 0.1 THEN source ELSE 'UNKNOWN' E
 
 
 def answers(spark, d):
-    c = table(spark, d, "conversations").where("role = 'assistant'").select(F.struct("conv_id", "turn").alias("query_id"), F.col("text").alias("answer"))
+    c = texts(spark, d, "conversations").where("role = 'assistant'").select(F.struct("conv_id", "turn").alias("query_id"), F.col("text").alias("answer"))
     return provenance.split_answers(c)
 
 
@@ -170,11 +169,6 @@ def feedback_accuracy(spark, d):
     return feedback.accuracy(feedback_log(spark, d))
 
 
-@query("feedback_report", f"WITH {LOG} SELECT count(*) AS total_feedbacks, count(*) FILTER (WHERE path = 'fast') AS fast_n, count(*) FILTER (WHERE path = 'slow') AS slow_n, round(100.0 * count(*) FILTER (WHERE path = 'fast' AND ok) / count(*) FILTER (WHERE path = 'fast'), 1) AS fast_pct, round(100.0 * count(*) FILTER (WHERE path = 'slow' AND ok) / count(*) FILTER (WHERE path = 'slow'), 1) AS slow_pct FROM lg")
-def feedback_report(spark, d):
-    return feedback.report(feedback_log(spark, d))
-
-
 ADAPTED = f"""{LOG},
 cu AS (SELECT tenant, seq, row_number() OVER w AS k, coalesce(sum(CASE WHEN path = 'fast' AND ok THEN 1 ELSE 0 END) OVER w / nullif(sum(CASE WHEN path = 'fast' THEN 1 ELSE 0 END) OVER w, 0), 0.0) AS f,
   coalesce(sum(CASE WHEN path = 'slow' AND ok THEN 1 ELSE 0 END) OVER w / nullif(sum(CASE WHEN path = 'slow' THEN 1 ELSE 0 END) OVER w, 0), 0.0) AS s FROM lg WINDOW w AS (PARTITION BY tenant ORDER BY seq ROWS UNBOUNDED PRECEDING)),
@@ -183,6 +177,20 @@ th AS (SELECT tenant, seq, k, CAST(1.5 AS DOUBLE) AS threshold FROM de WHERE k =
   UNION ALL SELECT de.tenant, de.seq, de.k, CAST(round(greatest(0.8, least(2.5, threshold + delta)), 3) AS DOUBLE) FROM th JOIN de ON de.tenant = th.tenant AND de.k = th.k + 1)"""
 
 
+_ALL = ADAPTED.replace(f"CAST(user_id % {TENANTS} AS VARCHAR) AS tenant", "'all' AS tenant")
+
+
+@query("feedback_report", f"""WITH RECURSIVE {_ALL},
+c AS (SELECT count(*) AS total_feedbacks, count(*) FILTER (WHERE path = 'fast') AS fast_n, count(*) FILTER (WHERE path = 'slow') AS slow_n, coalesce(100.0 * count(*) FILTER (WHERE path = 'fast' AND ok) / nullif(count(*) FILTER (WHERE path = 'fast'), 0), 0.0) AS f,
+  coalesce(100.0 * count(*) FILTER (WHERE path = 'slow' AND ok) / nullif(count(*) FILTER (WHERE path = 'slow'), 0), 0.0) AS s, greatest(0, count(*) - 2) AS threshold_history FROM lg),
+t AS (SELECT coalesce(max_by(threshold, k), 1.5) AS current_threshold FROM th)
+SELECT current_threshold, total_feedbacks, fast_n, slow_n, CAST(round(f, 2) AS DOUBLE) AS fast_pct, CAST(round(s, 2) AS DOUBLE) AS slow_pct, threshold_history,
+  'Current Threshold : ' || CAST(current_threshold AS VARCHAR) || chr(10) || 'Total Feedbacks   : ' || total_feedbacks || chr(10) || 'Fast Path Entries : ' || fast_n || chr(10) || 'Slow Path Entries : ' || slow_n || chr(10)
+  || 'Fast Accuracy     : ' || printf('%.2f', f) || '%' || chr(10) || 'Slow Accuracy     : ' || printf('%.2f', s) || '%' || chr(10) || 'Threshold History : ' || threshold_history || ' changes' AS report FROM c, t""")
+def feedback_report(spark, d):
+    return feedback.report(feedback_log(spark, d))
+
+
 @query("adaptive_threshold", f"WITH RECURSIVE {ADAPTED} SELECT tenant, seq, threshold FROM th")
 def adaptive_threshold(spark, d):
     return feedback.thresholds(feedback_log(spark, d), ("tenant",)).select("tenant", "seq", "threshold")
@@ -213,27 +221,19 @@ def document_stats(spark, d):
 
 @query("new_vs_stored", "SELECT doc_id, n_chars FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
 def new_vs_stored(spark, d):
-    return table(spark, d, "documents").select("doc_id", "n_chars").join(table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_anti")
+    return S.new_files(table(spark, d, "documents").select("doc_id", "n_chars"), table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id")
 
 
 @query("chunk_store_append", "SELECT source AS source_file, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY source")
 def chunk_store_append(spark, d):
     """Half the documents are stored, then all are appended: nothing twice."""
-    path = f"{shared(spark)}/store"
+    path = f"{scratch_folder(spark)}/store"
     chunks = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "n_chars", F.col("source").alias("source_file"))
     S.append_chunks(chunks.where("lang = 'en'"), path)
     S.append_chunks(chunks, path)
     return spark.read.parquet(path).groupBy("source_file").agg(F.count("*").alias("n"), F.min("chunk_id").alias("first_id"))
 
 
-def shared(spark) -> str:
-    """A fresh folder where the cluster keeps checkpoints; a temporary one where it names none."""
-    import uuid
-
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{named.rstrip('/')}/sheaf-{uuid.uuid4().hex}" if named else tempfile.mkdtemp(prefix="sheaf-")
-
-
 @query("vector_export", "SELECT doc_id AS chunk_id, 0 AS char_count, CASE WHEN doc_id % 2 = 0 THEN 0.5 ELSE 0.7 END AS authority_score, CASE WHEN doc_id % 3 = 0 THEN 'a,b' ELSE '' END AS tags FROM documents")
 def vector_export(spark, d):
     store = table(spark, d, "documents").select(
@@ -287,9 +287,9 @@ def per_source_cap(spark, d):
     return S.cap_per_source(table(spark, d, "events").withColumn("ok", F.col("event_type") != "error"), "user_id", "event_id", 3).select("user_id", "event_id")
 
 
-@query("safe_filename", r"SELECT doc_id, source || '_' || replace(trim(substr(regexp_replace(substr(text, 1, 90), '[^\p{L}\p{N} _-]', '_', 'g'), 1, 60)), ' ', '_') || '_' || CAST(doc_id AS VARCHAR) || '.pdf' AS filename FROM documents")
+@query("safe_filename", r"SELECT doc_id, source || '_' || replace(trim(substr(regexp_replace(text, '[^\p{L}\p{N} _-]', '_', 'g'), 1, 60)), ' ', '_') || '_' || CAST(doc_id AS VARCHAR) || '.pdf' AS filename FROM documents")
 def safe_filename(spark, d):
-    return table(spark, d, "documents").select("doc_id", S.safe_filename(F.substring("text", 1, 90), F.concat("source", F.lit(" of all")), F.col("doc_id")).alias("filename"))
+    return table(spark, d, "documents").select("doc_id", S.safe_filename(F.col("text"), F.concat("source", F.lit(" of all")), F.col("doc_id")).alias("filename"))
 
 
 @query("line_classify", r"""WITH t AS (SELECT doc_id, string_split('# Head' || chr(10) || '```' || chr(10) || text || chr(10) || '```' || chr(10) || '---' || chr(10) || text, chr(10)) AS l FROM documents),
@@ -299,7 +299,7 @@ SELECT doc_id, CASE WHEN fence THEN 'fence' WHEN n % 2 = 1 THEN 'code' WHEN rege
   WHEN regexp_matches(trim(line), '^(---+|\*\*\*+|___+)$') THEN 'rule' WHEN trim(line) = '' THEN 'blank' ELSE 'paragraph' END AS kind, count(*) AS n FROM f GROUP BY ALL""")
 def line_classify(spark, d):
     text = F.concat(F.lit("# Head\n```\n"), "text", F.lit("\n```\n---\n"), "text")
-    kinds = table(spark, d, "documents").select("doc_id", F.explode(S.line_kinds(text)).alias("x"))
+    kinds = texts(spark, d).select("doc_id", F.explode(S.line_kinds(text)).alias("x"))
     return kinds.groupBy("doc_id", F.col("x.kind").alias("kind")).agg(F.count("*").alias("n"))
 
 
@@ -314,11 +314,12 @@ def index_status(spark, d):
     """The index of part of the documents is stored; asked for all of them it is stale and rebuilt."""
     from sheaf.sources import stores
 
-    path = shared(spark)
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text", "lang")
+    path = scratch_folder(spark)
+    docs = texts(spark, d).select(F.col("doc_id").alias("chunk_id"), "text", "lang")
     stores.write_index(docs.where("lang = 'de'"), path)
-    posts, stats = stores.current_index(docs, path)
-    return stats.select("n_docs", F.round("avgdl", 6).alias("avgdl"), F.lit(posts.count()).alias("n_postings"), F.lit(posts.select("term").distinct().count()).alias("n_terms"))
+    index = stores.current_index(docs, path)
+    n = lambda t: t.select(F.count("*").alias("n")).scalar().cast("int")
+    return index.stats.select("n_docs", F.round("avgdl", 6).alias("avgdl"), n(index.postings).alias("n_postings"), n(index.terms).alias("n_terms"))
 
 
 @query("auto_metadata", "WITH k(source_file, title) AS (VALUES ('src1', 'One'), ('src2', NULL)) SELECT source AS source_file, coalesce(title, source) AS title, 2024 AS year, 0.9 AS authority_score, count(*) AS n FROM documents LEFT JOIN k ON source = source_file GROUP BY ALL")
@@ -336,15 +337,29 @@ def download_filter(spark, d):
     return p.where(S.wanted_download(F.col("kind"), F.col("url"))).select("page_id", "url")
 
 
-@query("reply_match", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'UNKNOWN' ELSE event_type END AS matched_source, CASE WHEN event_id % 4 = 0 THEN 0.0 ELSE 0.5 END AS confidence, CASE WHEN event_id % 4 = 0 THEN 0.0 WHEN event_type = 'view' THEN 0.65 ELSE 0.25 END AS combined_score FROM events")
+@query("reply_match", """SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'view' WHEN 1 THEN 'INFERRED' ELSE event_type END AS matched_source, CAST(CASE event_id % 4 WHEN 0 THEN 0.8 WHEN 1 THEN 0.3 ELSE 0.5 END AS DOUBLE) AS confidence,
+  CASE WHEN event_id % 4 = 0 OR event_id % 4 > 1 AND event_type = 'view' THEN 'FRESH' WHEN event_id % 4 = 1 THEN 'INFERRED' ELSE 'UNKNOWN' END AS freshness_label,
+  CAST(CASE WHEN event_id % 4 = 0 THEN 0.8 WHEN event_id % 4 = 1 THEN 0.15 WHEN event_type = 'view' THEN 0.65 ELSE 0.25 END AS DOUBLE) AS combined_score FROM events""")
 def reply_match(spark, d):
-    reply = F.when(F.col("event_id") % 4 == 0, "no json").otherwise(F.to_json(F.struct(F.col("event_type").alias("source"), F.lit(0.5).alias("confidence"))))
-    replies = table(spark, d, "events").select(F.col("event_id").alias("query_id"), F.lit(0).alias("idx"), F.lit("s").alias("sentence"), reply.alias("reply"))
-    chunks = replies.select("query_id", F.lit("view").alias("source_file"), F.lit(0.8).alias("temporal_score"), F.lit("FRESH").alias("freshness_label"), F.lit(1).alias("chunk_rank"))
-    return provenance.model_match(replies, chunks).select(F.col("query_id").alias("event_id"), "matched_source", "confidence", "combined_score")
+    """Replies that are no JSON (half of the sentence's words are in the chunk), that name no source, that name one."""
+    kind = F.col("event_id") % 4
+    reply = F.when(kind == 0, "no json").when(kind == 1, "{}").otherwise(F.to_json(F.struct(F.col("event_type").alias("matched_source"), F.lit(0.5).alias("confidence"))))
+    replies = table(spark, d, "events").select(F.col("event_id").alias("query_id"), F.lit(0).alias("idx"), F.lit("green water").alias("sentence"), reply.alias("reply"))
+    chunks = replies.select("query_id", F.lit("view").alias("source_file"), F.lit("Water it").alias("text"), F.lit(0.8).alias("temporal_score"), F.lit("FRESH").alias("freshness_label"), F.lit(1).alias("chunk_rank"))
+    return provenance.model_match(replies, chunks).select(F.col("query_id").alias("event_id"), "matched_source", "confidence", "freshness_label", "combined_score")
 
 
-@query("provenance_report", None)
+_shown = "CASE WHEN length(sentence) > 80 THEN substr(sentence, 1, 80) || '...' ELSE sentence END"
+_two = lambda x: f"CAST(CAST(round(CAST({x} AS DECIMAL(18, 6)), 2) AS DECIMAL(18, 2)) AS VARCHAR)"  # noqa: E731  halves of the decimal value go up
+_fresh = "CASE WHEN s > 0.1 THEN freshness_label ELSE 'UNKNOWN' END"
+
+
+@query("provenance_report", f"""WITH {MATCHED}, pr AS (SELECT pm.*, sentence, {_fresh} AS label, CASE WHEN s > 0.1 THEN 'heuristic overlap' ELSE 'matching failed' END AS reason FROM pm JOIN be USING (conv_id, turn, idx)),
+su AS (SELECT conv_id, turn, count(*) AS n, {Q.rnd('avg(confidence)', 3)} AS c, {Q.rnd('avg(temporal_score)', 4)} AS t, {Q.rnd('avg(combined_score)', 4)} AS o, count(*) FILTER (WHERE confidence > 0.7) AS high, count(*) FILTER (WHERE matched_source = 'UNKNOWN') AS inferred FROM pm GROUP BY conv_id, turn),
+bl AS (SELECT conv_id, turn, string_agg('📝 "' || {_shown} || '"' || chr(10) || '   └─ Source     : ' || matched_source || chr(10) || '   └─ Confidence : ' || {_two('confidence')} || chr(10) || '   └─ Freshness  : ' || label
+  || ' (temporal score: ' || printf('%.4f', temporal_score) || ')' || chr(10) || '   └─ Combined   : ' || printf('%.4f', combined_score) || chr(10) || '   └─ Reason     : ' || reason, chr(10) || chr(10) ORDER BY idx) AS b FROM pr GROUP BY conv_id, turn)
+SELECT conv_id, turn, b || chr(10) || chr(10) || '📊 PROVENANCE SUMMARY' || chr(10) || '   Total sentences analysed : ' || n || chr(10) || '   Avg confidence           : ' || {_two('c')} || chr(10) || '   Avg temporal score       : ' || printf('%.4f', t) || chr(10)
+  || '   Avg combined score       : ' || printf('%.4f', o) || chr(10) || '   High confidence (>0.7)   : ' || high || ' sentences' || chr(10) || '   Inferred (no source)     : ' || inferred || ' sentences' AS report FROM bl JOIN su USING (conv_id, turn)""")
 def provenance_report(spark, d):
     return provenance.report(matched(spark, d)).select("query_id.*", "report")
 
@@ -356,7 +371,7 @@ def stream_threshold(spark, d):
     """The adaptive threshold from a stream: one state a tenant."""
     from sheaf.streaming.feedback import threshold_stream
 
-    root = shared(spark)
+    root = scratch_folder(spark)
     log = feedback_log(spark, d).select(F.col("tenant").alias("key"), "seq", "path", "was_accurate")
     log.write.parquet(f"{root}/log")
     stream = threshold_stream(spark.readStream.schema(log.schema).parquet(f"{root}/log"))
@@ -365,13 +380,18 @@ def stream_threshold(spark, d):
     return spark.read.schema("key string, seq long, threshold double").parquet(f"{root}/out")
 
 
-@query("stream_ingest", None)
+#: Pages are cleaned and built to a full text, a line feed after each, before they are chunked.
+_INGEST = CHUNKS.replace(f"{Q.sentences('text')} AS s FROM documents", f"{Q.sentences('page')} AS s FROM (SELECT doc_id, {Q.clean('text')} || chr(10) AS page FROM documents)").replace("coalesce(NOT (length(lag(sentence) OVER w) >= 20 AND length(sentence) >= 20), false)", "false")
+
+
+@query("stream_ingest", f"""WITH RECURSIVE {_INGEST}
+SELECT 'doc' || doc_id || '.json' AS source_file, count(*) AS n_chunks, count(*) AS n_ids, CAST(sum(length(text)) AS BIGINT) AS chars FROM chunks GROUP BY doc_id""")
 def stream_ingest(spark, d):
     """Documents as extracted files through the ingest stream, twice; the second run finds nothing new."""
     from sheaf.schemas import EXTRACTED, METADATA
     from sheaf.streaming.ingest import ingest_stream
 
-    root = shared(spark)
+    root = scratch_folder(spark)
     pages = F.array(F.struct(F.lit(1).alias("page_number"), F.col("text"), F.array().cast("array<string>").alias("tables_text")))
     docs = table(spark, d, "documents").select(F.concat(F.lit("doc"), "doc_id", F.lit(".json")).alias("filename"), pages.alias("pages"), F.lit(1).alias("total_pages"))
     docs.write.json(f"{root}/in")

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sheaf.session import shared_folder, spread
 
 from .casts import typed
 
@@ -26,3 +31,29 @@ def query(name: str, sql: str | None = None):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A table whose texts are worked on: dealt to all cores if it is small."""
+    return spread(table(spark, sf_dir, name))
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A fresh folder that driver and executors share."""
+    return f"{shared_folder(spark)}/sheaf-{uuid.uuid4().hex}"
+
+
+def stored_index(spark: SparkSession, sf_dir: str):
+    """The index of the documents of a folder: built by the first query that asks, read by all others of the application.
+
+    The table's size, file count and time of change name the index, so other documents in the same place get one of their own.
+    """
+    from sheaf.sources import stores
+
+    path = f"{sf_dir}/documents.parquet"
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    held = fs.getContentSummary(p)
+    version = f"{path}|{held.getLength()}|{held.getFileCount()}|{fs.getFileStatus(p).getModificationTime()}|{spark.sparkContext.applicationId}"
+    corpus = texts(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), "text")
+    return stores.current_index(corpus, f"{shared_folder(spark)}/index-{hashlib.sha256(version.encode()).hexdigest()[:32]}")

@@ -9,7 +9,7 @@ from sheaf.operators import retrieval, trust
 
 from . import sql as Q
 from .fixtures import REGISTRY
-from .registry import query, table
+from .registry import query, stored_index, table, texts
 from .text_queries import META, metadata
 
 K = 5
@@ -43,18 +43,17 @@ def dense(spark, d, k):
 
 
 def sparse(spark, d, k, stop_words=None):
-    return retrieval.sparse_topk(corpus(spark, d), questions(spark, d).select("query_id", "query"), k, stop_words)
+    return retrieval.sparse_topk(stored_index(spark, d), questions(spark, d).select("query_id", "query"), k, stop_words)
 
 
 @query("term_stats", f"WITH {Q.BM25} SELECT term, df, round(idf, 6) AS idf FROM idf")
 def term_stats(spark, d):
-    posts = retrieval.postings(corpus(spark, d))
-    return retrieval.term_stats(posts, retrieval.corpus_stats(corpus(spark, d))).select("term", "df", F.round("idf", 6).alias("idf"))
+    return stored_index(spark, d).terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query("postings", f"WITH {Q.BM25} SELECT term, chunk_id, tf, dl AS doc_len FROM po")
 def postings(spark, d):
-    return retrieval.postings(corpus(spark, d)).select("term", "chunk_id", "tf", "doc_len")
+    return retrieval.postings(texts(spark, d).select(F.col("doc_id").alias("chunk_id"), "text")).select("term", "chunk_id", "tf", "doc_len")
 
 
 @query("sparse_topk", f"WITH {Q.sparse(10)} SELECT query_id, chunk_id, sparse_score, sparse_rank FROM sparse")
@@ -151,7 +150,7 @@ def authority_rerank(spark, d):
     return trust.rerank_by_authority(results(spark, d)).select("query_id", "chunk_id", "final_score", "ra_score", "ra_rank")
 
 
-@query("final_trust", f"WITH {RESULTS} SELECT query_id, chunk_id, ra_score, mscp_score, final_trust, passes OR fallback AS included, CASE WHEN passes THEN 'trusted' WHEN fallback THEN 'fallback: best available' WHEN NOT trusted THEN 'low consistency' ELSE 'low trust' END AS reason FROM fb")
+@query("final_trust", f"WITH {RESULTS} SELECT query_id, chunk_id, ra_score, mscp_score, final_trust, passes OR fallback AS included, CASE WHEN fallback THEN 'fallback_best_available' WHEN skipped THEN 'below_min_score_skipped' WHEN chunk_id % 7 = 3 THEN 'no_samples_returned' WHEN mscp_score >= 0.55 THEN 'consistent' ELSE 'inconsistent_answers' END AS reason FROM fb")
 def final_trust(spark, d):
     return trust.trust_pipeline(results(spark, d), consistency(spark, d)).select("query_id", "chunk_id", "ra_score", "mscp_score", "final_trust", "included", "reason")
 
@@ -163,7 +162,7 @@ def trust_report(spark, d):
 
 @query("trust_fallback", f"""WITH f AS (SELECT source AS query_id, doc_id AS chunk_id, {Q.rnd(Q.rnd("(doc_id * 37 % 1009) / 5045", 4) + " * 0.9", 4)} AS final_trust FROM documents),
 p AS (SELECT *, final_trust >= 0.22 AS passes FROM f), b AS (SELECT *, NOT bool_or(passes) OVER (PARTITION BY query_id) AND row_number() OVER (PARTITION BY query_id ORDER BY final_trust DESC, chunk_id) = 1 AS fallback FROM p)
-SELECT query_id, chunk_id, final_trust, CASE WHEN passes THEN 'trusted' ELSE 'fallback: best available' END AS reason FROM b WHERE passes OR fallback""")
+SELECT query_id, chunk_id, final_trust, CASE WHEN fallback THEN 'fallback_best_available' ELSE 'lcr_skipped_fast_path' END AS reason FROM b WHERE passes OR fallback""")
 def trust_fallback(spark, d):
     """Scores so low that most queries fall back to their best result."""
     r = corpus(spark, d).select(F.col("source_file").alias("query_id"), "chunk_id", rounded((F.col("chunk_id") * 37 % 1009) / 5045, 4).alias("ra_score"), F.lit(0.9).alias("authority_score"))

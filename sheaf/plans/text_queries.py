@@ -11,7 +11,7 @@ from sheaf.sources import documents as S
 
 from . import sql as Q
 from .fixtures import SOURCES, WORDS
-from .registry import query, table
+from .registry import query, table, texts
 
 
 def metadata(spark: SparkSession) -> DataFrame:
@@ -23,19 +23,19 @@ META = f"meta(source_file, title, source_org, year, authority_score, bias_penalt
 
 @query("clean_text", f"SELECT doc_id, {Q.clean('text')} AS text FROM documents")
 def clean_text(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.clean_text(F.col("text")).alias("text"))
+    return texts(spark, d).select("doc_id", T.clean_text(F.col("text")).alias("text"))
 
 
 @query("clean_stats", f"""SELECT source AS filename, sum(b) AS chars_before, sum(a) AS chars_after, sum(b) - sum(a) AS chars_removed,
   round((sum(b) - sum(a)) / greatest(sum(b), 1) * 100, 1) AS reduction_pct FROM (SELECT source, length(text) AS b, length({Q.clean('text')}) AS a FROM documents) GROUP BY source""")
 def clean_stats(spark, d):
-    pages = table(spark, d, "documents").select(F.col("source").alias("filename"), "text", F.array().cast("array<string>").alias("tables_text"))
+    pages = texts(spark, d).select(F.col("source").alias("filename"), "text", F.array().cast("array<string>").alias("tables_text"))
     return S.cleaning_stats(S.clean_pages(pages))
 
 
 @query("bm25_tokens", f"SELECT doc_id, len(t) AS n_tokens, array_to_string(t, ' ') AS tokens FROM (SELECT doc_id, {Q.tokens('text')} AS t FROM documents)")
 def bm25_tokens(spark, d):
-    t = table(spark, d, "documents").select("doc_id", T.tokens(F.col("text")).alias("t"))
+    t = texts(spark, d).select("doc_id", T.tokens(F.col("text")).alias("t"))
     return t.select("doc_id", F.size("t").alias("n_tokens"), F.array_join("t", " ").alias("tokens"))
 
 
@@ -46,12 +46,12 @@ def gate_tokens(spark, d):
 
 @query("avg_tokens", f"SELECT count(*) AS n_docs, round(avg(len({Q.tokens('text')})), 4) AS avg_tokens FROM documents")
 def avg_tokens(spark, d):
-    return table(spark, d, "documents").agg(F.count("*").alias("n_docs"), F.round(F.avg(F.size(T.tokens(F.col("text")))), 4).alias("avg_tokens"))
+    return texts(spark, d).agg(F.count("*").alias("n_docs"), F.round(F.avg(F.size(T.tokens(F.col("text")))), 4).alias("avg_tokens"))
 
 
 @query("sentence_split", f"SELECT doc_id, unnest(range(len(s))) AS idx, unnest(s) AS sentence FROM (SELECT doc_id, {Q.sentences('text')} AS s FROM documents)")
 def sentence_split(spark, d):
-    return chunking.sentence_rows(table(spark, d, "documents"), "doc_id")
+    return chunking.sentence_rows(texts(spark, d), "doc_id")
 
 
 VARIED = "CASE idx % 4 WHEN 0 THEN 'Season ' || sentence WHEN 1 THEN '12) A' || sentence WHEN 2 THEN 'ABCDEFG (' || upper(substr(sentence, 1, 0)) || 'H)' ELSE sentence END"
@@ -63,7 +63,7 @@ def hard_boundary(spark, d):
     """Sentences made into headers, numbered lines and capitals by turns: the texts have none of their own."""
     i = F.col("idx") % 4
     varied = F.when(i == 0, F.concat(F.lit("Season "), "sentence")).when(i == 1, F.concat(F.lit("12) A"), "sentence")).when(i == 2, "ABCDEFG (H)").otherwise(F.col("sentence"))
-    return chunking.sentence_rows(table(spark, d, "documents"), "doc_id").select("doc_id", "idx", T.is_hard_boundary(varied).alias("hard"))
+    return chunking.sentence_rows(texts(spark, d), "doc_id").select("doc_id", "idx", T.is_hard_boundary(varied).alias("hard"))
 
 
 CHUNKS = f"""
@@ -77,7 +77,7 @@ chunks AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n
 
 
 def chunk_rows(spark, d):
-    return chunking.chunks(table(spark, d, "documents"), "doc_id", next_score=chunking.lexical_next)
+    return chunking.chunks(texts(spark, d), "doc_id", next_score=chunking.lexical_next)
 
 
 @query("hdr_chunk", f"WITH RECURSIVE {CHUNKS} SELECT doc_id, chunk_no, text FROM chunks")
@@ -102,7 +102,7 @@ def chunk_ids(spark, d):
 
 @query("crop_tags", f"SELECT doc_id, array_to_string(list_filter({Q.array(TAGS)}, lambda c: contains(lower(text), c)), ',') AS tags FROM documents")
 def crop_tags(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.array_join(T.crop_tags(F.col("text"), TAGS), ",").alias("tags"))
+    return texts(spark, d).select("doc_id", F.array_join(T.crop_tags(F.col("text"), TAGS), ",").alias("tags"))
 
 
 @query("full_text_build", """SELECT source AS filename, length(t) AS n, md5(t) AS digest FROM (SELECT source, string_agg(text || chr(10) || substr(text, 1, 20) || chr(10), '' ORDER BY doc_id) AS t FROM documents GROUP BY source)""")
@@ -127,11 +127,11 @@ def previews(spark, d):
     return table(spark, d, "documents").select("doc_id", T.preview(F.col("text")).alias("long_preview"), T.preview(F.col("text"), 150).alias("preview"))
 
 
-CONTEXT = """r AS (SELECT source AS query_id, doc_id AS chunk_id, lang AS source_file, substr(text, 1, 60) AS text, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS chunk_rank FROM documents)"""
+CONTEXT = """r AS (SELECT source AS query_id, doc_id AS chunk_id, lang AS source_file, text, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS chunk_rank FROM documents)"""
 
 
 def _context_chunks(spark, d):
-    docs = table(spark, d, "documents").select(F.col("source").alias("query_id"), F.col("doc_id").alias("chunk_id"), F.col("lang").alias("source_file"), F.substring("text", 1, 60).alias("text"), "n_chars")
+    docs = table(spark, d, "documents").select(F.col("source").alias("query_id"), F.col("doc_id").alias("chunk_id"), F.col("lang").alias("source_file"), "text", "n_chars")
     return providers.renumber(docs, [F.desc("n_chars"), "chunk_id"])
 
 
@@ -147,14 +147,15 @@ def context_pack_fast(spark, d):
     return providers.context(_context_chunks(spark, d), 3, False).select("query_id", "context")
 
 
-@query("answer_extractive", f"""WITH {CONTEXT}, a AS (SELECT query_id, chunk_rank, list_slice({Q.answer_sentences('text')}, 1, 2) AS s FROM (SELECT query_id, chunk_rank, d.text FROM r JOIN documents d ON d.doc_id = r.chunk_id WHERE chunk_rank <= 3))
+@query("answer_extractive", f"""WITH {CONTEXT}, a AS (SELECT query_id, chunk_rank, list_slice({Q.answer_sentences('text')}, 1, 2) AS s FROM (SELECT * FROM r WHERE chunk_rank <= 3))
 SELECT query_id, string_agg(array_to_string(s, ' '), ' ' ORDER BY chunk_rank) AS answer FROM a GROUP BY query_id""")
 def answer_extractive(spark, d):
-    full = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("full"))
-    return providers.extractive_answer(_context_chunks(spark, d).join(full, "chunk_id").withColumn("text", F.col("full")), 3)
+    return providers.extractive_answer(_context_chunks(spark, d), 3)
 
 
-@query("pattern_triplets", None)
+@query("pattern_triplets", r"""SELECT string_split(m, ' is ')[1] AS subject, 'is' AS relationship, string_split(m, ' is ')[2] AS object, CAST(0.8 AS DOUBLE) AS confidence, source_file, chunk_text, chunk_id
+FROM (SELECT doc_id AS chunk_id, source AS source_file, substr(text, 1, 200) AS chunk_text, unnest(regexp_extract_all(substr(text, 1, 1500), '[\p{L}\p{N}_]+ is [\p{L}\p{N}_]+')) AS m FROM documents)""")
 def pattern_triplets(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("source_file"), "text")
+    """The model's window of 1500 characters is the provider's own."""
+    docs = texts(spark, d).select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("source_file"), "text")
     return providers.pattern_triplets(docs)

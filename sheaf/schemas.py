@@ -14,6 +14,6 @@ REGISTRY = "filename string, status string, chunks_created int, processed_at tim
 FEEDBACK = "query string, entropy double, path string, was_accurate boolean, ts timestamp"
 GATE_LOG = "ts timestamp, query string, crop string, stage string, blocked_source string, blocked_reason string, matched_blocked_keyword string"
 WEATHER = (
-    "current struct<temperature:double,humidity:double,code:int>, "
-    "daily struct<date:array<string>,tmax:array<double>,tmin:array<double>,rain:array<double>,rain_prob:array<double>>"
+    "struct<current:struct<temperature:double,humidity:double,rain:double,wind:double,code:int>,"
+    "daily:struct<date:array<string>,tmax:array<double>,tmin:array<double>,rain:array<double>,rain_prob:array<double>,et0:array<double>,uv:array<double>>>"
 )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +12,7 @@ from pyspark.sql.window import Window
 
 from sheaf import schemas
 from sheaf.functions.text import clean_text
+from sheaf.session import ship
 
 
 def scan_files(spark: SparkSession, folder: str, pattern: str = "*.[pP][dD][fF]") -> DataFrame:
@@ -21,8 +24,10 @@ def new_files(files: DataFrame, done: DataFrame, key: str = "filename") -> DataF
     return files.join(done.select(key), key, "left_anti")
 
 
-def extract_documents(files: DataFrame, extractors: list[Callable[[bytes], list[dict]]], ocr: Callable[[bytes, int], str] | None = None) -> DataFrame:
-    """Pages of each file by the first extractor that succeeds; none: no pages. Pages without text go to ``ocr``, whose failure gives the empty text."""
+def extract_documents(files: DataFrame, extractors: list[Callable[[bytes], list[dict]]] | None = None, ocr: Callable[[bytes, int], str] | None = None) -> DataFrame:
+    """Pages of each file by the first extractor that succeeds; none: no pages. Pages without text go to ``ocr``, whose failure gives the empty text. Without extractors: ``simple_pdf``, then ``plain_text``."""
+    ship(files.sparkSession)
+    extractors = [simple_pdf, plain_text] if extractors is None else extractors
 
     def run(batches: Iterator):
         for pdf in batches:
@@ -53,8 +58,54 @@ def write_extracted(docs: DataFrame, path: str, mode: str = "append") -> None:
     docs.write.mode(mode).json(path)
 
 
-def read_extracted(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    return spark.read.schema(schemas.EXTRACTED).option("encoding", encoding).option("multiLine", True).json(path)
+def read_extracted(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
+    """Extracted documents, one JSON text a file. Files that are no UTF-8 are read as Latin-1; ``encoding`` fixes one for all."""
+    if encoding:
+        return spark.read.schema(schemas.EXTRACTED).option("encoding", encoding).option("multiLine", True).json(path)
+    files = spark.read.format("binaryFile").load(path).select("content")
+    text = F.coalesce(F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")), F.decode("content", "ISO-8859-1"))
+    return files.select(F.from_json(text, schemas.EXTRACTED).alias("d")).select("d.*").where(F.col("filename").isNotNull())
+
+
+def plain_text(content: bytes) -> list[dict]:
+    """An extractor for text files: pages end at form feeds."""
+    return [{"page_number": i + 1, "text": t, "tables_text": []} for i, t in enumerate(content.decode("utf-8").split("\f"))]
+
+
+_STREAM = re.compile(rb"stream\r?\n(.*?)\r?\nendstream", re.S)
+_SHOWN = re.compile(rb"\((?:\\.|[^\\()])*\)\s*Tj|\[(?:[^\[\]\\]|\\.)*\]\s*TJ|T\*|\bTd\b|\bTD\b", re.S)
+_STRING = re.compile(rb"\(((?:\\.|[^\\()])*)\)", re.S)
+_ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t"}
+
+
+def simple_pdf(content: bytes) -> list[dict]:
+    """A small PDF extractor without a library: literal strings that content streams show (plain or deflated, one-byte encodings), one page a stream.
+
+    It knows no fonts' own encodings, no hexadecimal strings and no reading order; a better extractor goes in front of it. Raises where it finds no text.
+    """
+    if not content.startswith(b"%PDF"):
+        raise ValueError("no PDF")
+    pages = []
+    for m in _STREAM.finditer(content):
+        data = m[1]
+        try:
+            data = zlib.decompress(data)
+        except zlib.error:
+            pass
+        if b"BT" not in data:
+            continue
+        out = []
+        for part in _SHOWN.findall(data):
+            if part[:1] in b"([":
+                out.append(b"".join(re.sub(rb"\\(.)", lambda e: _ESCAPES.get(e[1], e[1]), x, flags=re.S) for x in _STRING.findall(part)).decode("latin-1"))
+            else:
+                out.append("\n")
+        text = "".join(out).strip("\n")
+        if text:
+            pages.append({"page_number": len(pages) + 1, "text": text, "tables_text": []})
+    if not pages:
+        raise ValueError("no text")
+    return pages
 
 
 def pages_of(docs: DataFrame) -> DataFrame:
@@ -72,15 +123,23 @@ def cleaning_stats(pages: DataFrame, by: str = "filename") -> DataFrame:
 
 
 def append_chunks(new: DataFrame, path: str) -> int:
-    """Append chunks whose id the store lacks (existing rows stay; repeats inside the batch are not touched); a missing or empty store is created. Returns the rows added."""
+    """Append chunks whose id the store lacks (existing rows stay; repeats inside the batch are not touched); a missing or empty store is created. Returns the rows added.
+
+    Files are sorted by id, so that the look-up of known ids reads nothing but ids, and of those what lies between the batch's least and greatest.
+    """
     spark = new.sparkSession
-    if table_exists(spark, path):
-        new = new.join(spark.read.parquet(path).select("chunk_id"), "chunk_id", "left_anti")
     new = new.persist()
+    known = table_exists(spark, path)
     try:
-        n = new.count()
-        if n or not table_exists(spark, path):
-            new.write.mode("append").partitionBy("source_file").parquet(path)
+        fresh = new
+        if known:
+            low, high = new.agg(F.min("chunk_id"), F.max("chunk_id")).first()
+            stored = spark.read.parquet(path).select("chunk_id").where(F.col("chunk_id").between(low, high) if low is not None else F.lit(False))
+            fresh = new.join(stored, "chunk_id", "left_anti").persist()
+        n = fresh.count()
+        if n or not known:
+            fresh.sortWithinPartitions("chunk_id").write.mode("append").parquet(path)
+        fresh.unpersist()
         return n
     finally:
         new.unpersist()
@@ -91,7 +150,7 @@ def table_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(p) and any(str(s.getPath().getName()).startswith(("part-", "source_file=")) for s in fs.listStatus(p))
+    return fs.exists(p) and any(str(s.getPath().getName()).startswith("part-") for s in fs.listStatus(p))
 
 
 def upsert_vectors(chunks: DataFrame, store: DataFrame, encode: Callable[[Column], Column]) -> DataFrame:
@@ -106,26 +165,79 @@ def export_vectors(store: DataFrame) -> DataFrame:
     return store.select("chunk_id", "text", F.coalesce("char_count", F.lit(0)).alias("char_count"), "source_file", F.coalesce("authority_score", F.lit(0.5)).alias("authority_score"), F.coalesce("trust_weight", F.lit(1.0)).alias("trust_weight"), tags.alias("crop_tags"))
 
 
-def migrate_json(spark: SparkSession, source: str, target: str) -> None:
-    """JSON chunks to Parquet; an existing target is refused."""
-    spark.read.schema(schemas.CHUNK).option("multiLine", True).json(source).write.mode("errorifexists").parquet(target)
+def migrate_json(spark: SparkSession, source: str, target: str, backup: str | None = None, lines: bool = False) -> None:
+    """JSON chunks (an array a file, or one a line) to Parquet; an existing target is refused. ``backup``: where the source is moved once the target is written."""
+    spark.read.schema(schemas.CHUNK).option("multiLine", not lines).json(source).write.mode("errorifexists").parquet(target)
+    if backup:
+        jvm = spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(source)
+        if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).rename(p, jvm.org.apache.hadoop.fs.Path(backup)):
+            raise OSError(f"{source} could not be moved to {backup}")
 
 
 def links(pages: DataFrame, suffix: str = ".pdf", id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``id, idx, link, title`` of anchors whose address contains ``suffix``: absolute, with a title longer than three (an empty one reads "Untitled")."""
-    anchor = r'(?is)<a\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>'
-    found = F.arrays_zip(
-        F.regexp_extract_all(F.coalesce(html_col, F.lit("")), F.lit(anchor), F.lit(1)).alias("href"), F.regexp_extract_all(F.coalesce(html_col, F.lit("")), F.lit(anchor), F.lit(2)).alias("body"))
+    anchor = r"""(?is)<a\s[^>]*?href=(?:"([^"]*)"|'([^']*)')[^>]*>(.*?)</a>"""
+    all_of = lambda k: F.regexp_extract_all(F.coalesce(html_col, F.lit("")), F.lit(anchor), F.lit(k))
+    # one of the two quoted forms is empty in each match
+    found = F.arrays_zip(F.zip_with(all_of(1), all_of(2), lambda a, b: F.concat(a, b)).alias("href"), all_of(3).alias("body"))
     rows = pages.select(id_col, F.col(url_col).alias("_url"), F.posexplode(found).alias("idx", "a"))
     title = F.regexp_replace(F.regexp_replace("a.body", r"<[^>]*>", ""), r"^\s+|\s+$", "")
     base = F.regexp_extract("_url", r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
     folder = F.regexp_replace(F.regexp_replace("_url", r"[?#].*$", ""), r"^([A-Za-z][A-Za-z0-9+.-]*://[^/]*)$", "$1/")
-    relative = F.concat(F.regexp_replace(folder, r"[^/]*$", ""), F.col("a.href"))
+    relative = resolved(F.concat(F.regexp_replace(folder, r"[^/]*$", ""), F.col("a.href")))
     full = F.when(F.col("a.href").startswith("http"), F.col("a.href")).when(F.col("a.href").startswith("/"), F.concat(base, F.col("a.href"))).otherwise(relative)
     out = rows.where(F.contains(F.lower("a.href"), F.lit(suffix.lower()))).select(id_col, "idx", full.alias("link"), F.when(title == "", "Untitled").otherwise(title).alias("title"))
     return out.where(F.length("title") > 3)
 
 
+def resolved(address: Column) -> Column:
+    """An absolute address without ``.`` and ``..`` steps; steps above the root go."""
+    base = F.regexp_extract(address, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    path = F.regexp_extract(address, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    tail = F.regexp_extract(address, r"([?#].*)$", 1)
+    steps = F.filter(F.split(F.regexp_replace(path, r"/\.{1,2}$", "$0/"), "/"), lambda x: x != ".")
+    kept = F.aggregate(steps, F.array().cast("array<string>"), lambda s, x: F.when(x == "..", F.when(F.size(s) > 1, F.slice(s, F.lit(1), F.size(s) - 1)).otherwise(s)).otherwise(F.concat(s, F.array(x))))
+    return F.when(F.contains(path, F.lit("/.")), F.concat(base, F.array_join(kept, "/"), tail)).otherwise(address)
+
+
+def download(links: DataFrame, folder: str, fetch: Callable[[str], tuple[str, bytes]]) -> DataFrame:
+    """``links' columns, ok, path``: files fetched from ``link`` into ``folder`` (one that the tasks share) under ``filename``.
+
+    A file that is there is not fetched again; one of the wrong type is not kept; a fetch that fails leaves nothing behind, as a file gets its name
+    only when it is whole. ``fetch(link) -> (content type, bytes)``.
+    """
+    ship(links.sparkSession)
+    rest = links.columns
+    kinds = dict(links.dtypes)
+
+    def run(batches: Iterator):
+        import os
+        import uuid
+
+        for pdf in batches:
+            done = []
+            for link, name in zip(pdf["link"], pdf["filename"], strict=True):
+                path = f"{folder}/{name}"
+                ok = os.path.exists(path)
+                if not ok:
+                    part = f"{path}.{uuid.uuid4().hex}.part"
+                    try:
+                        kind, data = fetch(link)
+                        if "pdf" in (kind or "").lower() or link.lower().endswith(".pdf"):
+                            with open(part, "wb") as f:
+                                f.write(data)
+                            os.replace(part, path)
+                            ok = True
+                    except Exception:  # noqa: BLE001  a failing download must not fail the batch
+                        if os.path.exists(part):
+                            os.remove(part)
+                done.append((ok, path if ok else None))
+            yield pdf.assign(ok=[x for x, _ in done], path=[x for _, x in done])
+
+    return links.mapInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in rest) + ", ok boolean, path string")
+
+
 def cap_per_source(downloads: DataFrame, by: str, order: str | list[str], most: int) -> DataFrame:
     """The first ``most`` successful downloads of each source."""
     order = [order] if isinstance(order, str) else order
@@ -143,17 +255,34 @@ def safe_filename(title: Column, source: Column, index: Column) -> Column:
 
 
 def line_kinds(text: Column) -> Column:
-    """``array<struct(line, kind)>`` of a Markdown text: code, fence, h1 to h6, rule, blank, paragraph. A line is code while the fences above it are odd."""
+    """``array<struct(line, kind)>`` of a Markdown text: code, fence, h1 to h6, rule, blank, paragraph. A line is code while the fences above it are odd.
+
+    Lines between two fences are classified together, so every line is looked at once.
+    """
     lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
-    def classify(all_lines: Column) -> Column:
-        fences = F.transform(all_lines, lambda x: F.trim(x).startswith("```").cast("int"))
-        kind = lambda x, i, f: (
-            F.when(F.get(f, i) == 1, "fence")
-            .when(F.aggregate(F.slice(f, F.lit(1), i), F.lit(0), lambda s, y: s + y) % 2 == 1, "code")
-            .when(F.regexp_like(x, F.lit(r"^#{1,6} ")), F.concat(F.lit("h"), F.length(F.regexp_extract(x, r"^(#{1,6}) ", 1)).cast("string")))
+    def plain(x: Column) -> Column:
+        return (
+            F.when(F.regexp_like(x, F.lit(r"^#{1,6} ")), F.concat(F.lit("h"), F.length(F.regexp_extract(x, r"^(#{1,6}) ", 1)).cast("string")))
             .when(F.regexp_like(F.trim(x), F.lit(r"^(---+|\*\*\*+|___+)$")), "rule")
             .when(F.trim(x) == "", "blank").otherwise("paragraph"))
-        return F.element_at(F.transform(F.array(fences), lambda f: F.transform(all_lines, lambda x, i: F.struct(x.alias("line"), kind(x, i, f).alias("kind")))), 1)
+
+    def classify(all_lines: Column) -> Column:
+        fences = F.filter(F.sequence(F.lit(0), F.size(all_lines) - 1), lambda i: F.trim(F.get(all_lines, i)).startswith("```"))
+
+        def parts(at: Column) -> Column:
+            row = lambda x, kind: F.struct(x.alias("line"), kind.alias("kind"))
+            head = F.transform(F.slice(all_lines, F.lit(1), F.coalesce(F.get(at, 0), F.size(all_lines))), lambda x: row(x, plain(x)))
+            rest = F.transform(at, lambda a, k: F.concat(
+                F.array(row(F.get(all_lines, a), F.lit("fence"))),
+                F.transform(F.slice(all_lines, a + 2, F.coalesce(F.get(at, k + 1), F.size(all_lines)) - a - 1), lambda x: row(x, F.when(k % 2 == 0, "code").otherwise(plain(x))))))
+            return F.concat(head, F.flatten(rest))
+
+        return F.element_at(F.transform(F.array(fences), parts), 1)
 
     return F.element_at(F.transform(F.array(lines), classify), 1)
+
+
+def inline_markdown(line: Column) -> Column:
+    """Bold and italic marks as tags: ``**x**`` to ``<b>x</b>``, then ``*x*`` to ``<i>x</i>``."""
+    return F.regexp_replace(F.regexp_replace(line, r"\*\*(.+?)\*\*", "<b>$1</b>"), r"\*(.+?)\*", "<i>$1</i>")

@@ -8,17 +8,88 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from sheaf.operators import weather
 from sheaf.session import ship
 
-DEFAULT_PLACE = {"latitude": 11.0168, "longitude": 76.9558, "place": "Coimbatore, Tamil Nadu"}
+# The place of what cannot be found, and of the context gate.
+DEFAULT_PLACE = {"latitude": 13.0827, "longitude": 80.2707, "place": "Chennai, Tamil Nadu"}
+CENTRE = {"latitude": 20.5937, "longitude": 78.9629}
 DEFAULT_SOIL = {"soil_moisture": None, "label": "UNAVAILABLE"}
 DEFAULT_SATELLITE = {"stage": None, "confidence": 0.0}
 
 
+def place_of(reply: Column) -> Column:
+    """A geocoder's JSON reply (an array of matches) as ``struct(latitude, longitude, place, found)``: the first match, four places; else the default."""
+    first = F.get(F.from_json(reply, "array<struct<lat:string,lon:string,display_name:string>>"), 0)
+    found = first["lat"].isNotNull() & first["lon"].isNotNull()
+    d = DEFAULT_PLACE
+    return F.struct(
+        F.when(found, F.round(first["lat"].cast("double"), 4)).otherwise(d["latitude"]).alias("latitude"), F.when(found, F.round(first["lon"].cast("double"), 4)).otherwise(d["longitude"]).alias("longitude"),
+        F.when(found, first["display_name"]).otherwise(d["place"]).alias("place"), found.alias("found"))
+
+
+def weather_of(reply: Column) -> Column:
+    """A forecast service's JSON reply as ``schemas.WEATHER``; null where it is none."""
+    read = F.from_json(reply, "current struct<temperature_2m:double,relative_humidity_2m:double,rain:double,wind_speed_10m:double,weather_code:int>, daily struct<time:array<string>,rain_sum:array<double>,"
+                       "temperature_2m_max:array<double>,temperature_2m_min:array<double>,precipitation_probability_max:array<double>,et0_fao_evapotranspiration:array<double>,uv_index_max:array<double>>")
+    now, day = read["current"], read["daily"]
+    made = F.struct(
+        F.struct(now["temperature_2m"].alias("temperature"), now["relative_humidity_2m"].alias("humidity"), now["rain"].alias("rain"), now["wind_speed_10m"].alias("wind"), now["weather_code"].alias("code")).alias("current"),
+        F.struct(day["time"].alias("date"), day["temperature_2m_max"].alias("tmax"), day["temperature_2m_min"].alias("tmin"), day["rain_sum"].alias("rain"), day["precipitation_probability_max"].alias("rain_prob"),
+                 day["et0_fao_evapotranspiration"].alias("et0"), day["uv_index_max"].alias("uv")).alias("daily"))
+    return F.when(now.isNotNull() | day.isNotNull(), made)
+
+
+def soil_of(reply: Column) -> Column:
+    """A soil service's JSON reply as ``struct(soil_moisture, label, advisory, precipitation, evapotranspiration)``: the first hour and day."""
+    read = F.from_json(reply, "hourly struct<soil_moisture_0_to_1cm:array<double>>, daily struct<precipitation_sum:array<double>,et0_fao_evapotranspiration:array<double>>")
+    m = F.get(read["hourly"]["soil_moisture_0_to_1cm"], 0)
+    return F.struct(m.alias("soil_moisture"), weather.soil_label(m).alias("label"), weather.soil_advisory(m).alias("advisory"),
+                    F.get(read["daily"]["precipitation_sum"], 0).alias("precipitation"), F.get(read["daily"]["et0_fao_evapotranspiration"], 0).alias("evapotranspiration"))
+
+
+def satellite_of(reply: Column) -> Column:
+    """A satellite service's JSON reply (values by day) as ``struct(stage, confidence, avg_temp, total_rain)``; nulls are left out of means and sums."""
+    read = F.from_json(reply, "properties struct<parameter:struct<T2M:map<string,double>,PRECTOTCORR:map<string,double>>>")
+    some = lambda m: F.filter(F.map_values(read["properties"]["parameter"][m]), lambda x: x.isNotNull())
+    total = lambda m: F.when(F.size(some(m)) > 0, F.aggregate(some(m), F.lit(0.0), lambda a, x: a + x))
+    mean, rain = total("T2M") / F.size(some("T2M")), total("PRECTOTCORR")
+    stage = weather.satellite_stage(mean, rain)
+    return F.struct(stage["stage"].alias("stage"), stage["confidence"].alias("confidence"), mean.alias("avg_temp"), rain.alias("total_rain"))
+
+
+#: What to ask of each service: address, parameters and seconds to wait.
+REQUESTS = {
+    "weather": ("https://api.open-meteo.com/v1/forecast", 8, {"current": "temperature_2m,relative_humidity_2m,rain,wind_speed_10m,weather_code", "daily": "temperature_2m_max,temperature_2m_min,rain_sum,precipitation_probability_max,et0_fao_evapotranspiration,uv_index_max,wind_speed_10m_max", "forecast_days": "7", "timezone": "Asia/Kolkata"}),
+    "soil": ("https://api.open-meteo.com/v1/forecast", 10, {"hourly": "soil_moisture_0_to_1cm", "daily": "precipitation_sum,et0_fao_evapotranspiration", "forecast_days": "1", "timezone": "Asia/Kolkata"}),
+    "satellite": ("https://power.larc.nasa.gov/api/temporal/daily/point", 10, {"parameters": "ALLSKY_SFC_SW_DWN,T2M,PRECTOTCORR", "community": "AG", "format": "JSON"}),
+}
+SATELLITE_DAYS = 30
+
+
+def fetcher(service: str, today: str | None = None) -> Callable[[dict], dict]:
+    """A function ``{latitude, longitude} -> {reply}`` that asks a service over HTTP, for ``readings``; ``today`` (ISO date) ends the satellite's window of thirty days."""
+    address, wait, fixed = REQUESTS[service]
+
+    def fetch(key: dict) -> dict:
+        import datetime
+        import urllib.parse
+        import urllib.request
+
+        asked = fixed | {"latitude": key["latitude"], "longitude": key["longitude"]}
+        if service == "satellite":
+            end = datetime.date.fromisoformat(today) if today else datetime.date.today()
+            asked |= {"start": (end - datetime.timedelta(days=SATELLITE_DAYS)).strftime("%Y%m%d"), "end": end.strftime("%Y%m%d")}
+        with urllib.request.urlopen(f"{address}?{urllib.parse.urlencode(asked)}", timeout=wait) as got:  # noqa: S310  fixed https addresses
+            return {"reply": got.read().decode()}
+
+    return fetch
+
+
 def readings(keys: DataFrame, schema: str, default: dict, fetch: Callable[[dict], dict] | None = None) -> DataFrame:
     """``keys``' columns with the fields of ``schema``: what ``fetch`` returns, or ``default`` where it raises, returns nothing or is not given."""
     ship(keys.sparkSession)

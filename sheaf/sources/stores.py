@@ -13,6 +13,10 @@ from sheaf.operators import graph, retrieval
 from .documents import table_exists
 
 
+#: Parts that a term's postings are dealt into.
+TERM_PARTS = 8
+
+
 @dataclass(frozen=True)
 class SearchConfig:
     dense_weight: float = retrieval.DENSE_WEIGHT
@@ -29,23 +33,28 @@ class SearchConfig:
 
 
 def write_index(corpus: DataFrame, path: str) -> None:
-    """Postings sorted by term inside files (a term's filter skips row groups), and the corpus' counts."""
-    posts = retrieval.postings(corpus)
-    posts.repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-    retrieval.corpus_stats(corpus).write.mode("overwrite").parquet(f"{path}/stats")
+    """Postings by term (a term's filter skips row groups; a term goes over ``TERM_PARTS`` files at most, however common), terms with their weights, and the corpus' counts.
+
+    Texts are read once; the rest comes from the stored postings.
+    """
+    spark = corpus.sparkSession
+    retrieval.postings(corpus).repartition("term", F.pmod(F.xxhash64("chunk_id"), F.lit(TERM_PARTS))).sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{path}/postings")
+    posts = spark.read.parquet(f"{path}/postings")
+    retrieval.corpus_stats(corpus, posts).write.mode("overwrite").parquet(f"{path}/stats")
+    retrieval.term_stats(posts, spark.read.parquet(f"{path}/stats")).write.mode("overwrite").parquet(f"{path}/terms")
 
 
-def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame] | None:
-    """Postings and counts; nothing if there is no index."""
-    if not table_exists(spark, f"{path}/postings"):
+def read_index(spark: SparkSession, path: str) -> retrieval.Index | None:
+    """The stored index; nothing if there is none (terms are written last)."""
+    if not table_exists(spark, f"{path}/terms"):
         return None
-    return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats")
+    return retrieval.Index(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "stats")))
 
 
-def current_index(corpus: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+def current_index(corpus: DataFrame, path: str) -> retrieval.Index:
     """The stored index, rebuilt as a whole if it is missing or its chunk count is not the corpus'."""
     found = read_index(corpus.sparkSession, path)
-    if found is None or found[1].first()["n_docs"] != corpus.count():
+    if found is None or found.stats.first()["n_docs"] != corpus.count():
         write_index(corpus, path)
         found = read_index(corpus.sparkSession, path)
     return found
@@ -67,7 +76,7 @@ def append_log(rows: DataFrame, path: str) -> None:
     rows.withColumn("ts", F.coalesce("ts", F.current_timestamp()) if "ts" in rows.columns else F.current_timestamp()).write.mode("append").parquet(path)
 
 
-def build_graph(chunks: DataFrame, path: str, extract, per_source: int = 150) -> None:
+def build_graph(chunks: DataFrame, path: str, extract, per_source: int = 150, order: str = "chunk_id", most: int | None = None) -> None:
     """Facts of an even sample of each source's chunks that have none yet, added to the stored ones; then nodes and edges anew.
 
     The processed chunks are logged, so chunks without facts are not asked again.
@@ -76,7 +85,7 @@ def build_graph(chunks: DataFrame, path: str, extract, per_source: int = 150) ->
     schema = "subject string, relationship string, object string, confidence double, source_file string, chunk_text string, chunk_id string, seq long"
     old = read_table(spark, f"{path}/triplets", schema)
     processed = read_table(spark, f"{path}/processed", "chunk_id string")
-    wanted = graph.unprocessed(graph.even_sample(chunks, "source_file", "chunk_id", per_source), old, processed)
+    wanted = graph.unprocessed(graph.even_sample(chunks, "source_file", order, per_source, most), old, processed)
     facts = extract(wanted).withColumn("seq", F.monotonically_increasing_id() + F.coalesce(old.agg(F.max("seq")).scalar() + 1, F.lit(0)))
     facts.select("subject", "relationship", "object", "confidence", "source_file", "chunk_text", "chunk_id", "seq").write.mode("append").parquet(f"{path}/triplets")
     wanted.select("chunk_id").write.mode("append").parquet(f"{path}/processed")

@@ -31,7 +31,7 @@ def ingest_stream(spark: SparkSession, source: str, store: str, checkpoint: str,
 
     def batch(df: DataFrame, _: int) -> None:
         docs = to_documents(df)
-        made = chunks_of(docs, metadata)
+        made = chunks_of(docs, metadata).persist()  # for the store and the registry
         append_chunks(made, store)
         if registry:
             counts = made.groupBy(F.col("source_file").alias("filename")).agg(F.count("*").cast("int").alias("chunks_created"), F.sort_array(F.collect_list("chunk_id")).alias("chunk_ids"))
@@ -39,6 +39,7 @@ def ingest_stream(spark: SparkSession, source: str, store: str, checkpoint: str,
             rows.select(
                 "filename", F.lit("done").alias("status"), F.coalesce("chunks_created", F.lit(0)).alias("chunks_created"), F.current_timestamp().alias("processed_at"), "chunk_ids", F.lit(None).cast("string").alias("error"),
             ).write.mode("append").parquet(registry)
+        made.unpersist()
 
     stream = spark.readStream.schema(schema).format(file_format).load(source)
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

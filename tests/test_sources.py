@@ -102,8 +102,8 @@ def test_index_is_rebuilt_when_stale(spark, tmp_path):
 
     docs = spark.createDataFrame([(1, "red fox"), (2, "blue dog")], "chunk_id long, text string")
     assert stores.read_index(spark, str(tmp_path / "i")) is None
-    assert stores.current_index(docs.limit(1), str(tmp_path / "i"))[1].first().n_docs == 1
-    assert stores.current_index(docs, str(tmp_path / "i"))[1].first().n_docs == 2
+    assert stores.current_index(docs.limit(1), str(tmp_path / "i")).stats.first().n_docs == 1
+    assert stores.current_index(docs, str(tmp_path / "i")).stats.first().n_docs == 2
     assert stores.SearchConfig.loads(stores.SearchConfig(top_k=7).dumps()).top_k == 7
 
 
