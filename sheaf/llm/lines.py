@@ -97,9 +97,13 @@ def dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", grou
         .select("c.h1", "c.h2", F.struct("c.id", "k1", "k2", "c.first", "c.g").alias("place"), F.array_join(F.slice("lines", F.col("c.first") + 1, F.col("c.n")), "\n").alias("bytes"))
     )
     same = fetched.groupBy("h1", "h2").agg(F.min("bytes").alias("a"), F.max("bytes").alias("b"), F.min("place").alias("keeper")).where(F.col("a") == F.col("b")).select("h1", "h2", F.col("keeper.g").alias("keeper"))
-    # a document of the keeper's group keeps its own first place, every other place goes
-    at = places.join(same, ["h1", "h2"]).groupBy("h1", "h2", "k1", "k2").agg(F.sort_array(F.collect_list(F.struct("first", "n"))).alias("at"), F.bool_or(F.col("g").eqNullSafe(F.col("keeper"))).alias("kept"))
-    gone = at.select("k1", "k2", F.explode(F.when(F.col("kept"), F.slice("at", F.lit(2), F.size("at"))).otherwise(F.col("at"))).alias("x")).groupBy("k1", "k2").agg(F.sort_array(F.collect_list("x")).alias("removed"))
+    # A document of the keeper's group keeps its own first place, every other place goes. Which is first is seen in the document's own
+    # array, so that the join on the chunk is followed by a shuffle and may be split where a chunk is very common.
+    place = F.struct("h1", "h2", "first", "n", F.col("g").eqNullSafe(F.col("keeper")).alias("kept"))
+    at = places.join(same, ["h1", "h2"]).groupBy("k1", "k2").agg(F.sort_array(F.collect_list(place)).alias("at"))
+    same_chunk = lambda x, y: x["h1"].eqNullSafe(y["h1"]) & x["h2"].eqNullSafe(y["h2"])
+    left_out = F.filter("at", lambda x, i: ~x["kept"] | same_chunk(x, F.get("at", i - 1)))
+    gone = at.select("k1", "k2", F.sort_array(F.transform(left_out, lambda x: F.struct(x["first"].alias("first"), x["n"].alias("n")))).alias("removed")).where(F.size("removed") > 0)
     ranges = F.coalesce(F.col("removed"), F.array().cast("array<struct<first:int,n:int>>"))
     left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), covered("removed")), lambda i: F.get("lines", i))
     kept = F.when(F.size("removed") == 0, F.col("lines")).otherwise(let(left, lambda x: F.when(F.exists(x, lambda line: line.rlike(WORD)), x).otherwise(F.array().cast("array<string>"))))
