@@ -94,7 +94,7 @@ def test_services_fall_back(spark):
     off = services.readings(keys, "stage string, confidence double", services.DEFAULT_SATELLITE).collect()
     assert {(r.stage, r.confidence) for r in off} == {(None, 0.0)}
     services.register(spark)
-    assert spark.read.format("service").option("schema", "part int, i int").option("call", "service_rows:rows_of").option("parts", 2).load().count() == 6
+    assert spark.read.format("service").option("schema", "part int, i int").option("call", "tests.service_rows:rows_of").option("parts", 2).load().count() == 6
 
 
 def test_index_is_rebuilt_when_stale(spark, tmp_path):
