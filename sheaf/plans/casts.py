@@ -28,6 +28,8 @@ CASTS: dict[str, dict[str, str]] = {
     "vector_export": {"authority_score": "DOUBLE"},
     "link_scrape": {"idx": "INTEGER"},
     "index_status": {"n_postings": "INTEGER", "n_terms": "INTEGER"},
+    "service_replies": {"avg_temp": "DOUBLE", "et0": "DOUBLE"},
+    "json_to_parquet": {"char_count": "INTEGER"},
     "auto_metadata": {"authority_score": "DOUBLE"},
     "reply_match": {"combined_score": "DOUBLE", "confidence": "DOUBLE"},
 }
