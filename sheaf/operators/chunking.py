@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from sheaf.functions.numbers import rounded
 from sheaf.functions.text import crop_tags, is_hard_boundary, sentences
-from sheaf.session import written
 
 from .numbering import numbered
 
@@ -72,10 +71,10 @@ def with_metadata(chunked: DataFrame, metadata: DataFrame, source: str = "source
 
 
 def with_ids(chunked: DataFrame, order: list[str], start: int = 0) -> DataFrame:
-    """``chunk_id`` as ``chunk_000123``, contiguous from ``start`` in the given order; no single task sees all rows. Chunks are written once, as they are counted before they are numbered."""
+    """``chunk_id`` as ``chunk_000123``, contiguous from ``start`` in the given order; no single task sees all rows, and chunks are shuffled and written once."""
     number = F.col("_k") + start
     shown = F.when(number < 1_000_000, F.lpad(number.cast("string"), 6, "0")).otherwise(number.cast("string"))
-    return numbered(written(chunked, "chunks"), order).withColumn("chunk_id", F.concat(F.lit("chunk_"), shown)).drop("_k")
+    return numbered(chunked, order).withColumn("chunk_id", F.concat(F.lit("chunk_"), shown)).drop("_k")
 
 
 def table_to_text(rows: Column) -> Column:

@@ -1,41 +1,38 @@
-"""Row numbers over many rows: ranges in parallel, offsets from counted ranges."""
+"""Row numbers over many rows: sorted ranges are written once, their sizes are summed up."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-MOST_RANGES = 1024
+from sheaf.session import written
 
+#: ``monotonically_increasing_id`` holds the partition above these bits and the row's place in it below.
+_BITS = 33
 
-def range_of(df: DataFrame, column: str):
-    """The number of a value's range, as a column expression: ranges by values picked evenly from a sample by hash (about 16 for each range)."""
-    parts = min(MOST_RANGES, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    total = df.count()
-    scale = 1 << 30
-    sample = df.select(F.col(column).alias("v")).where(F.col("v").isNotNull() & (F.pmod(F.xxhash64("v", F.lit("range")), F.lit(scale)) <= min(scale, 16 * parts * scale // max(total, 1))))
-    found = sample.agg(F.sort_array(F.collect_set("v")).alias("s")).select(
-        F.array_distinct(F.filter(F.transform(F.sequence(F.lit(1), F.lit(parts - 1)), lambda i: F.get("s", F.floor(i * F.size("s") / parts).cast("int"))), lambda x: x.isNotNull()))).first()[0]
-    kind = dict(df.dtypes)[column]
-    borders = F.array(*(F.lit(b).cast(kind) for b in found)).cast(f"array<{kind}>")
-    return F.when(F.col(column).isNull(), -1).otherwise(F.size(F.filter(borders, lambda b: b <= F.col(column))))
 
-
-def numbered(df: DataFrame, order: list[str], by: tuple[str, ...] = (), name: str = "_k") -> DataFrame:
+def numbered(df: DataFrame, order: list[str | Column], by: tuple[str, ...] = (), name: str = "_k") -> DataFrame:
     """Rows with their number from 0 in the given order (nulls first), in all or in each group ``by``.
 
-    Rows are dealt by range of the first order column, so neither all rows nor a large group are in one task; ranges (at most
-    ``MOST_RANGES`` for each group) are counted and summed up.
+    Rows are dealt into as many sorted ranges as the session has shuffle partitions, equal rows over several ranges where they are many, and
+    written once, since another run would cut other ranges. A row's number is its place in its range after the rows of the ranges before;
+    a group's numbers begin at its first row. So no task sees all rows or a large group, rows are shuffled once, and what is
+    summed up in one task is a row a range (and a row a group in many).
     """
-    dealt = df.withColumn("_range", range_of(df, order[0]))
-    counts = dealt.groupBy(*by, "_range").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    before = before.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*(F.col(c).alias(f"_{c}") for c in by), F.col("_range").alias("_at"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy(*by, "_range").orderBy(*order))
-    same = F.col("_range") == F.col("_at")
-    for c in by:
-        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    out = dealt.withColumn("_inside", inside).join(offsets, same).withColumn(name, (F.col("_before") + F.col("_inside") - 1).cast("long"))
-    return out.drop("_range", "_at", "_inside", "_before", *(f"_{c}" for c in by))
+    sort = [*by, *order, "_tie"]
+    dealt = df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*sort).sortWithinPartitions(*sort)
+    held = written(dealt.drop("_tie").withColumn("_place", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("_place", _BITS)
+    sizes = held.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # one row a range: as many as a shuffle has partitions
+    starts = F.broadcast(sizes.select(F.col("_part").alias("_at"), before.alias("_before")))
+    out = held.join(starts, part == F.col("_at")).withColumn(name, (F.col("_before") + F.col("_place").bitwiseAND((1 << _BITS) - 1)).cast("long"))
+    if by:
+        first = out.groupBy(*(F.col(c).alias(f"_{c}") for c in by)).agg(F.min(name).alias("_first"))
+        same = F.lit(True)
+        for c in by:
+            same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+        out = out.join(first, same).withColumn(name, F.col(name) - F.col("_first"))
+    return out.drop("_place", "_at", "_before", "_first", *(f"_{c}" for c in by))
