@@ -10,7 +10,7 @@ from sheaf.llm import queries
 def test_twin(spark, data, name):
     sf = data.replace("0.001", "0.01")
     duck = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         duck.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     df = queries.queries()[name](spark, sf)
     names = sorted(df.columns)
