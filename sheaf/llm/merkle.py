@@ -1,6 +1,6 @@
 """Merkle manifest of a table, proofs of its rows, and their verification.
 
-A leaf is the hash of a row's fields, made by Spark. The leaves of a group are numbered by id; every ``BLOCK`` (8 to the 4th) consecutive
+A leaf is the hash of a row's fields, made by Spark. The leaves of a group are numbered by id; every 4096 (8 to the power of ``LEVELS``) consecutive
 ones are an aligned block, as runs of eight and their parents never cross its border. Executors take a block as an Arrow table and
 climb its levels in DuckDB, one query a block: ordered ``string_agg`` of a run's hashes, ``sha256`` of it. Spark gathers the
 roots of the blocks, which are numbered already and climb in the same way, a block of blocks at a time, until one hash of each group is left;
@@ -28,7 +28,6 @@ from .common import bounded_batches, documents, materialize
 from .urls import LOWER, UPPER
 
 ARITY_BITS, LEVELS = 3, 4
-BLOCK_BITS = ARITY_BITS * LEVELS
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 _RUN = (1 << ARITY_BITS) - 1
 #: A node's group (null or not, its value) and its number in it.
@@ -83,31 +82,33 @@ def _inside(n: int) -> int:
     return depth
 
 
-_HEX = f"SELECT CAST(k & {(1 << BLOCK_BITS) - 1} AS INTEGER) AS i, lower(hex(h)) AS h"
+def _first(levels: int, more: str = "") -> str:
+    """The nodes of a block by their place in it."""
+    return f"SELECT CAST(k & {(1 << ARITY_BITS * levels) - 1} AS INTEGER) AS i, lower(hex(h)) AS h{more} FROM nodes"
 
 
-def _block_roots(nodes: DataFrame) -> DataFrame:
+def _block_roots(nodes: DataFrame, levels: int) -> DataFrame:
     """``known, name, k (the block's number), n, h, lone``: each block's hash after all its levels, and the one it has where it is its group's only block."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         con = _duckdb()
         con.register("nodes", table)
         depth = _inside(table.num_rows)
-        h, lone = con.execute(f"{_climb(LEVELS, _HEX + ' FROM nodes')} SELECT (SELECT h FROM n{LEVELS}), (SELECT h FROM n{depth})").fetchall()[0]
+        h, lone = con.execute(f"{_climb(levels, _first(levels))} SELECT (SELECT h FROM n{levels}), (SELECT h FROM n{depth})").fetchall()[0]
         con.unregister("nodes")
         known, name, block = (x.as_py() for x in key)
         return pa.table({"known": [known], "name": [name], "k": pa.array([block], pa.int64()), "n": pa.array([table.num_rows], pa.int64()), "h": pa.array([bytes.fromhex(h)], pa.binary()), "lone": pa.array([bytes.fromhex(lone)], pa.binary())})
 
-    return materialize(_blocked(nodes).applyInArrow(run, f"{_NODE}, n bigint, h binary, lone binary"), "blocks")
+    return materialize(_blocked(nodes, levels).applyInArrow(run, f"{_NODE}, n bigint, h binary, lone binary"), "blocks")
 
 
-def _blocked(nodes: DataFrame):
-    return nodes.withColumn("block", F.shiftright("k", BLOCK_BITS)).groupBy("known", "name", "block")
+def _blocked(nodes: DataFrame, levels: int):
+    return nodes.withColumn("block", F.shiftright("k", ARITY_BITS * levels)).groupBy("known", "name", "block")
 
 
-def _ways(nodes: DataFrame) -> DataFrame:
+def _ways(nodes: DataFrame, levels: int) -> DataFrame:
     """``known, name, k, before, after, top`` of nodes ``(known, name, k, h)``: both sides at each level up to the group's last hash."""
-    above = _frames(nodes)
+    above = _frames(nodes, levels)
 
     def run(key: tuple, table: pa.Table, frame: pa.Table) -> pa.Table:
         at = frame.to_pylist()[0]
@@ -115,42 +116,43 @@ def _ways(nodes: DataFrame) -> DataFrame:
         con.register("nodes", table)
         sides, joins = _sides(at["depth"])
         before, after = (f"[{', '.join(f'{side}{j}' for j in range(1, at['depth'] + 1))}]::VARCHAR[]" for side in "ba")
-        sql = f"""{_climb(at["depth"], _HEX + ", k FROM nodes")}
+        sql = f"""{_climb(at["depth"], _first(levels, ", k"))}
             SELECT k, {before} || $1 AS before, {after} || $2 AS after FROM (SELECT x.k{sides} FROM n0 x{joins})"""
         out = con.sql(sql, params=[at["before"], at["after"]]).to_arrow_table()
         con.unregister("nodes")
         n = out.num_rows
         return pa.table({"known": pa.array([at["known"]] * n, pa.bool_()), "name": pa.array([at["name"]] * n, pa.string()), **{c: out[c] for c in ("k", "before", "after")}, "top": pa.array([at["top"]] * n, pa.binary())})
 
-    return materialize(_blocked(nodes).cogroup(above.groupBy("known", "name", "k")).applyInArrow(run, f"{_NODE}, before array<string>, after array<string>, top binary"), "ways")
+    return materialize(_blocked(nodes, levels).cogroup(above.groupBy("known", "name", "k")).applyInArrow(run, f"{_NODE}, before array<string>, after array<string>, top binary"), "ways")
 
 
-def _frames(nodes: DataFrame) -> DataFrame:
+def _frames(nodes: DataFrame, levels: int) -> DataFrame:
     """``known, name, k (a block's number), depth (levels inside), before, after, top``: every block's way from its root to the group's last hash."""
-    blocks = _block_roots(nodes)
+    blocks = _block_roots(nodes, levels)
     several = blocks.where("k > 0").select("known", "name").distinct()
     lone = blocks.join(several, ["known", "name"], "left_anti")
     # levels of a lone block: the least d with 8 to the d not under n
-    depth = sum(F.when(F.col("n") > 1 << ARITY_BITS * d, 1).otherwise(0) for d in range(LEVELS))
+    depth = sum(F.when(F.col("n") > 1 << ARITY_BITS * d, 1).otherwise(0) for d in range(levels))
     none = F.array().cast("array<string>")
     out = lone.select("known", "name", "k", depth.cast("int").alias("depth"), none.alias("before"), none.alias("after"), F.col("lone").alias("top"))
     if several.isEmpty():
         return out
-    ways = _ways(blocks.join(several, ["known", "name"]).select("known", "name", "k", "h"))
-    return out.unionByName(ways.select("known", "name", "k", F.lit(LEVELS).alias("depth"), "before", "after", "top"))
+    ways = _ways(blocks.join(several, ["known", "name"]).select("known", "name", "k", "h"), levels)
+    return out.unionByName(ways.select("known", "name", "k", F.lit(levels).alias("depth"), "before", "after", "top"))
 
 
 @dataclass(frozen=True)
 class Manifest:
     """``leaves (known, name, k, id, h, other)``: numbered in their groups, ``other`` the leaf of the row at hand where it is not the manifest's;
-    ``blocks (known, name, k, depth, before, after, subroot, root)``: the way from each block to the root."""
+    ``blocks (known, name, k, depth, before, after, subroot, root)``: the way from each block to the root; ``levels`` are climbed in a block."""
 
     leaves: DataFrame
     blocks: DataFrame
+    levels: int
 
 
-def manifest(df: DataFrame, *, group: str = "lang", id_col: str = "doc_id", fields: tuple[str, ...] = FIELDS, tampered: Callable[[Column, Column], Column] | None = None) -> Manifest:
-    """The manifest of a table; ``tampered(id, text)`` changes ``text`` in the rows that are verified against it."""
+def manifest(df: DataFrame, *, group: str = "lang", id_col: str = "doc_id", fields: tuple[str, ...] = FIELDS, tampered: Callable[[Column, Column], Column] | None = None, levels: int = LEVELS) -> Manifest:
+    """The manifest of a table; ``tampered(id, text)`` changes ``text`` in the rows that are verified against it; ``levels`` are climbed in a block."""
     bounded_batches(df.sparkSession)
     columns = [F.col(f) for f in fields]
     other = F.lit(None).cast("binary")
@@ -160,18 +162,18 @@ def manifest(df: DataFrame, *, group: str = "lang", id_col: str = "doc_id", fiel
         other = F.when(~text.eqNullSafe(F.col("text")), leaf_of(changed))
     slim = df.select(F.col(group).isNotNull().alias("known"), F.coalesce(F.col(group).cast("string"), F.lit("")).alias("name"), F.col(id_col).alias("id"), leaf_of(columns).alias("h"), other.alias("other"))
     leaves = numbered(slim, ["id", "h"], ("known", "name"), "k")
-    frames = materialize(_frames(leaves.select("known", "name", "k", "h")), "frames")
+    frames = materialize(_frames(leaves.select("known", "name", "k", "h"), levels), "frames")
     tops = numbered(frames.select("known", "name", F.col("top").alias("h")).distinct(), ["known", "name"], name="k")
     named = tops.select(F.col("known").alias("_known"), F.col("name").alias("_name"), "k")
-    outer = _ways(tops.select(F.lit(True).alias("known"), F.lit("").alias("name"), "k", "h"))
+    outer = _ways(tops.select(F.lit(True).alias("known"), F.lit("").alias("name"), "k", "h"), levels)
     outer = named.join(outer.select("k", F.col("before").alias("_before"), F.col("after").alias("_after"), F.col("top").alias("root")), "k").drop("k")
     at = frames.join(outer, (F.col("known") == F.col("_known")) & (F.col("name") == F.col("_name")))
-    return Manifest(leaves, at.select("known", "name", "k", "depth", F.concat("before", "_before").alias("before"), F.concat("after", "_after").alias("after"), F.col("top").alias("subroot"), "root"))
+    return Manifest(leaves, at.select("known", "name", "k", "depth", F.concat("before", "_before").alias("before"), F.concat("after", "_after").alias("after"), F.col("top").alias("subroot"), "root"), levels)
 
 
 def proved(made: Manifest, id_col: str = "doc_id") -> DataFrame:
     """``id, leaf, subroot, root, proof_sha256, folded_root, verified`` of every leaf, all hashes in lower-case hex: each block meets its way and is folded at once."""
-    kind = dict(made.leaves.dtypes)["id"]
+    kind, levels = dict(made.leaves.dtypes)["id"], made.levels
 
     def run(key: tuple, table: pa.Table, frame: pa.Table) -> pa.Table:
         at = frame.to_pylist()[0]
@@ -185,7 +187,7 @@ def proved(made: Manifest, id_col: str = "doc_id") -> DataFrame:
             node = f"sha256(b{j} || {node} || a{j})"
         for j in range(len(outer)):  # hashes only, so they are parameters in pairs
             node = f"sha256(${2 * j + 2} || {node} || ${2 * j + 3})"
-        sql = f"""{_climb(depth, _HEX + ', id, lower(hex(coalesce(other, h))) AS other FROM nodes')}
+        sql = f"""{_climb(depth, _first(levels, ', id, lower(hex(coalesce(other, h))) AS other'))}
             SELECT id, h AS leaf, sha256({inside} || $1) AS proof_sha256, {node} AS folded_root FROM (SELECT x.id, x.h, x.other{sides} FROM n0 x{joins})"""
         out = con.sql(sql, params=["".join(b + a for b, a in outer), *(x for pair in outer for x in pair)]).to_arrow_table()
         con.unregister("nodes")
@@ -195,7 +197,7 @@ def proved(made: Manifest, id_col: str = "doc_id") -> DataFrame:
                          "proof_sha256": out["proof_sha256"], "folded_root": folded, "verified": pa.array([x == root for x in folded.to_pylist()], pa.bool_())})
 
     schema = f"`{id_col}` {kind}, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean"
-    return _blocked(made.leaves).cogroup(made.blocks.groupBy("known", "name", "k")).applyInArrow(run, schema)
+    return _blocked(made.leaves, levels).cogroup(made.blocks.groupBy("known", "name", "k")).applyInArrow(run, schema)
 
 
 def lower_every_third(doc_id: Column, text: Column) -> Column:
