@@ -6,8 +6,6 @@ rounded score, so results are total orders.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -18,7 +16,8 @@ from sheaf.functions.numbers import rounded
 from sheaf.functions.text import tokens
 from sheaf.session import written
 
-K1, B, EPSILON = 1.5, 0.75, 0.25
+from .inverted import Index, best_chunks, index_of
+
 DENSE_WEIGHT, SPARSE_WEIGHT, RRF_K = 0.6, 0.4, 60
 
 
@@ -42,56 +41,17 @@ def postings(corpus: DataFrame) -> DataFrame:
     return toks.select("chunk_id", "s", starts.alias("at")).select("chunk_id", F.size("s").alias("doc_len"), F.explode(runs).alias("r")).select("r.term", "chunk_id", "r.tf", "doc_len")
 
 
-def corpus_stats(corpus: DataFrame, posts: DataFrame) -> DataFrame:
-    """One row: number of chunks and their average length in tokens."""
-    n = corpus.select(F.count("*").alias("n_docs"))
-    return posts.agg(F.sum("tf").alias("total")).select(n.scalar().alias("n_docs"), (F.coalesce("total", F.lit(0)) / F.nullif(n.scalar(), F.lit(0))).alias("avgdl"))
-
-
-def term_stats(posts: DataFrame, stats: DataFrame) -> DataFrame:
-    """``term, df, idf``; a negative idf becomes a quarter of the mean idf over the vocabulary."""
-    n = stats.select("n_docs").scalar()
-    raw = posts.groupBy("term").agg(F.count("*").alias("df")).withColumn("raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.agg(F.avg("raw")).scalar()
-    return raw.select("term", "df", F.when(F.col("raw") < 0, EPSILON * mean).otherwise(F.col("raw")).alias("idf"))
-
-
-@dataclass(frozen=True)
-class Index:
-    """``postings (term, chunk_id, tf, doc_len)``, ``terms (term, df, idf)`` and ``stats (n_docs, avgdl)``: stored tables as a rule (``sources.stores``), so that a search reads no text."""
-
-    postings: DataFrame
-    terms: DataFrame
-    stats: DataFrame
-
-
-def index_of(corpus: DataFrame) -> Index:
-    """An index that is not stored: whatever uses it reads the texts again."""
-    posts = postings(corpus)
-    stats = corpus_stats(corpus, posts)
-    return Index(posts, term_stats(posts, stats), stats)
-
-
 def query_terms(queries: DataFrame, stop_words=None) -> DataFrame:
     """``query_id, term, qf`` of ``(query_id, query)``: terms with their multiplicity."""
     toks = tokens(F.col("query"), stop_words) if stop_words is not None else tokens(F.col("query"))
     return queries.select("query_id", F.explode(toks).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
 
 
-def sparse_scores(index: Index, wanted: DataFrame) -> DataFrame:
-    """``query_id, chunk_id, raw``: BM25 of chunks that share a term with the query ``(query_id, term, qf)``. Postings are cut to the queries' terms before anything is shuffled."""
-    length = index.stats.select("avgdl").scalar()
-    f, dl = F.col("tf"), F.col("doc_len")
-    gain = F.col("qf") * F.col("idf") * f * (K1 + 1) / (f + K1 * (1 - B + B * dl / length))
-    return index.postings.join(wanted.join(index.terms, "term"), "term").groupBy("query_id", "chunk_id").agg(F.sum(gain).alias("raw"))
-
-
 def sparse_topk(corpus: DataFrame | Index, queries: DataFrame, k: int = 10, stop_words=None) -> DataFrame:
-    """``query_id, chunk_id, sparse_score, sparse_rank``: positive scores over the query's best, four places. Of a stored index, or of a corpus that is indexed on the way."""
+    """``query_id, chunk_id, sparse_score, sparse_rank``: positive scores over the query's best, four places. Of a stored index, or of a corpus that is indexed on the way; blocks that cannot reach the top k are skipped."""
     index = corpus if isinstance(corpus, Index) else index_of(corpus)
-    scored = sparse_scores(index, query_terms(queries, stop_words))
-    best = F.max("raw").over(Window.partitionBy("query_id"))
-    share = scored.withColumn("best", best).where(F.col("raw") > 0).select("query_id", "chunk_id", rounded(F.col("raw") / F.when(F.col("best") > 0, F.col("best")).otherwise(1.0), 4).alias("sparse_score"))
+    found = best_chunks(index, query_terms(queries, stop_words), k)
+    share = found.select("query_id", "chunk_id", rounded(F.col("raw") / F.col("best"), 4).alias("sparse_score"))
     return ranked(share, "sparse_score", k, "sparse_rank")
 
 

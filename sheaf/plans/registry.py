@@ -44,16 +44,18 @@ def scratch_folder(spark: SparkSession) -> str:
 
 
 def stored_index(spark: SparkSession, sf_dir: str):
-    """The index of the documents of a folder: built by the first query that asks, read by all others of the application.
+    """The index of the documents of a folder: built by the first query that asks, read by all others that share the folder for it.
 
     The table's size, file count and time of change name the index, so other documents in the same place get one of their own.
     """
-    from sheaf.sources import stores
+    from sheaf.sources import segments
 
     path = f"{sf_dir}/documents.parquet"
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     held = fs.getContentSummary(p)
-    version = f"{path}|{held.getLength()}|{held.getFileCount()}|{fs.getFileStatus(p).getModificationTime()}|{spark.sparkContext.applicationId}"
-    corpus = texts(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), "text")
-    return stores.current_index(corpus, f"{shared_folder(spark)}/index-{hashlib.sha256(version.encode()).hexdigest()[:32]}")
+    version = f"{path}|{held.getLength()}|{held.getFileCount()}|{fs.getFileStatus(p).getModificationTime()}"
+    at = f"{shared_folder(spark)}/index-{hashlib.sha256(version.encode()).hexdigest()[:32]}"
+    if segments.manifest(spark, at) is None:
+        segments.rebuild(texts(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), "text"), at)
+    return segments.open_index(spark, at)

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sheaf.functions.numbers import rounded
-from sheaf.operators import retrieval, trust
+from sheaf.operators import inverted, retrieval, trust
 
 from . import sql as Q
 from .fixtures import REGISTRY
-from .registry import query, stored_index, table, texts
+from .registry import query, scratch_folder, stored_index, table, texts
 from .text_queries import META, metadata
 
 K = 5
@@ -48,7 +48,8 @@ def sparse(spark, d, k, stop_words=None):
 
 @query("term_stats", f"WITH {Q.BM25} SELECT term, df, round(idf, 6) AS idf FROM idf")
 def term_stats(spark, d):
-    return stored_index(spark, d).terms.select("term", "df", F.round("idf", 6).alias("idf"))
+    index = stored_index(spark, d)
+    return inverted.term_weights(inverted.term_counts(index.blocks), index.stats).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query("postings", f"WITH {Q.BM25} SELECT term, chunk_id, tf, dl AS doc_len FROM po")
@@ -61,6 +62,23 @@ def sparse_topk(spark, d):
     return sparse(spark, d, 10)
 
 
+@query("sparse_after_changes", f"""WITH {Q.sparse(10).replace('FROM documents)', "FROM changed)").replace('WITH', '').replace('c AS (', "changed AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN text || ' ' || text ELSE text END AS text FROM documents WHERE doc_id % 5 <> 0), c AS (", 1)}
+SELECT query_id, chunk_id, sparse_score, sparse_rank FROM sparse""")
+def sparse_after_changes(spark, d):
+    """Search of an index that came to its state by changes: half the documents, then the others, edited texts in place of some, others deleted, small segments merged."""
+    from sheaf.sources import segments
+
+    path = scratch_folder(spark)
+    docs = texts(spark, d).select(F.col("doc_id").alias("chunk_id"), "text")
+    even = F.col("chunk_id") % 2 == 0
+    segments.rebuild(docs.where(even), path)
+    segments.upsert(docs.where(~even), path)
+    segments.upsert(docs.where("chunk_id % 7 = 0").withColumn("text", F.concat("text", F.lit(" "), "text")), path)
+    segments.delete(docs.where("chunk_id % 5 = 0").select("chunk_id"), path)
+    segments.compact(spark, path, most=2)
+    return retrieval.sparse_topk(segments.open_index(spark, path), questions(spark, d).select("query_id", "query"), 10)
+
+
 @query("dense_topk", f"WITH {Q.dense(10)} SELECT query_id, chunk_id, dense_score, dense_rank FROM dense")
 def dense_topk(spark, d):
     return dense(spark, d, 10)

@@ -10,13 +10,10 @@ from pyspark.sql import functions as F
 
 from sheaf.operators import graph, retrieval
 
+from . import segments
 from .documents import table_exists
 
 
-#: Parts that a term's postings are dealt into.
-TERM_PARTS = 8
-
-
 @dataclass(frozen=True)
 class SearchConfig:
     dense_weight: float = retrieval.DENSE_WEIGHT
@@ -33,31 +30,19 @@ class SearchConfig:
 
 
 def write_index(corpus: DataFrame, path: str) -> None:
-    """Postings by term (a term's filter skips row groups; a term goes over ``TERM_PARTS`` files at most, however common), terms with their weights, and the corpus' counts.
-
-    Texts are read once; the rest comes from the stored postings.
-    """
-    spark = corpus.sparkSession
-    retrieval.postings(corpus).repartition("term", F.pmod(F.xxhash64("chunk_id"), F.lit(TERM_PARTS))).sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{path}/postings")
-    posts = spark.read.parquet(f"{path}/postings")
-    retrieval.corpus_stats(corpus, posts).write.mode("overwrite").parquet(f"{path}/stats")
-    retrieval.term_stats(posts, spark.read.parquet(f"{path}/stats")).write.mode("overwrite").parquet(f"{path}/terms")
+    """A new version of the stored index, of a corpus ``(chunk_id, text)`` and of nothing else; the version before stays readable until it is committed (``segments``)."""
+    segments.rebuild(corpus, path)
 
 
 def read_index(spark: SparkSession, path: str) -> retrieval.Index | None:
-    """The stored index; nothing if there is none (terms are written last)."""
-    if not table_exists(spark, f"{path}/terms"):
-        return None
-    return retrieval.Index(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "stats")))
+    """The stored index as it was last committed; nothing if there is none."""
+    return segments.open_index(spark, path)
 
 
 def current_index(corpus: DataFrame, path: str) -> retrieval.Index:
-    """The stored index, rebuilt as a whole if it is missing or its chunk count is not the corpus'."""
-    found = read_index(corpus.sparkSession, path)
-    if found is None or found.stats.first()["n_docs"] != corpus.count():
-        write_index(corpus, path)
-        found = read_index(corpus.sparkSession, path)
-    return found
+    """The stored index, brought to the corpus if it is missing or any id or text differs; only what differs is tokenised."""
+    segments.sync(corpus, path)
+    return segments.open_index(corpus.sparkSession, path)
 
 
 def write_graph(triplets: DataFrame, path: str) -> None:
