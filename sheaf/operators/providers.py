@@ -19,12 +19,30 @@ from . import chunking, gates
 DIM = 64
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``value`` made once, whatever ``body`` does with it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def hashed_embedding(text: Column, dim: int = DIM) -> Column:
-    """A unit vector of signed hashed tokens (built-in functions only)."""
-    toks = tokens(text)
-    value = lambda j: F.aggregate(toks, F.lit(0.0), lambda s, t: s + F.when(F.pmod(F.xxhash64(t), F.lit(dim)) == j, F.when(F.xxhash64(t, F.lit(1)) > 0, 1.0).otherwise(-1.0)).otherwise(0.0))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), value)
-    return F.element_at(F.transform(F.array(raw), lambda v: F.transform(v, lambda x: (x / F.greatest(F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, y: s + y * y)), F.lit(1e-9))).cast("float"))), 1)
+    """A unit vector of signed hashed tokens (built-in functions only).
+
+    A token is hashed once, to twice its bucket plus its sign; sorted, those are counted by runs, and the runs (two a bucket at most) are summed up.
+    """
+    codes = F.sort_array(F.transform(tokens(text), lambda t: F.pmod(F.xxhash64(t), F.lit(dim)).cast("int") * 2 + (F.xxhash64(t, F.lit(1)) > 0).cast("int")))
+
+    def counted(s: Column) -> Column:
+        first = F.filter(F.transform(s, lambda x, i: F.when(~x.eqNullSafe(F.get(s, i - 1)), i)), lambda i: i.isNotNull())
+        return _let(first, lambda at: F.transform(at, lambda a, k: F.struct(F.get(s, a).alias("c"), (F.coalesce(F.get(at, k + 1), F.size(s)) - a).alias("n"))))
+
+    def summed(runs: Column) -> Column:
+        value = lambda j: F.aggregate(F.filter(runs, lambda r: F.shiftright(r["c"], 1) == j), F.lit(0.0), lambda v, r: v + r["n"] * (2 * (r["c"] % 2) - 1))
+        return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), value)
+
+    def scaled(v: Column) -> Column:
+        return _let(F.greatest(F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, y: s + y * y)), F.lit(1e-9)), lambda n: F.transform(v, lambda x: (x / n).cast("float")))
+
+    return _let(_let(_let(codes, counted), summed), scaled)
 
 
 def extractive_answer(chunks: DataFrame, most: int = 3, by: str = "query_id") -> DataFrame:

@@ -14,6 +14,8 @@ CASTS: dict[str, dict[str, str]] = {
     "full_text_build": {"n": "INTEGER"},
     "postings": {"doc_len": "INTEGER"},
     "sparse_topk": {"sparse_rank": "INTEGER"},
+    "sparse_after_changes": {"sparse_rank": "INTEGER"},
+    "vector_lists_all": {"dense_rank": "INTEGER"},
     "dense_topk": {"dense_rank": "INTEGER"},
     "hybrid_topk": {"rank": "INTEGER"},
     "gate_hybrid_topk": {"rank": "INTEGER"},

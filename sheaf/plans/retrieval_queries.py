@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sheaf.functions.numbers import rounded
-from sheaf.operators import inverted, retrieval, trust
+from sheaf.operators import inverted, lists, retrieval, trust
 
 from . import sql as Q
 from .fixtures import REGISTRY
@@ -84,6 +84,30 @@ def dense_topk(spark, d):
     return dense(spark, d, 10)
 
 
+#: Every hundredth vector asks for its neighbours among all.
+NEAR = """dn AS (SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 4) AS dense_score FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0),
+near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dense_score DESC, chunk_id) AS dense_rank FROM dn) WHERE dense_rank <= 10)"""
+
+
+def hundredths(spark, d):
+    return vectors(spark, d).where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+
+
+@query("vector_lists_all", f"WITH {NEAR} SELECT query_id, chunk_id, dense_score, dense_rank FROM near")
+def vector_lists_all(spark, d):
+    """The index by lists, all of them read: as exact as search without it."""
+    index = lists.build(vectors(spark, d))
+    return lists.search(index, hundredths(spark, d), 10, len(index.centroids))
+
+
+@query("vector_lists_recall", "SELECT count(*) AS n_queries, true AS at_least_090 FROM embeddings WHERE vec_id % 100 = 0")
+def vector_lists_recall(spark, d):
+    """What the lists that a query reads by default find of the ten nearest."""
+    asked = hundredths(spark, d)
+    found = lists.search(lists.build(vectors(spark, d)), asked, 10)
+    return lists.recall(found, retrieval.dense_topk(vectors(spark, d), asked, 10)).select("n_queries", (F.col("recall") >= 0.9).alias("at_least_090"))
+
+
 @query("dense_label_agreement", f"WITH {Q.dense(10)} SELECT round(avg(CASE WHEN e.label = q.label THEN 1.0 ELSE 0.0 END), 6) AS agreement, count(*) AS n FROM dense JOIN embeddings e ON e.vec_id = chunk_id JOIN embeddings q ON q.vec_id = query_id")
 def dense_label_agreement(spark, d):
     e = table(spark, d, "embeddings")

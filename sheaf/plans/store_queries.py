@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sheaf.operators import graph, providers, trust
 from sheaf.sources import documents as S
-from sheaf.sources import stores
+from sheaf.sources import stores, vectors
 
 from . import sql as Q
 from .graph_queries import USABLE, triplets
@@ -63,12 +63,14 @@ def json_to_parquet(spark, d):
 
 @query("vector_upsert", "SELECT doc_id AS chunk_id, 'a, b' AS crop_tags, n_chars AS char_count, 64 AS dims FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
 def vector_upsert(spark, d):
-    """Vector records of the documents that the store lacks."""
+    """Documents are put into a store that has some of them: the records that were written the second time."""
+    path = scratch_folder(spark)
     chunks = texts(spark, d).select(
         F.col("doc_id").alias("chunk_id"), "text", F.array(F.lit("a"), F.lit("b")).alias("crop_tags"), F.col("source").alias("source_file"), F.lit(1.0).alias("trust_weight"), F.col("n_chars").alias("char_count"),
         F.lit(0.8).alias("authority_score"), F.lit(0.0).alias("bias_penalty"), F.lit(2023).alias("year"))
-    store = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"))
-    return S.upsert_vectors(chunks, store, providers.hashed_embedding).select("chunk_id", "crop_tags", "char_count", F.size("embedding").alias("dims"))
+    stored = chunks.join(table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id")), "chunk_id", "left_semi")
+    vectors.upsert(stored, path, providers.hashed_embedding)
+    return vectors.upsert(chunks, path, providers.hashed_embedding).select("chunk_id", "crop_tags", "char_count", F.size("embedding").alias("dims"))
 
 
 @query("graph_store", f"""WITH {USABLE}, no AS (SELECT node, count(*) AS n FROM (SELECT subject AS node FROM ok UNION ALL SELECT object FROM ok) GROUP BY node)

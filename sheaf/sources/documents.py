@@ -14,6 +14,8 @@ from sheaf import schemas
 from sheaf.functions.text import clean_text
 from sheaf.session import ship
 
+from . import files as fs
+
 
 def scan_files(spark: SparkSession, folder: str, pattern: str = "*.[pP][dD][fF]") -> DataFrame:
     """``path, modificationTime, length, content, filename`` of a folder's files."""
@@ -122,41 +124,37 @@ def cleaning_stats(pages: DataFrame, by: str = "filename") -> DataFrame:
     return pages.groupBy(by).agg(before.alias("chars_before"), after.alias("chars_after"), (before - after).alias("chars_removed"), F.round((before - after) / F.greatest(before, F.lit(1)) * 100, 1).alias("reduction_pct"))
 
 
-def append_chunks(new: DataFrame, path: str) -> int:
+#: Buckets of a chunk store.
+CHUNK_BUCKETS = 256
+
+
+def append_chunks(new: DataFrame, path: str, by: str = "chunk_id", buckets: int = CHUNK_BUCKETS) -> int:
     """Append chunks whose id the store lacks (existing rows stay; repeats inside the batch are not touched); a missing or empty store is created. Returns the rows added.
 
-    Files are sorted by id, so that the look-up of known ids reads nothing but ids, and of those what lies between the batch's least and greatest.
+    The store is a table by bucket, a hash of ``by``: ids are looked up in the batch's buckets and in no others, and only what is new is written. ``by``: the id, or a column that
+    the id determines (the source, where ids are made from it), which keeps the chunks of a file in one bucket; always the same for a store.
     """
     spark = new.sparkSession
-    new = new.persist()
+    held = new.withColumn("_bucket", F.pmod(F.xxhash64(by), F.lit(buckets)).cast("int")).persist()
     known = table_exists(spark, path)
     try:
-        fresh = new
+        fresh = held
         if known:
-            low, high = new.agg(F.min("chunk_id"), F.max("chunk_id")).first()
-            stored = spark.read.parquet(path).select("chunk_id").where(F.col("chunk_id").between(low, high) if low is not None else F.lit(False))
-            fresh = new.join(stored, "chunk_id", "left_anti").persist()
+            touched = [r[0] for r in held.select("_bucket").distinct().collect()]  # a number a bucket at most
+            stored = spark.read.parquet(path).where(F.col("_bucket").isin(touched)).select("chunk_id")
+            fresh = held.join(stored, "chunk_id", "left_anti").persist()
         n = fresh.count()
         if n or not known:
-            fresh.sortWithinPartitions("chunk_id").write.mode("append").parquet(path)
+            fresh.repartition("_bucket").sortWithinPartitions("_bucket", "chunk_id").write.mode("append").partitionBy("_bucket").parquet(path)
         fresh.unpersist()
         return n
     finally:
-        new.unpersist()
+        held.unpersist()
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:
     """Whether a folder holds a readable Parquet table, asked through Spark's own file system."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(p) and any(str(s.getPath().getName()).startswith("part-") for s in fs.listStatus(p))
-
-
-def upsert_vectors(chunks: DataFrame, store: DataFrame, encode: Callable[[Column], Column]) -> DataFrame:
-    """Vector records of the chunks that the store lacks; tags are flattened to one string. ``encode`` is a column function (a pandas UDF that loads its model once)."""
-    fresh = chunks.join(store.select("chunk_id"), "chunk_id", "left_anti")
-    return fresh.select("chunk_id", "text", encode(F.col("text")).alias("embedding"), F.array_join("crop_tags", ", ").alias("crop_tags"), "source_file", "trust_weight", "char_count", "authority_score", "bias_penalty", "year")
+    return any(n.startswith("part-") or ("=" in n and n[0] != ".") for n in fs.names(spark, path))
 
 
 def export_vectors(store: DataFrame) -> DataFrame:

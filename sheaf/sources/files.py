@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -55,3 +58,35 @@ def rename(spark: SparkSession, source: str, target: str) -> bool:
 def delete(spark: SparkSession, path: str) -> None:
     fs, p = _at(spark, path)
     fs.delete(p, True)
+
+
+class Conflict(RuntimeError):
+    """Another writer committed the version first."""
+
+
+def last_version(spark: SparkSession, path: str) -> dict | None:
+    """What the last committed version of a store says; nothing if there is none."""
+    found = [n for n in names(spark, f"{path}/manifests") if n.endswith(".json")]
+    return json.loads(read_text(spark, f"{path}/manifests/{found[-1]}")) if found else None
+
+
+def commit_version(spark: SparkSession, path: str, made: dict) -> None:
+    """Make ``made``, with its number in ``version``, the last version of a store: one rename, so that readers see all of it or nothing."""
+    make_folder(spark, f"{path}/manifests")
+    draft = f"{path}/draft-{uuid.uuid4().hex}"
+    write_text(spark, draft, json.dumps(made))
+    if not rename(spark, draft, f"{path}/manifests/{made['version']:012d}.json"):
+        raise Conflict(f"version {made['version']} of {path} is there already")
+
+
+def vacuum(spark: SparkSession, path: str, named: set[str]) -> None:
+    """Remove what the last version of a store does not name: older manifests first, then folders and drafts."""
+    last = last_version(spark, path)
+    if last is None:
+        return
+    for n in names(spark, f"{path}/manifests"):
+        if n != f"{last['version']:012d}.json":
+            delete(spark, f"{path}/manifests/{n}")
+    for n in names(spark, path):
+        if n not in named and n != "manifests":
+            delete(spark, f"{path}/{n}")

@@ -7,12 +7,11 @@ behind is not read and goes with ``vacuum``.
 
 Texts are compared by id and hash. Only those that are new or changed are tokenised; of the rest nothing is read but ids and
 hashes. Counts of terms are those of the version before, plus the new segment's, less those of chunks that went. One writer at a
-time: a second one finds its version taken and raises ``Conflict``.
+time: a second one finds its version taken and raises ``files.Conflict``.
 """
 
 from __future__ import annotations
 
-import json
 import uuid
 from dataclasses import asdict, dataclass, replace
 
@@ -30,10 +29,6 @@ from . import files
 MOST_SEGMENTS = 8
 
 
-class Conflict(RuntimeError):
-    """Another writer committed the version first."""
-
-
 @dataclass(frozen=True)
 class Manifest:
     """What a version consists of: folders of segments by number, of the dead places, of the terms, and the corpus' counts."""
@@ -49,16 +44,12 @@ class Manifest:
 
 
 def manifest(spark: SparkSession, path: str) -> Manifest | None:
-    found = [n for n in files.names(spark, f"{path}/manifests") if n.endswith(".json")]
-    return Manifest(**json.loads(files.read_text(spark, f"{path}/manifests/{found[-1]}"))) if found else None
+    found = files.last_version(spark, path)
+    return Manifest(**found) if found else None
 
 
 def _commit(spark: SparkSession, path: str, made: Manifest) -> None:
-    files.make_folder(spark, f"{path}/manifests")
-    draft = f"{path}/draft-{uuid.uuid4().hex}"
-    files.write_text(spark, draft, json.dumps(asdict(made)))
-    if not files.rename(spark, draft, f"{path}/manifests/{made.version:012d}.json"):
-        raise Conflict(f"version {made.version} of {path} is there already")
+    files.commit_version(spark, path, asdict(made))
 
 
 def open_index(spark: SparkSession, path: str) -> Index | None:
@@ -230,14 +221,7 @@ def _merged(index: Index, number: int, size: int) -> DataFrame:
 
 
 def vacuum(spark: SparkSession, path: str) -> None:
-    """Remove what the last version does not name: older manifests first, then folders and drafts."""
+    """Remove what the last version does not name."""
     last = manifest(spark, path)
-    if last is None:
-        return
-    for n in files.names(spark, f"{path}/manifests"):
-        if n != f"{last.version:012d}.json":
-            files.delete(spark, f"{path}/manifests/{n}")
-    named = {*last.segments, last.dead, last.terms, "manifests"}
-    for n in files.names(spark, path):
-        if n not in named:
-            files.delete(spark, f"{path}/{n}")
+    if last:
+        files.vacuum(spark, path, {*last.segments, last.terms, last.dead or ""})

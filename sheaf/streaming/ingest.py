@@ -32,7 +32,7 @@ def ingest_stream(spark: SparkSession, source: str, store: str, checkpoint: str,
     def batch(df: DataFrame, _: int) -> None:
         docs = to_documents(df)
         made = chunks_of(docs, metadata).persist()  # for the store and the registry
-        append_chunks(made, store)
+        append_chunks(made, store, by="source_file")  # an id is made from its source
         if registry:
             counts = made.groupBy(F.col("source_file").alias("filename")).agg(F.count("*").cast("int").alias("chunks_created"), F.sort_array(F.collect_list("chunk_id")).alias("chunk_ids"))
             rows = docs.select("filename").distinct().join(counts, "filename", "left")

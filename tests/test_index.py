@@ -164,6 +164,6 @@ def test_a_crash_leaves_the_version_before(spark, tmp_path, monkeypatch, step):
 def test_a_second_writer_is_refused(spark, tmp_path):
     path = str(tmp_path / "i")
     made = segments.rebuild(frame(spark, corpus(10)), path)
-    with pytest.raises(segments.Conflict):
+    with pytest.raises(files.Conflict):
         segments._commit(spark, path, made)
     assert segments.manifest(spark, path) == made
