@@ -10,6 +10,7 @@ from sheaf.functions.numbers import rounded
 from sheaf.functions.text import crop_tags, is_hard_boundary, sentences
 
 from .numbering import numbered
+from .pairs import scored, scorer_of
 
 MAX_CHUNK, MIN_CHUNK, NSP_THRESHOLD = 500, 50, 0.85
 DEFAULTS = {"source_org": "", "region": "India", "domain": "agriculture", "year": 2023, "authority_score": 0.8, "bias_penalty": 0.0}
@@ -42,10 +43,16 @@ def chunks(docs: DataFrame, id_col: str, text_col: str = "text", *, split=senten
 
     Hard and low-score splits do not depend on the fold, so they are marked beside each sentence; the fold itself
     keeps (length, where chunks start) and runs inside the row, without a shuffle; chunks are slices of the sentences. Chunks below ``MIN_CHUNK`` go.
+    ``next_score``: a column function of (sentence before, sentence) made of built-in functions, or a model: a ``PairScorer``, a pandas or an Arrow UDF.
     """
     held = docs.select(id_col, split(F.col(text_col)).alias("s")).where(F.size("s") > 0)
-    static = F.transform("s", lambda x, i: F.struct(
-        F.length(x).alias("n"), (is_hard_boundary(x) | ((i > 0) & (next_score(F.get("s", i - 1), x) < NSP_THRESHOLD))).alias("cut")))
+    scorer = scorer_of(next_score)
+    if scorer is None:
+        low = lambda x, i: next_score(F.get("s", i - 1), x) < NSP_THRESHOLD
+    else:
+        held = scored(held, scorer)
+        low = lambda x, i: F.get("next_scores", i) < NSP_THRESHOLD
+    static = F.transform("s", lambda x, i: F.struct(F.length(x).alias("n"), (is_hard_boundary(x) | ((i > 0) & low(x, i))).alias("cut")))
 
     def step(acc: Column, x: Column) -> Column:
         fresh = (acc["i"] == 0) | x["cut"] | (acc["len"] + x["n"] > MAX_CHUNK)

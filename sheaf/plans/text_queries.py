@@ -85,6 +85,15 @@ def hdr_chunk(spark, d):
     return chunk_rows(spark, d)
 
 
+@query("hdr_chunk_scored", f"WITH RECURSIVE {CHUNKS} SELECT doc_id, chunk_no, text FROM chunks")
+def hdr_chunk_scored(spark, d):
+    """The same chunks with the pairs scored in batches outside the plan, as a model would score them."""
+    from sheaf.operators.pairs import PairScorer
+
+    by_length = PairScorer(lambda: 20, lambda least, a, b: [float(len(x) >= least and len(y) >= least) for x, y in zip(a, b, strict=True)])
+    return chunking.chunks(texts(spark, d), "doc_id", next_score=by_length)
+
+
 TAGS = ("tea", "rice", "rose", *WORDS)
 
 
