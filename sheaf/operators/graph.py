@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .numbering import numbered
+from .substring import containing
 
 LEAST_CONFIDENCE = 0.7
 
@@ -45,13 +46,15 @@ def relationship_histogram(edge_rows: DataFrame) -> DataFrame:
 
 
 def resolve(node_rows: DataFrame, entities: DataFrame) -> DataFrame:
-    """``entity, node``: the exact node, else the first (by ``node``) that contains the entity. Only entities without an exact node are looked for inside nodes; the planner chooses the sides."""
+    """``entity, node``: the exact node, else the first (by ``node``) that contains the entity, any node for an empty one. Entities without an exact node are looked for by q-grams (``substring``)."""
     e = entities.select("entity", F.lower(F.regexp_replace("entity", r"^\s+|\s+$", "")).alias("_q")).distinct()
     names = node_rows.select("node").distinct()
     exact = e.join(names, F.col("node") == F.col("_q")).select("entity", "node")
     rest = e.join(exact.select("entity"), "entity", "left_anti")
-    near = names.join(rest, F.contains("node", "_q")).groupBy("entity").agg(F.min("node").alias("node"))
-    return exact.unionByName(near)
+    near = containing(names, rest.select(F.col("_q").alias("text"))).groupBy("text").agg(F.min("node").alias("node"))
+    found = rest.join(near, F.col("_q") == F.col("text")).select("entity", "node")
+    least = rest.where(F.col("_q") == "").select("entity", names.agg(F.min("node")).scalar().alias("node")).where(F.col("node").isNotNull())
+    return exact.unionByName(found).unionByName(least)
 
 
 def khop(edge_rows: DataFrame, starts: DataFrame, hops: int = 2) -> DataFrame:
