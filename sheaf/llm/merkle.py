@@ -161,7 +161,8 @@ def manifest(df: DataFrame, *, group: str = "lang", id_col: str = "doc_id", fiel
         text = changed[fields.index("text")]
         other = F.when(~text.eqNullSafe(F.col("text")), leaf_of(changed))
     slim = df.select(F.col(group).isNotNull().alias("known"), F.coalesce(F.col(group).cast("string"), F.lit("")).alias("name"), F.col(id_col).alias("id"), leaf_of(columns).alias("h"), other.alias("other"))
-    leaves = numbered(slim, ["id", "h"], ("known", "name"), "k")
+    # written before it is sorted: the borders of a sort's ranges are found by another look at the rows, and texts are to be hashed once
+    leaves = numbered(materialize(slim, "leaves"), ["id", "h"], ("known", "name"), "k")
     frames = materialize(_frames(leaves.select("known", "name", "k", "h"), levels), "frames")
     tops = numbered(frames.select("known", "name", F.col("top").alias("h")).distinct(), ["known", "name"], name="k")
     named = tops.select(F.col("known").alias("_known"), F.col("name").alias("_name"), "k")
