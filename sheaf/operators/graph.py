@@ -15,25 +15,40 @@ def _norm(c: str) -> Column:
     return F.lower(F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), r"^\s+|\s+$", ""))
 
 
-def usable(triplets: DataFrame) -> DataFrame:
+def usable(triplets: DataFrame, *more: str) -> DataFrame:
     """Lower-cased, stripped triplets with subject, object and confidence of at least 0.7 (0.8 where missing). ``seq`` orders them."""
-    t = triplets.select(_norm("subject").alias("subject"), _norm("relationship").alias("relationship"), _norm("object").alias("object"), F.coalesce("confidence", F.lit(0.8)).alias("confidence"), F.coalesce("source_file", F.lit("")).alias("source_file"), "seq")
+    t = triplets.select(_norm("subject").alias("subject"), _norm("relationship").alias("relationship"), _norm("object").alias("object"), F.coalesce("confidence", F.lit(0.8)).alias("confidence"), F.coalesce("source_file", F.lit("")).alias("source_file"), "seq", *more)
     return t.where((F.col("subject") != "") & (F.col("object") != "") & (F.col("confidence") >= LEAST_CONFIDENCE))
 
 
 def nodes(triplets: DataFrame) -> DataFrame:
     """``node, mentions, node_type``: the type is the role of the first mention (a subject is an entity and counts before its object)."""
-    t = usable(triplets)
-    roles = t.select(F.explode(F.array(
-        F.struct(F.col("subject").alias("node"), F.lit("entity").alias("role"), (F.col("seq") * 2).alias("at")),
-        F.struct(F.col("object").alias("node"), F.lit("value").alias("role"), (F.col("seq") * 2 + 1).alias("at")))).alias("r")).select("r.*")
-    return roles.groupBy("node").agg(F.count("*").alias("mentions"), F.min_by("role", "at").alias("node_type"))
+    return merged_nodes(node_parts(triplets)).drop("first_at")
+
+
+def node_parts(triplets: DataFrame, *more: str) -> DataFrame:
+    """``node, mentions, node_type, first_at`` of each mention, to be merged; ``more`` columns are carried along."""
+    t = usable(triplets, *more)
+    roles = F.array(
+        F.struct(F.col("subject").alias("node"), F.lit("entity").alias("node_type"), (F.col("seq") * 2).alias("first_at")),
+        F.struct(F.col("object").alias("node"), F.lit("value").alias("node_type"), (F.col("seq") * 2 + 1).alias("first_at")))
+    return t.select(F.explode(roles).alias("r"), *more).select("r.node", F.lit(1).cast("long").alias("mentions"), "r.node_type", "r.first_at", *more)
+
+
+def merged_nodes(parts: DataFrame) -> DataFrame:
+    """Parts of nodes as one row a node; merging them in any order and grouping gives the same."""
+    return parts.groupBy("node").agg(F.sum("mentions").alias("mentions"), F.min_by("node_type", "first_at").alias("node_type"), F.min("first_at").alias("first_at"))
 
 
 def edges(triplets: DataFrame) -> DataFrame:
     """At most one edge from a node to another: the last triplet wins."""
+    return merged_edges(usable(triplets)).drop("seq")
+
+
+def merged_edges(parts: DataFrame) -> DataFrame:
+    """``subject, object, relationship, confidence, source_file, seq``: the last of each pair."""
     last = F.max_by(F.struct("relationship", "confidence", "source_file"), "seq")
-    return usable(triplets).groupBy("subject", "object").agg(last.alias("e")).select("subject", "object", "e.*")
+    return parts.groupBy("subject", "object").agg(last.alias("e"), F.max("seq").alias("seq")).select("subject", "object", "e.*", "seq")
 
 
 def degrees(edge_rows: DataFrame) -> DataFrame:

@@ -83,16 +83,29 @@ def graph_store(spark, d):
     return spark.range(1).select(n("triplets").alias("triplets"), n("nodes").alias("nodes"), n("nodes", F.sum("mentions")).alias("mentions"), n("edges").alias("edges"))
 
 
-@query("graph_build", """WITH c AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS k, greatest(1, count(*) OVER (PARTITION BY source) // 20) AS s FROM documents), p AS (SELECT * FROM c WHERE k % s = 0 AND k // s < 20)
-SELECT source AS subject, 'has' AS relationship, 'doc ' || doc_id AS object FROM p""")
+_FACTS = """WITH c AS (SELECT doc_id, source, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS k, greatest(1, count(*) OVER (PARTITION BY source) // 20) AS s FROM documents),
+f AS (SELECT doc_id, lower(regexp_extract(m, '^[^ ]+')) AS subject, lower(regexp_extract(m, '[^ ]+$')) AS object FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[\\p{L}\\p{N}_]+ that [\\p{L}\\p{N}_]+')) AS m FROM c WHERE k % s = 0 AND k // s < 20))"""
+
+
+@query("graph_build", f"{_FACTS} SELECT DISTINCT subject, 'that' AS relationship, object FROM f")
 def graph_build(spark, d):
-    """Facts of an even sample of each source, asked for twice: the second run finds nothing left to do."""
+    """Facts of whole texts of an even sample of each source, in two batches and a third that finds nothing left to ask."""
     path = scratch_folder(spark)
-    chunks = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("doc_id"), F.col("source").alias("source_file"), F.lit("").alias("text"))
-    ask = lambda c: c.select(F.col("source_file").alias("subject"), F.lit("has").alias("relationship"), F.concat(F.lit("doc "), "chunk_id").alias("object"), F.lit(0.9).alias("confidence"), "source_file", F.col("text").alias("chunk_text"), "chunk_id")
-    for _ in range(2):
-        stores.build_graph(chunks, path, ask, 20, order="doc_id")
-    return graph.edges(spark.read.parquet(f"{path}/triplets")).select("subject", "relationship", "object")
+    chunks = texts(spark, d).select(F.col("doc_id").cast("string").alias("chunk_id"), "doc_id", F.col("source").alias("source_file"), "text")
+    for part in (chunks.where("doc_id % 2 = 0"), chunks, chunks):
+        stores.build_graph(part if part is chunks else _even(chunks, part), path, _that, 20, order="doc_id")
+    return spark.read.parquet(f"{path}/edges").select("subject", "relationship", "object")
+
+
+def _even(chunks, part):
+    """The rows of ``part`` that are in the sample of all."""
+    return graph.even_sample(chunks, "source_file", "doc_id", 20).join(part.select("chunk_id"), "chunk_id", "left_semi")
+
+
+def _that(chunks):
+    found = F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+ that [\p{L}\p{N}_]+"), F.lit(0))
+    rows = chunks.select("chunk_id", "source_file", F.substring("text", 1, 200).alias("chunk_text"), F.explode(found).alias("m"))
+    return rows.select(F.split("m", " that ")[0].alias("subject"), F.lit("that").alias("relationship"), F.split("m", " that ")[1].alias("object"), F.lit(0.9).alias("confidence"), "source_file", "chunk_text", "chunk_id")
 
 
 @query("gate_log_append", "SELECT event_type AS stage, CAST(2 * count(*) AS BIGINT) AS n, true AS stamped FROM events GROUP BY event_type")

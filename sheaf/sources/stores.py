@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheaf.operators import graph, retrieval
+from sheaf.operators.numbering import numbered
+from sheaf.operators.providers import Providers
+from sheaf.session import written
 
-from . import segments
+from . import files, segments
 from .documents import table_exists
 
 
@@ -61,19 +64,59 @@ def append_log(rows: DataFrame, path: str) -> None:
     rows.withColumn("ts", F.coalesce("ts", F.current_timestamp()) if "ts" in rows.columns else F.current_timestamp()).write.mode("append").parquet(path)
 
 
-def build_graph(chunks: DataFrame, path: str, extract, per_source: int = 150, order: str = "chunk_id", most: int | None = None) -> None:
-    """Facts of an even sample of each source's chunks that have none yet, added to the stored ones; then nodes and edges anew.
+#: Buckets of a stored graph's nodes and edges.
+GRAPH_BUCKETS = 64
+_FACT = "subject string, relationship string, object string, confidence double, source_file string, chunk_text string, chunk_id string, seq long"
+_SEQ_BITS = 40
 
-    The processed chunks are logged, so chunks without facts are not asked again.
+
+def build_graph(chunks: DataFrame, path: str, extract=None, per_source: int = 150, order: str = "chunk_id", most: int | None = None, buckets: int = GRAPH_BUCKETS) -> None:
+    """Facts of an even sample of each source's chunks that have none yet, added to the stored ones; nodes and edges follow.
+
+    A run is a batch. Its facts are written once, together with a row without a fact for each chunk that gave none, so an answered chunk is never asked
+    again, whatever fails after it. Nodes and edges are merged by bucket: those that the batch's facts touch are read, merged and written
+    over, the others stay. Each bucket says up to which batch it has been merged, and the state after all of them is committed last; a run
+    that died in between is caught up by the next one, and no fact counts twice.
     """
     spark = chunks.sparkSession
-    schema = "subject string, relationship string, object string, confidence double, source_file string, chunk_text string, chunk_id string, seq long"
-    old = read_table(spark, f"{path}/triplets", schema)
+    extract = extract or Providers().triplets
+    old = read_table(spark, f"{path}/triplets", f"{_FACT}, batch int")
     processed = read_table(spark, f"{path}/processed", "chunk_id string")
-    wanted = graph.unprocessed(graph.even_sample(chunks, "source_file", order, per_source, most), old, processed)
-    facts = extract(wanted).withColumn("seq", F.monotonically_increasing_id() + F.coalesce(old.agg(F.max("seq")).scalar() + 1, F.lit(0)))
-    facts.select("subject", "relationship", "object", "confidence", "source_file", "chunk_text", "chunk_id", "seq").write.mode("append").parquet(f"{path}/triplets")
+    wanted = written(graph.unprocessed(graph.even_sample(chunks, "source_file", order, per_source, most), old, processed), "wanted")
+    batch = max([int(n.removeprefix("batch=")) for n in files.names(spark, f"{path}/triplets") if n.startswith("batch=")], default=0) + 1
+    names = [x.split()[0] for x in _FACT.split(", ")]
+    found = written(extract(wanted).select(*names[:-1]), "facts")  # asked once
+    silent = wanted.select("source_file", "chunk_id").join(found.select("chunk_id").distinct(), "chunk_id", "left_anti")
+    rows = numbered(found.unionByName(silent, allowMissingColumns=True), ["source_file", "chunk_id"]).withColumn("seq", F.lit(batch << _SEQ_BITS) + F.col("_k")).withColumn("batch", F.lit(batch))
+    rows.select(*names, "batch").write.mode("append").partitionBy("batch").parquet(f"{path}/triplets")
     wanted.select("chunk_id").write.mode("append").parquet(f"{path}/processed")
-    stored = spark.read.schema(schema).parquet(f"{path}/triplets")
-    graph.nodes(stored).write.mode("overwrite").parquet(f"{path}/nodes")
-    graph.edges(stored).write.mode("overwrite").parquet(f"{path}/edges")
+    _catch_up(spark, path, batch, buckets)
+
+
+def _catch_up(spark: SparkSession, path: str, batch: int, buckets: int) -> None:
+    """Merge the facts of the batches that are not in nodes and edges yet."""
+    done = files.last_version(spark, f"{path}/state")
+    first = (done["version"] if done else 0) + 1
+    fresh = spark.read.schema(f"{_FACT}, batch int").parquet(f"{path}/triplets").where(F.col("batch").between(first, batch))
+    buckets = done["buckets"] if done else buckets
+    _merge_buckets(graph.node_parts(fresh, "batch"), f"{path}/nodes", ["node"], graph.merged_nodes, batch, buckets)
+    _merge_buckets(graph.usable(fresh, "batch"), f"{path}/edges", ["subject", "object"], graph.merged_edges, batch, buckets)
+    files.commit_version(spark, f"{path}/state", {"version": batch, "buckets": buckets})
+
+
+def _merge_buckets(parts: DataFrame, path: str, key: list[str], combine, batch: int, buckets: int) -> None:
+    """Put parts (with their ``batch``) into the buckets of their keys. A bucket is replaced as a whole, and skips what it has seen."""
+    spark = parts.sparkSession
+    held = written(parts.withColumn("_bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")), "parts")
+    touched = [r[0] for r in held.select("_bucket").distinct().collect()]  # a number a bucket at most
+    if not touched and table_exists(spark, path):
+        return
+    columns = [c for c in held.columns if c not in ("_bucket", "batch")]
+    if table_exists(spark, path):
+        old = spark.read.parquet(path).where(F.col("_bucket").isin(touched))
+        seen = old.groupBy(F.col("_bucket").alias("_b")).agg(F.max("_upto").alias("_seen"))
+        held = held.join(seen, F.col("_bucket") == F.col("_b"), "left").where(F.col("batch") > F.coalesce("_seen", F.lit(0))).select(*columns)
+        held = held.unionByName(old.select(*columns))
+    merged = combine(held.select(*columns)).withColumn("_upto", F.lit(batch)).withColumn("_bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int"))
+    # made before the buckets it was read from are replaced
+    written(merged, "merged").repartition("_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(path)
