@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .numbering import range_of_place, ranged
+
 INITIAL, LOWEST, HIGHEST, RATE, LEAST_FEEDBACKS = 1.5, 0.8, 2.5, 0.05, 3
 
 
@@ -13,21 +15,47 @@ def accuracy(log: DataFrame, by: str = "path") -> DataFrame:
     return log.groupBy(by).agg(F.count("*").alias("n"), F.count_if("was_accurate").alias("n_accurate"), F.round(F.avg(F.col("was_accurate").cast("double")), 3).alias("accuracy"))
 
 
-def deltas(log: DataFrame, keys: tuple[str, ...] = (), order: str = "seq") -> DataFrame:
-    """Each feedback with the accuracies so far and the step it asks for. A path without feedback counts as accuracy 0.
+_COUNTS = ("n", "fast_n", "fast_ok", "slow_n", "slow_ok")
 
-    ``keys`` (tenant, user, ...) make independent thresholds; without them the log is one ordered sequence.
+
+def _counted(log: DataFrame, keys: tuple[str, ...], order: str) -> DataFrame:
+    """``log`` in sorted ranges with ``_key``, ``_r`` (the range), ``_place`` and the counts up to each feedback.
+
+    Counts of a key's ranges are summed up first (a row for each key and range), so a range counts on alone from what came before it: a log without keys, or a key with most of the
+    feedback, is as many tasks as it has ranges.
     """
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0) if keys else Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    share = lambda p: F.coalesce(F.sum(((F.col("path") == p) & F.col("was_accurate")).cast("int")).over(w) / F.nullif(F.sum((F.col("path") == p).cast("int")).over(w), F.lit(0)), F.lit(0.0))
-    out = log.withColumn("n", F.count("*").over(w)).withColumn("fast_acc", share("fast")).withColumn("slow_acc", share("slow"))
+    key = F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))
+    held = ranged(log.withColumn("_key", key), ["_key", order]).withColumn("_r", range_of_place())
+    fast, slow = F.col("path") == "fast", F.col("path") == "slow"
+    ok = F.coalesce("was_accurate", F.lit(False))
+    one = dict(zip(_COUNTS, (F.lit(1), *(F.coalesce(x, F.lit(False)).cast("int") for x in (fast, fast & ok, slow, slow & ok))), strict=True))
+    held = held.select("*", *(x.alias(f"_{n}") for n, x in one.items()))
+    totals = held.groupBy("_key", "_r").agg(*(F.sum(f"_{n}").alias(n) for n in _COUNTS))
+    earlier = Window.partitionBy("_key").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(F.col("_key").alias("_k"), F.col("_r").alias("_at"), *(F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_before_{n}") for n in _COUNTS))
+    inside = Window.partitionBy("_key", "_r").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
+    joined = held.join(before, (F.col("_key") == F.col("_k")) & (F.col("_r") == F.col("_at")))
+    return joined.select(*log.columns, "_key", "_r", "_place", *((F.col(f"_before_{n}") + F.sum(f"_{n}").over(inside)).alias(f"_{n}") for n in _COUNTS))
+
+
+def _stepped(log: DataFrame, keys: tuple[str, ...], order: str) -> DataFrame:
+    share = lambda p: F.coalesce(F.col(f"_{p}_ok") / F.nullif(F.col(f"_{p}_n"), F.lit(0)), F.lit(0.0))
+    out = _counted(log, keys, order).withColumn("n", F.col("_n")).withColumn("fast_acc", share("fast")).withColumn("slow_acc", share("slow")).drop(*(f"_{n}" for n in _COUNTS))
     low, high = F.col("fast_acc") < 0.6, (F.col("fast_acc") > 0.85) & (F.col("slow_acc") > 0.85)
     step = F.when(F.col("n") < LEAST_FEEDBACKS, 0.0).when(low, -RATE).when(high, RATE / 2).otherwise(0.0)
     why = F.when(F.col("n") < LEAST_FEEDBACKS, "too_few").when(low, "fast_low_accuracy").when(high, "both_high_accuracy").otherwise("no_change")
     return out.withColumn("delta", step).withColumn("reason", why)
 
 
-#: Steps folded together; a key's log is cut into blocks of this many.
+def deltas(log: DataFrame, keys: tuple[str, ...] = (), order: str = "seq") -> DataFrame:
+    """Each feedback with the accuracies so far and the step it asks for. A path without feedback counts as accuracy 0.
+
+    ``keys`` (tenant, user, ...) make independent thresholds; without them the log is one ordered sequence, of many tasks all the same.
+    """
+    return _stepped(log, keys, order).drop("_key", "_r", "_place")
+
+
+#: Steps folded together; a range's steps are cut into blocks of this many.
 BLOCK = 512
 
 
@@ -38,27 +66,42 @@ def _milli(x: float) -> int:
 def thresholds(log: DataFrame, keys: tuple[str, ...] = (), order: str = "seq") -> DataFrame:
     """``keys, seq, threshold`` after each feedback.
 
-    The steps depend on the log only, so they come from windows. What a run of steps does to a threshold is again one step between two
-    bounds, so each block of steps that are not 0 is folded to such a triple, the blocks of a key are folded in order, and each block then unrolls its
-    own steps. All in thousandths: whole numbers, rounded as the threshold is.
+    The steps depend on the log only. What a run of steps does to a threshold is again one step between two bounds, so steps are folded to such triples up a tree: rows of a block, blocks of a
+    range, ranges of a key. Down the tree each range gets the threshold that it begins with, each block its own, and a block unrolls its
+    steps alone. All in thousandths: whole numbers, rounded as the threshold is.
     """
-    stepped = deltas(log, keys, order)
-    per_key = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    moves = stepped.where("delta != 0").select(*keys, F.col(order).alias("_at"), F.round(F.col("delta") * 1000).cast("int").alias("_d"))
-    moves = moves.withColumn("_b", F.floor((F.row_number().over(per_key.orderBy("_at")) - 1) / BLOCK))
-    blocks = moves.groupBy(*keys, "_b").agg(F.array_sort(F.collect_list(F.struct("_at", "_d"))).alias("m"))
+    stepped = _stepped(log, keys, order)
+    here = Window.partitionBy("_key", "_r").orderBy("_place")
     low, high = F.lit(_milli(LOWEST)), F.lit(_milli(HIGHEST))
     held = lambda x, a, b: F.greatest(a, F.least(b, x))
-    whole = F.aggregate("m", F.struct(F.lit(0).alias("d"), F.lit(-(1 << 30)).alias("a"), F.lit(1 << 30).alias("b")), lambda s, m: F.struct(
-        (s["d"] + m["_d"]).alias("d"), held(s["a"] + m["_d"], low, high).alias("a"), held(s["b"] + m["_d"], low, high).alias("b")))
-    rows = blocks.select(*keys, "_b", "m", whole.alias("w"))
-    before = F.array_sort(F.collect_list(F.struct("_b", "w")).over(per_key.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)))
-    begin = F.aggregate(before, F.lit(_milli(INITIAL)), lambda t, x: held(t + x["w"]["d"], x["w"]["a"], x["w"]["b"]))
+    triple = lambda d, a, b: F.struct(d.alias("d"), a.alias("a"), b.alias("b"))
+    same = triple(F.lit(0), F.lit(-(1 << 30)), F.lit(1 << 30))
+    then = lambda s, x: triple(s["d"] + x["d"], held(s["a"] + x["d"], x["a"], x["b"]), held(s["b"] + x["d"], x["a"], x["b"]))
+    after = lambda t, x: held(t + x["d"], x["a"], x["b"])
+
+    def starts(parts: str, name: str, first: Column) -> Column:
+        """``array<struct(name, t)>``: the threshold that each part of an array ``(name, w)`` begins with."""
+        state = F.struct(first.alias("t"), F.array().cast(f"array<struct<{name}:bigint,t:int>>").alias("all"))
+        step = lambda s, x: F.struct(after(s["t"], x["w"]).alias("t"), F.concat(s["all"], F.array(F.struct(x[name].cast("bigint").alias(name), s["t"].alias("t")))).alias("all"))
+        return F.aggregate(parts, state, step)["all"]
+
+    moves = stepped.where("delta != 0").select("_key", "_r", "_place", F.round(F.col("delta") * 1000).cast("int").alias("_d"))
+    moves = moves.withColumn("_b", F.floor((F.row_number().over(here) - 1) / BLOCK))
+    blocks = moves.groupBy("_key", "_r", "_b").agg(F.array_sort(F.collect_list(F.struct("_place", "_d"))).alias("m"))
+    blocks = blocks.withColumn("w", F.aggregate("m", same, lambda s, x: then(s, triple(x["_d"], low, high))))
+    ranges = blocks.groupBy("_key", "_r").agg(F.array_sort(F.collect_list(F.struct("_b", "w"))).alias("bs"))
+    every = stepped.select("_key", "_r").distinct().join(ranges, ["_key", "_r"], "left")
+    # a row a key: its ranges, in order
+    whole = F.coalesce(F.aggregate("bs", same, lambda s, x: then(s, x["w"])), same)
+    by_key = every.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("_r", whole.alias("w")))).alias("rs"))
+    begun = by_key.select("_key", F.explode(starts("rs", "_r", F.lit(_milli(INITIAL)))).alias("x")).select("_key", "x._r", F.col("x.t").alias("_start"))
+    inside = ranges.join(begun, ["_key", "_r"]).select("_key", "_r", F.explode(starts("bs", "_b", F.col("_start"))).alias("x")).select("_key", "_r", "x._b", F.col("x.t").alias("_t"))
     unrolled = F.aggregate("m", F.struct(F.col("_t").alias("t"), F.array().cast("array<int>").alias("all")), lambda s, m: F.element_at(F.transform(
         F.array(held(s["t"] + m["_d"], low, high)), lambda t: F.struct(t.alias("t"), F.concat(s["all"], F.array(t)).alias("all"))), 1))["all"]
-    moved = rows.withColumn("_t", begin).select(*keys, F.explode(F.arrays_zip(F.col("m"), unrolled.alias("t"))).alias("x")).select(*keys, F.col("x.m._at").alias(order), (F.col("x.t") / 1000).alias("_t"))
-    joined = stepped.join(moved, [*keys, order], "left")
-    return joined.withColumn("threshold", F.coalesce(F.last("_t", ignorenulls=True).over(per_key.orderBy(order)), F.lit(INITIAL))).drop("_t")
+    moved = blocks.join(inside, ["_key", "_r", "_b"]).select("_key", "_r", F.explode(F.arrays_zip(F.col("m"), unrolled.alias("t"))).alias("x")).select("_key", "_r", F.col("x.m._place").alias("_place"), F.col("x.t").alias("_t"))
+    joined = stepped.join(begun, ["_key", "_r"]).join(moved, ["_key", "_r", "_place"], "left")
+    now = F.coalesce(F.last("_t", ignorenulls=True).over(here), F.col("_start")) / 1000
+    return joined.withColumn("threshold", now).drop("_key", "_r", "_place", "_start", "_t")
 
 
 def current_threshold(log: DataFrame, order: str = "seq") -> DataFrame:

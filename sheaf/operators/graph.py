@@ -96,6 +96,11 @@ def even_sample(chunks: DataFrame, by: str, order: str, per: int = 150, most: in
     return (out.orderBy("_first", "_k").limit(most) if most is not None else out).drop("_k", "_s", "_by", "_first")
 
 
+def hashed_sample(df: DataFrame, id_col: str, k: int, seed: int = 0) -> DataFrame:
+    """``k`` rows as good as random: those of the least md5 of seed and id (then id). The same rows in every layout, run and engine; of a union, the least of the parts' samples."""
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string"))), id_col).limit(k)
+
+
 def unprocessed(chunks: DataFrame, triplets: DataFrame, processed: DataFrame | None = None) -> DataFrame:
     """Chunks without a triplet, and, where a log of processed chunks is kept, not in it (else chunks without facts come again)."""
     left = chunks.join(triplets.select("chunk_id").distinct(), "chunk_id", "left_anti")

@@ -12,6 +12,17 @@ from sheaf.session import written
 _BITS = 33
 
 
+def ranged(df: DataFrame, sort: list[str | Column]) -> DataFrame:
+    """Rows in the given order (nulls first) as sorted ranges, written once, with ``_place``: the range (see ``range_of_place``), then the place in it."""
+    sort = [*sort, "_tie"]
+    dealt = df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*sort).sortWithinPartitions(*sort)
+    return written(dealt.drop("_tie").withColumn("_place", F.monotonically_increasing_id()), "ranges")
+
+
+def range_of_place(place: str = "_place") -> Column:
+    return F.shiftright(place, _BITS)
+
+
 def numbered(df: DataFrame, order: list[str | Column], by: tuple[str, ...] = (), name: str = "_k") -> DataFrame:
     """Rows with their number from 0 in the given order (nulls first), in all or in each group ``by``.
 
@@ -20,10 +31,8 @@ def numbered(df: DataFrame, order: list[str | Column], by: tuple[str, ...] = (),
     a group's numbers begin at its first row. So no task sees all rows or a large group, rows are shuffled once, and what is
     summed up in one task is a row a range (and a row a group in many).
     """
-    sort = [*by, *order, "_tie"]
-    dealt = df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*sort).sortWithinPartitions(*sort)
-    held = written(dealt.drop("_tie").withColumn("_place", F.monotonically_increasing_id()), "numbered")
-    part = F.shiftright("_place", _BITS)
+    held = ranged(df, [*by, *order])
+    part = range_of_place()
     sizes = held.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # one row a range: as many as a shuffle has partitions

@@ -51,6 +51,19 @@ def soil_advisory(moisture: Column) -> Column:
     return F.when(moisture.isNull(), "Soil moisture data unavailable").otherwise(soil_label(moisture))
 
 
+def lookback(readings: DataFrame, value: str, by: list[str], ts: str = "ts", windows: dict[str, int] | None = None) -> DataFrame:
+    """``by, day, name_mean, name_sum...``: for each place and day with a reading, means and sums over the days from ``n - 1`` before it to itself, a pair for each window (``name: n``; month and week by default).
+
+    Readings are summed up by day first, before anything is shuffled, so a place with most of the readings costs its days, not its rows. Null readings do not count; a window without any has null.
+    """
+    windows = windows or {"month": 30, "week": 7}
+    days = readings.where(F.col(ts).isNotNull()).groupBy(*by, F.to_date(ts).alias("day")).agg(F.sum(value).alias("_sum"), F.count(value).alias("_n"))
+    keys = ", ".join(f"`{c}`" for c in by)
+    over = lambda what, n: F.expr(f"sum({what}) OVER (PARTITION BY {keys} ORDER BY day RANGE BETWEEN INTERVAL {n - 1} DAYS PRECEDING AND CURRENT ROW)")
+    sums = days.select(*by, "day", *(over(x, n).alias(f"_{name}{x}") for name, n in windows.items() for x in ("_sum", "_n")))
+    return sums.select(*by, "day", *(c for name in windows for c in ((F.col(f"_{name}_sum") / F.nullif(F.col(f"_{name}_n"), F.lit(0))).alias(f"{name}_mean"), F.col(f"_{name}_sum").alias(f"{name}_sum"))))
+
+
 def satellite_stage(temperature: Column, rain: Column) -> Column:
     """``struct(stage, confidence)`` of mean temperature and total rain over the window; without either there is no stage."""
     pick = lambda stage, c: F.struct(F.lit(stage).alias("stage"), F.lit(c).alias("confidence"))

@@ -226,6 +226,27 @@ def weather_codes(spark, d):
     return table(spark, d, "events").select("event_id", weather.decode((F.col("event_id") % 100).cast("int")).alias("condition"))
 
 
+@query("lookback_means", """WITH d AS (SELECT event_type, CAST(ts AS DATE) AS day, sum(value) AS s, count(value) AS n FROM events GROUP BY ALL),
+w AS (SELECT event_type, day, sum(s) OVER m AS ms, sum(n) OVER m AS mn, sum(s) OVER k AS ks, sum(n) OVER k AS kn FROM d
+  WINDOW m AS (PARTITION BY event_type ORDER BY day RANGE BETWEEN INTERVAL 29 DAYS PRECEDING AND CURRENT ROW), k AS (PARTITION BY event_type ORDER BY day RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW))
+SELECT event_type, CAST(day AS VARCHAR) AS day, round(ms / nullif(mn, 0), 4) AS month_mean, round(ks / nullif(kn, 0), 4) AS week_mean, round(ks, 2) AS week_sum FROM w""")
+def lookback_means(spark, d):
+    """Readings of a place over the last thirty and seven days, for every day."""
+    out = weather.lookback(table(spark, d, "events"), "value", ["event_type"])
+    return out.select("event_type", F.col("day").cast("string").alias("day"), F.round("month_mean", 4).alias("month_mean"), F.round("week_mean", 4).alias("week_mean"), F.round("week_sum", 2).alias("week_sum"))
+
+
+@query("lookback_stage", """WITH d AS (SELECT event_type, CAST(ts AS DATE) AS day, sum(value) AS s, count(value) AS n FROM events GROUP BY ALL),
+w AS (SELECT event_type, day, sum(s) OVER m / nullif(sum(n) OVER m, 0) AS t, sum(s) OVER m AS r FROM d WINDOW m AS (PARTITION BY event_type ORDER BY day RANGE BETWEEN INTERVAL 29 DAYS PRECEDING AND CURRENT ROW))
+SELECT event_type, CAST(day AS VARCHAR) AS day, CASE WHEN t IS NULL OR r IS NULL THEN 'none' WHEN r > 100 AND t BETWEEN 25 AND 35 THEN 'monsoon' ELSE 'other' END AS kind FROM w""")
+def lookback_stage(spark, d):
+    """The satellite's stage of each day from the thirty days up to it."""
+    out = weather.lookback(table(spark, d, "events"), "value", ["event_type"], windows={"month": 30})
+    stage = weather.satellite_stage(F.col("month_mean"), F.col("month_sum"))["stage"]
+    kind = F.when(F.col("month_mean").isNull() | F.col("month_sum").isNull(), "none").when(stage == "active growth / monsoon stage", "monsoon").otherwise("other")
+    return out.select("event_type", F.col("day").cast("string").alias("day"), kind.alias("kind"))
+
+
 @query("soil_label", "SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'UNAVAILABLE' WHEN value / 200 > 0.3 THEN 'WET — delay fertilizer application' WHEN value / 200 > 0.15 THEN 'OPTIMAL — good time for fertilizer' ELSE 'DRY — irrigate before fertilizing' END AS label FROM events")
 def soil_label(spark, d):
     return table(spark, d, "events").select("event_id", weather.soil_label(F.when(F.col("event_id") % 11 != 0, F.col("value") / 200)).alias("label"))

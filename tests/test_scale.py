@@ -132,3 +132,39 @@ def test_no_local_folder_on_a_cluster():
 
     with pytest.raises(RuntimeError, match="checkpoint"):
         shared_folder(Session)
+
+
+def test_a_log_without_keys_is_many_tasks(spark):
+    """The plan deals rows by range, and its thresholds are the stream's."""
+    from sheaf.streaming.feedback import advance
+
+    rng = random.Random(5)
+    rows = [(i, rng.choice(("fast", "slow")), rng.random() < (0.97 if i // 300 % 2 else 0.4)) for i in range(1500)] + [(1500, None, None), (1501, "other", True)]
+    log = spark.createDataFrame(rows, "seq long, path string, was_accurate boolean").repartition(7)
+    out = feedback.thresholds(log)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
+    got = {r.seq: r.threshold for r in out.collect()}
+    state = (feedback.INITIAL, 0, 0, 0, 0, 0)
+    for i, path, ok in rows:
+        state = advance(state, path, ok)
+        assert got[i] == pytest.approx(state[0])
+    assert feedback.current_threshold(log).first().threshold == pytest.approx(state[0])
+    keyed = feedback.deltas(log.withColumn("k", F.when(F.col("seq") % 2 == 0, "a")), ("k",))
+    assert {(r.k, r.n) for r in keyed.groupBy("k").agg(F.max("n").alias("n")).collect()} == {("a", 751), (None, 751)}
+
+
+def test_lookback_counts_days_and_not_rows(spark):
+    from sheaf.operators import weather
+
+    rows = [("p", f"2024-01-{d:02d} {h:02d}:00:00", float(d)) for d in (1, 2, 9, 31) for h in (1, 5)] + [("p", "2024-01-03 00:00:00", None), ("p", None, 5.0), (None, "2024-01-01 00:00:00", 1.0)]
+    df = spark.createDataFrame(rows, "place string, t string, value double").withColumn("ts", F.to_timestamp("t"))
+    got = {(r.place, str(r.day)): (r.month_mean, r.week_mean, r.week_sum) for r in weather.lookback(df, "value", ["place"]).collect()}
+    assert got == {("p", "2024-01-01"): (1.0, 1.0, 2.0), ("p", "2024-01-02"): (1.5, 1.5, 6.0), ("p", "2024-01-03"): (1.5, 1.5, 6.0), ("p", "2024-01-09"): (4.0, 9.0, 18.0), ("p", "2024-01-31"): (14.0, 31.0, 62.0), (None, "2024-01-01"): (1.0, 1.0, 1.0)}
+
+
+def test_hashed_samples_are_those_of_every_layout(spark):
+    df = spark.range(500).withColumnRenamed("id", "i")
+    want = [r.i for r in graph.hashed_sample(df.repartition(7), "i", 5, 3).collect()]
+    parts = graph.hashed_sample(df.where("i < 200"), "i", 5, 3).unionByName(graph.hashed_sample(df.where("i >= 200"), "i", 5, 3))
+    assert [r.i for r in graph.hashed_sample(parts, "i", 5, 3).collect()] == want and want != [r.i for r in graph.hashed_sample(df, "i", 5, 4).collect()]
