@@ -85,27 +85,28 @@ def context(chunks: DataFrame, most: int, with_sources: bool, by: str = "query_i
     return grouped.select(by, F.array_join(F.transform("c", lambda x: x["t"]), "\n\n---\n\n" if with_sources else "\n\n").alias("context"), F.array_join(F.array_distinct(F.transform("c", lambda x: x["s"])), ", ").alias("sources"))
 
 
-#: Limits of answers in tokens.
+# How long an answer may be, in tokens, on each path; what an answer says that has found nothing.
 FAST_TOKENS, SLOW_TOKENS = 250, 700
+REFUSAL = "knowledge base doesn't have"
 
 
-# The classes of question that have instructions of their own.
-PROMPTED = ("DIAGNOSTIC", "RECOMMENDATION", "PROCEDURAL", "CURRENT", "STATISTICAL")
-INSTRUCTIONS = {
-    "DIAGNOSTIC": "Name the most likely problem with a confidence, the signs that confirm it, the treatment with doses, and how to prevent it.",
-    "RECOMMENDATION": "Give the best option and why, how to apply it step by step with quantities and timing, the results to expect, and precautions.",
-    "PROCEDURAL": "Give numbered steps with exact quantities and timing, common mistakes, and safety precautions.",
-    "CURRENT": "Answer from what is known and say what needs to be verified with official sources.",
-    "STATISTICAL": "List the numbers, name the document each comes from, and give their context.",
-}
-GENERAL = "Answer thoroughly, with specific details and quantities."
-REFUSAL = "knowledge base doesn't have"
+def prompts(chunks: DataFrame, most: int, by: str = "query_id") -> DataFrame:
+    """``query_id, prompt, max_tokens``: what a model is asked for each question of ``chunks`` (with their question's ``query``, ``query_type`` and ``path``).
+
+    The best chunks are numbered passages with their sources; the question stands last, with its kind, so that a model that is cut off at the
+    front still has it.
+    """
+    top = chunks.where(F.col("chunk_rank") <= most)
+    passage = F.concat(F.lit("("), F.col("chunk_rank").cast("string"), F.lit(") "), F.coalesce("source_file", F.lit("unknown")), F.lit(": "), F.coalesce("text", F.lit("")))
+    passages = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk_rank", passage.alias("p")))), lambda x: x["p"]), "\n")
+    limit = F.when(F.col("path") == "fast", FAST_TOKENS).otherwise(SLOW_TOKENS)
+    text = F.concat(F.lit("PASSAGES\n"), F.col("passages"), F.lit("\nKIND "), F.coalesce("query_type", F.lit("OTHER")), F.lit("\nLIMIT "), limit.cast("string"), F.lit(" tokens\nQUESTION "), F.col("query"))
+    return top.groupBy(by, "query", "query_type", "path").agg(passages.alias("passages")).select(by, text.alias("prompt"), limit.alias("max_tokens"))
 
 
-def prompt(query: Column, query_type: Column, context_text: Column, slow: bool) -> Column:
-    """The text that an answering model is given: instructions of the question's type on the slow path, brevity on the fast one."""
-    lead = F.coalesce(*(F.when(query_type == t, F.lit(INSTRUCTIONS[t])) for t in PROMPTED), F.lit(GENERAL)) if slow else F.lit("Answer from the context only, in two to four sentences, with numbers where there are any.")
-    return F.concat(lead, F.lit("\n\nContext:\n"), context_text, F.lit("\n\nQuestion: "), query)
+def model_answer(ask: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], DataFrame]:
+    """An answering provider of a model: ``ask (query_id, prompt, max_tokens) -> (query_id, answer)``, by way of ``sources.ledger`` where calls are paid for."""
+    return lambda chunks, most: ask(prompts(chunks, most))
 
 
 def answer_by_path(chunks: DataFrame, answer: Callable[[DataFrame, int], DataFrame], fallback: Callable[[DataFrame, int], DataFrame] | None = None, by: str = "query_id") -> DataFrame:

@@ -272,14 +272,23 @@ def reextract_reset(spark, d):
     return reg.reset(_registry(spark, d), listed).groupBy("filename").agg(F.count("*").alias("n"))
 
 
-@query("link_scrape", r"""WITH a AS (SELECT page_id, url, unnest(range(len(h))) AS idx, unnest(h) AS href, unnest(b) AS body FROM (SELECT page_id, url, regexp_extract_all(html, '(?is)<a\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>', 1) AS h, regexp_extract_all(html, '(?is)<a\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>', 2) AS b FROM pages)),
-t AS (SELECT *, regexp_replace(regexp_replace(body, '<[^>]*>', '', 'g'), '^\s+|\s+$', '', 'g') AS x FROM a WHERE contains(lower(href), 'th')),
+_TOKEN = r"""(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)|<a(\s(?:[^>"\x27]|"[^"]*"|\x27[^\x27]*\x27)*)>(.*?)</a\s*>"""
+_HREF = r"""(?is)\shref\s*=\s*("[^"]*"|\x27[^\x27]*\x27|[^\s"\x27>]+)"""
+_plain = lambda x: "replace(replace(replace(replace(replace(" + x + ", '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&nbsp;', chr(32)), '&amp;', '&')"
+
+
+@query("link_scrape", rf"""WITH p AS (SELECT page_id, url, replace(replace(html, '<a href="/a', '<a class=x href=/a'), '</ul>', '</ul><!-- <a href="/these">hidden</a> -->') AS html FROM pages),
+k AS (SELECT page_id, url, unnest(list_filter(list_zip(regexp_extract_all(html, '{_TOKEN}', 1), regexp_extract_all(html, '{_TOKEN}', 2)), lambda x: regexp_matches(x[1], '{_HREF}'))) AS t, generate_subscripts(list_filter(regexp_extract_all(html, '{_TOKEN}', 1), lambda x: regexp_matches(x, '{_HREF}')), 1) - 1 AS idx FROM p),
+a AS (SELECT page_id, url, idx, {_plain("trim(regexp_extract(t[1], '" + _HREF + "', 1), '\"' || chr(39))")} AS href, t[2] AS body FROM k),
+t AS (SELECT *, regexp_replace({_plain("regexp_replace(body, '<[^>]*>', '', 'g')")}, '^\s+|\s+$', '', 'g') AS x FROM a WHERE contains(lower(href), 'th')),
 f AS (SELECT page_id, idx, CASE WHEN x = '' THEN 'Untitled' ELSE x END AS title, CASE WHEN starts_with(href, 'http') THEN href WHEN starts_with(href, '/') THEN regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) || href
   ELSE regexp_replace(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^([A-Za-z][A-Za-z0-9+.-]*://[^/]*)$', '\1/'), '[^/]*$', '') || href END AS link FROM t)
 SELECT page_id, idx, link, title FROM f WHERE length(title) > 3""")
 def link_scrape(spark, d):
-    """The pages have no links to the default suffix, so another substring is asked for."""
-    return S.links(table(spark, d, "pages"), "th")
+    """Some addresses without quotes, and an anchor in a comment. The pages have no links to the default suffix, so another substring is asked for."""
+    html = F.replace(F.replace("html", F.lit('<a href="/a'), F.lit("<a class=x href=/a")), F.lit("</ul>"), F.lit('</ul><!-- <a href="/these">hidden</a> -->'))
+    # the closing quote of such an address is part of it, as browsers read it
+    return S.links(table(spark, d, "pages").withColumn("html", html), "th")
 
 
 @query("per_source_cap", "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events WHERE event_type <> 'error') WHERE k <= 3")

@@ -144,36 +144,47 @@ def weather_prepend(spark, d):
     return out.groupBy("query_id").agg(F.array_join(F.transform(rows, lambda x: x["t"]), ",").alias("chunks"))
 
 
-@query("downloads", "SELECT page_id, page_id % 4 <> 1 AS ok FROM pages WHERE page_id % 5 <> 4")
+@query("downloads", "SELECT page_id, page_id % 4 <> 1 AS ok, CASE WHEN page_id % 4 <> 1 THEN strlen(html) END AS length FROM pages")
 def downloads(spark, d):
-    """Fetched twice from a service that fails at times, sends wrong types at times, and would fail the second time."""
-    folder = scratch_folder(spark).removeprefix("file://").removeprefix("file:")
-    i = F.col("page_id")
-    rows = table(spark, d, "pages").where(i % 5 != 4).select("page_id", F.concat(F.lit("http://x/"), i.cast("string"), F.when(i % 4 == 2, ".pdf").otherwise("")).alias("link"), F.concat(F.lit("f"), i.cast("string")).alias("filename"))
+    """Pages fetched twice from a service that fails at times and sends another type at times, and would fail the second time."""
+    path, i = scratch_folder(spark), F.col("page_id")
+    served = texts(spark, d, "pages").select("page_id", F.concat(F.lit("http://x/"), i.cast("string"), F.when(i % 4 == 2, ".pdf").otherwise("")).alias("link"), F.concat(F.lit("f"), i.cast("string")).alias("filename"), "html")
+    rows = served.select("page_id", "filename", F.concat("link", F.lit("?"), F.octet_length("html").cast("string"), F.when(i % 4 == 2, ".pdf").otherwise("")).alias("link"))
 
     def fetch(link):
-        import os
-
-        os.makedirs(folder, exist_ok=True)
-        n = int(link.rsplit("/", 1)[1].removesuffix(".pdf"))
+        n, size = (int(x.removesuffix(".pdf")) for x in link.rsplit("/", 1)[1].split("?"))
         if n % 4 == 1:
             raise OSError("no answer")
-        return ("application/pdf" if n % 4 != 2 else "text/html"), b"data"
+        return ("application/pdf" if n % 4 != 2 else "text/html"), b"x" * size
 
     def never(link):
         raise OSError("no answer")
 
-    S.download(rows, folder, fetch).write.format("noop").mode("overwrite").save()
-    return S.download(rows, folder, never).select("page_id", "ok")
+    S.download(rows, path, fetch)
+    again = S.download(rows, path, never)
+    return again.join(S.downloaded(spark, path).select("filename", "length"), "filename", "left").select("page_id", "ok", "length")
+
+
+@query("call_ledger", "SELECT item_id, md5(text) AS reply FROM benchmark")
+def call_ledger(spark, d):
+    """A service asked for every text in a first run; a second run asks again and gets what is remembered, its own service would answer otherwise."""
+    import hashlib
+
+    from sheaf.sources import ledger
+
+    path = scratch_folder(spark)
+    rows = table(spark, d, "benchmark")
+    ledger.replies(rows, path, lambda t: hashlib.md5(t.encode()).hexdigest(), request="text")
+    return ledger.replies(rows, path, str.lower, request="text").select("item_id", "reply")
 
 
-@query("search_settings", "SELECT 0.6::DOUBLE AS dense_weight, 0.4::DOUBLE AS sparse_weight, 60 AS rrf_k, 7 AS top_k")
+@query("search_settings", "SELECT source AS name, 0.6::DOUBLE AS dense_weight, 0.4::DOUBLE AS sparse_weight, 60 AS rrf_k, CAST(count(*) AS INTEGER) AS top_k FROM documents GROUP BY source")
 def search_settings(spark, d):
-    """Settings as they are stored and loaded."""
+    """Settings of each source, with as many results as it has documents, stored as JSON and loaded."""
     path = f"{scratch_folder(spark)}/settings"
-    spark.createDataFrame([(stores.SearchConfig(top_k=7).dumps(),)], "value string").coalesce(1).write.text(path)
-    c = stores.SearchConfig.loads(spark.read.text(path, wholetext=True).first()[0])
-    return spark.createDataFrame([(c.dense_weight, c.sparse_weight, c.rrf_k, c.top_k)], "dense_weight double, sparse_weight double, rrf_k int, top_k int")
+    rows = table(spark, d, "documents").groupBy(F.col("source").alias("name")).agg(F.count("*").cast("int").alias("top_k"))
+    stores.write_settings(rows, path)
+    return stores.read_settings(spark, path)
 
 
 @query("inline_markdown", r"SELECT doc_id, regexp_replace(regexp_replace('**' || source || '** and *' || lang || '* or ** x', '\*\*(.+?)\*\*', '<b>\1</b>', 'g'), '\*(.+?)\*', '<i>\1</i>', 'g') AS line FROM documents")

@@ -15,6 +15,7 @@ from sheaf.functions.text import clean_text
 from sheaf.session import ship
 
 from . import files as fs
+from . import keyed
 
 
 def scan_files(spark: SparkSession, folder: str, pattern: str = "*.[pP][dD][fF]") -> DataFrame:
@@ -173,14 +174,43 @@ def migrate_json(spark: SparkSession, source: str, target: str, backup: str | No
             raise OSError(f"{source} could not be moved to {backup}")
 
 
+# One step of reading markup: a comment, a script or style element as a whole, or an anchor with its attributes and body. What comes first is read first, so an anchor
+# inside a comment or a script is none, nor is a comment inside a quoted attribute. An open end runs to the end of the page.
+_TOKEN = r"""(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)|<a(\s(?:[^>"']|"[^"]*"|'[^']*')*)>(.*?)</a\s*>"""
+_HREF = r"""(?is)^(?:[^"'=]|=\s*"[^"]*"|=\s*'[^']*'|=[^\s"'])*?\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+#: Named characters, the ampersand last, so that what it brings is not read again.
+_NAMED = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+
+
+def decoded(text: Column) -> Column:
+    """Character references as characters: numbers in decimal and hexadecimal, and the common names; others stay."""
+
+    def piece(x: Column) -> Column:
+        ten, six = F.regexp_extract(x, r"^#([0-9]{1,7});", 1), F.regexp_extract(x, r"^#[xX]([0-9a-fA-F]{1,6});", 1)
+        code = F.when(ten != "", ten.cast("int")).otherwise(F.conv(six, 16, 10).cast("int"))
+        valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        # no ampersand comes of a number here, so the names below are those of the page
+        own = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        return F.when(valid & (code != 38), F.concat(own, F.regexp_replace(x, r"^#[xX]?[0-9a-fA-F]+;", ""))).when(code == 38, F.concat(F.lit("&amp;"), F.regexp_replace(x, r"^#[xX]?[0-9a-fA-F]+;", ""))).otherwise(F.concat(F.lit("&"), x))
+
+    parts = F.split(text, "&", -1)
+    out = F.when(F.contains(text, F.lit("&#")), F.concat(F.get(parts, 0), F.array_join(F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), piece), ""))).otherwise(text)
+    for name, character in _NAMED:
+        out = F.replace(out, F.lit(name), F.lit(character))
+    return out
+
+
 def links(pages: DataFrame, suffix: str = ".pdf", id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``id, idx, link, title`` of anchors whose address contains ``suffix``: absolute, with a title longer than three (an empty one reads "Untitled")."""
-    anchor = r"""(?is)<a\s[^>]*?href=(?:"([^"]*)"|'([^']*)')[^>]*>(.*?)</a>"""
-    all_of = lambda k: F.regexp_extract_all(F.coalesce(html_col, F.lit("")), F.lit(anchor), F.lit(k))
-    # one of the two quoted forms is empty in each match
-    found = F.arrays_zip(F.zip_with(all_of(1), all_of(2), lambda a, b: F.concat(a, b)).alias("href"), all_of(3).alias("body"))
-    rows = pages.select(id_col, F.col(url_col).alias("_url"), F.posexplode(found).alias("idx", "a"))
-    title = F.regexp_replace(F.regexp_replace("a.body", r"<[^>]*>", ""), r"^\s+|\s+$", "")
+    """``id, idx, link, title`` of anchors whose address contains ``suffix``: absolute, with a title longer than three (an empty one reads "Untitled"); ``idx`` counts a page's anchors with an address.
+
+    Addresses may be quoted either way or not at all, character references are decoded, comments and scripts hold no anchors.
+    """
+    html = F.coalesce(html_col, F.lit(""))
+    tokens = F.arrays_zip(F.regexp_extract_all(html, F.lit(_TOKEN), F.lit(1)).alias("attributes"), F.regexp_extract_all(html, F.lit(_TOKEN), F.lit(2)).alias("body"))
+    one = lambda x, k: F.regexp_extract(x, _HREF, k)
+    read = F.transform(F.filter(tokens, lambda t: t["attributes"].rlike(_HREF)), lambda t: F.struct(decoded(F.concat(one(t["attributes"], 1), one(t["attributes"], 2), one(t["attributes"], 3))).alias("href"), t["body"].alias("body")))
+    rows = pages.select(id_col, F.col(url_col).alias("_url"), F.posexplode(read).alias("idx", "a"))
+    title = F.regexp_replace(decoded(F.regexp_replace("a.body", r"(?s)<!--.*?-->|<[^>]*>", "")), r"^\s+|\s+$", "")
     base = F.regexp_extract("_url", r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
     folder = F.regexp_replace(F.regexp_replace("_url", r"[?#].*$", ""), r"^([A-Za-z][A-Za-z0-9+.-]*://[^/]*)$", "$1/")
     relative = resolved(F.concat(F.regexp_replace(folder, r"[^/]*$", ""), F.col("a.href")))
@@ -199,41 +229,43 @@ def resolved(address: Column) -> Column:
     return F.when(F.contains(path, F.lit("/.")), F.concat(base, F.array_join(kept, "/"), tail)).otherwise(address)
 
 
-def download(links: DataFrame, folder: str, fetch: Callable[[str], tuple[str, bytes]]) -> DataFrame:
-    """``links' columns, ok, path``: files fetched from ``link`` into ``folder`` (one that the tasks share) under ``filename``.
+def download(links: DataFrame, path: str, fetch: Callable[[str], tuple[str, bytes]]) -> DataFrame:
+    """``links' columns, ok, path``: files fetched from ``link`` into a stored table under ``filename``, in which ``path`` finds them.
 
-    A file that is there is not fetched again; one of the wrong type is not kept; a fetch that fails leaves nothing behind, as a file gets its name
-    only when it is whole. ``fetch(link) -> (content type, bytes)``.
+    The table is one by key (``keyed``) on any file system that Spark reaches: what a job fetched is committed as a whole, a job that fails leaves nothing. A file that is there is
+    not fetched again, a name that several links have is fetched once (from the least link); one of the wrong type is not kept, a fetch that fails
+    leaves no row. ``fetch(link) -> (content type, bytes)``.
     """
-    ship(links.sparkSession)
-    rest = links.columns
-    kinds = dict(links.dtypes)
+    spark = links.sparkSession
+    ship(spark)
+    known = keyed.read(spark, path, _FILE).select("filename")
+    wanted = links.groupBy("filename").agg(F.min("link").alias("link")).where(F.col("link").isNotNull() & F.col("filename").isNotNull()).join(known, "filename", "left_anti")
 
     def run(batches: Iterator):
-        import os
-        import uuid
+        import pandas as pd
 
         for pdf in batches:
-            done = []
-            for link, name in zip(pdf["link"], pdf["filename"], strict=True):
-                path = f"{folder}/{name}"
-                ok = os.path.exists(path)
-                if not ok:
-                    part = f"{path}.{uuid.uuid4().hex}.part"
-                    try:
-                        kind, data = fetch(link)
-                        if "pdf" in (kind or "").lower() or link.lower().endswith(".pdf"):
-                            with open(part, "wb") as f:
-                                f.write(data)
-                            os.replace(part, path)
-                            ok = True
-                    except Exception:  # noqa: BLE001  a failing download must not fail the batch
-                        if os.path.exists(part):
-                            os.remove(part)
-                done.append((ok, path if ok else None))
-            yield pdf.assign(ok=[x for x, _ in done], path=[x for _, x in done])
-
-    return links.mapInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in rest) + ", ok boolean, path string")
+            rows = []
+            for name, link in zip(pdf["filename"], pdf["link"], strict=True):
+                try:
+                    kind, data = fetch(link)
+                except Exception:  # noqa: BLE001  a failing download must not fail the batch
+                    continue
+                if "pdf" in (kind or "").lower() or link.lower().endswith(".pdf"):
+                    rows.append((name, link, bytes(data), len(data)))
+            yield pd.DataFrame(rows, columns=["filename", "link", "content", "length"])
+
+    keyed.append(wanted.repartition("filename").mapInPandas(run, _FILE), path, ["filename"])
+    held = keyed.read(spark, path, _FILE).select(F.col("filename").alias("_name"))
+    return links.join(held, F.col("filename") == F.col("_name"), "left").select(*links.columns, F.col("_name").isNotNull().alias("ok"), F.when(F.col("_name").isNotNull(), F.concat(F.lit(f"{path}#"), "_name")).alias("path"))
+
+
+_FILE = "filename string, link string, content binary, length long"
+
+
+def downloaded(spark: SparkSession, path: str) -> DataFrame:
+    """``filename, link, content, length`` of the files that ``download`` stored, for ``extract_documents``."""
+    return keyed.read(spark, path, _FILE)
 
 
 def cap_per_source(downloads: DataFrame, by: str, order: str | list[str], most: int) -> DataFrame:

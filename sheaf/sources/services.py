@@ -62,8 +62,9 @@ def satellite_of(reply: Column) -> Column:
     return F.struct(stage["stage"].alias("stage"), stage["confidence"].alias("confidence"), mean.alias("avg_temp"), rain.alias("total_rain"))
 
 
-#: What to ask of each service: address, parameters and seconds to wait.
+# What to ask of each public service: address, seconds to wait, parameters.
 REQUESTS = {
+    "place": ("https://nominatim.openstreetmap.org/search", 5, {"format": "json", "limit": "1"}),
     "weather": ("https://api.open-meteo.com/v1/forecast", 8, {"current": "temperature_2m,relative_humidity_2m,rain,wind_speed_10m,weather_code", "daily": "temperature_2m_max,temperature_2m_min,rain_sum,precipitation_probability_max,et0_fao_evapotranspiration,uv_index_max,wind_speed_10m_max", "forecast_days": "7", "timezone": "Asia/Kolkata"}),
     "soil": ("https://api.open-meteo.com/v1/forecast", 10, {"hourly": "soil_moisture_0_to_1cm", "daily": "precipitation_sum,et0_fao_evapotranspiration", "forecast_days": "1", "timezone": "Asia/Kolkata"}),
     "satellite": ("https://power.larc.nasa.gov/api/temporal/daily/point", 10, {"parameters": "ALLSKY_SFC_SW_DWN,T2M,PRECTOTCORR", "community": "AG", "format": "JSON"}),
@@ -71,27 +72,41 @@ REQUESTS = {
 SATELLITE_DAYS = 30
 
 
+def request_of(service: str, key: dict, today: str | None = None) -> str:
+    """The address that asks a service for ``{latitude, longitude}``, or for the coordinates of ``{location}`` in India; ``today`` (ISO date) ends the satellite's window of thirty days."""
+    import datetime
+    import urllib.parse
+
+    address, _, fixed = REQUESTS[service]
+    if service == "place":
+        asked = fixed | {"q": f"{key['location']}, India"}
+    else:
+        asked = fixed | {"latitude": key["latitude"], "longitude": key["longitude"]}
+    if service == "satellite":
+        end = datetime.date.fromisoformat(today) if today else datetime.date.today()
+        asked |= {"start": (end - datetime.timedelta(days=SATELLITE_DAYS)).strftime("%Y%m%d"), "end": end.strftime("%Y%m%d")}
+    return f"{address}?{urllib.parse.urlencode(asked)}"
+
+
 def fetcher(service: str, today: str | None = None) -> Callable[[dict], dict]:
-    """A function ``{latitude, longitude} -> {reply}`` that asks a service over HTTP, for ``readings``; ``today`` (ISO date) ends the satellite's window of thirty days."""
-    address, wait, fixed = REQUESTS[service]
+    """A function ``key -> {reply}`` that asks a service over HTTP, for ``readings`` (keys as in ``request_of``)."""
+    wait = REQUESTS[service][1]
 
     def fetch(key: dict) -> dict:
-        import datetime
-        import urllib.parse
         import urllib.request
 
-        asked = fixed | {"latitude": key["latitude"], "longitude": key["longitude"]}
-        if service == "satellite":
-            end = datetime.date.fromisoformat(today) if today else datetime.date.today()
-            asked |= {"start": (end - datetime.timedelta(days=SATELLITE_DAYS)).strftime("%Y%m%d"), "end": end.strftime("%Y%m%d")}
-        with urllib.request.urlopen(f"{address}?{urllib.parse.urlencode(asked)}", timeout=wait) as got:  # noqa: S310  fixed https addresses
+        asked = urllib.request.Request(request_of(service, key, today), headers={"User-Agent": "sheaf"})
+        with urllib.request.urlopen(asked, timeout=wait) as got:  # noqa: S310  fixed https addresses
             return {"reply": got.read().decode()}
 
     return fetch
 
 
 def readings(keys: DataFrame, schema: str, default: dict, fetch: Callable[[dict], dict] | None = None) -> DataFrame:
-    """``keys``' columns with the fields of ``schema``: what ``fetch`` returns, or ``default`` where it raises, returns nothing or is not given."""
+    """``keys``' columns with the fields of ``schema``: what ``fetch`` returns, or ``default`` where it raises, returns nothing or is not given.
+
+    Equal keys are asked once. Calls that shall be remembered from one run to the next go through ``ledger.replies``.
+    """
     ship(keys.sparkSession)
     names = [x.strip().split(" ")[0] for x in schema.split(",")]
     kinds = dict(keys.dtypes)
@@ -110,7 +125,8 @@ def readings(keys: DataFrame, schema: str, default: dict, fetch: Callable[[dict]
                 rows.append({c: (got or default).get(c) for c in names})
             yield pd.concat([pdf.reset_index(drop=True), pd.DataFrame(rows, columns=names)], axis=1)
 
-    return keys.mapInPandas(run, full)
+    asked = keys.distinct().mapInPandas(run, full).select(F.struct(*keys.columns).alias("_key"), *names)
+    return keys.withColumn("_own", F.struct(*keys.columns)).join(asked, F.col("_own").eqNullSafe(F.col("_key"))).select(*keys.columns, *names)
 
 
 class RowsSource(DataSource):

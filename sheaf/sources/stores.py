@@ -32,6 +32,18 @@ class SearchConfig:
         return cls(**json.loads(text))
 
 
+def write_settings(rows: DataFrame, path: str) -> None:
+    """Search settings by ``name`` as JSON lines; fields of ``SearchConfig`` that the rows lack are its defaults."""
+    base = asdict(SearchConfig())
+    kinds = {"dense_weight": "double", "sparse_weight": "double", "rrf_k": "int", "top_k": "int"}
+    rows.select("name", *(F.coalesce(F.col(c).cast(kinds[c]), F.lit(v).cast(kinds[c])).alias(c) if c in rows.columns else F.lit(v).cast(kinds[c]).alias(c) for c, v in base.items())).write.mode("overwrite").json(path)
+
+
+def read_settings(spark: SparkSession, path: str) -> DataFrame:
+    """``name`` and the fields of ``SearchConfig``."""
+    return spark.read.schema("name string, dense_weight double, sparse_weight double, rrf_k int, top_k int").json(path)
+
+
 def write_index(corpus: DataFrame, path: str) -> None:
     """A new version of the stored index, of a corpus ``(chunk_id, text)`` and of nothing else; the version before stays readable until it is committed (``segments``)."""
     segments.rebuild(corpus, path)

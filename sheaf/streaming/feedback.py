@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sheaf.operators.feedback import HIGHEST, INITIAL, LEAST_FEEDBACKS, LOWEST, RATE
@@ -46,7 +45,3 @@ def threshold_stream(events: DataFrame) -> DataFrame:
 
     return events.groupBy("key").applyInPandasWithState(run, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
-
-def windowed_accuracy(events: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFrame:
-    """Accuracy by event-time window and path, with a watermark for late feedback (an extra beside the batch report)."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", width), "path").agg(F.count("*").alias("n"), F.count_if("was_accurate").alias("n_accurate"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheaf.operators import chunking
+from sheaf.operators.providers import Providers
 from sheaf.sources.documents import append_chunks, clean_pages, pages_of
 
 
@@ -22,7 +23,7 @@ def chunks_of(docs: DataFrame, metadata: DataFrame, next_score=chunking.always_n
     return stable_ids(chunking.with_metadata(chunking.chunks(text, "source_file", next_score=next_score), metadata))
 
 
-def ingest_stream(spark: SparkSession, source: str, store: str, checkpoint: str, metadata: DataFrame, schema: str, to_documents: Callable[[DataFrame], DataFrame] = lambda df: df, registry: str | None = None, file_format: str = "json"):
+def ingest_stream(spark: SparkSession, source: str, store: str, checkpoint: str, metadata: DataFrame, schema: str, to_documents: Callable[[DataFrame], DataFrame] = lambda df: df, registry: str | None = None, file_format: str = "json", providers: Providers = Providers()):
     """Start an available-now stream over ``source``: new files become chunks in ``store``, then a row each in ``registry``.
 
     The checkpoint remembers files; ids are stable and the append is an anti join, so a repeated batch adds nothing twice.
@@ -31,7 +32,7 @@ def ingest_stream(spark: SparkSession, source: str, store: str, checkpoint: str,
 
     def batch(df: DataFrame, _: int) -> None:
         docs = to_documents(df)
-        made = chunks_of(docs, metadata).persist()  # for the store and the registry
+        made = chunks_of(docs, metadata, providers.next_sentence).persist()  # for the store and the registry
         append_chunks(made, store, by="source_file")  # an id is made from its source
         if registry:
             counts = made.groupBy(F.col("source_file").alias("filename")).agg(F.count("*").cast("int").alias("chunks_created"), F.sort_array(F.collect_list("chunk_id")).alias("chunk_ids"))
