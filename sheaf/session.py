@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,9 +48,36 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The frame as a Parquet table in the shared folder: what it took to make it is not done again by those that read it."""
+#: Tables of the ``scratch`` scopes that are open, innermost last; each thread has scopes of its own.
+_scratch: ContextVar[tuple[list[str], ...]] = ContextVar("scratch", default=())
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``written`` makes inside go at the end, but for those to keep; so do the shuffles that nothing refers to any more."""
+    token = _scratch.set((*_scratch.get(), []))
+    try:
+        yield
+    finally:
+        own = _scratch.get()[-1]
+        _scratch.reset(token)
+        jvm = spark.sparkContext._jvm
+        for path in own:
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        gc.collect()
+        jvm.System.gc()
+
+
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """The frame as a Parquet table in the shared folder: a cut in the lineage that survives lost executors, and what it took to make it is not done again by those that read it.
+
+    It goes with the ``scratch`` scope at hand (``keep``: with the one around it); without a scope it stays, for the clean-up of that folder.
+    """
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    owners = _scratch.get()[:-1] if keep else _scratch.get()
+    if owners:
+        owners[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
