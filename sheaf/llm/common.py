@@ -2,47 +2,17 @@
 
 from __future__ import annotations
 
-import gc
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.session import shared_folder, ship
+from sheaf.session import scratch, shared_folder, ship, written  # noqa: F401  for the operators
 
 #: One word: a run of anything but space and the ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_GROUP = r"([^\x20\x09-\x0D]+)"
 
 
-_scratch: list[list[str]] = []
-
-
-@contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """Tables that ``materialize`` writes inside go at the end, but for those to keep; so do the shuffles that nothing refers to any more."""
-    _scratch.append([])
-    try:
-        yield
-    finally:
-        jvm = spark.sparkContext._jvm
-        for path in _scratch.pop():
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        gc.collect()
-        jvm.System.gc()
-
-
-def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    """Write a frame as Parquet into the shared folder and read it again: a cut in the lineage that survives lost executors. ``keep``: past the end of the ``scratch`` at hand."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    owners = _scratch[:-1] if keep else _scratch
-    if owners:
-        owners[-1].append(path)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+materialize = written
 
 
 def let(value: Column, body) -> Column:
