@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from itertools import product
+from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -93,22 +94,31 @@ def largest_share(labels: Column) -> Column:
     return F.when(F.coalesce(F.size(labels), F.lit(0)) < 2, 1.0).otherwise(rounded(most / F.size(labels), 4))
 
 
-def best_partition(x: np.ndarray, k: int) -> list[int]:
-    """Labels of the partition into at most ``k`` clusters with the least inertia, by enumeration (a handful of points).
+@lru_cache(maxsize=16)
+def _labelings(n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """All labelings of ``n`` points by at most ``k`` clusters in order of first use, those of fewer clusters first, and for each the weight of every pair in its inertia.
+
+    A cluster's inertia is the sum of its pairs' squared distances over its size, so a labeling's is one product with the distances.
+    """
+    rows = [()]
+    for _ in range(n):
+        rows = [r + (c,) for r in rows for c in range(min(k, max(r, default=-1) + 2))]
+    rows.sort(key=lambda r: (len(set(r)), r))
+    labels = np.array(rows, np.int8).reshape(len(rows), n)
+    i, j = np.triu_indices(n, 1)
+    sizes = (labels[:, :, None] == labels[:, None, :]).sum(axis=2)
+    return labels, np.where(labels[:, i] == labels[:, j], 1.0 / sizes[:, i], 0.0)
+
+
+def best_partitions(x: np.ndarray, k: int) -> np.ndarray:
+    """Labels of the partition into at most ``k`` clusters with the least inertia, of each of many groups ``(group, point, dimension)``, by enumeration (a handful of points a group).
 
     Ties go to the partition with fewer clusters, then the first in label order, so coincident points share a cluster.
     """
-    n, best, found = len(x), None, [0] * len(x)
-    for labels in product(range(k), repeat=n):
-        seen = -1
-        if any(c > (seen := max(seen, p)) + 1 for p, c in zip((-1, *labels), labels)):  # noqa: B905  labels in order of first use only
-            continue
-        a = np.array(labels)
-        inertia = sum(((x[a == c] - x[a == c].mean(axis=0)) ** 2).sum() for c in set(labels))
-        key = (round(float(inertia), 9), len(set(labels)), labels)
-        if best is None or key < best:
-            best, found = key, list(labels)
-    return found
+    labels, weights = _labelings(x.shape[1], k)
+    i, j = np.triu_indices(x.shape[1], 1)
+    inertia = np.round(((x[:, i] - x[:, j]) ** 2).sum(axis=2) @ weights.T, 9)
+    return labels[inertia.argmin(axis=1)]
 
 
 #: Up to this many points are split by enumeration, which grows as 3^n.
@@ -134,23 +144,38 @@ def lloyd(x: np.ndarray, k: int) -> list[int]:
 def clusters(x: np.ndarray) -> list[int]:
     """Labels of at most three clusters of all points."""
     k = min(3, len(x))
-    return best_partition(x, k) if len(x) <= MOST_ENUMERATED else lloyd(x, k)
+    return best_partitions(x[None], k)[0].tolist() if len(x) <= MOST_ENUMERATED else lloyd(x, k)
+
+
+#: Groups that are split together.
+_GROUPS = 256
 
 
 def mscp(answers: DataFrame) -> DataFrame:
     """``query_id, chunk_id, mscp_score`` of sampled answers ``(query_id, chunk_id, sample, embedding)``: the largest of min(3, n) clusters over n.
 
-    A group holds the samples of one chunk, five by design; they are split exactly, more than twelve by k-means.
+    A group holds the samples of one chunk, five by design; groups of the same size are split together, exactly, those of more than twelve by k-means.
     """
     kinds = dict(answers.dtypes)
     ship(answers.sparkSession)
-
-    def run(pdf):
-        labels = clusters(np.stack([np.asarray(v, float) for v in pdf.sort_values("sample")["embedding"]]))
-        share = 1.0 if len(labels) < 2 else round(max(labels.count(c) for c in set(labels)) / len(labels), 4)
-        return pdf.head(1)[["query_id", "chunk_id"]].assign(mscp_score=share)
-
-    return answers.where(F.col("embedding").isNotNull()).groupBy("query_id", "chunk_id").applyInPandas(run, f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, mscp_score double")
+    samples = F.transform(F.sort_array(F.collect_list(F.struct("sample", F.col("embedding").cast("array<double>").alias("embedding")))), lambda s: s["embedding"])
+    groups = answers.where(F.col("embedding").isNotNull()).groupBy("query_id", "chunk_id").agg(samples.alias("e"))
+
+    def run(batches):
+        for b in batches:
+            points = b.column(2)
+            sizes = points.value_lengths().to_numpy()
+            share = np.ones(len(sizes))
+            for n in np.unique(sizes[sizes > 1]):
+                own = np.flatnonzero(sizes == n)
+                for at in range(0, len(own), _GROUPS):
+                    part = own[at : at + _GROUPS]
+                    x = points.take(pa.array(part)).flatten().flatten().to_numpy().reshape(len(part), n, -1)
+                    labels = best_partitions(x, min(3, n)) if n <= MOST_ENUMERATED else np.array([lloyd(g, 3) for g in x])
+                    share[part] = np.round(np.stack([(labels == c).sum(axis=1) for c in range(3)]).max(axis=0) / n, 4)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(share)], ["query_id", "chunk_id", "mscp_score"])
+
+    return groups.mapInArrow(run, f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, mscp_score double")
 
 
 def sampled_consistency(results: DataFrame, sample, embed, n: int = 5) -> DataFrame:

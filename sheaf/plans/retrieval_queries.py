@@ -239,7 +239,14 @@ def stale_filter(spark, d):
     return trust.filter_stale(fresh(spark, d)).select("doc_id", "temporal_score")
 
 
-@query("mscp", None)
+@query("mscp", """WITH g AS (SELECT label AS query_id, CAST(floor(vec_id / 5) AS BIGINT) AS chunk_id, embedding::DOUBLE[] AS e, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY label, floor(vec_id / 5)) AS n FROM embeddings WINDOW w AS (PARTITION BY label, floor(vec_id / 5) ORDER BY vec_id)),
+ps AS (SELECT a.query_id, a.chunk_id, list({'i': a.i, 'j': b.i, 'd': list_sum(list_transform(list_zip(a.e, b.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))}) AS p FROM g a JOIN g b ON a.query_id = b.query_id AND a.chunk_id = b.chunk_id AND a.i < b.i GROUP BY ALL),
+gr AS (SELECT DISTINCT query_id, chunk_id, n FROM g),
+lb AS (SELECT gr.*, l, list_transform(range(n), lambda i: (l // CAST(pow(3, n - 1 - i) AS BIGINT)) % 3) AS c FROM gr, range(243) t(l) WHERE l < pow(3, n)),
+ok AS (SELECT *, list_transform([0, 1, 2], lambda k: len(list_filter(c, lambda y: y = k))) AS s FROM lb WHERE list_max(c) < least(3, n)),
+sc AS (SELECT ok.*, round(list_sum(list_transform(p, lambda x: CASE WHEN c[x.i + 1] = c[x.j + 1] THEN x.d / s[c[x.i + 1] + 1] ELSE 0.0 END)), 9) AS inertia FROM ok JOIN ps USING (query_id, chunk_id)),
+be AS (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY inertia, len(list_filter(s, lambda y: y > 0)), l) AS k FROM sc)
+SELECT query_id, chunk_id, CAST(round(list_max(s) / n, 4) AS DOUBLE) AS mscp_score FROM be WHERE k = 1 UNION ALL SELECT query_id, chunk_id, 1.0 FROM gr WHERE n = 1""")
 def mscp(spark, d):
     """Each label's vectors in fives as sampled answers of a chunk."""
     e = table(spark, d, "embeddings").select(F.col("label").alias("query_id"), F.floor(F.col("vec_id") / 5).alias("chunk_id"), F.col("vec_id").alias("sample"), "embedding")
