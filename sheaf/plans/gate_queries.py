@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sheaf.functions import rules as R
-from sheaf.operators import gates, weather
+from sheaf.operators import gates, statistics, weather
 
 from . import sql as Q
 from .fixtures import STAGE_OF_LANG, STAGES, WORDS
@@ -114,7 +114,7 @@ def routing(spark, d):
 
 @query("route_counts", f"WITH {ROUTED} SELECT count(*) FILTER (WHERE low AND kind AND simple AND sure) AS fast, count(*) FILTER (WHERE NOT (low AND kind AND simple AND sure)) AS slow FROM ro")
 def route_counts(spark, d):
-    return routing(spark, d).agg(F.count_if(F.col("path") == "fast").alias("fast"), F.count_if(F.col("path") == "slow").alias("slow"))
+    return statistics.counts_of(routing(spark, d), "path", ("fast", "slow"))
 
 
 _keys = [(i, k) for i, k in enumerate(STAGES)]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sheaf.operators import feedback, graph, provenance
+from sheaf.operators import feedback, graph, provenance, statistics
 from sheaf.sources import documents as S
 from sheaf.sources import registry as reg
 
@@ -50,7 +50,7 @@ def rel_hist(spark, d):
 
 @query("distinct_facts", f"WITH {USABLE} SELECT count(DISTINCT subject) AS subjects, count(DISTINCT relationship) AS relationships, count(DISTINCT object) AS objects FROM ok")
 def distinct_facts(spark, d):
-    return graph.usable(triplets(spark, d)).agg(F.countDistinct("subject").alias("subjects"), F.countDistinct("relationship").alias("relationships"), F.countDistinct("object").alias("objects"))
+    return statistics.distinct_values(graph.usable(triplets(spark, d)), subjects="subject", relationships="relationship", objects="object")
 
 
 def place_edges(spark, d):
@@ -200,23 +200,22 @@ def adaptive_threshold(spark, d):
 
 @query("source_counts", "SELECT source, count(*) AS n FROM documents GROUP BY source")
 def source_counts(spark, d):
-    return table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"))
+    return statistics.value_counts(table(spark, d, "documents"), "source")
 
 
 @query("distinct_sources", "SELECT count(DISTINCT source) AS sources, count(*) AS n, min_by(source, doc_id) AS first_source, max_by(source, doc_id) AS last_source FROM documents")
 def distinct_sources(spark, d):
-    return table(spark, d, "documents").agg(F.countDistinct("source").alias("sources"), F.count("*").alias("n"), F.min_by("source", "doc_id").alias("first_source"), F.max_by("source", "doc_id").alias("last_source"))
+    return statistics.ends(table(spark, d, "documents"), "source", "doc_id")
 
 
 @query("length_stats", "SELECT round(avg(n_chars), 4) AS mean_chars, max(n_chars) AS max_chars, min(n_chars) AS min_chars FROM documents")
 def length_stats(spark, d):
-    return table(spark, d, "documents").agg(F.round(F.avg("n_chars"), 4).alias("mean_chars"), F.max("n_chars").alias("max_chars"), F.min("n_chars").alias("min_chars"))
+    return statistics.spread_of(table(spark, d, "documents"), "n_chars", "chars")
 
 
 @query("document_stats", "SELECT source, count(*) AS pages, sum(length(text)) AS chars, round(avg(length(text)), 2) AS chars_a_page, sum(len(string_split(text, '|')) - 1) AS cells FROM documents GROUP BY source")
 def document_stats(spark, d):
-    t = table(spark, d, "documents")
-    return t.groupBy("source").agg(F.count("*").alias("pages"), F.sum(F.length("text")).alias("chars"), F.round(F.avg(F.length("text")), 2).alias("chars_a_page"), F.sum(F.size(F.split("text", r"\|", -1)) - 1).alias("cells"))
+    return statistics.document_stats(table(spark, d, "documents"), "source")
 
 
 @query("new_vs_stored", "SELECT doc_id, n_chars FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")

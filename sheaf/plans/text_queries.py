@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheaf.functions import text as T
-from sheaf.operators import chunking, providers
+from sheaf.operators import chunking, providers, statistics
 from sheaf.sources import documents as S
 
 from . import sql as Q
@@ -46,7 +46,7 @@ def gate_tokens(spark, d):
 
 @query("avg_tokens", f"SELECT count(*) AS n_docs, round(avg(len({Q.tokens('text')})), 4) AS avg_tokens FROM documents")
 def avg_tokens(spark, d):
-    return texts(spark, d).agg(F.count("*").alias("n_docs"), F.round(F.avg(F.size(T.tokens(F.col("text")))), 4).alias("avg_tokens"))
+    return statistics.average_tokens(texts(spark, d))
 
 
 @query("sentence_split", f"SELECT doc_id, unnest(range(len(s))) AS idx, unnest(s) AS sentence FROM (SELECT doc_id, {Q.sentences('text')} AS s FROM documents)")
