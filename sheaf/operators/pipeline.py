@@ -1,4 +1,7 @@
-"""A batch of questions from classification to traced answers, as one logical plan."""
+"""A batch of questions from classification to traced answers.
+
+What several of its frames start from (retrieved, scored, shown rows) is written once; inside a ``session.scratch`` scope those tables go when it ends.
+"""
 
 from __future__ import annotations
 

@@ -125,8 +125,8 @@ def cleaning_stats(pages: DataFrame, by: str = "filename") -> DataFrame:
     return pages.groupBy(by).agg(before.alias("chars_before"), after.alias("chars_after"), (before - after).alias("chars_removed"), F.round((before - after) / F.greatest(before, F.lit(1)) * 100, 1).alias("reduction_pct"))
 
 
-#: Buckets of a chunk store.
-CHUNK_BUCKETS = 256
+#: Buckets of a chunk store, the same for all its batches.
+CHUNK_BUCKETS = 64
 
 
 def append_chunks(new: DataFrame, path: str, by: str = "chunk_id", buckets: int = CHUNK_BUCKETS) -> int:
@@ -146,7 +146,7 @@ def append_chunks(new: DataFrame, path: str, by: str = "chunk_id", buckets: int
             fresh = held.join(stored, "chunk_id", "left_anti").persist()
         n = fresh.count()
         if n or not known:
-            fresh.repartition("_bucket").sortWithinPartitions("_bucket", "chunk_id").write.mode("append").partitionBy("_bucket").parquet(path)
+            fresh.hint("rebalance", "_bucket").sortWithinPartitions("_bucket", "chunk_id").write.mode("append").partitionBy("_bucket").parquet(path)
         fresh.unpersist()
         return n
     finally:

@@ -19,7 +19,8 @@ from sheaf.session import written
 
 from . import files
 
-BUCKETS = 256
+#: Buckets of a new table, kept from then on: so many that one can be rewritten at ease (a hundred thousand million rows ask for thousands).
+BUCKETS = 64
 #: Folders of a bucket before an append rewrites it as one.
 MOST_FOLDERS = 16
 
@@ -73,8 +74,8 @@ def _touched(df: DataFrame) -> set[int]:
 def _put(t: Table, rows: DataFrame, path: str, replaced: bool) -> Table:
     """Write rows by ``_bucket`` into a folder of their own and commit it, in place of the buckets' folders or beside them."""
     folder = f"rows-{uuid.uuid4().hex}"
-    # a large bucket is dealt to several tasks
-    rows.repartition("_bucket", F.pmod(F.xxhash64(*t.key, F.lit("file")), F.lit(8))).sortWithinPartitions("_bucket", *t.key).write.partitionBy("_bucket").parquet(f"{path}/{folder}")
+    # small buckets share a task, a large one is dealt to several
+    rows.hint("rebalance", "_bucket").sortWithinPartitions("_bucket", *t.key).write.partitionBy("_bucket").parquet(f"{path}/{folder}")
     made = {n.removeprefix("_bucket=") for n in files.names(rows.sparkSession, f"{path}/{folder}") if n.startswith("_bucket=")}
     folders = dict(t.folders)
     for b in made:

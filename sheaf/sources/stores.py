@@ -131,4 +131,4 @@ def _merge_buckets(parts: DataFrame, path: str, key: list[str], combine, batch:
         held = held.unionByName(old.select(*columns))
     merged = combine(held.select(*columns)).withColumn("_upto", F.lit(batch)).withColumn("_bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int"))
     # made before the buckets it was read from are replaced
-    written(merged, "merged").repartition("_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(path)
+    written(merged, "merged").hint("rebalance", "_bucket").sortWithinPartitions("_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(path)
