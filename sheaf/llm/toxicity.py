@@ -8,8 +8,12 @@ composed once into a single machine whose factors multiply; a second one reads f
 A clause scores the sum of its weighted matches, and a logistic curve over a text's clause scores gives its score.
 
 The insult lexicon is a weighted prefix automaton learned from labelled texts: a prefix's weight is its log-odds, a
-longer prefix or whole word with enough support overrides a shorter one (so exceptions are learned too). The machines' factors, the weights of
-threats and phrases, and the curve are fitted together: the machines are run once over polynomials in place of numbers, so
+longer prefix or whole word with enough support overrides a shorter one (so exceptions are learned too). The patterns' words are learned as well,
+beside short fixed lists: phrases are pairs of neighbouring words that toxic texts hold far more often than others although neither word is in the
+lexicon; threats are learned insults that a verb of intent mostly announces; and words round a match that move the odds of the label become
+negations (near before it), reporting words (anywhere before it) or targets. What is counted for phrases and for words round a match is different
+surroundings, not texts, so copies of one passage count once; all must move the odds by ``SURE`` standard errors (by likelihood ratio). The machines' factors, the weights of
+fixed threats and phrases, and the curve are fitted together: the machines are run once over polynomials in place of numbers, so
 that a match keeps which factors it takes, and the likelihood of the labels is raised factor by factor, with a
 penalty on leaving the defaults (which stand where the labels say nothing). All of it is fitted on about ``SAMPLE`` labelled
 texts taken by hash; that bound is a parameter, and it bounds the lexicon. Every text is scored whole.
@@ -26,6 +30,8 @@ import json
 import math
 import operator
 import re
+import zlib
+from typing import NamedTuple
 
 import ahocorasick
 import numpy as np
@@ -38,7 +44,10 @@ from .common import bounded_batches, documents, is_held_out, materialize
 SAMPLE = 30_000
 SHORTEST, LONGEST = 3, 16
 SUPPORT = 8
+SURE = 5.0
 THRESHOLD = 0.3
+#: Bits of the filter that keeps pairs of words which no toxic text holds often from being counted elsewhere.
+PAIR_BITS = 1 << 20
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE, INTENT, COPULA = SYMBOLS = range(9)
 
@@ -59,6 +68,7 @@ NAMES = tuple(FACTORS)
 _STEPS = (0.2, 0.5, 0.8, 1.25, 2.0, 5.0)
 
 _WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)*|[\"“”«»„]")
+_TOKEN = re.compile(r"[^\W_]+(?:'[^\W_]+)*|[\"“”«»„.!?;\n]")
 _CLAUSE_END = re.compile(r"[.!?;\n]")
 _LETTER = re.compile(r"[^\W_]")
 
@@ -147,21 +157,30 @@ def _machines(values: tuple[float, ...] | None) -> tuple[list, list]:
     return _tabled(grammar(f, one, times)), _tabled(_reach_machine(TARGET, 2, f["aimed"], one))
 
 
+class Patterns(NamedTuple):
+    """What labels taught beside the lexicon: pairs of words and their weights, words that are threats, words round matches and their symbols."""
+
+    pairs: dict[str, float] = {}
+    threats: frozenset[str] = frozenset()
+    words: dict[str, int] = {}
+
+
 class Scorer:
     """``lexicon``: prefix -> weight, whole words end in ``$``; ``curve``: bias and factors of a text's features; ``factors``: the machines'."""
 
-    def __init__(self, lexicon: dict[str, float], curve: tuple[float, ...], factors: dict[str, float] = FACTORS):
-        self.lexicon, self.curve, self.factors = lexicon, curve, dict(factors)
+    def __init__(self, lexicon: dict[str, float], curve: tuple[float, ...], factors: dict[str, float] = FACTORS, patterns: Patterns = Patterns()):
+        self.lexicon, self.curve, self.factors, self.patterns = lexicon, curve, dict(factors), patterns
         self.forward, self.backward = _machines(tuple(self.factors[n] for n in NAMES))
         kinds = ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (INTENT, INTENTS), (COPULA, COPULAS))
         self.symbols = {w: (x,) for x, ws in kinds for w in ws} | {w: (TARGET, COPULA) for w in CONTRACTIONS} | dict.fromkeys("\"“”«»„", (QUOTE,))
+        self.symbols = {w: (x,) for w, x in patterns.words.items()} | self.symbols
         self.threats = frozenset(THREATS)
-        self.phrases: dict[str, list[tuple[list[str], int]]] = {}
+        self.phrases: dict[str, list[tuple[list[str], int, float | str]]] = {}
         anchors = set()
-        for symbol, phrases in ((INSULT, INSULT_PHRASES), (THREAT, THREAT_PHRASES)):
-            for p in phrases:
-                self.phrases.setdefault(p.split()[0], []).append((p.split(), symbol))
-                anchors.add(max(p.split(), key=len))
+        known = [(p, INSULT, "phrase") for p in INSULT_PHRASES] + [(p, THREAT, "phrase") for p in THREAT_PHRASES]
+        for p, symbol, weight in known + [(p, INSULT, w) for p, w in sorted(patterns.pairs.items())]:
+            self.phrases.setdefault(p.split()[0], []).append((p.split(), symbol, weight))
+            anchors.add(max(p.split(), key=len))
         roots: list[str] = []
         for p in sorted({k.rstrip("$") for k in lexicon} | self.threats | anchors):
             if not roots or not p.startswith(roots[-1]):
@@ -172,7 +191,7 @@ class Scorer:
         self.automaton.make_automaton()
 
     def __reduce__(self):
-        return Scorer, (self.lexicon, self.curve, self.factors)
+        return Scorer, (self.lexicon, self.curve, self.factors, self.patterns)
 
     def weight(self, word: str) -> float:
         """Of the longest known prefix."""
@@ -185,28 +204,55 @@ class Scorer:
                 return found
         return 0.0
 
-    def rewrite(self, text: str) -> list[tuple[int, float | str]]:
-        """Symbols of a clause, matches with their weight or the name of a fitted one."""
+    def read(self, text: str) -> list[tuple[int, float | str, str]]:
+        """Symbols of a clause, matches with their weight or the name of a fitted one, and the word or phrase of each."""
         words, out, i = _WORD.findall(text), [], 0
         while i < len(words):
             word = words[i]
-            for phrase, symbol in self.phrases.get(word, ()):
+            for phrase, symbol, weight in self.phrases.get(word, ()):
                 if words[i : i + len(phrase)] == phrase:
-                    out.append((symbol, "phrase"))
+                    out.append((symbol, weight, " ".join(phrase)))
                     i += len(phrase)
                     break
             else:
                 i += 1
                 if word in self.threats:
-                    out.append((THREAT, "threat"))
+                    out.append((THREAT, "threat", word))
                 elif (known := self.symbols.get(word)) is not None:
-                    out += [(x, 0.0) for x in known]
+                    out += [(x, 0.0, word) for x in known]
                 elif (w := self.weight(word)) > 0:
-                    out.append((INSULT, w))
+                    out.append((THREAT if word in self.patterns.threats else INSULT, w, word))
                 else:
-                    out.append((OTHER, 0.0))
+                    out.append((OTHER, 0.0, word))
         return out
 
+    def rewrite(self, text: str) -> list[tuple[int, float | str]]:
+        """Symbols and weights of a clause."""
+        return [(x, w) for x, w, _ in self.read(text)]
+
+    def contexts(self, text: str | None) -> list[tuple[str, str, int]]:
+        """``kind, word, mark`` of the unknown words that stand round every match: ``near`` (3 before), ``before`` (in the clause), ``after`` (2 after);
+        of the insults that a verb of intent announces or not; and one ``match`` if there is any. The mark names the clauses that match."""
+        sets: dict[str, set[str]] = {}
+        insults, mark = set(), 0
+        for c in self.clauses(text):
+            found = self.read(c)
+            at = [i for i, (_, w, _) in enumerate(found) if w]
+            if not at:
+                continue
+            mark = zlib.crc32(c.encode("utf-8", "replace"), mark)
+            spans = [("before", 0, at[0])] + [s for i in at for s in (("near", max(0, i - 3), i), ("after", i + 1, i + 3))]
+            for kind, a, b in spans:
+                here = {v for x, _, v in found[a:b] if x == OTHER}
+                sets[kind] = sets[kind] & here if kind in sets else here
+            for i in at:
+                if found[i][0] == INSULT:
+                    announced = any(x == INTENT for x, _, _ in found[max(0, i - 4) : i])
+                    insults.add(("announced" if announced else "plain", found[i][2]))
+        if not sets:
+            return []
+        return [(kind, v, mark) for kind, vs in sets.items() for v in vs] + [(kind, v, mark) for kind, v in insults] + [("match", "", mark)]
+
     @staticmethod
     def walk(symbols: list, forward: list, backward: list) -> list[tuple]:
         """``weight, factor from the left, factor from the right`` of each match."""
@@ -330,6 +376,95 @@ def learn_lexicon(rows: DataFrame) -> dict[str, float]:
     return out
 
 
+def log_odds(pos: float, n: float, base: float) -> tuple[float, float]:
+    """How far ``pos`` of ``n`` moves the odds from ``base``, and the signed root of the likelihood ratio, which counts as standard errors."""
+    weight, rate = math.log((pos + 0.5) / (n - pos + 0.5)) - base, 1 / (1 + math.exp(-base))
+    ratio = sum(k * math.log(k / (n * r)) for k, r in ((pos, rate), (n - pos, 1 - rate)) if k)
+    return weight, math.copysign(math.sqrt(max(0.0, 2 * ratio)), weight)
+
+
+def word_pairs(text: str, wanted: np.ndarray | None = None):
+    """Neighbouring words of a clause and a hash of the two tokens on either side; only those whose bit is set in ``wanted``, if given."""
+    tokens = _TOKEN.findall(text.lower().replace("’", "'"))
+    for i, (a, b) in enumerate(zip(tokens, tokens[1:], strict=False)):
+        if not (a[0].isalnum() and b[0].isalnum()):
+            continue
+        pair = f"{a} {b}"
+        if wanted is None or wanted[zlib.crc32(pair.encode("utf-8", "replace")) % PAIR_BITS]:
+            yield pair, zlib.crc32(" ".join((*tokens[max(0, i - 2) : i], "|", *tokens[i + 2 : i + 4])).encode("utf-8", "replace"))
+
+
+def _pair_counts(rows: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
+    """``pair, n``: in how many different surroundings it stands."""
+
+    def run(batches):
+        kinds = {"pair": pa.string(), "around": pa.int64()}
+        for b in batches:
+            pairs, around = [], []
+            for text in b.column(0).to_pylist():
+                for p, c in word_pairs(text, wanted):
+                    pairs.append(p)
+                    around.append(c)
+                    if len(pairs) == 100_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(pairs, kinds["pair"]), pa.array(around, kinds["around"])], list(kinds))
+                        pairs, around = [], []
+            yield pa.RecordBatch.from_arrays([pa.array(pairs, kinds["pair"]), pa.array(around, kinds["around"])], list(kinds))
+
+    return rows.select("text").mapInArrow(run, "pair string, around long").distinct().groupBy("pair").agg(F.count("*").alias("n"))
+
+
+def learn_pairs(rows: DataFrame, scorer: Scorer) -> dict[str, float]:
+    """Weights of pairs of words that tell toxic texts and hold no word that matches alone. Each has ``SUPPORT`` surroundings in toxic texts, so the sample bounds them."""
+    total = rows.agg(F.count("*").alias("n"), F.sum("toxic").alias("pos")).first()
+    rate = total["pos"] / total["n"]
+    base = math.log(rate / (1 - rate))
+    often = materialize(_pair_counts(rows.where("toxic = 1")).where(F.col("n") >= SUPPORT).withColumnRenamed("n", "pos"), "toxic-pairs")
+    wanted = np.zeros(PAIR_BITS, bool)
+    wanted[[r[0] for r in often.select((F.crc32(F.col("pair").cast("binary")) % PAIR_BITS).cast("int")).distinct().collect()]] = True
+    if not wanted.any():
+        return {}
+    clean = _pair_counts(rows.where("toxic = 0"), wanted).withColumnRenamed("n", "neg")
+    counted = often.join(clean, "pair", "left").select("pair", "pos", (F.col("pos") + F.coalesce("neg", F.lit(0))).alias("n"))
+    out = {}
+    for r in counted.where(F.col("pos") >= (0.3 + 0.7 * rate) * F.col("n")).orderBy("pair").collect():
+        weight, sure = log_odds(r["pos"], r["n"], base)
+        words = r["pair"].split(" ")
+        alone = any(w in scorer.threats or w not in scorer.symbols and scorer.weight(w) > 0 for w in words)
+        if sure >= SURE and not alone and any(len(w) >= SHORTEST and w not in scorer.symbols for w in words):
+            out[r["pair"]] = min(8.0, weight)
+    return out
+
+
+def learn_context(rows: DataFrame, scorer: Scorer) -> Patterns:
+    """``scorer``'s patterns with threats and words round matches. Each of them has ``SUPPORT`` texts of the sample."""
+
+    def run(batches):
+        for b in batches:
+            for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if found := scorer.contexts(text):
+                    kind, word, mark = zip(*found, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(kind, pa.string()), pa.array(word, pa.string()), pa.array(mark, pa.int64()), pa.array([int(toxic > 0)] * len(kind), pa.int32())],
+                                                     ["kind", "word", "mark", "toxic"])
+
+    seen = rows.select("text", "toxic").mapInArrow(run, "kind string, word string, mark long, toxic int").distinct()
+    counted = seen.groupBy("kind", "word").agg(F.count("*").alias("n"), F.sum("toxic").alias("pos")).where(F.col("n") >= SUPPORT)
+    found = {(r["kind"], r["word"]): (r["n"], r["pos"]) for r in counted.orderBy("kind", "word").collect()}
+    if ("match", "") not in found:
+        return scorer.patterns
+    n, pos = found["match", ""]
+    base = math.log((pos + 0.5) / (n - pos + 0.5))
+    best: dict[str, tuple[float, int]] = {}
+    for kind, lowered, raised in (("near", NEGATION, TARGET), ("before", REPORT, None), ("after", None, TARGET)):
+        for (k, word), (n, pos) in found.items():
+            if k == kind and len(word) > 1:
+                _, sure = log_odds(pos, n, base)
+                symbol = lowered if sure < 0 else raised
+                if symbol is not None and abs(sure) >= SURE and abs(sure) > best.get(word, (0.0, 0))[0]:
+                    best[word] = abs(sure), symbol
+    threats = {w for (k, w), (n, _) in found.items() if k == "announced" and " " not in w and n >= found.get(("plain", w), (0, 0))[0]}
+    return scorer.patterns._replace(threats=frozenset(threats), words={w: x for w, (_, x) in sorted(best.items())})
+
+
 class Sample:
     """Matches of labelled texts, and the likelihood of the labels under factors and the best curve."""
 
@@ -385,14 +520,22 @@ class Sample:
         return w, dict(zip(NAMES, best.tolist(), strict=True))
 
 
-def fit(df: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
+def fit(df: DataFrame, labels: DataFrame, sample: int = SAMPLE, learn_patterns: bool = True) -> Scorer:
+    """Lexicon, patterns, factors and curve of the labelled texts of ``df``; without ``learn_patterns`` the fixed patterns alone stand beside the lexicon."""
     spark = df.sparkSession
     bounded_batches(spark)
     rows = labelled(df, labels, sample)
-    lexicon = learn_lexicon(rows)
-    if not lexicon:
+    kinds = rows.agg(F.min("toxic"), F.max("toxic")).first()
+    if kinds[0] is None or kinds[0] == kinds[1]:
+        return Scorer(*SEED)
+    lexicon, curve = learn_lexicon(rows), (0.0, 0.0, 0.0, 0.0)
+    scorer = Scorer(lexicon, curve)
+    if learn_patterns:
+        scorer = Scorer(lexicon, curve, patterns=Patterns(pairs=learn_pairs(rows, scorer)))
+    if not lexicon and not scorer.patterns.pairs:
         return Scorer(*SEED)
-    scorer = Scorer(lexicon, (0.0, 0.0, 0.0, 0.0))
+    if learn_patterns:
+        scorer = Scorer(lexicon, curve, patterns=learn_context(rows, scorer))
 
     def run(batches):
         for b in batches:
@@ -401,7 +544,7 @@ def fit(df: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
     # texts with the same matches are counted together; never more rows than the sample
     found = rows.mapInArrow(run, "toxic int, found string").groupBy("toxic", "found").count().orderBy("toxic", "found").collect()
     curve, factors = Sample([(r["toxic"], json.loads(r["found"]), r["count"]) for r in found]).fit()
-    return Scorer(lexicon, tuple(curve.tolist()), factors)
+    return Scorer(lexicon, tuple(curve.tolist()), factors, scorer.patterns)
 
 
 def score(df: DataFrame, scorer: Scorer, *, text_col: str = "text") -> DataFrame:

@@ -149,7 +149,9 @@ def plain_toxicity(s, text):
     """A scorer's result by the grammar's definitions: contexts are looked up around each match, no transducer runs."""
     names = {w: (k,) for k, ws in (("T", toxicity.TARGETS), ("N", toxicity.NEGATIONS), ("R", toxicity.REPORTS), ("W", toxicity.INTENTS), ("C", toxicity.COPULAS)) for w in ws}
     names |= {w: ("T", "C") for w in toxicity.CONTRACTIONS} | {c: ("Q",) for c in "\"“”«»„"}
-    phrases = [(p.split(), k) for k, ps in (("I", toxicity.INSULT_PHRASES), ("V", toxicity.THREAT_PHRASES)) for p in ps]
+    names = {w: ("OIVTNRQWC"[x],) for w, x in s.patterns.words.items()} | names
+    phrases = [(p.split(), k, s.factors["phrase"]) for k, ps in (("I", toxicity.INSULT_PHRASES), ("V", toxicity.THREAT_PHRASES)) for p in ps]
+    phrases += [(p.split(), "I", w) for p, w in s.patterns.pairs.items()]
 
     def weight(w):
         if w + "$" in s.lexicon:
@@ -159,9 +161,9 @@ def plain_toxicity(s, text):
     def clause(c):
         words, seq = re.findall(r"[^\W_]+(?:'[^\W_]+)*|[\"“”«»„]", c), []
         while words:
-            hit = next(((p, k) for p, k in phrases if words[: len(p)] == p), None)
+            hit = next((x for x in phrases if words[: len(x[0])] == x[0]), None)
             if hit:
-                seq.append((hit[1], s.factors["phrase"]))
+                seq.append(hit[1:])
                 words = words[len(hit[0]) :]
                 continue
             w, words = words[0], words[1:]
@@ -170,7 +172,7 @@ def plain_toxicity(s, text):
             elif w in names:
                 seq += [(k, 0.0) for k in names[w]]
             else:
-                seq.append(("I", weight(w)) if weight(w) > 0 else ("O", 0.0))
+                seq.append(("V" if w in s.patterns.threats else "I", weight(w)) if weight(w) > 0 else ("O", 0.0))
         kinds = [k for k, _ in seq]
         within = lambda k, i, n: k in kinds[max(0, i - n) : i]
         said = lambda c: "T" in kinds[max(0, c - 2) : c] or any(kinds[d] == "C" and "T" not in kinds[d:c] and said(d) for d in range(max(0, c - 3), c))

@@ -90,9 +90,10 @@ def test_likeness_without_blanks(spark):
 
 def test_scores_equal_plain_definitions(spark):
     lexicon = {"idiot": 4.0, "idiotype$": 0.0, "scu": 2.5, "tras": 1.25}
-    s = toxicity.Scorer(lexicon, (-4.0, 0.7, 0.5, 0.25), toxicity.FACTORS | {"negated": 0.4, "threat": 1.5})
+    learned = toxicity.Patterns({"plain such": 3.0, "a of": 2.0}, frozenset({"trash"}), {"blimp": toxicity.NEGATION, "dravel": toxicity.REPORT, "mate": toxicity.TARGET})
+    s = toxicity.Scorer(lexicon, (-4.0, 0.7, 0.5, 0.25), toxicity.FACTORS | {"negated": 0.4, "threat": 1.5}, learned)
     rng = random.Random(5)
-    words = ["idiot", "idiots", "idiotype", "scum", "trash", "kill", "you", "he's", "you’re", "are", "not", "don’t", "said", '"', "will", "i", "a", "piece", "of", "piece of trash", "shut up", "go to hell", "watch your back", "such", ".", "!", "\n", "x_idiot", "o'idiot"]
+    words = ["idiot", "idiots", "idiotype", "scum", "trash", "kill", "you", "he's", "you’re", "are", "not", "don’t", "said", '"', "will", "i", "a", "blimp", "dravel", "mate", "plain", "piece", "of", "piece of trash", "shut up", "go to hell", "watch your back", "such", ".", "!", "\n", "x_idiot", "o'idiot"]
     texts = [None, "", "plain words"] + [" ".join(rng.choice(words) for _ in range(rng.randint(1, 40))) for _ in range(400)]
     found = {r.doc_id: r.score for r in toxicity.score(rows(spark, texts).withColumn("score", F.lit("clash")), s).collect()}
     for i, t in enumerate(texts):
