@@ -230,11 +230,11 @@ class Scorer:
         """Symbols and weights of a clause."""
         return [(x, w) for x, w, _ in self.read(text)]
 
-    def contexts(self, text: str | None) -> list[tuple[str, str, int]]:
-        """``kind, word, mark`` of the unknown words that stand round every match: ``near`` (3 before), ``before`` (in the clause), ``after`` (2 after);
-        of the insults that a verb of intent announces or not; and one ``match`` if there is any. The mark names the clauses that match."""
+    def contexts(self, text: str | None) -> tuple[str, int, list[tuple[str, str]]] | None:
+        """Of a text with matches: its heaviest match, a mark that names the clauses that match, and ``kind, word`` of the unknown words that stand
+        round every match: ``near`` (3 before), ``before`` (in the clause), ``after`` (2 after); and of the insults that a verb of intent announces or not."""
         sets: dict[str, set[str]] = {}
-        insults, mark = set(), 0
+        insults, mark, top = set(), 0, (0.0, "")
         for c in self.clauses(text):
             found = self.read(c)
             at = [i for i, (_, w, _) in enumerate(found) if w]
@@ -246,12 +246,12 @@ class Scorer:
                 here = {v for x, _, v in found[a:b] if x == OTHER}
                 sets[kind] = sets[kind] & here if kind in sets else here
             for i in at:
+                weight = found[i][1]
+                top = max(top, (self.factors[weight] if isinstance(weight, str) else weight, found[i][2]))
                 if found[i][0] == INSULT:
                     announced = any(x == INTENT for x, _, _ in found[max(0, i - 4) : i])
                     insults.add(("announced" if announced else "plain", found[i][2]))
-        if not sets:
-            return []
-        return [(kind, v, mark) for kind, vs in sets.items() for v in vs] + [(kind, v, mark) for kind, v in insults] + [("match", "", mark)]
+        return (top[1], mark, [(kind, v) for kind, vs in sets.items() for v in vs] + sorted(insults)) if sets else None
 
     @staticmethod
     def walk(symbols: list, forward: list, backward: list) -> list[tuple]:
@@ -436,32 +436,35 @@ def learn_pairs(rows: DataFrame, scorer: Scorer) -> dict[str, float]:
 
 
 def learn_context(rows: DataFrame, scorer: Scorer) -> Patterns:
-    """``scorer``'s patterns with threats and words round matches. Each of them has ``SUPPORT`` texts of the sample."""
+    """``scorer``'s patterns with threats and words round matches, each with ``SUPPORT`` texts of the sample.
+
+    A word is held against what the matches beside it let expect (each text's heaviest match, as often as it stands in toxic texts), so
+    that the words of a language in which matches mean less do not pass for context.
+    """
 
     def run(batches):
+        names = ["top", "kind", "word", "mark", "toxic"]
         for b in batches:
             for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if found := scorer.contexts(text):
-                    kind, word, mark = zip(*found, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(kind, pa.string()), pa.array(word, pa.string()), pa.array(mark, pa.int64()), pa.array([int(toxic > 0)] * len(kind), pa.int32())],
-                                                     ["kind", "word", "mark", "toxic"])
-
-    seen = rows.select("text", "toxic").mapInArrow(run, "kind string, word string, mark long, toxic int").distinct()
-    counted = seen.groupBy("kind", "word").agg(F.count("*").alias("n"), F.sum("toxic").alias("pos")).where(F.col("n") >= SUPPORT)
-    found = {(r["kind"], r["word"]): (r["n"], r["pos"]) for r in counted.orderBy("kind", "word").collect()}
-    if ("match", "") not in found:
-        return scorer.patterns
-    n, pos = found["match", ""]
-    base = math.log((pos + 0.5) / (n - pos + 0.5))
+                    top, mark, seen = found
+                    kinds, words = zip(*seen, ("match", ""), strict=True)
+                    n = len(kinds)
+                    yield pa.RecordBatch.from_arrays([pa.array([top] * n), pa.array(kinds), pa.array(words), pa.array([mark] * n), pa.array([int(toxic > 0)] * n, pa.int32())], names)
+
+    seen = materialize(rows.select("text", "toxic").mapInArrow(run, "top string, kind string, word string, mark long, toxic int").distinct(), "contexts")
+    rates = seen.where("kind = 'match'").groupBy("top").agg(F.avg("toxic").alias("rate"))
+    counted = seen.where("kind <> 'match'").join(rates, "top").groupBy("kind", "word").agg(F.count("*").alias("n"), F.sum("toxic").alias("pos"), F.sum("rate").alias("expected"))
+    found = {(r["kind"], r["word"]): (r["n"], r["pos"], r["expected"]) for r in counted.where(F.col("n") >= SUPPORT).orderBy("kind", "word").collect()}
     best: dict[str, tuple[float, int]] = {}
     for kind, lowered, raised in (("near", NEGATION, TARGET), ("before", REPORT, None), ("after", None, TARGET)):
-        for (k, word), (n, pos) in found.items():
+        for (k, word), (n, pos, expected) in found.items():
             if k == kind and len(word) > 1:
-                _, sure = log_odds(pos, n, base)
+                _, sure = log_odds(pos, n, math.log((expected + 0.5) / (n - expected + 0.5)))
                 symbol = lowered if sure < 0 else raised
                 if symbol is not None and abs(sure) >= SURE and abs(sure) > best.get(word, (0.0, 0))[0]:
                     best[word] = abs(sure), symbol
-    threats = {w for (k, w), (n, _) in found.items() if k == "announced" and " " not in w and n >= found.get(("plain", w), (0, 0))[0]}
+    threats = {w for (k, w), (n, *_) in found.items() if k == "announced" and " " not in w and n >= found.get(("plain", w), (0,))[0]}
     return scorer.patterns._replace(threats=frozenset(threats), words={w: x for w, (_, x) in sorted(best.items())})
 
 
