@@ -13,9 +13,12 @@ _BITS = 33
 
 
 def ranged(df: DataFrame, sort: list[str | Column]) -> DataFrame:
-    """Rows in the given order (nulls first) as sorted ranges, written once, with ``_place``: the range (see ``range_of_place``), then the place in it."""
+    """Rows in the given order (nulls first) as sorted ranges, written once, with ``_place``: the range (see ``range_of_place``), then the place in it.
+
+    The rows are written before they are dealt too: Spark reads them once for the borders and once more to deal them, and would make them twice.
+    """
     sort = [*sort, "_tie"]
-    dealt = df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*sort).sortWithinPartitions(*sort)
+    dealt = written(df, "rows").withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*sort).sortWithinPartitions(*sort)
     return written(dealt.drop("_tie").withColumn("_place", F.monotonically_increasing_id()), "ranges")
 
 

@@ -106,7 +106,9 @@ def chunk_ids(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("source_file"))
     meta = metadata(spark).withColumn("region", F.lit(None).cast("string")).withColumn("domain", F.lit(None).cast("string"))
     full = chunking.with_metadata(chunk_rows(spark, d).join(docs, "doc_id"), meta)
-    return chunking.with_ids(full, ["doc_id", "chunk_no"], 1).select("chunk_id", "source_file", "char_count", "title", "source_org", "year", "trust_weight")
+    shown = ["source_file", "char_count", "title", "source_org", "year", "trust_weight"]
+    # the texts are not shown, so they are neither sorted nor written
+    return chunking.with_ids(full.select("doc_id", "chunk_no", *shown), ["doc_id", "chunk_no"], 1).select("chunk_id", *shown)
 
 
 @query("crop_tags", f"SELECT doc_id, array_to_string(list_filter({Q.array(TAGS)}, lambda c: contains(lower(text), c)), ',') AS tags FROM documents")
