@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sheaf.functions.numbers import rounded
-from sheaf.operators import inverted, lists, retrieval, trust
+from sheaf.operators import lists, retrieval, trust
+from sheaf.session import spread
 
 from . import sql as Q
 from .fixtures import REGISTRY
@@ -48,8 +49,7 @@ def sparse(spark, d, k, stop_words=None):
 
 @query("term_stats", f"WITH {Q.BM25} SELECT term, df, round(idf, 6) AS idf FROM idf")
 def term_stats(spark, d):
-    index = stored_index(spark, d)
-    return inverted.term_weights(inverted.term_counts(index.blocks), index.stats).select("term", "df", F.round("idf", 6).alias("idf"))
+    return stored_index(spark, d).terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query("postings", f"WITH {Q.BM25} SELECT term, chunk_id, tf, dl AS doc_len FROM po")
@@ -69,13 +69,14 @@ def sparse_after_changes(spark, d):
     from sheaf.sources import segments
 
     path = scratch_folder(spark)
-    docs = texts(spark, d).select(F.col("doc_id").alias("chunk_id"), "text")
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
     even = F.col("chunk_id") % 2 == 0
-    segments.rebuild(docs.where(even), path)
+    segments.rebuild(spread(docs.where(even)), path)
     segments.upsert(docs.where(~even), path)
     segments.upsert(docs.where("chunk_id % 7 = 0").withColumn("text", F.concat("text", F.lit(" "), "text")), path)
     segments.delete(docs.where("chunk_id % 5 = 0").select("chunk_id"), path)
     segments.compact(spark, path, most=2)
+    segments.vacuum(spark, path)
     return retrieval.sparse_topk(segments.open_index(spark, path), questions(spark, d).select("query_id", "query"), 10)
 
 

@@ -15,13 +15,16 @@ from __future__ import annotations
 import uuid
 from dataclasses import asdict, dataclass, replace
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sheaf.operators import inverted
 from sheaf.operators.inverted import Index
-from sheaf.session import written
+from sheaf.session import scratch, ship, spread, written
 
 from . import files
 
@@ -66,8 +69,9 @@ def _opened(spark: SparkSession, path: str, m: Manifest) -> Index:
 
 
 def _write_segment(rows: DataFrame, path: str, number: int) -> str:
+    """Rows are written where they are made: a search reads terms from every file, so an order of all rows by term would cost a shuffle (and, for its borders, the making of all rows once more) and help nobody."""
     name = f"segment-{number:06d}-{uuid.uuid4().hex}"
-    rows.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.parquet(f"{path}/{name}")
+    rows.write.parquet(f"{path}/{name}")
     return name
 
 
@@ -81,7 +85,12 @@ def _totals(spark: SparkSession, segment: str) -> tuple[int, int, int]:
 def rebuild(corpus: DataFrame, path: str) -> Manifest:
     """A version of one new segment, of a corpus ``(chunk_id, text)``, whatever was there."""
     spark = corpus.sparkSession
-    old = manifest(spark, path)
+    with scratch(spark):
+        return _rebuilt(corpus, path, manifest(spark, path))
+
+
+def _rebuilt(corpus: DataFrame, path: str, old: Manifest | None) -> Manifest:
+    spark = corpus.sparkSession
     number = max(old.segments.values(), default=0) + 1 if old else 1
     segment = _write_segment(inverted.blocks_of(corpus, number), path, number)
     n, tokens, blocks = _totals(spark, f"{path}/{segment}")
@@ -92,7 +101,7 @@ def rebuild(corpus: DataFrame, path: str) -> Manifest:
 
 def _finish(spark: SparkSession, path: str, made: Manifest, counts: DataFrame) -> Manifest:
     stats = spark.range(1).select(F.lit(made.n_docs).cast("long").alias("n_docs"))
-    inverted.term_weights(written(counts, "counts"), stats).sort("term").write.parquet(f"{path}/{made.terms}")
+    inverted.term_weights(written(counts, "counts"), stats).write.parquet(f"{path}/{made.terms}")
     _commit(spark, path, made)
     return made
 
@@ -106,7 +115,8 @@ def sync(corpus: DataFrame, path: str) -> Manifest:
     given = corpus.select("chunk_id", inverted.digest_of(F.coalesce("text", F.lit(""))).alias("digest"))
     stored = _opened(spark, path, old).chunks
     gone = stored.join(given, _same(stored, given, "chunk_id", "digest"), "left_anti")
-    return _change(corpus, path, old, given, gone)
+    with scratch(spark):
+        return _change(corpus, path, old, given, gone)
 
 
 def upsert(delta: DataFrame, path: str) -> Manifest:
@@ -118,7 +128,8 @@ def upsert(delta: DataFrame, path: str) -> Manifest:
     given = delta.select("chunk_id", inverted.digest_of(F.coalesce("text", F.lit(""))).alias("digest"))
     stored = _opened(spark, path, old).chunks
     touched = stored.join(given.select("chunk_id").distinct(), "chunk_id", "left_semi")
-    return _change(delta, path, old, given, touched.join(given, _same(touched, given, "chunk_id", "digest"), "left_anti"))
+    with scratch(spark):
+        return _change(delta, path, old, given, touched.join(given, _same(touched, given, "chunk_id", "digest"), "left_anti"))
 
 
 def delete(ids: DataFrame, path: str) -> Manifest:
@@ -129,7 +140,8 @@ def delete(ids: DataFrame, path: str) -> Manifest:
         raise FileNotFoundError(f"no index in {path}")
     gone = _opened(spark, path, old).chunks.join(ids.select("chunk_id").distinct(), "chunk_id", "left_semi")
     nothing = ids.select("chunk_id", F.lit("").alias("text")).where("false")
-    return _change(nothing, path, old, nothing.select("chunk_id", F.lit(0).cast("long").alias("digest")), gone)
+    with scratch(spark):
+        return _change(nothing, path, old, nothing.select("chunk_id", F.lit(0).cast("long").alias("digest")), gone)
 
 
 def _same(a: DataFrame, b: DataFrame, *names: str):
@@ -156,14 +168,16 @@ def _change(corpus: DataFrame, path: str, old: Manifest, given: DataFrame, gone:
         number = max(old.segments.values(), default=0) + 1
         keyed = corpus.select("chunk_id", "text", inverted.digest_of(F.coalesce("text", F.lit(""))).alias("digest"))
         fresh = keyed.join(missing, _same(keyed, missing, "chunk_id", "digest"), "left_semi")
-        segment = _write_segment(inverted.blocks_of(fresh, number), path, number)
+        segment = _write_segment(inverted.blocks_of(spread(fresh), number), path, number)
         n, tokens, blocks = _totals(spark, f"{path}/{segment}")
         made = replace(made, segments={**old.segments, segment: number}, n_docs=made.n_docs + n, n_tokens=made.n_tokens + tokens, n_blocks=made.n_blocks + blocks)
         counts = counts.unionByName(inverted.term_counts(spark.read.parquet(f"{path}/{segment}")))
     if n_gone:
         places = gone.groupBy("block").agg(F.collect_set("place").alias("_new"))
-        # terms of the chunks that go: rows of their blocks
-        less = index.blocks.where(F.col("term").isNotNull()).select("term", "block", "places").join(places, "block").select("term", (-F.size(F.array_intersect("places", "_new"))).cast("long").alias("df"))
+        # terms of the chunks that go: rows of their blocks; a flag a place, so that a row looks its own places up and no more
+        flags = places.select("block", F.transform(F.sequence(F.lit(0), F.array_max("_new")), lambda i: F.array_contains("_new", i)).alias("_flags"))
+        held = index.blocks.where(F.col("term").isNotNull()).select("term", "block", "places").join(flags, "block")
+        less = held.select("term", (-F.size(F.filter("places", lambda p: F.coalesce(F.get("_flags", p), F.lit(False))))).cast("long").alias("df"))
         counts = counts.unionByName(less.where("df < 0"))
         before = index.dead if index.dead is not None else spark.createDataFrame([], "block bigint, gone array<int>")
         all_dead = before.unionByName(places.select("block", F.col("_new").alias("gone"))).groupBy("block").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
@@ -179,6 +193,11 @@ def compact(spark: SparkSession, path: str, most: int = MOST_SEGMENTS, size: int
         raise FileNotFoundError(f"no index in {path}")
     if len(old.segments) <= most:
         return old
+    with scratch(spark):
+        return _compacted(spark, path, old, size)
+
+
+def _compacted(spark: SparkSession, path: str, old: Manifest, size: int) -> Manifest:
     sizes = {s: _totals(spark, f"{path}/{s}") for s in old.segments}
     kept = max(sizes, key=lambda s: sizes[s][0])
     number = max(old.segments.values()) + 1
@@ -195,29 +214,62 @@ def compact(spark: SparkSession, path: str, most: int = MOST_SEGMENTS, size: int
 
 
 def _merged(index: Index, number: int, size: int) -> DataFrame:
-    rows = index.live()
-    lists = rows.where(F.col("term").isNull())
-    places = F.sequence(F.lit(0), F.size("lens") - 1)
-    alive = F.filter(places, lambda i: ~F.coalesce(F.array_contains("gone", i), F.lit(False)))
-    held = written(lists.select("block", "ids", "lens", "digests", F.when(F.size("lens") > 0, alive).otherwise(F.array().cast("array<int>")).alias("alive")), "alive")
+    """Rows of the blocks that take the place of ``index.blocks``. A new block's rows meet in one task, so postings are shuffled once."""
+    lists, terms = index.blocks.where(F.col("term").isNull()), index.blocks.where(F.col("term").isNotNull())
+    none = F.lit(None).cast("array<int>").alias("gone")
+    lists = lists.join(index.dead, "block", "left") if index.dead is not None else lists.select("*", none)
     # a row a block
-    before = F.coalesce(F.sum(F.size("alive")).over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    spots = held.select("block", "alive", before.alias("at")).withColumn("to", F.floor(F.col("at") / size)).withColumn("first", F.min("at").over(Window.partitionBy("to")))
-    spots = written(spots.select(F.col("block"), "alive", F.lit(number << inverted.SEGMENT_BITS).bitwiseOR(F.col("to")).alias("to"), (F.col("at") - F.col("first")).cast("int").alias("shift")), "spots")
-    taken = held.join(spots.select("block", "to", "shift"), "block")
-    pick = lambda c: F.transform("alive", lambda i: F.get(c, i))
-    parts = F.sort_array(F.collect_list(F.struct("shift", pick("ids").alias("ids"), pick("lens").alias("lens"), pick("digests").alias("digests"))))
-    whole = lambda c: F.flatten(F.transform("parts", lambda p: p[c])).alias(c)
-    chunks = taken.groupBy("to").agg(parts.alias("parts")).select(F.col("to").alias("block"), whole("ids"), whole("lens"), whole("digests"))
-    terms = rows.where(F.col("term").isNotNull()).select("term", "block", "places", "tfs", "lens").join(spots, "block")
-    moved = F.transform(F.arrays_zip("places", "tfs", "lens"), lambda p: F.struct((F.array_position("alive", p["places"]).cast("int") - 1).alias("p"), p["tfs"].alias("tf"), p["lens"].alias("len")))
-    left = terms.select("term", "to", "shift", F.filter(moved, lambda p: p["p"] >= 0).alias("m")).where(F.size("m") > 0)
-    left = left.select("term", "to", "shift", F.transform("m", lambda p: F.struct((p["p"] + F.col("shift")).alias("p"), p["tf"].alias("tf"), p["len"].alias("len"))).alias("m"))
-    joined = left.groupBy("term", "to").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("shift", "m"))), lambda x: x["m"])).alias("m"))
-    list_of = lambda c: F.transform("m", lambda p: p[c])
-    postings = joined.select("term", F.col("to").alias("block"), list_of("p").alias("places"), list_of("tf").alias("tfs"), list_of("len").alias("lens")).select(
-        "*", F.array_max("tfs").alias("most_tf"), F.array_min("lens").alias("least_len"))
-    return postings.unionByName(chunks, allowMissingColumns=True)
+    alive = F.size("ids") - F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spots = written(lists.select("block", alive.alias("n")).select("block", F.floor(before / size).cast("long").alias("to")), "spots")
+    # empty arrays in place of nulls: Spark's writer of Arrow batches goes over a run of null arrays again at each row
+    full = lambda c: F.coalesce(c, F.array().cast(both.schema[c].dataType)).alias(c)
+    both = lists.unionByName(terms.select("*", none))
+    rows = both.select("term", "block", *(full(c) for c in ("places", "tfs", "lens", "ids", "digests", "gone"))).join(spots, "block")
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        return _one_block(table, number << inverted.SEGMENT_BITS | key[0].as_py())
+
+    ship(index.blocks.sparkSession)
+    return rows.groupBy("to").applyInArrow(run, index.blocks.schema)
+
+
+def _one_block(table: pa.Table, number: int) -> pa.Table:
+    """One block of several: their chunks in the blocks' order without the dead ones, and postings with the places there."""
+    listed = table.filter(pc.is_null(table["term"])).sort_by("block")
+    at, made, start, fields = 0, [], {}, {"ids": [], "digests": [], "lens": []}
+    for b, n, gone in zip(listed["block"].to_pylist(), pc.list_value_length(listed["ids"]).to_pylist(), listed["gone"].to_pylist(), strict=True):
+        keep = np.ones(n, bool)
+        keep[gone] = False
+        start[b] = sum(map(len, made))
+        made.append(np.where(keep, np.cumsum(keep) - 1 + at, -1))
+        at += int(keep.sum())
+    moved = np.concatenate(made) if made else np.zeros(0, np.int64)
+    kept = pa.array(moved >= 0)
+    for name in fields:
+        fields[name] = pc.list_flatten(listed[name]).combine_chunks().filter(kept)
+    chunk_lens = fields["lens"].to_numpy(zero_copy_only=False).astype(np.int32)
+    rows = table.filter(pc.is_valid(table["term"]))
+    words = rows["term"].combine_chunks().dictionary_encode()
+    count = pc.list_value_length(rows["places"]).to_numpy().astype(np.int64)
+    flat = lambda name: pc.list_flatten(rows[name]).to_numpy()
+    first = np.array([start[b] for b in rows["block"].to_pylist()], np.int64)
+    place = moved[np.repeat(first, count) + flat("places")]
+    left = place >= 0
+    code, place, tf = np.repeat(words.indices.to_numpy().astype(np.int64), count)[left], place[left], flat("tfs")[left]
+    order = np.lexsort((place, code))
+    code, place, tf = code[order], place[order].astype(np.int32), tf[order].astype(np.int32)
+    starts = np.flatnonzero(np.diff(code, prepend=-1))
+    none, lens = len(starts), chunk_lens[place]
+    offsets, whole = pa.array(np.append(starts, len(code)).astype(np.int32)), pa.array([0, at], pa.int32())
+    one = pa.ListArray.from_arrays
+    most, least = (np.maximum.reduceat(tf, starts), np.minimum.reduceat(lens, starts)) if none else (tf, lens)
+    lists = lambda x: pa.concat_arrays([one(offsets, pa.array(x)), pa.nulls(1, pa.list_(pa.int32()))])
+    ids, digests = (pa.concat_arrays([pa.nulls(none, pa.list_(fields[n].type)), one(whole, fields[n])]) for n in ("ids", "digests"))
+    last = pa.nulls(1, pa.int32())
+    return pa.table({
+        "term": pa.concat_arrays([words.dictionary.take(pa.array(code[starts])), pa.nulls(1, words.dictionary.type)]), "block": pa.array(np.full(none + 1, number)), "places": lists(place), "tfs": lists(tf),
+        "lens": pa.concat_arrays([one(offsets, pa.array(lens)), one(whole, pa.array(chunk_lens))]), "most_tf": pa.concat_arrays([pa.array(most), last]), "least_len": pa.concat_arrays([pa.array(least), last]), "ids": ids, "digests": digests})
 
 
 def vacuum(spark: SparkSession, path: str) -> None:
