@@ -186,16 +186,19 @@ def _search(index: Index, wanted: DataFrame, k: int) -> DataFrame:
     part = _part(weighted)
     if index.n_blocks is None or index.n_blocks <= ONE_PASS:
         asked = weighted.withColumn("cut", F.lit(0.0)).groupBy("term", part.alias("part")).agg(ask.alias("asks"))
-        return _scored(index, written(asked, "asks"), ["term"], k)
+        return _scored(index, index.live().where(F.col("term").isNotNull()), written(asked, "asks"), ["term"], k)
+    # rows of terms that nobody asks for stay where they are; the others are written once, three steps read them
+    own = index.live().where(F.col("term").isNotNull()).join(weighted.select("term").distinct(), "term", "left_semi")
+    held = written(own.select("term", "block", "places", "tfs", "lens", "most_tf", "least_len", "gone"), "held")
     # two numbers of a row, never its arrays
     mean = index.stats.select("avgdl").scalar()
-    slim = index.blocks.where(F.col("term").isNotNull()).select("term", "block", "most_tf", "least_len")
+    slim = held.select("term", "block", "most_tf", "least_len")
     gain = F.greatest(F.col("w"), F.lit(0.0)) * _gain(F.col("most_tf"), F.col("least_len"), mean)
     bounds = written(slim.join(weighted, "term").groupBy("query_id", "block").agg(F.sum(gain).alias("bound"), F.first("margin").alias("margin")).where(F.col("bound") > 0), "bounds")
 
     def of(pairs: DataFrame) -> DataFrame:
         asked = pairs.join(weighted.select("query_id", "term", "w", "margin"), "query_id").groupBy("term", "block", part.alias("part")).agg(ask.alias("asks"))
-        return _scored(index, asked, ["term", "block"], k)
+        return _scored(index, held, asked, ["term", "block"], k)
 
     by_bound = Window.partitionBy("query_id").orderBy(F.desc("bound"), "block")
     first = bounds.withColumn("_k", F.row_number().over(by_bound)).where(F.col("_k") <= FIRST)
@@ -213,9 +216,10 @@ def _part(weighted: DataFrame) -> Column:
     return F.pmod(F.xxhash64("query_id"), F.greatest(n, F.lit(1)))
 
 
-def _scored(index: Index, asked: DataFrame, on: list[str], k: int) -> DataFrame:
-    """The search for ``asked (on..., part, asks)``: a task gets the rows of a block and what is asked of them."""
-    rows = index.live().where(F.col("term").isNotNull()).select("term", "block", "places", "tfs", "lens", "gone")
+def _scored(index: Index, rows: DataFrame, asked: DataFrame, on: list[str], k: int) -> DataFrame:
+    """The search of index rows with ``gone`` for ``asked (on..., part, asks)``: a task gets the rows of a block and what is asked of them."""
+    # an empty array in place of a null: Spark's writer of Arrow batches goes over a run of null arrays again at each row
+    rows = rows.select("term", "block", "places", "tfs", "lens", F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
     kind = asked.schema["asks"].dataType.elementType["query_id"].dataType.simpleString()
     work = rows.join(asked, on).withColumn("mean", index.stats.select("avgdl").scalar())
     work = work.select("block", "part", "places", "tfs", "lens", "gone", "mean", F.col("asks.query_id").alias("queries"), F.col("asks.w").alias("ws"), F.col("asks.cut").alias("cuts"), F.col("asks.margin").alias("margins"))
@@ -248,7 +252,7 @@ def _score_block(table: pa.Table, block: int, k: int) -> pa.Table:
     places, tfs, lens = values("places"), values("tfs"), values("lens")
     mean = table["mean"][0].as_py()
     n = int(places.max()) + 1
-    gone = next((x.as_py() for x in table["gone"] if x.is_valid), None)
+    gone = table["gone"][0].as_py()  # the block's, in each of its rows
     terms = [_Term(places[i:j], tfs[i:j], lens[i:j], mean) for i, j in zip(at[:-1], at[1:], strict=True)]
     asks = column("queries")
     names = asks.flatten().dictionary_encode()
@@ -266,7 +270,7 @@ def _score_block(table: pa.Table, block: int, k: int) -> pa.Table:
                 bound[t.groups] += weight * t.most
         scores, touched = np.zeros(n), np.zeros(n, bool)
         least, room = float(cut[own[0]]), float(margin[own[0]])
-        dead = [g for g in gone or () if g < n]
+        dead = [g for g in gone if g < n]
         by_bound, at, step = np.argsort(-bound, kind="stable"), 0, k
         # groups by falling bound, a few at first, as many again each time, until no bound reaches the k-th best score
         while at < len(bound) and bound[by_bound[at]] >= least and bound[by_bound[at]] > 0:
