@@ -97,7 +97,9 @@ def append(new: DataFrame, path: str, key: list[str], *, by: list[str] | None =
         same = F.lit(True)
         for c in t.key:
             same = same & held[c].eqNullSafe(stored[c])
-        fresh = written(held.join(stored, same, "left_anti"), "fresh")
+        # keys alone tell whether all rows are new; then the batch as it was written serves
+        if not held.select(*t.key).join(stored, same, "left_semi").isEmpty():
+            fresh = written(held.join(stored, same, "left_anti"), "fresh")
     if not fresh.isEmpty() or t.version == 0:
         long = {b for b in _touched(fresh) if len(t.folders.get(str(b), [])) >= MOST_FOLDERS}
         rows = fresh
