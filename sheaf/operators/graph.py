@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from sheaf.session import written
 
 from .numbering import numbered
 from .substring import containing
@@ -90,10 +93,18 @@ def triplet_line(subject: Column, relationship: Column, obj: Column, source: Col
 
 def even_sample(chunks: DataFrame, by: str, order: str, per: int = 150, most: int | None = None) -> DataFrame:
     """Evenly spaced rows of each source: every ``max(1, n div per)``-th, at most ``per``, and ``most`` over all, sources in order of their first row (the sample is the operator's point)."""
-    counts = chunks.groupBy(by).agg(F.greatest(F.lit(1), F.floor(F.count("*") / per)).alias("_s"), F.min(order).alias("_first")).withColumnRenamed(by, "_by")
-    ranked = numbered(chunks, [order], (by,)).join(counts, F.col(by).eqNullSafe(F.col("_by")))
+    # rows are numbered by their keys and a hash, which settles ties of the order; only rows of the sample are taken whole
+    row = [by, F.col(order).alias("_order"), F.xxhash64(*chunks.columns).alias("_h")]
+    slim = chunks.select(*row)
+    counts = slim.groupBy(by).agg(F.greatest(F.lit(1), F.floor(F.count("*") / per)).alias("_s"), F.min("_order").alias("_first")).withColumnRenamed(by, "_by")
+    ranked = numbered(slim, ["_order", "_h"], (by,)).join(counts, F.col(by).eqNullSafe(F.col("_by")))
     out = ranked.where((F.col("_k") % F.col("_s") == 0) & (F.col("_k") / F.col("_s") < per))
-    return (out.orderBy("_first", "_k").limit(most) if most is not None else out).drop("_k", "_s", "_by", "_first")
+    out = out.orderBy("_first", "_k").limit(most) if most is not None else out
+    # repeated rows are as good as each other: as many of them as were picked
+    picked = written(out.groupBy(F.col(by).alias("_by"), F.col("_order").alias("_at"), F.col("_h").alias("_hash")).agg(F.count("*").alias("_n")), "picked")
+    found = chunks.withColumn("_h", F.xxhash64(*chunks.columns)).join(picked, F.col(by).eqNullSafe(F.col("_by")) & F.col(order).eqNullSafe(F.col("_at")) & (F.col("_h") == F.col("_hash")))
+    again = F.row_number().over(Window.partitionBy("_by", "_at", "_hash").orderBy("_hash"))
+    return found.withColumn("_again", again).where("_again <= _n").select(*chunks.columns)
 
 
 def hashed_sample(df: DataFrame, id_col: str, k: int, seed: int = 0) -> DataFrame:

@@ -91,7 +91,7 @@ f AS (SELECT doc_id, lower(regexp_extract(m, '^[^ ]+')) AS subject, lower(regexp
 def graph_build(spark, d):
     """Facts of whole texts of an even sample of each source, in two batches and a third that finds nothing left to ask."""
     path = scratch_folder(spark)
-    chunks = texts(spark, d).select(F.col("doc_id").cast("string").alias("chunk_id"), "doc_id", F.col("source").alias("source_file"), "text")
+    chunks = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), "doc_id", F.col("source").alias("source_file"), "text")
     for part in (chunks.where("doc_id % 2 = 0"), chunks, chunks):
         stores.build_graph(part if part is chunks else _even(chunks, part), path, _that, 20, order="doc_id")
     return spark.read.parquet(f"{path}/edges").select("subject", "relationship", "object")
