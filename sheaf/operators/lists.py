@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from sheaf.session import ship, written
 
-from .retrieval import dense_topk, ranked
+from .retrieval import CELLS, best_pairs, dense_topk, ranked
 
 SAMPLE, SAMPLE_BYTES = 65_536, 64 << 20
 MOST_LISTS, ROUNDS = 16_384, 12
@@ -68,9 +68,10 @@ def fit(vectors: DataFrame, vec_col: str = "embedding", lists: int | None = None
 def _nearest(x: np.ndarray, centroids: np.ndarray, k: int) -> np.ndarray:
     """Numbers of the ``k`` nearest centroids of each row, nearest first."""
     out = np.empty((len(x), k), np.int64)
-    for i in range(0, len(x), 4096):
-        near = np.round(x[i : i + 4096] @ centroids.T, 12)
-        out[i : i + 4096] = np.argsort(-near, axis=1, kind="stable")[:, :k]
+    step = max(1, CELLS // max(len(centroids), 1))
+    for i in range(0, len(x), step):
+        near = np.round(x[i : i + step] @ centroids.T, 12)
+        out[i : i + step] = np.argsort(-near, axis=1, kind="stable")[:, :k]
     return out
 
 
@@ -138,20 +139,18 @@ def search(index: Lists, queries: DataFrame, k: int = 10, n_probes: int | None =
                 own = np.argsort(near.ravel(), kind="stable")
                 lists, query = near.ravel()[own], own // n
                 edges = np.append(np.flatnonzero(np.diff(lists, prepend=-1)), len(lists))
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(lists[edges[:-1]].astype(np.int32)), pa.array([part.column(0).take(pa.array(query[i:j])).to_pylist() for i, j in zip(edges[:-1], edges[1:], strict=True)], pa.list_(part.column(0).type)),
-                    pa.array([x[query[i:j]].tobytes() for i, j in zip(edges[:-1], edges[1:], strict=True)], pa.binary())], ["list", "query_ids", "query_matrix"])
+                # a list's queries at a time: all of them together would hold each vector once a probe
+                for i, j in zip(edges[:-1], edges[1:], strict=True):
+                    own = query[i:j]
+                    yield pa.RecordBatch.from_arrays([pa.array(lists[i : i + 1].astype(np.int32)), pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), part.column(0).take(pa.array(own))), pa.array([x[own].tobytes()], pa.binary())], ["list", "query_ids", "query_matrix"])
 
     def score(batches):
         width = shared.value.shape[1]
         for b in batches:
             for ids, data, names, other in zip(b.column(0), b.column(1), b.column(2), b.column(3), strict=True):
                 ids, names = ids.values, names.values
-                raw = np.round(np.frombuffer(other.as_py(), np.float64).reshape(-1, width) @ np.frombuffer(data.as_py(), np.float64).reshape(-1, width).T, 9)
-                shown = np.floor(np.abs(raw) * 1e4 + 0.5) / 1e4 * np.sign(raw)
-                edge = -np.partition(-shown, k - 1, axis=1)[:, k - 1 : k] if shown.shape[1] > k else np.full((len(shown), 1), -9.0)
-                q, at = np.nonzero(shown >= edge)
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), ids.take(pa.array(at)), pa.array(shown[q, at])], ["query_id", "chunk_id", "dense_score"])
+                for q, at, shown in best_pairs(np.frombuffer(other.as_py(), np.float64).reshape(-1, width), np.frombuffer(data.as_py(), np.float64).reshape(-1, width), k):
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), ids.take(pa.array(at)), pa.array(shown)], ["query_id", "chunk_id", "dense_score"])
 
     asked = queries.where(F.col("query_vec").isNotNull()).select("query_id", "query_vec").mapInArrow(probe, f"list int, query_ids array<{kinds['query_id']}>, query_matrix binary")
     return ranked(index.blocks.join(asked, "list").select("ids", "matrix", "query_ids", "query_matrix").mapInArrow(score, schema), "dense_score", k, "dense_rank")

@@ -6,6 +6,8 @@ rounded score, so results are total orders.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -59,6 +61,8 @@ def sparse_topk(corpus: DataFrame | Index, queries: DataFrame, k: int = 10, stop
 
 QUERY_BLOCK = 4096
 VECTOR_BLOCK = 16_384
+#: Scores that a task holds at once (some copies of 8 bytes each).
+CELLS = 1 << 20
 
 
 def vector_blocks(vectors: DataFrame, id_col: str, vec_col: str, size: int) -> DataFrame:
@@ -77,6 +81,17 @@ def vector_blocks(vectors: DataFrame, id_col: str, vec_col: str, size: int) -> D
     return vectors.where(F.col(vec_col).isNotNull()).select(id_col, vec_col).mapInArrow(run, f"ids array<{kind}>, matrix binary")
 
 
+def best_pairs(asked: np.ndarray, held: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places in ``asked``, places in ``held`` and cosines to four places of each query's best ``k``; some queries at a time, so that no more than ``CELLS`` scores are held at once."""
+    step = max(1, CELLS // max(len(held), 1))
+    for i in range(0, len(asked), step):
+        scores = np.round(asked[i : i + step] @ held.T, 9)
+        shown = np.floor(np.abs(scores) * 1e4 + 0.5) / 1e4 * np.sign(scores)
+        edge = -np.partition(-shown, k - 1, axis=1)[:, k - 1 : k] if shown.shape[1] > k else np.full((len(shown), 1), -9.0)
+        q, at = np.nonzero(shown >= edge)  # ties at the edge come along, the rank settles them
+        yield q + i, at, shown[q, at]
+
+
 def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """``query_id, chunk_id, dense_score, dense_rank``: exact cosine, four places.
 
@@ -93,11 +108,8 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame
             for ids, data, names, other in zip(b.column(0), b.column(1), b.column(2), b.column(3), strict=True):
                 ids, names = ids.values, names.values
                 m = np.frombuffer(data.as_py(), np.float64).reshape(len(ids), -1)
-                scores = np.round(np.frombuffer(other.as_py(), np.float64).reshape(len(names), -1) @ m.T, 9)
-                shown = np.floor(np.abs(scores) * 1e4 + 0.5) / 1e4 * np.sign(scores)
-                edge = -np.partition(-shown, k - 1, axis=1)[:, k - 1 : k] if shown.shape[1] > k else np.full((len(shown), 1), -9.0)
-                q, at = np.nonzero(shown >= edge)  # ties at the edge come along, the rank settles them
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), ids.take(pa.array(at)), pa.array(shown[q, at])], ["query_id", "chunk_id", "dense_score"])
+                for q, at, shown in best_pairs(np.frombuffer(other.as_py(), np.float64).reshape(len(names), -1), m, k):
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), ids.take(pa.array(at)), pa.array(shown)], ["query_id", "chunk_id", "dense_score"])
 
     pairs = vector_blocks(vectors, "chunk_id", "embedding", VECTOR_BLOCK).crossJoin(asked)
     return ranked(pairs.mapInArrow(run, schema), "dense_score", k, "dense_rank")
