@@ -5,7 +5,7 @@ import glob
 import numpy as np
 from pyspark.sql import functions as F
 
-from sheaf.operators import graph, inverted, lists, numbering, retrieval
+from sheaf.operators import graph, inverted, lists, numbering, provenance, retrieval
 from sheaf.session import shared_folder
 from sheaf.sources import keyed, segments
 
@@ -109,3 +109,26 @@ def test_a_batch_of_new_rows_is_written_once(spark, tmp_path, monkeypatch):
     assert keyed.append(spark.range(50, 90).withColumn("v", F.lit("b")), path, ["id"], buckets=2).count() == 40 and names == ["batch", "batch"]
     assert keyed.append(spark.range(80, 100).withColumn("v", F.lit("c")), path, ["id"], buckets=2).count() == 10
     assert keyed.read(spark, path).count() == 100
+
+
+def test_a_report_matches_each_sentence_once(spark):
+    said, made = counted(spark, spark.createDataFrame([(q, i, f"Water word{i} here") for q in range(3) for i in range(4)], "query_id int, idx int, sentence string"))
+    chunks = spark.createDataFrame([(q, k, f"src{k}", "water word1 word1 word3" if k else None, 0.8, "FRESH") for q in range(2) for k in range(3)],
+                                   "query_id int, chunk_rank int, source_file string, text string, temporal_score double, freshness_label string")
+    matches = provenance.overlap_match(said, chunks)
+    told = {r.query_id: r.report for r in provenance.report(matches).collect()}
+    assert made.value == 12 and set(told) == {0, 1, 2}
+    assert told[0].count("Source     : src1") == 4 and told[0].count("Confidence : 0.97") == 2 and told[0].count("Confidence : 0.63") == 2
+    assert told[2].count("Source     : UNKNOWN") == 4 and "Inferred (no source)     : 4 sentences" in told[2]
+
+
+def test_a_query_meets_its_chunks_whole(spark):
+    """One row a chunk of a query, however many sentences its answer has."""
+    said = spark.createDataFrame([(1, i, f"Some word{i}, 12_a Straße word{i}") for i in range(50)] + [(2, 0, "...")], "query_id int, idx int, sentence string")
+    held, made = counted(spark, spark.createDataFrame([(1, k, "s", f"some word{k} strasse straße 12_ab", 0.5, "AGING") for k in range(5)] + [(2, 0, "s", "x", 0.5, "AGING")],
+                                                      "query_id int, chunk_rank int, source_file string, text string, temporal_score double, freshness_label string"))
+    plan = provenance.overlap_match(said, held)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan.split("Join")[0]
+    got = {(r.query_id, r.idx): (r.matched_source, r.confidence) for r in provenance.overlap_match(said, held).collect()}
+    want = lambda i: ("s", 1.0) if i < 5 or i < 50 and any(f"word{i}" in f"some word{k} " for k in range(5)) else ("s", 0.9)
+    assert got == {(1, i): want(i) for i in range(50)} | {(2, 0): ("UNKNOWN", 0.0)} and made.value == 6
