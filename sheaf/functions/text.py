@@ -72,11 +72,15 @@ def clean_text(c: Column) -> Column:
     return strip(c)
 
 
+def searched(c: Column) -> Column:
+    """The text that search tokens are read from: lower case, ``a/b`` as ``a_per_b``."""
+    low = F.lower(F.coalesce(c, F.lit("")))
+    return F.when(F.contains(low, F.lit("/")), F.regexp_replace(low, f"(?<!{W})({W}++)/({W}++)", "$1_per_$2")).otherwise(low)
+
+
 def tokens(c: Column, stop_words=STOP_WORDS) -> Column:
     """Search tokens: lower case, ``a/b`` as ``a_per_b``, ASCII letters, digits and underscores, no stop words, two chars at least."""
-    low = F.lower(F.coalesce(c, F.lit("")))
-    joined = F.when(F.contains(low, F.lit("/")), F.regexp_replace(low, f"(?<!{W})({W}++)/({W}++)", "$1_per_$2")).otherwise(low)
-    words = F.regexp_extract_all(joined, F.lit("[a-z0-9_]{2,}"), F.lit(0))
+    words = F.regexp_extract_all(searched(c), F.lit("[a-z0-9_]{2,}"), F.lit(0))
     return F.filter(words, lambda w: ~w.isin(*stop_words))  # a hash set: the list is one of literals
 
 

@@ -21,12 +21,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sheaf.functions.text import tokens
+from sheaf.functions.text import STOP_WORDS, searched
 from sheaf.session import ship, written
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -83,10 +84,36 @@ def digest_of(text: Column) -> Column:
     return F.xxhash64(text)
 
 
+#: Bytes of tokens; those of characters beyond ASCII are none of them.
+_TOKEN = np.isin(np.arange(256), list(b"abcdefghijklmnopqrstuvwxyz0123456789_"))
+
+
+def token_runs(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The tokens of searched texts (``text.searched``) in order and the place of the text that each is from, as ``text.tokens`` reads them but for stop words: from the bytes of all texts at once."""
+    texts = texts.cast(pa.large_string())
+    _, edges, data = texts.buffers()
+    edges = np.frombuffer(edges, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    letters = np.frombuffer(data or b"", np.uint8)[edges[0] : edges[-1]]
+    edges = edges - edges[0]
+    inside = _TOKEN[letters]
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    # a text's own ends, if it is not empty
+    full = np.flatnonzero(np.diff(edges))
+    first[edges[full]], last[edges[full + 1] - 1] = inside[edges[full]], inside[edges[full + 1] - 1]
+    starts, sizes = np.flatnonzero(first), np.flatnonzero(last) + 1 - np.flatnonzero(first)
+    kept = sizes > 1
+    inside[starts[~kept]] = False
+    starts, ends = starts[kept], np.append(0, np.cumsum(sizes[kept]))
+    words = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(letters[inside])])
+    return words.dictionary_encode(), np.searchsorted(edges, starts, side="right") - 1
+
+
 def blocks_of(corpus: DataFrame, segment: int = 0, size: int = BLOCK) -> DataFrame:
     """Rows ``term, block, places, tfs, lens, most_tf, least_len`` of a corpus ``(chunk_id, text)``, and a row a block ``block, ids, lens, digests`` without a term.
 
-    A batch of texts is tokenised by Spark and inverted as a whole: tokens become numbers, a sort of (token, place) brings a term's places together.
+    A batch of texts is tokenised and inverted as a whole: tokens become numbers, a sort of (token, place) brings a term's places together.
     """
     ship(corpus.sparkSession)
     kind = dict(corpus.dtypes)["chunk_id"]
@@ -97,10 +124,12 @@ def blocks_of(corpus: DataFrame, segment: int = 0, size: int = BLOCK) -> DataFra
             for at in range(0, whole.num_rows, size):
                 b = whole.slice(at, size)
                 n = b.num_rows
-                lists = b.column(2)
-                words = lists.flatten().dictionary_encode()
-                lens = np.diff(lists.offsets.to_numpy()).astype(np.int32)
-                key, tf = np.unique(words.indices.to_numpy().astype(np.int64) * n + np.repeat(np.arange(n), lens), return_counts=True)
+                words, of = token_runs(b.column(2))
+                terms, code = words.dictionary.cast(pa.string()), words.indices.to_numpy().astype(np.int64)
+                counted = ~pc.is_in(terms, pa.array(STOP_WORDS)).to_numpy(zero_copy_only=False)[code]
+                code, of = code[counted], of[counted]
+                lens = np.bincount(of, minlength=n).astype(np.int32)
+                key, tf = np.unique(code * n + of, return_counts=True)
                 code, place = key // n, (key % n).astype(np.int32)
                 starts = np.flatnonzero(np.diff(code, prepend=-1))
                 offsets = pa.array(np.append(starts, len(key)).astype(np.int32))
@@ -113,7 +142,7 @@ def blocks_of(corpus: DataFrame, segment: int = 0, size: int = BLOCK) -> DataFra
                 one = pa.ListArray.from_arrays
                 ends = pa.array([0, n], pa.int32())
                 rows = pa.RecordBatch.from_arrays([
-                    words.dictionary.take(pa.array(code[starts])), pa.array(np.full(none, number)), listed(place), listed(tf), listed(lens[place]),
+                    terms.take(pa.array(code[starts])), pa.array(np.full(none, number)), listed(place), listed(tf), listed(lens[place]),
                     pa.array(most.astype(np.int32)), pa.array(least.astype(np.int32)), pa.nulls(none, pa.list_(b.column(0).type)), pa.nulls(none, pa.list_(pa.int64()))], names)
                 chunks = pa.RecordBatch.from_arrays([
                     pa.nulls(1, pa.string()), pa.array([number]), pa.nulls(1, pa.list_(pa.int32())), pa.nulls(1, pa.list_(pa.int32())), one(ends, pa.array(lens)),
@@ -124,7 +153,7 @@ def blocks_of(corpus: DataFrame, segment: int = 0, size: int = BLOCK) -> DataFra
 
     schema = blocks_schema(kind)
     names = [x.split()[0] for x in schema.split(", ")]
-    return corpus.select("chunk_id", digest_of(F.coalesce("text", F.lit(""))).alias("digest"), tokens(F.col("text")).alias("t")).mapInArrow(run, schema)
+    return corpus.select("chunk_id", digest_of(F.coalesce("text", F.lit(""))).alias("digest"), searched(F.col("text")).alias("t")).mapInArrow(run, schema)
 
 
 def corpus_stats(blocks: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import glob
 import numpy as np
 from pyspark.sql import functions as F
 
+from sheaf.functions.text import tokens
 from sheaf.operators import graph, inverted, lists, numbering, provenance, retrieval
 from sheaf.session import shared_folder
 from sheaf.sources import keyed, segments
@@ -132,3 +133,16 @@ def test_a_query_meets_its_chunks_whole(spark):
     got = {(r.query_id, r.idx): (r.matched_source, r.confidence) for r in provenance.overlap_match(said, held).collect()}
     want = lambda i: ("s", 1.0) if i < 5 or i < 50 and any(f"word{i}" in f"some word{k} " for k in range(5)) else ("s", 0.9)
     assert got == {(1, i): want(i) for i in range(50)} | {(2, 0): ("UNKNOWN", 0.0)} and made.value == 6
+
+
+def test_an_index_reads_tokens_from_bytes(spark):
+    """As the column function does, without a row's list of tokens between Spark and Python."""
+    odd = ["", "a", "ab", "the ab the", "Straße km/h a/b x1_y é9 İstanbul", "kg/ha\n\nkg/ha", "ab", "cd", "", "é", "_ __ 0 00", "\U0001f600aa\U0001f600b\u00a0cc", None, "zz"] + ["ends" * i for i in range(5)]
+    corpus = spark.createDataFrame(list(enumerate(odd)), "chunk_id int, text string").coalesce(1)
+    blocks = inverted.blocks_of(corpus, size=3)
+    assert "regexp_extract_all" not in blocks._jdf.queryExecution().optimizedPlan().toString()
+    index = inverted.Index(blocks, None, None)
+    ids = index.chunks.select("chunk_id", "block", "place")
+    got = sorted((r.term, r.chunk_id, r.tf, r.doc_len) for r in index.postings.join(ids, ["block", "place"]).collect())
+    assert got == sorted((r.term, r.chunk_id, r.tf, r.doc_len) for r in retrieval.postings(corpus).collect()) and len(got) > 10
+    assert {r.chunk_id: r.doc_len for r in index.chunks.collect()} == {r.chunk_id: r.n for r in corpus.select("chunk_id", F.size(tokens(F.col("text"))).alias("n")).collect()}
