@@ -22,44 +22,63 @@ DEFAULT_SOIL = {"soil_moisture": None, "label": "UNAVAILABLE"}
 DEFAULT_SATELLITE = {"stage": None, "confidence": 0.0}
 
 
+def _once(value: Column, make: Callable[[Column], Column]) -> Column:
+    """``make`` of a value that is computed once a row, however often it is named: a reply is not parsed again for each of its fields."""
+    return F.get(F.transform(F.array(value), make), 0)
+
+
 def place_of(reply: Column) -> Column:
     """A geocoder's JSON reply (an array of matches) as ``struct(latitude, longitude, place, found)``: the first match, four places; else the default."""
-    first = F.get(F.from_json(reply, "array<struct<lat:string,lon:string,display_name:string>>"), 0)
-    found = first["lat"].isNotNull() & first["lon"].isNotNull()
     d = DEFAULT_PLACE
-    return F.struct(
-        F.when(found, F.round(first["lat"].cast("double"), 4)).otherwise(d["latitude"]).alias("latitude"), F.when(found, F.round(first["lon"].cast("double"), 4)).otherwise(d["longitude"]).alias("longitude"),
-        F.when(found, first["display_name"]).otherwise(d["place"]).alias("place"), found.alias("found"))
+
+    def made(first: Column) -> Column:
+        found = first["lat"].isNotNull() & first["lon"].isNotNull()
+        return F.struct(
+            F.when(found, F.round(first["lat"].cast("double"), 4)).otherwise(d["latitude"]).alias("latitude"), F.when(found, F.round(first["lon"].cast("double"), 4)).otherwise(d["longitude"]).alias("longitude"),
+            F.when(found, first["display_name"]).otherwise(d["place"]).alias("place"), found.alias("found"))
+
+    return _once(F.get(F.from_json(reply, "array<struct<lat:string,lon:string,display_name:string>>"), 0), made)
 
 
 def weather_of(reply: Column) -> Column:
     """A forecast service's JSON reply as ``schemas.WEATHER``; null where it is none."""
     read = F.from_json(reply, "current struct<temperature_2m:double,relative_humidity_2m:double,rain:double,wind_speed_10m:double,weather_code:int>, daily struct<time:array<string>,rain_sum:array<double>,"
                        "temperature_2m_max:array<double>,temperature_2m_min:array<double>,precipitation_probability_max:array<double>,et0_fao_evapotranspiration:array<double>,uv_index_max:array<double>>")
-    now, day = read["current"], read["daily"]
-    made = F.struct(
-        F.struct(now["temperature_2m"].alias("temperature"), now["relative_humidity_2m"].alias("humidity"), now["rain"].alias("rain"), now["wind_speed_10m"].alias("wind"), now["weather_code"].alias("code")).alias("current"),
-        F.struct(day["time"].alias("date"), day["temperature_2m_max"].alias("tmax"), day["temperature_2m_min"].alias("tmin"), day["rain_sum"].alias("rain"), day["precipitation_probability_max"].alias("rain_prob"),
-                 day["et0_fao_evapotranspiration"].alias("et0"), day["uv_index_max"].alias("uv")).alias("daily"))
-    return F.when(now.isNotNull() | day.isNotNull(), made)
+
+    def made(r: Column) -> Column:
+        now, day = r["current"], r["daily"]
+        return F.when(now.isNotNull() | day.isNotNull(), F.struct(
+            F.struct(now["temperature_2m"].alias("temperature"), now["relative_humidity_2m"].alias("humidity"), now["rain"].alias("rain"), now["wind_speed_10m"].alias("wind"), now["weather_code"].alias("code")).alias("current"),
+            F.struct(day["time"].alias("date"), day["temperature_2m_max"].alias("tmax"), day["temperature_2m_min"].alias("tmin"), day["rain_sum"].alias("rain"), day["precipitation_probability_max"].alias("rain_prob"),
+                     day["et0_fao_evapotranspiration"].alias("et0"), day["uv_index_max"].alias("uv")).alias("daily")))
+
+    return _once(read, made)
 
 
 def soil_of(reply: Column) -> Column:
     """A soil service's JSON reply as ``struct(soil_moisture, label, advisory, precipitation, evapotranspiration)``: the first hour and day."""
     read = F.from_json(reply, "hourly struct<soil_moisture_0_to_1cm:array<double>>, daily struct<precipitation_sum:array<double>,et0_fao_evapotranspiration:array<double>>")
-    m = F.get(read["hourly"]["soil_moisture_0_to_1cm"], 0)
-    return F.struct(m.alias("soil_moisture"), weather.soil_label(m).alias("label"), weather.soil_advisory(m).alias("advisory"),
-                    F.get(read["daily"]["precipitation_sum"], 0).alias("precipitation"), F.get(read["daily"]["et0_fao_evapotranspiration"], 0).alias("evapotranspiration"))
+
+    def made(r: Column) -> Column:
+        m = F.get(r["hourly"]["soil_moisture_0_to_1cm"], 0)
+        return F.struct(m.alias("soil_moisture"), weather.soil_label(m).alias("label"), weather.soil_advisory(m).alias("advisory"),
+                        F.get(r["daily"]["precipitation_sum"], 0).alias("precipitation"), F.get(r["daily"]["et0_fao_evapotranspiration"], 0).alias("evapotranspiration"))
+
+    return _once(read, made)
 
 
 def satellite_of(reply: Column) -> Column:
     """A satellite service's JSON reply (values by day) as ``struct(stage, confidence, avg_temp, total_rain)``; nulls are left out of means and sums."""
     read = F.from_json(reply, "properties struct<parameter:struct<T2M:map<string,double>,PRECTOTCORR:map<string,double>>>")
-    some = lambda m: F.filter(F.map_values(read["properties"]["parameter"][m]), lambda x: x.isNotNull())
-    total = lambda m: F.when(F.size(some(m)) > 0, F.aggregate(some(m), F.lit(0.0), lambda a, x: a + x))
-    mean, rain = total("T2M") / F.size(some("T2M")), total("PRECTOTCORR")
-    stage = weather.satellite_stage(mean, rain)
-    return F.struct(stage["stage"].alias("stage"), stage["confidence"].alias("confidence"), mean.alias("avg_temp"), rain.alias("total_rain"))
+    some = lambda r, m: F.filter(F.map_values(r["properties"]["parameter"][m]), lambda x: x.isNotNull())
+    total = lambda a: F.when(F.size(a) > 0, F.aggregate(a, F.lit(0.0), lambda s, x: s + x))
+
+    def made(v: Column) -> Column:
+        stage = weather.satellite_stage(v["mean"], v["rain"])
+        return F.struct(stage["stage"].alias("stage"), stage["confidence"].alias("confidence"), v["mean"].alias("avg_temp"), v["rain"].alias("total_rain"))
+
+    lists = _once(read, lambda r: F.struct(some(r, "T2M").alias("t"), some(r, "PRECTOTCORR").alias("p")))
+    return _once(_once(lists, lambda v: F.struct((total(v["t"]) / F.size(v["t"])).alias("mean"), total(v["p"]).alias("rain"))), made)
 
 
 # What to ask of each public service: address, seconds to wait, parameters.

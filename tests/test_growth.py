@@ -146,3 +146,26 @@ def test_an_index_reads_tokens_from_bytes(spark):
     got = sorted((r.term, r.chunk_id, r.tf, r.doc_len) for r in index.postings.join(ids, ["block", "place"]).collect())
     assert got == sorted((r.term, r.chunk_id, r.tf, r.doc_len) for r in retrieval.postings(corpus).collect()) and len(got) > 10
     assert {r.chunk_id: r.doc_len for r in index.chunks.collect()} == {r.chunk_id: r.n for r in corpus.select("chunk_id", F.size(tokens(F.col("text"))).alias("n")).collect()}
+
+
+def test_a_reply_is_parsed_once_and_by_all_cores(spark, data):
+    from sheaf.plans import registry
+    from sheaf.plans.gate_queries import service_replies
+
+    out = service_replies(spark, data)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 4 and "Repartition" in plan
+    assert registry.QUERIES["service_replies"] is service_replies and out.count() == spark.read.parquet(f"{data}/events.parquet").count()
+
+
+def test_replies_that_are_none(spark):
+    from sheaf.sources import services as V
+
+    replies = [None, "", "oops", "[]", "{}", '[{"lat": "1.23456"}]', '[{"lat": "1.23456", "lon": "2"}]', '{"current": null, "daily": {"time": ["x"]}}', '{"hourly": {"soil_moisture_0_to_1cm": []}}',
+               '{"properties": {"parameter": {"T2M": {"a": null}, "PRECTOTCORR": {}}}}', '{"properties": {"parameter": {"T2M": {"a": 1.0, "b": null, "c": 3.0}}}}']
+    rows = spark.createDataFrame([(i, r) for i, r in enumerate(replies)], "i int, reply string")
+    got = [r.asDict(True) for r in rows.select("i", V.place_of(F.col("reply")).alias("g"), V.weather_of(F.col("reply")).alias("w"), V.soil_of(F.col("reply")).alias("s"), V.satellite_of(F.col("reply")).alias("n")).orderBy("i").collect()]
+    assert [r["g"]["found"] for r in got] == [False] * 6 + [True] + [False] * 4 and got[6]["g"] == {"latitude": 1.2346, "longitude": 2.0, "place": None, "found": True}
+    assert [i for i, r in enumerate(got) if r["w"]] == [7] and got[7]["w"]["daily"]["date"] == ["x"] and got[7]["w"]["current"]["code"] is None
+    assert all(r["s"]["soil_moisture"] is None and r["s"]["label"] == "UNAVAILABLE" for r in got)
+    assert [r["n"]["avg_temp"] for r in got] == [None] * 10 + [2.0] and all(r["n"]["total_rain"] is None for r in got)
