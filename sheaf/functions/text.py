@@ -105,8 +105,9 @@ def is_hard_boundary(c: Column) -> Column:
 
 def crop_tags(c: Column, names=CROPS) -> Column:
     """Names that occur in the lower-cased text, as substrings, in order."""
-    low = F.lower(F.coalesce(c, F.lit("")))
-    return F.filter(F.array(*(F.lit(n) for n in names)), lambda n: F.contains(low, n))
+    # bound by the outer function: inside the filter the text would be lower-cased for every name
+    found = lambda low: F.filter(F.array(*(F.lit(n) for n in names)), lambda n: F.contains(low, n))
+    return F.get(F.transform(F.array(F.lower(F.coalesce(c, F.lit("")))), found), 0)
 
 
 def preview(c: Column, size: int = 200) -> Column:

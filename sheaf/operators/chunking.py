@@ -45,7 +45,8 @@ def chunks(docs: DataFrame, id_col: str, text_col: str = "text", *, split=senten
     keeps (length, where chunks start) and runs inside the row, without a shuffle; chunks are slices of the sentences. Chunks below ``MIN_CHUNK`` go.
     ``next_score``: a column function of (sentence before, sentence) made of built-in functions, or a model: a ``PairScorer``, a pandas or an Arrow UDF.
     """
-    held = docs.select(id_col, split(F.col(text_col)).alias("s")).where(F.size("s") > 0)
+    # a text without sentences gives no chunk below; a filter on their number would split every text twice
+    held = docs.select(id_col, split(F.col(text_col)).alias("s"))
     scorer = scorer_of(next_score)
     if scorer is None:
         low = lambda x, i: next_score(F.get("s", i - 1), x) < NSP_THRESHOLD

@@ -5,8 +5,8 @@ import glob
 import numpy as np
 from pyspark.sql import functions as F
 
-from sheaf.functions.text import tokens
-from sheaf.operators import graph, inverted, lists, numbering, provenance, retrieval
+from sheaf.functions.text import crop_tags, tokens
+from sheaf.operators import chunking, graph, inverted, lists, numbering, provenance, retrieval
 from sheaf.session import shared_folder
 from sheaf.sources import keyed, segments
 
@@ -169,3 +169,24 @@ def test_replies_that_are_none(spark):
     assert [i for i, r in enumerate(got) if r["w"]] == [7] and got[7]["w"]["daily"]["date"] == ["x"] and got[7]["w"]["current"]["code"] is None
     assert all(r["s"]["soil_moisture"] is None and r["s"]["label"] == "UNAVAILABLE" for r in got)
     assert [r["n"]["avg_temp"] for r in got] == [None] * 10 + [2.0] and all(r["n"]["total_rain"] is None for r in got)
+
+
+def test_a_text_is_split_once_and_lower_cased_once(spark):
+    texts = spark.createDataFrame([(0, None), (1, ""), (2, "short."), (3, "A sentence about Rice and Tea, of more than fifty characters in all. Another one.")], "i int, text string")
+    made = chunking.chunks(texts, "i")
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 1
+    tagged = made.select("i", "chunk_no", crop_tags(F.col("text")).alias("tags"))
+    filters = tagged.select("tags")._jdf.queryExecution().optimizedPlan().toString().split("lambdafunction(")
+    assert not any("lower(" in f and "Contains(lower" in f for f in filters)
+    assert [tuple(r) for r in tagged.collect()] == [(3, 0, ["rice", "tea"])]
+    assert texts.where("i < 2").select(crop_tags(F.col("text")).alias("t")).distinct().collect() == [([],)]
+
+
+def test_a_scorer_gets_texts_without_sentences(spark):
+    from sheaf.operators.pairs import PairScorer
+
+    long = "A first sentence of about thirty five chars. A second sentence of about as many chars."
+    texts = spark.createDataFrame([(0, ""), (1, long), (2, None), (3, long), (4, "x")], "i int, text string").coalesce(1)
+    scorer = PairScorer(lambda: None, lambda model, a, b: [0.0 if x.startswith("A first") else 1.0 for x in a])
+    got = [tuple(r) for r in chunking.chunks(texts, "i", next_score=scorer).orderBy("i", "chunk_no").collect()]
+    assert got == [tuple(r) for r in chunking.chunks(texts.where("i in (1, 3)"), "i", next_score=scorer).orderBy("i", "chunk_no").collect()]
