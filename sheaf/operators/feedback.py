@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -63,6 +65,44 @@ def _milli(x: float) -> int:
     return round(1000 * x)
 
 
+def _held(x: Column, a: Column, b: Column) -> Column:
+    return F.greatest(a, F.least(b, x))
+
+
+def _triple(d: Column, a: Column, b: Column) -> Column:
+    return F.struct(d.alias("d"), a.alias("a"), b.alias("b"))
+
+
+def _after(t: Column, x: Column) -> Column:
+    """The threshold ``t`` after a run of steps."""
+    return _held(t + x["d"], x["a"], x["b"])
+
+
+def _run(parts: str, one: Callable[[Column], Column]) -> Column:
+    """The runs ``one(part)`` of an array as one run; of no array one that changes nothing."""
+    same = _triple(F.lit(0), F.lit(-(1 << 30)), F.lit(1 << 30))
+    then = lambda s, x: _triple(s["d"] + x["d"], _held(s["a"] + x["d"], x["a"], x["b"]), _held(s["b"] + x["d"], x["a"], x["b"]))
+    return F.coalesce(F.aggregate(parts, same, lambda s, x: then(s, one(x))), same)
+
+
+_LOW, _HIGH = _milli(LOWEST), _milli(HIGHEST)
+
+
+def _folded(stepped: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Blocks ``_key, _r, _b`` with their steps ``m`` and the run ``w`` that they are, and ranges ``_key, _r`` with those of their blocks, ``bs``."""
+    here = Window.partitionBy("_key", "_r").orderBy("_place")
+    moves = stepped.where("delta != 0").select("_key", "_r", "_place", F.round(F.col("delta") * 1000).cast("int").alias("_d"))
+    moves = moves.withColumn("_b", F.floor((F.row_number().over(here) - 1) / BLOCK))
+    blocks = moves.groupBy("_key", "_r", "_b").agg(F.array_sort(F.collect_list(F.struct("_place", "_d"))).alias("m"))
+    blocks = blocks.withColumn("w", _run("m", lambda x: _triple(x["_d"], F.lit(_LOW), F.lit(_HIGH))))
+    return blocks, blocks.groupBy("_key", "_r").agg(F.array_sort(F.collect_list(F.struct("_b", "w"))).alias("bs"))
+
+
+def _by_key(ranges: DataFrame) -> DataFrame:
+    """A row a key: its ranges, in order, as runs."""
+    return ranges.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("_r", _run("bs", lambda x: x["w"]).alias("w")))).alias("rs"))
+
+
 def thresholds(log: DataFrame, keys: tuple[str, ...] = (), order: str = "seq") -> DataFrame:
     """``keys, seq, threshold`` after each feedback.
 
@@ -72,32 +112,19 @@ def thresholds(log: DataFrame, keys: tuple[str, ...] = (), order: str = "seq") -
     """
     stepped = _stepped(log, keys, order)
     here = Window.partitionBy("_key", "_r").orderBy("_place")
-    low, high = F.lit(_milli(LOWEST)), F.lit(_milli(HIGHEST))
-    held = lambda x, a, b: F.greatest(a, F.least(b, x))
-    triple = lambda d, a, b: F.struct(d.alias("d"), a.alias("a"), b.alias("b"))
-    same = triple(F.lit(0), F.lit(-(1 << 30)), F.lit(1 << 30))
-    then = lambda s, x: triple(s["d"] + x["d"], held(s["a"] + x["d"], x["a"], x["b"]), held(s["b"] + x["d"], x["a"], x["b"]))
-    after = lambda t, x: held(t + x["d"], x["a"], x["b"])
 
     def starts(parts: str, name: str, first: Column) -> Column:
         """``array<struct(name, t)>``: the threshold that each part of an array ``(name, w)`` begins with."""
         state = F.struct(first.alias("t"), F.array().cast(f"array<struct<{name}:bigint,t:int>>").alias("all"))
-        step = lambda s, x: F.struct(after(s["t"], x["w"]).alias("t"), F.concat(s["all"], F.array(F.struct(x[name].cast("bigint").alias(name), s["t"].alias("t")))).alias("all"))
+        step = lambda s, x: F.struct(_after(s["t"], x["w"]).alias("t"), F.concat(s["all"], F.array(F.struct(x[name].cast("bigint").alias(name), s["t"].alias("t")))).alias("all"))
         return F.aggregate(parts, state, step)["all"]
 
-    moves = stepped.where("delta != 0").select("_key", "_r", "_place", F.round(F.col("delta") * 1000).cast("int").alias("_d"))
-    moves = moves.withColumn("_b", F.floor((F.row_number().over(here) - 1) / BLOCK))
-    blocks = moves.groupBy("_key", "_r", "_b").agg(F.array_sort(F.collect_list(F.struct("_place", "_d"))).alias("m"))
-    blocks = blocks.withColumn("w", F.aggregate("m", same, lambda s, x: then(s, triple(x["_d"], low, high))))
-    ranges = blocks.groupBy("_key", "_r").agg(F.array_sort(F.collect_list(F.struct("_b", "w"))).alias("bs"))
-    every = stepped.select("_key", "_r").distinct().join(ranges, ["_key", "_r"], "left")
-    # a row a key: its ranges, in order
-    whole = F.coalesce(F.aggregate("bs", same, lambda s, x: then(s, x["w"])), same)
-    by_key = every.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("_r", whole.alias("w")))).alias("rs"))
+    blocks, ranges = _folded(stepped)
+    by_key = _by_key(stepped.select("_key", "_r").distinct().join(ranges, ["_key", "_r"], "left"))
     begun = by_key.select("_key", F.explode(starts("rs", "_r", F.lit(_milli(INITIAL)))).alias("x")).select("_key", "x._r", F.col("x.t").alias("_start"))
     inside = ranges.join(begun, ["_key", "_r"]).select("_key", "_r", F.explode(starts("bs", "_b", F.col("_start"))).alias("x")).select("_key", "_r", "x._b", F.col("x.t").alias("_t"))
     unrolled = F.aggregate("m", F.struct(F.col("_t").alias("t"), F.array().cast("array<int>").alias("all")), lambda s, m: F.element_at(F.transform(
-        F.array(held(s["t"] + m["_d"], low, high)), lambda t: F.struct(t.alias("t"), F.concat(s["all"], F.array(t)).alias("all"))), 1))["all"]
+        F.array(_held(s["t"] + m["_d"], F.lit(_LOW), F.lit(_HIGH))), lambda t: F.struct(t.alias("t"), F.concat(s["all"], F.array(t)).alias("all"))), 1))["all"]
     moved = blocks.join(inside, ["_key", "_r", "_b"]).select("_key", "_r", F.explode(F.arrays_zip(F.col("m"), unrolled.alias("t"))).alias("x")).select("_key", "_r", F.col("x.m._place").alias("_place"), F.col("x.t").alias("_t"))
     joined = stepped.join(begun, ["_key", "_r"]).join(moved, ["_key", "_r", "_place"], "left")
     now = F.coalesce(F.last("_t", ignorenulls=True).over(here), F.col("_start")) / 1000
@@ -105,8 +132,10 @@ def thresholds(log: DataFrame, keys: tuple[str, ...] = (), order: str = "seq") -
 
 
 def current_threshold(log: DataFrame, order: str = "seq") -> DataFrame:
-    """One row ``threshold``: that after the whole log, the initial one for an empty log."""
-    return thresholds(log, (), order).agg(F.coalesce(F.max_by("threshold", order), F.lit(INITIAL)).alias("threshold"))
+    """One row ``threshold``: that after the whole log, the initial one for an empty log. The run that the log is tells it, no feedback's own threshold is made."""
+    _, ranges = _folded(_stepped(log, (), order))
+    last = _after(F.lit(_milli(INITIAL)), _run("rs", lambda x: x["w"]))
+    return _by_key(ranges).agg(F.coalesce(F.max(last) / 1000, F.lit(INITIAL)).alias("threshold"))
 
 
 def report(log: DataFrame, order: str = "seq") -> DataFrame:

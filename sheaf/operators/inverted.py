@@ -225,6 +225,8 @@ def _search(index: Index, wanted: DataFrame, k: int) -> DataFrame:
     gain = F.greatest(F.col("w"), F.lit(0.0)) * _gain(F.col("most_tf"), F.col("least_len"), mean)
     bounds = written(slim.join(weighted, "term").groupBy("query_id", "block").agg(F.sum(gain).alias("bound"), F.first("margin").alias("margin")).where(F.col("bound") > 0), "bounds")
 
+    tasks = int(index.blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
     def of(pairs: DataFrame) -> DataFrame:
         asked = pairs.join(weighted.select("query_id", "term", "w", "margin"), "query_id").groupBy("term", "block", part.alias("part")).agg(ask.alias("asks"))
         return _scored(index, held, asked, ["term", "block"], k)
@@ -236,7 +238,8 @@ def _search(index: Index, wanted: DataFrame, k: int) -> DataFrame:
     kth = F.get(F.sort_array(F.collect_list("raw"), asc=False), k - 1)
     cut = F.greatest(F.coalesce("kth", F.lit(0.0)) - F.col("margin"), F.lit(0.0))
     limits = bounds.join(found.groupBy("query_id").agg(kth.alias("kth")), "query_id", "left").withColumn("cut", cut)
-    return of(written(limits.where(F.col("bound") >= F.col("cut")).select("query_id", "block", "cut"), "limits"))
+    # few bytes, but a row becomes one for each term of its query: in many files, so that no single task makes them all
+    return of(written(limits.where(F.col("bound") >= F.col("cut")).select("query_id", "block", "cut").repartition(tasks, "block"), "limits"))
 
 
 def _part(weighted: DataFrame) -> Column:
@@ -263,58 +266,53 @@ def _scored(index: Index, rows: DataFrame, asked: DataFrame, on: list[str], k: i
     return dealt.groupBy("block", "part").applyInArrow(run, f"query_id {kind}, block bigint, place int, raw double, scored bigint")
 
 
-class _Term:
-    """A row of the index: gains of its chunks without the term's weight, and the greatest of each group."""
-
-    def __init__(self, places: np.ndarray, tfs: np.ndarray, lens: np.ndarray, mean: float):
-        f = tfs.astype(np.float64)
-        self.places, self.gains = places, f * (K1 + 1) / (f + K1 * (1 - B + B * lens / mean))
-        group = places // GROUP
-        starts = np.flatnonzero(np.diff(group, prepend=-1))
-        self.group_of, self.groups, self.most = group, group[starts], np.maximum.reduceat(self.gains, starts)
-
-
 def _score_block(table: pa.Table, block: int, k: int) -> pa.Table:
     column = lambda name: table[name].combine_chunks()
     values = lambda name: column(name).flatten().to_numpy()
-    at = np.append(0, np.cumsum(column("places").value_lengths().to_numpy()))
-    places, tfs, lens = values("places"), values("tfs"), values("lens")
-    mean = table["mean"][0].as_py()
+    counts = column("places").value_lengths().to_numpy()
+    at = np.append(0, np.cumsum(counts))
+    places, f = values("places"), values("tfs").astype(np.float64)
+    # of all rows at once: gains of chunks without the term's weight, and the greatest of each group of chunks
+    gains = f * (K1 + 1) / (f + K1 * (1 - B + B * values("lens") / table["mean"][0].as_py()))
     n = int(places.max()) + 1
+    n_groups = -(-n // GROUP)
+    starts = np.flatnonzero(np.diff(np.repeat(np.arange(len(counts)) * n_groups, counts) + places // GROUP, prepend=-1))
+    held, most = places[starts] // GROUP, np.maximum.reduceat(gains, starts)
+    groups_at = np.searchsorted(starts, at)
     gone = table["gone"][0].as_py()  # the block's, in each of its rows
-    terms = [_Term(places[i:j], tfs[i:j], lens[i:j], mean) for i, j in zip(at[:-1], at[1:], strict=True)]
+    dead = np.array([g for g in gone if g < n], np.int64)
     asks = column("queries")
     names = asks.flatten().dictionary_encode()
     code, w, cut, margin = names.indices.to_numpy(), values("ws"), values("cuts"), values("margins")
-    term = np.repeat(np.arange(len(terms)), asks.value_lengths().to_numpy())
+    term = np.repeat(np.arange(len(counts)), asks.value_lengths().to_numpy())
     order = np.argsort(code, kind="stable")
     edges = np.append(np.flatnonzero(np.diff(code[order], prepend=-1)), len(order))
     out: list[tuple[int, np.ndarray, np.ndarray, int]] = []
     for i, j in zip(edges[:-1], edges[1:], strict=True):
         own = order[i:j]
-        weights = [(terms[term[x]], w[x]) for x in own]
-        bound = np.zeros(-(-n // GROUP))
-        for t, weight in weights:
-            if weight > 0:
-                bound[t.groups] += weight * t.most
+        own_terms, weights = term[own], w[own]
+        # the rows of the query's terms one after the other, so that a step is a few operations however many terms there are
+        rows = [slice(at[t], at[t + 1]) for t in own_terms]
+        own_groups = [slice(groups_at[t], groups_at[t + 1]) for t in own_terms]
+        most_of = np.concatenate([most[x] for x in own_groups]) * np.repeat(np.maximum(weights, 0), groups_at[own_terms + 1] - groups_at[own_terms])
+        bound = np.bincount(np.concatenate([held[x] for x in own_groups]), most_of, n_groups)
+        place, gain = np.concatenate([places[x] for x in rows]), np.concatenate([gains[x] for x in rows]) * np.repeat(weights, counts[own_terms])
+        group = place // GROUP
         scores, touched = np.zeros(n), np.zeros(n, bool)
         least, room = float(cut[own[0]]), float(margin[own[0]])
-        dead = [g for g in gone if g < n]
-        by_bound, at, step = np.argsort(-bound, kind="stable"), 0, k
+        by_bound, begin, step = np.argsort(-bound, kind="stable"), 0, k
         # groups by falling bound, a few at first, as many again each time, until no bound reaches the k-th best score
-        while at < len(bound) and bound[by_bound[at]] >= least and bound[by_bound[at]] > 0:
-            groups = np.zeros(len(bound), bool)
-            some = by_bound[at : at + step]
+        while begin < n_groups and bound[by_bound[begin]] >= least and bound[by_bound[begin]] > 0:
+            groups = np.zeros(n_groups, bool)
+            some = by_bound[begin : begin + step]
             groups[some[bound[some] >= least]] = True
-            for t, weight in weights:
-                here = groups[t.group_of]
-                p = t.places[here]
-                scores[p] += weight * t.gains[here]
-                touched[p] = True
+            here = groups[group]
+            scores += np.bincount(place[here], gain[here], n)
+            touched[place[here]] = True
             scores[dead] = 0
             if n > k:
                 least = max(least, float(np.partition(scores, -k)[-k]) - room)
-            at, step = at + step, 2 * step
+            begin, step = begin + step, 2 * step
         hits = np.flatnonzero((scores > 0) & (scores >= least))
         out.append((int(code[own[0]]), hits, scores[hits], int(touched.sum())))
     sizes = [len(h) for _, h, _, _ in out]

@@ -50,12 +50,17 @@ def answer_queries(
     if vectors is None:
         vectors = corpus.select("chunk_id", p.embed(F.col("text")).alias("embedding"))
     threshold = cfg.threshold if feedback_log is None else feedback.current_threshold(feedback_log).scalar()
+    # a column of nulls alone has no type of its own, and none that is written
+    queries = queries.select(*(F.col(c).cast("string").alias(c) if kind == "void" else c for c, kind in queries.dtypes))
     routed = queries.select("*", p.classify(F.col("query")).alias("_c"), p.entropy(F.col("response")).alias("entropy")).select(*queries.columns, "_c.*", "entropy")
-    routed = gates.route(routed, threshold)
+    # written once: the threshold, which is a pass over the log, is not found again by each step, and the planner knows how few the questions are
+    routed = written(gates.route(routed, threshold), "routed")
     question = routed.select("query_id", "query", "query_type", "path", "stage")
-    dense = retrieval.dense_topk(vectors, queries.select("query_id", "query_vec"), 2 * k)
-    sparse = retrieval.sparse_topk(index or corpus.select("chunk_id", "text"), queries.select("query_id", "query"), 2 * k, GATE_STOP_WORDS)
+    dense = retrieval.dense_topk(vectors, routed.select("query_id", "query_vec"), 2 * k)
+    sparse = retrieval.sparse_topk(index or corpus.select("chunk_id", "text"), routed.select("query_id", "query"), 2 * k, GATE_STOP_WORDS)
     fused = retrieval.hybrid(dense, sparse, corpus.select("chunk_id", "trust_weight"), k, nonpositive_trust_as_one=False).withColumnRenamed("rank", "retrieval_rank")
+    # written before texts are joined: against a table that is known to be small the corpus stays where it is
+    fused = written(fused, "fused")
     extra = [c for c in ("authority_score", "bias_penalty") if c in corpus.columns]
     # written once: trust, freshness, context and provenance all start from these few rows a question
     found = written(fused.join(corpus.select("chunk_id", "text", "source_file", *extra), "chunk_id").join(question, "query_id"), "found")

@@ -15,8 +15,7 @@ from .fixtures import REGISTRY, STAGES
 from .gate_queries import _keys, _kind, _word
 from .graph_queries import _ALL, feedback_log
 from .registry import query, stored_index, table
-from .retrieval_queries import TRUST, trust_dim, vectors
-from .text_queries import metadata
+from .retrieval_queries import TRUST, corpus, source_trust, vectors
 
 READING = {
     "current": {"temperature": 39.5, "humidity": 90.0, "rain": 0.0, "wind": 12.0, "code": 3},
@@ -101,14 +100,15 @@ SELECT an.query_id, ro.query_type, an.path, an.path AS answered_by, answer, sour
 @query("answer_pipeline", PIPELINE)
 def answer_pipeline(spark, d):
     q = questions(spark, d)
-    meta = metadata(spark).select("source_file", "authority_score", "bias_penalty")
-    corpus = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text", F.col("source").alias("source_file")).join(trust_dim(spark, d), "chunk_id").join(meta, "source_file", "left")
+    # a row a known source, a fixed list: texts are neither shuffled by their source nor joined with themselves
+    meta = F.broadcast(source_trust(spark).select("source_file", "trust_weight", "authority_score", "bias_penalty"))
+    held = corpus(spark, d).join(meta, "source_file", "left")
     reading = F.from_json(F.lit(_json()), WEATHER)
     from sheaf.operators.weather import weather_report
 
     weather = q.where(F.col("query_id") % 5 > 0).select("query_id", weather_report(reading, gates.location(F.col("query")), F.lit("2025-06-01 08:00")).alias("report"), F.lit(SEASONAL).alias("seasonal"))
     cfg = pipeline.Config(registry=REGISTRY, stages=STAGES, trust=True, providers=Providers(consistency=consistent))
-    out = pipeline.answer_queries(q, corpus, vectors(spark, d), cfg, weather, index=stored_index(spark, d), feedback_log=feedback_log(spark, d))
+    out = pipeline.answer_queries(q, held, vectors(spark, d), cfg, weather, index=stored_index(spark, d), feedback_log=feedback_log(spark, d))
     kinds = out["routed"].select("query_id", "query_type", "path")
     sums = out["summary"].select("query_id", "total_sentences", "avg_confidence", "avg_combined_score")
     return out["answers"].join(kinds, "query_id").join(sums, "query_id", "left").select("query_id", "query_type", "path", "answered_by", "answer", "sources", "total_sentences", "avg_confidence", "avg_combined_score")

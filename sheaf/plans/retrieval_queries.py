@@ -30,9 +30,14 @@ def questions(spark, d):
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")).join(vec, "query_id", "left")
 
 
+def source_trust(spark):
+    """The known sources with their trust weight."""
+    known = metadata(spark).withColumn("trust_weight", rounded(F.col("authority_score") * (1 - F.col("bias_penalty")), 4))
+    return known.withColumn("trust_weight", F.when(F.col("source_file") == "src3", 0.0).otherwise(F.col("trust_weight")))
+
+
 def trust_dim(spark, d):
-    known = metadata(spark).withColumn("trust_weight", rounded(F.col("authority_score") * (1 - F.col("bias_penalty")), 4)).withColumn("trust_weight", F.when(F.col("source_file") == "src3", 0.0).otherwise(F.col("trust_weight")))
-    return corpus(spark, d).select("chunk_id", "source_file").join(known.select("source_file", "trust_weight"), "source_file", "left").select("chunk_id", "trust_weight")
+    return corpus(spark, d).select("chunk_id", "source_file").join(source_trust(spark).select("source_file", "trust_weight"), "source_file", "left").select("chunk_id", "trust_weight")
 
 
 TRUST = f"""{META},

@@ -3,6 +3,7 @@
 import glob
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sheaf.functions.text import crop_tags, tokens
@@ -190,3 +191,58 @@ def test_a_scorer_gets_texts_without_sentences(spark):
     scorer = PairScorer(lambda: None, lambda model, a, b: [0.0 if x.startswith("A first") else 1.0 for x in a])
     got = [tuple(r) for r in chunking.chunks(texts, "i", next_score=scorer).orderBy("i", "chunk_no").collect()]
     assert got == [tuple(r) for r in chunking.chunks(texts.where("i in (1, 3)"), "i", next_score=scorer).orderBy("i", "chunk_no").collect()]
+
+
+def test_a_threshold_is_found_once_and_texts_stay(spark, data, monkeypatch):
+    """The answers start from written questions, and against the few rows that are found the corpus is not shuffled, by its source or by its id."""
+    from sheaf.operators import pipeline
+    from sheaf.plans.pipeline_queries import answer_pipeline
+
+    plans = {}
+    monkeypatch.setattr(pipeline, "written", lambda df, name, own=pipeline.written: plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()) and own(df, name))
+    out = answer_pipeline(spark, data)
+    assert [name for name, plan in plans.items() if "_before_n" in plan] == ["routed"] and "_before_n" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.count() > 0 and "Exchange hashpartitioning" not in plans["found"] and plans["found"].count("documents.parquet") == 1 and "text:string" not in plans["fused"]
+    assert "CartesianProduct" not in plans["fused"]
+
+
+def test_the_last_threshold_is_told_without_the_others(spark):
+    from sheaf.operators import feedback
+
+    log = spark.range(3000).select(F.col("id").alias("seq"), F.when(F.col("id") % 3 == 0, "slow").otherwise("fast").alias("path"), ((F.col("id") % 700 > 180) | (F.col("id") % 2 == 0)).alias("was_accurate"))
+    for some in (log, log.where("seq < 2"), log.where("false"), log.where("seq < 1750"), log.withColumn("was_accurate", F.lit(True)), log.withColumn("was_accurate", F.lit(False))):
+        last = feedback.current_threshold(some)
+        want = max(((r.seq, r.threshold) for r in feedback.thresholds(some).collect()), default=(0, feedback.INITIAL))[1]
+        assert [r.threshold for r in last.collect()] == [want] and "arrays_zip" not in last._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pairs_of_queries_and_blocks_meet_terms_in_many_tasks(spark, tmp_path, monkeypatch):
+    path, kept = str(tmp_path / "ix"), []
+    segments.rebuild(docs(spark, 200), path)
+    index = segments.open_index(spark, path)
+    asked = spark.createDataFrame([(i, f"aa{i} bb2") for i in range(9)], "query_id int, query string")
+    monkeypatch.setattr(inverted, "ONE_PASS", 0)
+    monkeypatch.setattr(inverted, "written", lambda df, name, own=inverted.written: (kept.append(df.rdd.getNumPartitions()) if name == "limits" else None) or own(df, name))
+    assert retrieval.sparse_topk(index, asked, 5).count() > 0 and kept == [int(spark.conf.get("spark.sql.shuffle.partitions"))]
+
+
+def test_a_block_is_scored_as_chunk_by_chunk():
+    rng, n = np.random.default_rng(7), 61
+    terms = [np.sort(rng.choice(n, rng.integers(1, 40), replace=False)) for _ in range(30)]
+    tfs, lens = [rng.integers(1, 6, len(p)) for p in terms], rng.integers(1, 90, n)
+    asks = [[(q, float(rng.uniform(-0.2, 3))) for q in rng.choice(8, rng.integers(1, 6), replace=False).tolist()] for _ in terms]
+    gone, mean = [0, 7, 60, 99], 40.0
+    lists = lambda rows, kind: pa.array([list(map(kind, r)) for r in rows], pa.list_(pa.int32()))
+    table = pa.table({"places": lists(terms, int), "tfs": lists(tfs, int), "lens": lists([lens[p] for p in terms], int), "gone": lists([gone] * 30, int), "mean": [mean] * 30,
+                      "queries": [[q for q, _ in a] for a in asks], "ws": [[w for _, w in a] for a in asks], "cuts": [[0.0] * len(a) for a in asks], "margins": [[0.0] * len(a) for a in asks]})
+    got = {}
+    for r in inverted._score_block(table, 5, 4).to_pylist():
+        if r["place"] is not None:
+            got.setdefault(r["query_id"], {})[r["place"]] = r["raw"]
+    for q in range(8):
+        full = np.zeros(n)
+        for p, tf, a in zip(terms, tfs, asks, strict=True):
+            full[p] += dict(a).get(q, 0.0) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * lens[p] / mean))
+        full[[g for g in gone if g < n]] = 0
+        best = sorted((-x, i) for i, x in enumerate(full) if x > 0)[:4]
+        assert all(abs(got[q][i] + x) < 1e-9 for x, i in best) and len(got[q]) == len(best)
